@@ -97,50 +97,72 @@ def colour(rule_no) -> Column:
     return _by_rule(as_col(rule_no), {n: c for n, (_, c) in OUTCOMES.items()})
 
 
-def _filled(template: str, ndwi, temp, rain) -> Column:
-    text = F.lit(template)
-    for name, fmt, value, digits in (("{temp}", "%.1f", temp, 1), ("{ndwi}", "%.2f", ndwi, 2), ("{rain}", "%.1f", rain, 1)):
-        if name in template:
-            text = F.replace(text, F.lit(name), F.format_string(fmt, round_even(value, digits)))
-    return text
+def _template(rule_no: Column, language: Column) -> Column:
+    """Entry of one rule and language in a constant list."""
+    entries = F.array(*[
+        F.struct(*[
+            (F.array(*map(F.lit, part)) if isinstance(part, list) else F.lit(part)).alias(name)
+            for name, part in zip(FIELDS, TEXTS[n][lang])
+        ])
+        for n in TEXTS for lang in LANGUAGES
+    ])
+    place = F.array_position(F.array(*map(F.lit, LANGUAGES)), language).cast("int") - 1
+    return F.get(entries, (rule_no - 1) * len(LANGUAGES) + place)
 
 
-def text(rule_no, field: str, language: str, ndwi, temp, rain) -> Column:
-    """One text field of the rule in one language; steps are an array."""
-    at = FIELDS.index(field)
-    if field == "actionable_steps":
-        values = {n: F.array(*map(F.lit, t[language][at])) for n, t in TEXTS.items()}
-    else:
-        values = {n: _filled(t[language][at], ndwi, temp, rain) for n, t in TEXTS.items()}
-    return _by_rule(as_col(rule_no), values)
+def _told(entry: Column, ndwi, temp, rain) -> Column:
+    """The entry's four fields with the numbers filled in."""
+    message = entry["recommendation"]
+    for name, fmt, value, digits in (("{temp}", "%.1f", temp, 1), ("{ndwi}", "%.2f", ndwi, 2), ("{rain}", "%.1f", rain, 1)):
+        message = F.replace(message, F.lit(name), F.coalesce(F.format_string(fmt, round_even(value, digits)), F.lit("")))
+    return F.struct(*[(message if f == "recommendation" else entry[f]).alias(f) for f in FIELDS])
 
 
-def advisory(stress, confidence, ndwi, temp=None, et0=None, rain=None) -> Column:
-    """The whole advisory as a struct, with ``texts`` keyed by language."""
-    temp, et0, rain = (F.lit(d) if v is None else as_col(v) for v, d in ((temp, 32.0), (et0, 35.0), (rain, 0.0)))
-    number = rule(stress, ndwi, temp, et0, rain)
+def _heads(stress, confidence, number: Column) -> list[Column]:
     level = priority(number)
-    texts = F.create_map(*[
-        part
-        for lang in LANGUAGES
-        for part in (F.lit(lang), F.struct(*[text(number, f, lang, ndwi, temp, rain).alias(f) for f in FIELDS]))
-    ])
-    return F.struct(
+    return [
         as_col(stress).cast("int").alias("stress_class_code"),
         stress_label(stress).alias("stress_class_label"),
         round_even(as_col(confidence) * 100, 1).alias("confidence_pct"),
         level.alias("priority"),
         F.concat(F.lit("PRIORITY "), level.cast("string")).alias("priority_label"),
         colour(number).alias("color"),
-        texts.alias("texts"),
-    )
+    ]
+
+
+def _inputs(temp, et0, rain) -> list[Column]:
+    return [F.lit(d) if v is None else as_col(v) for v, d in ((temp, 32.0), (et0, 35.0), (rain, 0.0))]
+
+
+def known_language(language) -> Column:
+    """A supported language code in lower case; anything else is English."""
+    wanted = F.lower(language if isinstance(language, Column) else F.lit(language))
+    return F.when(wanted.isin(*LANGUAGES), wanted).otherwise(F.lit("en"))
+
+
+def advisory(stress, confidence, ndwi, temp=None, et0=None, rain=None) -> Column:
+    """The whole advisory as a struct, with ``texts`` keyed by language."""
+    temp, et0, rain = _inputs(temp, et0, rain)
+    number = rule(stress, ndwi, temp, et0, rain)
+    texts = F.create_map(*[
+        part for lang in LANGUAGES for part in (F.lit(lang), _told(_template(number, F.lit(lang)), ndwi, temp, rain))
+    ])
+    return F.struct(*_heads(stress, confidence, number), texts.alias("texts"))
+
+
+def advisory_in(language, stress, confidence, ndwi, temp=None, et0=None, rain=None) -> Column:
+    """The advisory in one language, which may differ by row; no other language's text is made."""
+    temp, et0, rain = _inputs(temp, et0, rain)
+    number = rule(stress, ndwi, temp, et0, rain)
+    known = known_language(language)
+    told = _told(_template(number, known), ndwi, temp, rain)
+    return F.struct(*_heads(stress, confidence, number), *[told[f].alias(f) for f in FIELDS], known.alias("language"))
 
 
 def localised(advice, language) -> Column:
     """The advisory in one language; an unknown language falls back to English."""
     advice = as_col(advice)
-    wanted = F.lower(language if isinstance(language, Column) else F.lit(language))
-    known = F.when(wanted.isin(*LANGUAGES), wanted).otherwise(F.lit("en"))
+    known = known_language(language)
     chosen = F.try_element_at(advice["texts"], known)
     heads = ("stress_class_code", "stress_class_label", "confidence_pct", "priority", "priority_label", "color")
     return F.struct(*[advice[h].alias(h) for h in heads], *[chosen[f].alias(f) for f in FIELDS], known.alias("language"))

@@ -113,11 +113,11 @@ def score(model, df: DataFrame, features: Sequence[str], *, keep_probabilities:
 def what_if(model, requests: DataFrame, features: Sequence[str], language: str | Column = "en") -> DataFrame:
     """Score a table of scenarios and attach localised advice; absent inputs take their defaults."""
     # Advice reads its own copies of four inputs, because the model fills absent inputs with zero.
-    told = {c: F.col(c) if c in requests.columns else F.lit(None).cast("double") for c in REQUEST_DEFAULTS}
-    copies = requests.withColumns({f"_{c}": F.coalesce(v.cast("double"), F.lit(REQUEST_DEFAULTS[c])) for c, v in told.items()})
+    given = {c: F.col(c) if c in requests.columns else F.lit(None).cast("double") for c in REQUEST_DEFAULTS}
+    copies = requests.withColumns({f"_{c}": F.coalesce(v.cast("double"), F.lit(REQUEST_DEFAULTS[c])) for c, v in given.items()})
     scored = score(model, copies, features, keep_probabilities=True)
-    whole = advice.advisory("stress_code", "confidence", *[f"_{c}" for c in ("ndwi_mean", "temp_max_c", "et0_8day_sum", "rainfall_8day")])
-    return scored.withColumn("advisory", advice.localised(whole, language)).drop(*[f"_{c}" for c in REQUEST_DEFAULTS])
+    told = advice.advisory_in(language, "stress_code", "confidence", *[f"_{c}" for c in ("ndwi_mean", "temp_max_c", "et0_8day_sum", "rainfall_8day")])
+    return scored.withColumn("advisory", told).drop(*[f"_{c}" for c in REQUEST_DEFAULTS])
 
 
 def importances(model: RandomForestClassificationModel, features: Sequence[str], spark) -> DataFrame:

@@ -65,4 +65,5 @@ def box_geometry(minx, miny, maxx, maxy):
 def cell_details(results: DataFrame, requests: DataFrame, *, keys: tuple[str, ...] = ("date", "cell_id"), language: str = "en") -> DataFrame:
     """Stress and irrigation details of the requested (date, cell) pairs, in one language."""
     found = results.join(requests.select(*keys).distinct(), list(keys))
-    return with_advisory(found).withColumn("advisory", advice.localised("advisory", language))
+    told = advice.advisory_in(language, "stress_code", "confidence", "ndwi_mean", "temp_max_c", "et0_8day_sum", "rainfall_8day")
+    return found.withColumn("advisory", told)

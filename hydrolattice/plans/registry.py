@@ -23,6 +23,11 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self._folder}/{name}.parquet"
 
+    def stream(self, name: str, **options) -> DataFrame:
+        """The table's files as a stream. The pattern form of the path holds for a file and for a folder."""
+        schema = self.spark.read.parquet(self.path(name)).schema
+        return self.spark.readStream.schema(schema).options(**options).parquet(f"{self._folder}/{name[:-1]}[{name[-1]}].parquet")
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 

@@ -21,12 +21,12 @@ def order_scenes(t: Tables) -> DataFrame:
     )
 
 
-@query("""WITH both AS (
+@query("""WITH batches AS (
   SELECT o_orderkey AS scene_id, CAST(o_orderdate AS DATE) AS acquisition_date, o_orderstatus AS status, NULL::INTEGER AS cells, 0 AS batch
   FROM orders WHERE o_orderdate < DATE '2000-01-01'
   UNION ALL
   SELECT o_orderkey, CAST(o_orderdate AS DATE), 'complete', length(o_orderpriority)::INTEGER, 1 FROM orders WHERE o_orderdate >= DATE '1998-01-01')
-SELECT scene_id, acquisition_date, status, cells FROM both
+SELECT scene_id, acquisition_date, status, cells FROM batches
 QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY batch DESC) = 1""")
 def manifest_upsert(t: Tables) -> DataFrame:
     old = order_scenes(t).filter(F.col("acquisition_date") < F.lit(date(2000, 1, 1)))
