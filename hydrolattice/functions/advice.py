@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,16 +100,14 @@ def colour(rule_no) -> Column:
 
 
 def _template(rule_no: Column, language: Column) -> Column:
-    """Entry of one rule and language in a constant list."""
-    entries = F.array(*[
-        F.struct(*[
-            (F.array(*map(F.lit, part)) if isinstance(part, list) else F.lit(part)).alias(name)
-            for name, part in zip(FIELDS, TEXTS[n][lang])
-        ])
-        for n in TEXTS for lang in LANGUAGES
-    ])
+    """Entry of one rule and language in a constant list, which Spark reads once while it plans."""
+    entries = [dict(zip(FIELDS, TEXTS[n][lang])) for n in TEXTS for lang in LANGUAGES]
+    listed = F.from_json(
+        F.lit(json.dumps(entries, ensure_ascii=False)),
+        "array<struct<urgency:string,title:string,recommendation:string,actionable_steps:array<string>>>",
+    )
     place = F.array_position(F.array(*map(F.lit, LANGUAGES)), language).cast("int") - 1
-    return F.get(entries, (rule_no - 1) * len(LANGUAGES) + place)
+    return F.get(listed, (rule_no - 1) * len(LANGUAGES) + place)
 
 
 def _told(entry: Column, ndwi, temp, rain) -> Column:
@@ -181,13 +181,15 @@ def stress_properties(cell, when, stress, confidence, ndvi, ndwi) -> Column:
     )
 
 
-def irrigation_properties(cell, when, advice, confidence, ndvi, ndwi) -> Column:
+def irrigation_properties(cell, when, stress, confidence, ndvi, ndwi, temp, et0, rain) -> Column:
     """Properties of one cell on the irrigation layer, with a flat field per text and language."""
-    advice = as_col(advice)
+    number = rule(stress, ndwi, temp, et0, rain)
+    level = priority(number)
+    told = {lang: _told(_template(number, F.lit(lang)), ndwi, temp, rain) for lang in LANGUAGES}
     return F.struct(
-        as_col(cell).alias("cell_id"), as_col(when).cast("string").alias("date"), advice["priority"].alias("priority"),
-        F.concat(F.lit("Priority "), advice["priority"].cast("string")).alias("priority_label"),
-        advice["color"].alias("fill_color"), as_col(confidence).alias("confidence"),
+        as_col(cell).alias("cell_id"), as_col(when).cast("string").alias("date"), level.alias("priority"),
+        F.concat(F.lit("Priority "), level.cast("string")).alias("priority_label"),
+        colour(number).alias("fill_color"), as_col(confidence).alias("confidence"),
         round_even(ndvi, 3).alias("ndvi"), round_even(ndwi, 3).alias("ndwi"),
-        *[F.try_element_at(advice["texts"], F.lit(lang))[f].alias(f"{f}_{lang}") for f in FIELDS for lang in LANGUAGES],
+        *[told[lang][f].alias(f"{f}_{lang}") for f in FIELDS for lang in LANGUAGES],
     )

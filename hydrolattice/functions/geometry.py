@@ -31,18 +31,27 @@ def shape_edges(rings) -> Column:
     return F.flatten(F.transform(as_col(rings), ring_edges))
 
 
-def contains_point(edges, x, y) -> Column:
-    """Even-odd ray cast towards +x."""
-    x, y = as_col(x), as_col(y)
+def contains_point(edges, x, y, ray: str = "x") -> Column:
+    """Even-odd ray cast from a point towards +x or +y; only edges that span the point across the ray count."""
+    along, across = (as_col(x), as_col(y)) if ray == "x" else (as_col(y), as_col(x))
+    a, c = ("x", "y") if ray == "x" else ("y", "x")
 
     def crosses(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        at = F.try_divide((e["x2"] - e["x1"]) * (y - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
-        return spans & F.coalesce(x < at, F.lit(False))
+        a1, a2, c1, c2 = e[f"{a}1"], e[f"{a}2"], e[f"{c}1"], e[f"{c}2"]
+        spans = (c1 > across) != (c2 > across)
+        at = F.try_divide((a2 - a1) * (across - c1), c2 - c1) + a1
+        return spans & F.coalesce(along < at, F.lit(False))
 
     return F.size(F.filter(as_col(edges), crosses)) % 2 == 1
 
 
+def edges_between(edges, axis: str, low, high) -> Column:
+    """Edges that reach into a closed interval of one axis."""
+    low, high = as_col(low), as_col(high)
+    one, two = f"{axis}1", f"{axis}2"
+    return F.filter(as_col(edges), lambda e: (F.greatest(e[one], e[two]) >= low) & (F.least(e[one], e[two]) <= high))
+
+
 def edge_distance(edges, x, y) -> Column:
     """Distance from a point to the nearest edge."""
     x, y = as_col(x), as_col(y)
@@ -57,7 +66,10 @@ def edge_distance(edges, x, y) -> Column:
 
 
 def box_meets_shape(edges, minx, miny, maxx, maxy) -> Column:
-    """Closed intersection: an edge meets the box, or the box lies inside the shape."""
+    """Closed intersection: an edge meets the box, or the box lies inside the shape.
+
+    Needs only the edges that reach into the box's x-range, because the ray runs along y.
+    """
     minx, miny, maxx, maxy = map(as_col, (minx, miny, maxx, maxy))
 
     def meets(e: Column) -> Column:
@@ -70,4 +82,4 @@ def box_meets_shape(edges, minx, miny, maxx, maxy) -> Column:
         sides = [dx * (cy - e["y1"]) - dy * (cx - e["x1"]) for cx in (minx, maxx) for cy in (miny, maxy)]
         return near & (F.greatest(*sides) >= 0) & (F.least(*sides) <= 0)
 
-    return F.exists(as_col(edges), meets) | contains_point(edges, minx, miny)
+    return F.exists(as_col(edges), meets) | contains_point(edges, minx, miny, ray="y")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geodesy import from_utm, to_utm
-from ..functions.geometry import box_meets_shape, contains_point, edge_distance
+from ..functions.geometry import box_meets_shape, contains_point, edge_distance, edges_between
 from ..functions.numeric import as_col, round_even
 from .ordering import ranked
 
@@ -32,6 +32,12 @@ def with_bounds(areas: DataFrame, edges: str = "edges") -> DataFrame:
     })
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions. The number is explicit, because each small row grows a lot
+    afterwards and adaptive coalescing would judge it by its size now."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def spatial_grid(
     areas: DataFrame,
     *,
@@ -43,8 +49,8 @@ def spatial_grid(
 ) -> DataFrame:
     """Cells of every area that meet its shape, numbered column by column over the kept cells.
 
-    Columns of a grid are spread over tasks before their cells are made, so one large area does not
-    stay in one task. Numbers are in-column ranks plus a prefix sum over column counts.
+    Columns of a grid are spread over tasks before their cells are made, each with only the edges that
+    reach into it, so one large area does not stay in one task. Numbers are in-column ranks plus a prefix sum over column counts.
     ``central_meridian=None`` leaves the centroid in the grid's own coordinates.
     """
     size = F.lit(float(cell_size))
@@ -53,11 +59,11 @@ def spatial_grid(
         return F.ceil((F.col(high) - F.col(low)) / size)
 
     boxed = with_bounds(areas.select(area_id, F.col(edges).alias("edges")))
-    columns = (
-        boxed.filter((F.col("maxx") > F.col("minx")) & (F.col("maxy") > F.col("miny")))
-        .withColumn("ix", F.explode(F.sequence(F.lit(0).cast("long"), count_along("minx", "maxx") - 1)))
-        .repartition(area_id, "ix")
+    columns = boxed.filter((F.col("maxx") > F.col("minx")) & (F.col("maxy") > F.col("miny"))).withColumn(
+        "ix", F.explode(F.sequence(F.lit(0).cast("long"), count_along("minx", "maxx") - 1))
     )
+    left = F.col("minx") + F.col("ix") * size
+    columns = _spread(columns.withColumn("edges", edges_between("edges", "x", left, left + size)), area_id, "ix")
     cells = columns.withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), count_along("miny", "maxy") - 1)))
     x, y = F.col("minx") + F.col("ix") * size, F.col("miny") + F.col("iy") * size
     kept = cells.filter(box_meets_shape("edges", x, y, x + size, y + size)).select(
@@ -97,10 +103,11 @@ def weather_lattice(
         return F.sequence(F.floor(F.col(low) / step), F.ceil(F.col(high) / step))
 
     boxed = with_bounds(areas.select(area_id, F.col(edges).alias("edges")))
-    rows = boxed.withColumn("_row", F.explode(along("miny", "maxy"))).repartition(area_id, "_row")
-    places = rows.withColumn("_col", F.explode(along("minx", "maxx")))
+    rows = boxed.withColumn("_row", F.explode(along("miny", "maxy")))
     lon, lat = F.col("_col") * step, F.col("_row") * step
-    near = contains_point("edges", lon, lat) | (edge_distance("edges", lon, lat) < step / 2)
+    rows = _spread(rows.withColumn("edges", edges_between("edges", "y", lat - step / 2, lat + step / 2)), area_id, "_row")
+    places = rows.withColumn("_col", F.explode(along("minx", "maxx")))
+    near = contains_point("edges", lon, lat) | F.coalesce(edge_distance("edges", lon, lat) < step / 2, F.lit(False))
     kept = places.filter(near).select(area_id, "_row", "_col", lon.alias("_lon"), lat.alias("_lat"))
     return ranked(kept, [area_id], ["_row", "_col"], "_number", "points").select(
         area_id,
@@ -123,8 +130,8 @@ def equal_width_bands(df: DataFrame, value: str, labels: tuple[str, ...] = ("hea
     edges = df.agg(F.min(as_col(value)).cast("double").alias("_low"), F.max(as_col(value)).cast("double").alias("_high"))
     # One row of extremes; a single-valued column sits in the middle of a slightly widened range.
     width = (high - low) / len(labels)
-    band = F.when(low == high, F.lit(labels[len(labels) // 2]))
+    band = F.when(F.col(value).isNull(), F.lit(None)).when(low == high, F.lit(labels[len(labels) // 2]))
     for i, label in enumerate(labels[:-1], start=1):
         band = band.when(F.col(value) <= low + width * i, F.lit(label))
-    band = band.when(F.col(value).isNotNull(), F.lit(labels[-1]))
+    band = band.otherwise(F.lit(labels[-1]))
     return df.withColumn("_j", F.lit(1)).join(F.broadcast(edges.withColumn("_j", F.lit(1))), "_j").withColumn(output, band).drop("_j", "_low", "_high")

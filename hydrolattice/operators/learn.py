@@ -99,6 +99,11 @@ def best_class(probabilities="probabilities") -> Column:
     return (F.array_position(probabilities, F.array_max(probabilities)) - 1).cast("int")
 
 
+def _probability(code: Column) -> Column:
+    """Probability of one class; 0 for a class the model never saw."""
+    return F.coalesce(F.get("probabilities", code), F.lit(0.0))
+
+
 def score(model, df: DataFrame, features: Sequence[str], *, keep_probabilities: bool = False) -> DataFrame:
     """Stress code, confidence and irrigation priority per row."""
     vectors = with_vector(fill_inputs(df, features), features)
@@ -142,7 +147,7 @@ def impacts(model, df: DataFrame, key: Sequence[str], features: Sequence[str], m
     """
     base = with_probabilities(model, with_vector(fill_inputs(df, features), features))
     aim = best_class() if target_class is None else F.lit(target_class)
-    row = base.select(*key, F.array(*features).alias("_x"), aim.alias("class"), F.element_at("probabilities", aim + 1).alias("_p"))
+    row = base.select(*key, F.array(*features).alias("_x"), aim.alias("class"), _probability(aim).alias("_p"))
     typical = F.array(*[F.lit(float(m)) for m in means])
     variants = row.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).withColumn(
         "features", array_to_vector(F.transform("_x", lambda v, j: F.when(j == F.col("_i"), typical[F.col("_i")]).otherwise(v)))
@@ -151,7 +156,7 @@ def impacts(model, df: DataFrame, key: Sequence[str], features: Sequence[str], m
     names = F.array(*map(F.lit, features))
     return scored.select(
         *key, "class", names[F.col("_i")].alias("feature"), F.col("_x")[F.col("_i")].alias("value"),
-        (F.col("_p") - F.element_at("probabilities", F.col("class") + 1)).alias("impact"),
+        (F.col("_p") - _probability(F.col("class"))).alias("impact"),
     )
 
 
@@ -210,7 +215,7 @@ def global_attribution(model, df: DataFrame, key: Sequence[str], features: Seque
 def evaluate(model, test: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """One row: accuracy, macro and weighted F1, and macro one-vs-rest AUC."""
     scored = score(model, test, features, keep_probabilities=True)
-    wide = scored.select(F.col(target).cast("int").alias("actual"), "stress_code", *[F.col("probabilities")[i].alias(f"p{i}") for i in range(3)])
+    wide = scored.select(F.col(target).cast("int").alias("actual"), "stress_code", *[_probability(F.lit(i)).alias(f"p{i}") for i in range(3)])
     f1 = class_scores(wide, "actual", "stress_code").select("accuracy", "macro_f1", "weighted_f1").distinct().withColumn("_j", F.lit(1))
     auc = macro_auc(roc_auc(wide, "actual", {i: f"p{i}" for i in range(3)})).withColumn("_j", F.lit(1))
     return f1.join(F.broadcast(auc), "_j").drop("_j")  # one row on each side

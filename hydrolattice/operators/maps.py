@@ -43,14 +43,22 @@ def sample_metadata(sampled: DataFrame, when: str = "date") -> DataFrame:
     )
 
 
+# Columns a map layer reads, by what they hold.
+LAYER_COLUMNS = {
+    "stress": "stress_code", "confidence": "confidence", "ndvi": "ndvi_mean", "ndwi": "ndwi_mean",
+    "temp": "temp_max_c", "et0": "et0_8day_sum", "rain": "rainfall_8day",
+}
+
+
 def map_layer(scored: DataFrame, geometry: DataFrame, *, layer: str = "stress", cell: str = "cell_id", when: str = "date", polygon: str = "geometry", **columns) -> DataFrame:
     """One GeoJSON feature per scored cell that has a geometry, as JSON text in ``value``."""
-    names = {"stress": "stress_code", "confidence": "confidence", "ndvi": "ndvi_mean", "ndwi": "ndwi_mean"} | columns
+    n = LAYER_COLUMNS | columns
     joined = scored.join(geometry.select(cell, polygon), cell)
+    common = (cell, when, n["stress"], n["confidence"], n["ndvi"], n["ndwi"])
     if layer == "stress":
-        properties = advice.stress_properties(cell, when, names["stress"], names["confidence"], names["ndvi"], names["ndwi"])
+        properties = advice.stress_properties(*common)
     else:
-        properties = advice.irrigation_properties(cell, when, "advisory", names["confidence"], names["ndvi"], names["ndwi"])
+        properties = advice.irrigation_properties(*common, n["temp"], n["et0"], n["rain"])
     feature = F.struct(F.lit("Feature").alias("type"), F.col(polygon).alias("geometry"), properties.alias("properties"))
     return joined.select(cell, when, F.to_json(feature).alias("value"))
 

@@ -1,9 +1,10 @@
 """Ordered computations that no single task has to hold: running totals, ranks, exact quantiles.
 
-A plain ``Window.partitionBy(group).orderBy(value)`` puts a whole group into one task. Here every
-group is cut into buckets at splitter values first, windows run per (group, bucket), and one small
-per-bucket table (at most ``max_buckets`` rows a group) carries the totals across buckets. Splitters
-come from a hash sample of the order key, so recomputing a lost partition cuts at the same places.
+A plain ``Window.partitionBy(group).orderBy(value)`` puts a whole group into one task. Here a large group
+is cut into buckets at splitter values first, windows run per (group, bucket), and one small per-bucket
+table carries the totals across buckets. Splitters come from a hash sample of the order key, so
+recomputing a lost partition cuts at the same places. However many rows there are, at most
+``2 * MAX_SPLITTERS`` splitters exist, which is what makes broadcasting them safe.
 """
 
 from __future__ import annotations
@@ -15,46 +16,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 1024
+MAX_SPLITTERS = 65_536
+GROUP_BUCKETS = 1024
 _SAMPLES_PER_BUCKET = 32
+_STEP = 32
 _HASH_RANGE = 1 << 30
 
 
-def _join_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on equal keys, where missing equals missing."""
-    renamed = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
-    match = F.lit(True)
-    for k in keys:
-        match = match & df[k].eqNullSafe(renamed[f"_k_{k}"])
-    return df.join(renamed, match).drop(*[f"_k_{k}" for k in keys])
+def _bucket_number(key: Column) -> Column:
+    """How many splitters are at or below the key: first among every ``_STEP``-th one, then between two of those."""
+    coarse = F.size(F.filter("_coarse", lambda s: s <= key))
+    return coarse * _STEP + F.size(F.filter(F.slice("_splitters", coarse * _STEP + 1, _STEP), lambda s: s <= key))
 
 
-def _with_buckets(df: DataFrame, group: Sequence[str], key: Column, rows_per_bucket: int, max_buckets: int) -> DataFrame:
-    keyed = df.withColumn("_key", key)
-    sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = sizes.withColumn(
-        "_buckets", F.least(F.ceil(F.col("_rows") / F.lit(float(rows_per_bucket))), F.lit(max_buckets).cast("long"))
-    ).filter(F.col("_buckets") > 1)
+def _every(array: str, step: int) -> Column:
+    picks = F.sequence(F.lit(step), F.size(array), F.lit(step))
+    return F.when(F.size(array) >= step, F.transform(picks, lambda i: F.element_at(array, i))).otherwise(F.slice(array, 1, 0))
+
+
+def _with_buckets(df: DataFrame, rows_per_bucket: int) -> DataFrame:
+    """Add ``_bucket`` from ``_g`` (the group) and ``_key`` (the order key)."""
+    sizes = df.groupBy("_g").agg(F.count(F.lit(1)).alias("_rows"))
+    everything = sizes.agg(F.sum("_rows").alias("_all")).withColumn("_j", F.lit(1))
+    target = F.greatest(F.lit(float(rows_per_bucket)), F.col("_all") / float(MAX_SPLITTERS))
+    large = (
+        sizes.withColumn("_j", F.lit(1))
+        .join(F.broadcast(everything), "_j")  # one row
+        .select("_g", "_rows", F.least(F.ceil(F.col("_rows") / target), F.lit(GROUP_BUCKETS).cast("long")).alias("_buckets"))
+        .filter(F.col("_buckets") > 1)
+    )
     draw = F.pmod(F.xxhash64("_key"), F.lit(_HASH_RANGE)).cast("double") / float(_HASH_RANGE)
-    sample = (
-        _join_keys(keyed.select(*group, "_key"), sizes, group)
+    splitters = (
+        df.select("_g", "_key")
+        .join(F.broadcast(large), "_g")  # groups above the bucket size: MAX_SPLITTERS at most
         .filter(draw < F.lit(float(_SAMPLES_PER_BUCKET)) * F.col("_buckets") / F.col("_rows"))
-        .groupBy(*group)
+        .groupBy("_g")
         .agg(F.sort_array(F.collect_set("_key")).alias("_sample"))
+        .select("_g", _every("_sample", _SAMPLES_PER_BUCKET).alias("_splitters"))
+        .select("_g", "_splitters", _every("_splitters", _STEP).alias("_coarse"))
     )
-    picks = F.sequence(F.lit(_SAMPLES_PER_BUCKET), F.size("_sample"), F.lit(_SAMPLES_PER_BUCKET))
-    splitters = sample.select(
-        *group,
-        F.when(
-            F.size("_sample") >= _SAMPLES_PER_BUCKET, F.transform(picks, lambda i: F.element_at("_sample", i))
-        ).alias("_splitters"),
-    ).withColumnsRenamed({g: f"_s_{g}" for g in group})
-    match = F.lit(True)
-    for g in group:
-        match = match & keyed[g].eqNullSafe(splitters[f"_s_{g}"])
-    bucketed = keyed.join(splitters, match, "left").drop(*[f"_s_{g}" for g in group])
-    number = F.size(F.filter("_splitters", lambda s: s <= F.col("_key")))
-    return bucketed.withColumn("_bucket", F.when(F.col("_splitters").isNull(), 0).otherwise(number)).drop("_splitters")
+    cut = df.join(F.broadcast(splitters), "_g", "left")  # 2 * MAX_SPLITTERS values at most
+    number = F.when(F.col("_splitters").isNull(), 0).otherwise(_bucket_number(F.col("_key")))
+    return cut.withColumn("_bucket", number).drop("_splitters", "_coarse")
 
 
 def running_totals(
@@ -65,49 +68,44 @@ def running_totals(
     *,
     following: str | None = None,
     rows_per_bucket: int = ROWS_PER_BUCKET,
-    max_buckets: int = MAX_BUCKETS,
 ) -> DataFrame:
     """Add, for each ``name: column`` of ``sums``, ``name`` (inclusive running sum) and ``name_total``.
 
     ``order`` must be unique within a group. ``following`` names an extra column holding the next
     row's first order value (missing on the last row).
     """
-    added_group = not group
-    if added_group:
-        df, group = df.withColumn("_all", F.lit(0)), ["_all"]
-    group = list(group)
-    key = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    cut = _with_buckets(df, group, key, rows_per_bucket, max_buckets)
-
-    parts = cut.groupBy(*group, "_bucket").agg(
-        F.min("_key").alias("_first"), *[F.sum(c).alias(f"_in_{n}") for n, c in sums.items()]
-    )
-    across = Window.partitionBy(*group).orderBy("_bucket")
+    # A struct key compares missing group values as equal, so a plain equi-join loses no group.
+    keyed = df.withColumns({
+        "_g": F.struct(*group) if group else F.struct(F.lit(0)),
+        "_key": F.col(order[0]) if len(order) == 1 else F.struct(*order),
+    })
+    cut = _with_buckets(keyed, rows_per_bucket)
+
+    parts = cut.groupBy("_g", "_bucket").agg(F.min("_key").alias("_first"), *[F.sum(c).alias(f"_in_{n}") for n, c in sums.items()])
+    whole = Window.partitionBy("_g")
+    across = whole.orderBy("_bucket")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
     carry = parts.select(
-        *group,
+        "_g",
         "_bucket",
         F.lead("_first").over(across).alias("_next_first"),
         *[F.coalesce(F.sum(f"_in_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in sums],
         *[F.sum(f"_in_{n}").over(whole).alias(f"{n}_total") for n in sums],
     )
-    inside = Window.partitionBy(*group, "_bucket").orderBy("_key")
+    inside = Window.partitionBy("_g", "_bucket").orderBy("_key")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = cut.select(
         "*",
         *[F.sum(c).over(upto).alias(f"_run_{n}") for n, c in sums.items()],
         *([F.lead("_key").over(inside).alias("_next_key")] if following else []),
     )
-    out = _join_keys(local, carry, [*group, "_bucket"])
-    keep = [c for c in df.columns if c != "_all"]
     extra = []
     for n in sums:
         extra += [(F.col(f"_run_{n}") + F.col(f"_before_{n}")).alias(n), F.col(f"{n}_total")]
     if following:
-        nxt = F.coalesce("_next_key", "_next_first")
-        extra.append((nxt if len(order) == 1 else nxt[order[0]]).alias(following))
-    return out.select(*keep, *extra)
+        after = F.coalesce("_next_key", "_next_first")
+        extra.append((after if len(order) == 1 else after[order[0]]).alias(following))
+    return local.join(carry, ["_g", "_bucket"]).select(*df.columns, *extra)
 
 
 def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], rank: str = "rank", total: str = "rows", **options) -> DataFrame:

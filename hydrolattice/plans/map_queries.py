@@ -79,7 +79,7 @@ def _layer(t: Tables, layer: str) -> DataFrame:
     places = t.customer.select(
         F.col("c_custkey").alias("cell_id"), maps.box_geometry(F.col("c_nationkey").cast("double"), F.col("c_acctbal"), F.col("c_nationkey") + 1.5, F.col("c_acctbal") + 2).alias("geometry")
     )
-    return maps.map_layer(maps.with_advisory(scored_days(t)), places, layer=layer)
+    return maps.map_layer(scored_days(t), places, layer=layer)
 
 
 @query(f"""WITH {SCORED_SQL}

@@ -9,7 +9,10 @@ from ..streaming import requests
 from ..streaming.runs import new_run, run_available
 from .registry import Tables, query, r
 
-FAILED = F.col("event_type") == "error"
+
+def _failed():
+    return F.col("event_type") == "error"
+
 
 
 def _bucket_sql(bounds=requests.LATENCY_BOUNDS_MS) -> tuple[str, str]:
@@ -42,7 +45,7 @@ def _rate(log: DataFrame) -> DataFrame:
 
 
 def _errors(log: DataFrame) -> DataFrame:
-    return requests.error_ratio(log, FAILED)
+    return requests.error_ratio(log, _failed())
 
 
 def _p95(log: DataFrame) -> DataFrame:

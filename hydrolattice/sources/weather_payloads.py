@@ -25,8 +25,14 @@ PAYLOAD_SCHEMA = "daily struct<time array<string>, " + ", ".join(f"{f} array<dou
 def flatten_payloads(payloads: DataFrame, daily: str = "daily", keys: Sequence[str] = (), columns: dict[str, str] = PAYLOAD_COLUMNS) -> DataFrame:
     """One row per payload and day, with table column names. A payload without ``time`` fails the query."""
     days = F.coalesce(F.col(f"{daily}.time"), F.raise_error(F.lit("the payload has no daily time list")))
-    present = [f for f in columns if f in payloads.schema[daily].dataType.names]
-    zipped = payloads.select(*keys, F.inline(F.arrays_zip(days.alias("time"), *[F.col(f"{daily}.{f}").alias(f) for f in present])))
+    fields = payloads.schema[daily].dataType
+    present = [f for f in columns if f in fields.names]
+
+    def series(name: str) -> Column:
+        # A measure that is left out is an empty list, which the zip fills up; a missing list would void the payload.
+        return F.coalesce(F.col(f"{daily}.{name}"), F.array().cast(fields[name].dataType)).alias(name)
+
+    zipped = payloads.select(*keys, F.inline(F.arrays_zip(days.alias("time"), *map(series, present))))
     return zipped.select(*keys, F.to_date("time").alias("date"), *[F.col(f).alias(columns[f]) for f in present])
 
 
