@@ -88,6 +88,15 @@ def drift_summary(scores: DataFrame, settings: Drift = Drift()) -> DataFrame:
     })
 
 
+def by_feature(scores: DataFrame) -> DataFrame:
+    return scores.orderBy("feature")
+
+
+def drifted_by_score(scores: DataFrame) -> DataFrame:
+    """Drifted inputs, the highest score first."""
+    return scores.filter("drift").orderBy(F.col("score").desc(), "feature")
+
+
 def require_both(reference: DataFrame, current: DataFrame) -> None:
     if reference.isEmpty() or current.isEmpty():
         raise ValueError("a drift check needs reference rows and current rows")

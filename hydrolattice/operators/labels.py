@@ -55,9 +55,8 @@ def training_table(satellite: DataFrame, weather: DataFrame, balance: WaterBalan
     """Satellite features joined to the labelled weather of each cell's nearest point."""
     labelled = climatic_labels(with_label_inputs(weather), balance)
     picked = [c for c in WEATHER_COLUMNS if c in labelled.columns]
-    cells = satellite.groupBy("cell_id").agg(F.min(F.struct("centroid_lon", "centroid_lat")).alias("c")).select(
-        "cell_id", F.col("c.centroid_lon").alias("centroid_lon"), F.col("c.centroid_lat").alias("centroid_lat")
-    )
+    # A cell's centroid is the same on every row.
+    cells = satellite.groupBy("cell_id").agg(*[F.min(c).alias(c) for c in ("centroid_lon", "centroid_lat")])
     points = weather.select("weather_point_id", "latitude", "longitude").distinct()
     mapped = satellite.join(nearest_points(cells, points), "cell_id", "left")
     joined = mapped.join(labelled.select("weather_point_id", "date", *picked), ["weather_point_id", "date"])

@@ -35,6 +35,7 @@ FEATURE_NAMES = {
     "temp_8day_max": "Maximum temperature, 8 days",
     "et0_8day_sum": "Evaporative demand, 8 days", "et0_16day_sum": "Evaporative demand, 16 days",
 }
+MAX_CLASSES = 1000
 MODELS = ("forest", "boosted_deep", "boosted_light")  # priority order: the baseline first
 
 
@@ -52,7 +53,13 @@ def with_vector(df: DataFrame, features: Sequence[str], output: str = "features"
 
 
 def with_weights(df: DataFrame, label: str, output: str = "class_weight") -> DataFrame:
-    return df.join(class_weights(df, label).select(label, F.col("weight").alias(output)), label)
+    """Balanced class weight per row. Up to ``MAX_CLASSES`` weights become a constant map, so no row is shuffled by class."""
+    weights = class_weights(df, label).select(label, "weight")
+    listed = weights.limit(MAX_CLASSES + 1).collect()
+    if not listed or len(listed) > MAX_CLASSES:
+        return df.join(weights.withColumnRenamed("weight", output), label)
+    by_class = F.create_map(*[F.lit(v) for row in listed for v in (row[label], row["weight"])])
+    return df.withColumn(output, F.try_element_at(by_class, F.col(label)))
 
 
 def estimator(name: str, settings: Training = Training(), *, label: str = "label", weight: str = "class_weight"):
@@ -163,11 +170,12 @@ def impacts(model, df: DataFrame, key: Sequence[str], features: Sequence[str], m
 def top_drivers(impact: DataFrame, key: Sequence[str], top_k: int = 4) -> DataFrame:
     """The ``top_k`` inputs by absolute impact per row, with their share of all impact and direction.
 
-    A row's group holds one entry per model input, so its size is fixed.
+    ``key`` identifies a row, so a group holds one entry per model input. Grouping by the key alone reuses a
+    partitioning by key where there is one.
     """
     labels = F.create_map(*[F.lit(v) for pair in FEATURE_NAMES.items() for v in pair])
     entry = F.struct(-F.abs("impact"), F.col("feature"), F.col("value"), F.col("impact"))
-    grouped = impact.groupBy(*key, "class").agg(F.sum(F.abs("impact")).alias("_all"), F.array_sort(F.collect_list(entry)).alias("_e"))
+    grouped = impact.groupBy(*key).agg(F.max("class").alias("class"), F.sum(F.abs("impact")).alias("_all"), F.array_sort(F.collect_list(entry)).alias("_e"))
     rows = grouped.select(*key, "class", "_all", F.posexplode(F.slice("_e", 1, top_k)).alias("_at", "e"))
     rises = F.col("e.impact") > 0
     return rows.select(

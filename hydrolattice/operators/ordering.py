@@ -167,7 +167,7 @@ def smallest_draws(df: DataFrame, key: Sequence[str], wanted: Column | int, draw
     )
     target = wanted if isinstance(wanted, Column) else F.lit(wanted)
     room = placed.select("_bin", (target - (F.col("_upto") - F.col("_n"))).alias("_room"), "_n")
-    marked = drawn.join(room.withColumnRenamed("_bin", "_b"), F.col("_bin") == F.col("_b")).drop("_b")
+    marked = drawn.join(F.broadcast(room), "_bin")  # ``bins`` rows at most
     partly = (F.col("_room") > 0) & (F.col("_room") < F.col("_n"))
     clear = marked.filter(~partly).withColumn("chosen", F.col("_room") > 0)
     inside = Window.partitionBy("_bin").orderBy("_draw", *key)

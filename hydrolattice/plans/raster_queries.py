@@ -17,7 +17,7 @@ PIXEL, CELL, WIDTH = 10.0, 75.0, 200
 
 
 def line_pixels(t: Tables) -> DataFrame:
-    """One pixel per (scene, part position, supplier position), means where line items share it."""
+    """One pixel per (scene, part position, supplier position), whole digital numbers, the highest where line items share it."""
     lines = t.lineitem.withColumns({
         "scene_id": F.date_format("l_shipdate", "yyyy-MM"), "row": (F.col("l_partkey") % WIDTH).cast("int"), "col": (F.col("l_suppkey") % WIDTH).cast("int"),
     })
@@ -26,7 +26,7 @@ def line_pixels(t: Tables) -> DataFrame:
         "b08": F.col("l_quantity") * 80, "b11": F.col("l_extendedprice") / 40, "b12": F.col("l_extendedprice") / 50,
     }
     pixels = lines.withColumns(raw).groupBy("scene_id", "row", "col").agg(
-        *[F.round(F.avg(b), 3).alias(b) for b in raw], F.max("l_linenumber").alias("scl")
+        *[F.round(F.max(b)).alias(b) for b in raw], F.max("l_linenumber").alias("scl")
     )
     return raster.with_indices(pixels.withColumn("date", F.to_date(F.concat("scene_id", F.lit("-01")))), offset=-1000.0)
 
@@ -34,8 +34,8 @@ def line_pixels(t: Tables) -> DataFrame:
 PIXELS_SQL = """
 raw AS (
   SELECT strftime(l_shipdate, '%Y-%m') AS scene_id, (l_partkey % 200)::INTEGER AS "row", (l_suppkey % 200)::INTEGER AS col,
-    round(avg(l_tax * 20000 + 900), 3) AS b02, round(avg(l_tax * 30000 + 900), 3) AS b03, round(avg(l_discount * 25000 + 800), 3) AS b04,
-    round(avg(l_quantity * 80), 3) AS b08, round(avg(l_extendedprice / 40), 3) AS b11, round(avg(l_extendedprice / 50), 3) AS b12, max(l_linenumber) AS scl
+    round(max(l_tax * 20000 + 900)) AS b02, round(max(l_tax * 30000 + 900)) AS b03, round(max(l_discount * 25000 + 800)) AS b04,
+    round(max(l_quantity * 80)) AS b08, round(max(l_extendedprice / 40)) AS b11, round(max(l_extendedprice / 50)) AS b12, max(l_linenumber) AS scl
   FROM lineitem GROUP BY 1, 2, 3),
 band AS (
   SELECT scene_id, "row", col, scl IN (4, 5, 6, 7) AS clear, greatest(b02 - 1000, 0) AS b02, greatest(b03 - 1000, 0) AS b03, greatest(b04 - 1000, 0) AS b04,
@@ -78,12 +78,12 @@ def zonal_stats(t: Tables) -> DataFrame:
     return line_zonal(t)
 
 
-@query(f"""WITH {ZONAL_SQL} SELECT ix, iy, left(scene_id, 4) AS period, round(avg(ndvi_mean), 6) AS ndvi_mean, round(avg(b08_mean), 6) AS b08_mean,
-  round(avg(valid_pixel_pct), 6) AS valid_pixel_pct, min(scene_id) AS scene_id FROM zonal GROUP BY 1, 2, 3""")
+@query(f"""WITH {ZONAL_SQL} SELECT ix, iy, left(scene_id, 4) AS period, round(avg(ndvi_mean), 9) AS ndvi_mean, round(avg(b08_mean), 9) AS b08_mean,
+  round(avg(valid_pixel_pct), 9) AS valid_pixel_pct, min(scene_id) AS scene_id FROM zonal GROUP BY 1, 2, 3""")
 def overlap_mean(t: Tables) -> DataFrame:
     features = line_zonal(t).select("ix", "iy", F.substring("scene_id", 1, 4).alias("period"), "scene_id", "ndvi_mean", "b08_mean", "valid_pixel_pct")
     merged = raster.merge_overlaps(features, keys=("ix", "iy", "period"))
-    return merged.withColumns({c: F.round(c, 6) for c in ("ndvi_mean", "b08_mean", "valid_pixel_pct")})
+    return merged.withColumns({c: F.round(c, 9) for c in ("ndvi_mean", "b08_mean", "valid_pixel_pct")})
 
 
 def part_raster(t: Tables) -> DataFrame:
@@ -182,10 +182,10 @@ cells AS (
 kept AS (
   SELECT * FROM cells WHERE greatest(minx - x, x - minx - 100, 0) / a + greatest(miny - y, y - miny - 100, 0) / b <= 1)
 SELECT area_id, 'CELL_' || lpad((row_number() OVER (PARTITION BY area_id ORDER BY ix, iy))::VARCHAR, 4, '0') AS cell_id, ix, iy,
-  round(minx, 3) AS minx, round(miny, 3) AS miny FROM kept""")
+  round(minx, 6) AS minx, round(miny, 6) AS miny FROM kept""")
 def grid_cells(t: Tables) -> DataFrame:
     cells = grid.spatial_grid(supplier_areas(t), cell_size=100.0, central_meridian=None)
-    return cells.select("area_id", "cell_id", "ix", "iy", F.round("minx", 3).alias("minx"), F.round("miny", 3).alias("miny"))
+    return cells.select("area_id", "cell_id", "ix", "iy", F.round("minx", 6).alias("minx"), F.round("miny", 6).alias("miny"))
 
 
 def _segment_sql(x1: str, y1: str, x2: str, y2: str) -> str:

@@ -195,6 +195,11 @@ def drift_simulated(t: Tables) -> DataFrame:
     return _drift(t, True)
 
 
+@query(f"WITH {drift_sql(_SHIFTED)} SELECT feature, score FROM scored WHERE drift ORDER BY score DESC, feature")
+def drift_ranked(t: Tables) -> DataFrame:
+    return drift.drifted_by_score(_drift(t, True)).select("feature", "score")
+
+
 @query(f"WITH {drift_sql(_SHIFTED)} SELECT feature, reference_rows, current_rows, round(ks, 6) AS ks FROM distance")
 def drift_ks(t: Tables) -> DataFrame:
     past, later = _sides(t)

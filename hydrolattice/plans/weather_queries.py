@@ -25,7 +25,7 @@ def daily_readings(t: Tables) -> DataFrame:
         return F.coalesce(F.sum(F.when(F.col("event_type") == kind, F.col("value"))), F.lit(0.0))
 
     return t.events.groupBy(F.col("user_id").alias("weather_point_id"), F.to_date("ts").alias("date")).agg(
-        of("purchase").alias("rainfall_mm"), of("click").alias("et0_mm"), F.avg("value").alias("temp_mean_c"), F.max("value").alias("temp_max_c")
+        of("purchase").alias("rainfall_mm"), of("click").alias("et0_mm"), (F.avg("value") / 1.037).alias("temp_mean_c"), F.max("value").alias("temp_max_c")
     )
 
 
@@ -38,7 +38,7 @@ daily AS (
   SELECT user_id AS weather_point_id, CAST(ts AS DATE) AS date,
          coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0::DOUBLE) AS rainfall_mm,
          coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0::DOUBLE) AS et0_mm,
-         avg(value) AS temp_mean_c, max(value) AS temp_max_c
+         avg(value) / 1.037::DOUBLE AS temp_mean_c, max(value) AS temp_max_c
   FROM events GROUP BY 1, 2)"""
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from hydrolattice.operators import grid
 from hydrolattice.plans.stages import Stages
 from hydrolattice.settings import DEFAULTS, Quality, Training
-from hydrolattice.sources import areas, schemas, tables, weather_payloads
+from hydrolattice.sources import areas, catalogue, schemas, tables, weather_payloads
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +65,12 @@ def test_forecasts_replace_their_issue_date(spark, tmp_path):
     assert {r["forecast_issued_on"].day: r["count"] for r in spark.read.parquet(path).groupBy("forecast_issued_on").count().collect()} == {1: 3, 2: 4}
 
 
+def test_path_columns(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "2024-01-05_S9"))
+    row = catalogue.with_path_columns(spark.read.parquet(str(tmp_path / "2024-01-05_S9"))).first()
+    assert (row["date"], row["scene_id"]) == (date(2024, 1, 5), "S9")
+
+
 def test_partition_filter_reaches_the_scan(spark, tmp_path):
     df = spark.range(100).select(F.date_add(F.lit(date(2024, 1, 1)), (F.col("id") % 5).cast("int")).alias("date"), "id")
     tables.write_parquet(df, str(tmp_path / "t"), ["date"])
