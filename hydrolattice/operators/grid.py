@@ -10,6 +10,7 @@ from ..functions.geodesy import from_utm, to_utm
 from ..functions.geometry import box_meets_shape, contains_point, edge_distance, edges_between
 from ..functions.numeric import as_col, round_even
 from .ordering import ranked
+from .partitioning import spread
 
 
 def projected_rings(areas: DataFrame, rings: str = "rings", central_meridian: float = 75.0) -> DataFrame:
@@ -32,12 +33,6 @@ def with_bounds(areas: DataFrame, edges: str = "edges") -> DataFrame:
     })
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all shuffle partitions. The number is explicit, because each small row grows a lot
-    afterwards and adaptive coalescing would judge it by its size now."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def spatial_grid(
     areas: DataFrame,
     *,
@@ -63,7 +58,7 @@ def spatial_grid(
         "ix", F.explode(F.sequence(F.lit(0).cast("long"), count_along("minx", "maxx") - 1))
     )
     left = F.col("minx") + F.col("ix") * size
-    columns = _spread(columns.withColumn("edges", edges_between("edges", "x", left, left + size)), area_id, "ix")
+    columns = spread(columns.withColumn("edges", edges_between("edges", "x", left, left + size)), area_id, "ix")
     cells = columns.withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), count_along("miny", "maxy") - 1)))
     x, y = F.col("minx") + F.col("ix") * size, F.col("miny") + F.col("iy") * size
     kept = cells.filter(box_meets_shape("edges", x, y, x + size, y + size)).select(
@@ -105,7 +100,7 @@ def weather_lattice(
     boxed = with_bounds(areas.select(area_id, F.col(edges).alias("edges")))
     rows = boxed.withColumn("_row", F.explode(along("miny", "maxy")))
     lon, lat = F.col("_col") * step, F.col("_row") * step
-    rows = _spread(rows.withColumn("edges", edges_between("edges", "y", lat - step / 2, lat + step / 2)), area_id, "_row")
+    rows = spread(rows.withColumn("edges", edges_between("edges", "y", lat - step / 2, lat + step / 2)), area_id, "_row")
     places = rows.withColumn("_col", F.explode(along("minx", "maxx")))
     near = contains_point("edges", lon, lat) | F.coalesce(edge_distance("edges", lon, lat) < step / 2, F.lit(False))
     kept = places.filter(near).select(area_id, "_row", "_col", lon.alias("_lon"), lat.alias("_lat"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import advice
 from ..functions.numeric import round_even, share
 from ..settings import CLASS_LABELS, REQUEST_DEFAULTS, Training
+from .partitioning import fill_cores, spread
 from .sampling import fixed_sample, group_holdout, temporal_split
 from .scores import class_scores, class_weights, macro_auc, roc_auc
 
@@ -80,7 +81,7 @@ def estimator(name: str, settings: Training = Training(), *, label: str = "label
 
 def train(df: DataFrame, name: str, features: Sequence[str], target: str, settings: Training = Training()):
     """Fit one model on rows that have a target."""
-    rows = df.filter(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias("label"))
+    rows = fill_cores(df.filter(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias("label")))
     return estimator(name, settings).fit(with_vector(with_weights(fill_inputs(rows, features), "label"), features))
 
 
@@ -149,10 +150,11 @@ def feature_means(df: DataFrame, features: Sequence[str]) -> list[float]:
 def impacts(model, df: DataFrame, key: Sequence[str], features: Sequence[str], means: Sequence[float], target_class: int | None = None) -> DataFrame:
     """(key, feature, value, impact): how much the class probability falls when one input is set to its mean.
 
-    Every row becomes one variant per feature, and all variants are scored in one pass. ``target_class``
-    defaults to the row's predicted class.
+    Every row becomes one variant per feature, and all variants are scored in one pass. Rows are hashed by key
+    before they multiply, so gathering a row's variants again needs no shuffle. ``target_class`` defaults to the
+    row's predicted class.
     """
-    base = with_probabilities(model, with_vector(fill_inputs(df, features), features))
+    base = with_probabilities(model, with_vector(spread(fill_inputs(df, features).select(*dict.fromkeys([*key, *features])), *key), features))
     aim = best_class() if target_class is None else F.lit(target_class)
     row = base.select(*key, F.array(*features).alias("_x"), aim.alias("class"), _probability(aim).alias("_p"))
     typical = F.array(*[F.lit(float(m)) for m in means])
