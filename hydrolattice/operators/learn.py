@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import advice
 from ..functions.numeric import round_even, share
-from ..settings import CLASS_LABELS, REQUEST_DEFAULTS, Training
-from .partitioning import fill_cores, spread
+from ..settings import CLASS_LABELS, FORM_DEFAULTS, FORM_RANGES, REQUEST_DEFAULTS, Training
+from .partitioning import spread
 from .sampling import fixed_sample, group_holdout, temporal_split
 from .scores import class_scores, class_weights, macro_auc, roc_auc
 
@@ -80,8 +80,8 @@ def estimator(name: str, settings: Training = Training(), *, label: str = "label
 
 
 def train(df: DataFrame, name: str, features: Sequence[str], target: str, settings: Training = Training()):
-    """Fit one model on rows that have a target."""
-    rows = fill_cores(df.filter(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias("label")))
+    """Fit one model on rows that have a target. They are dealt out evenly once, as fitting passes over them many times."""
+    rows = spread(df.filter(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias("label")))
     return estimator(name, settings).fit(with_vector(with_weights(fill_inputs(rows, features), "label"), features))
 
 
@@ -112,25 +112,38 @@ def _probability(code: Column) -> Column:
     return F.coalesce(F.get("probabilities", code), F.lit(0.0))
 
 
-def score(model, df: DataFrame, features: Sequence[str], *, keep_probabilities: bool = False) -> DataFrame:
+def score(model, df: DataFrame, features: Sequence[str], *, keep_probabilities: bool = False, digits: int = 3) -> DataFrame:
     """Stress code, confidence and irrigation priority per row."""
     vectors = with_vector(fill_inputs(df, features), features)
     out = with_probabilities(model, vectors).withColumns({
-        "stress_code": best_class(), "confidence": round_even(F.array_max("probabilities"), 3),
+        "stress_code": best_class(), "confidence": round_even(F.array_max("probabilities"), digits),
     })
     if {"ndwi_mean", "temp_max_c", "et0_8day_sum", "rainfall_8day"} <= set(out.columns):
         out = out.withColumn("priority", advice.priority(advice.rule("stress_code", "ndwi_mean", "temp_max_c", "et0_8day_sum", "rainfall_8day")))
     return out.drop("features") if keep_probabilities else out.drop("features", "probabilities")
 
 
+def request_form(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted requests with the form's defaults filled in, and the rejected ones as they came."""
+    outside = F.lit(False)
+    for c, (low, high) in FORM_RANGES.items():
+        if c in requests.columns:
+            outside = outside | F.coalesce((F.col(c) < low) | (F.col(c) > high), F.lit(False))
+    return fill_inputs(requests.filter(~outside), list(FORM_DEFAULTS), FORM_DEFAULTS), requests.filter(outside)
+
+
 def what_if(model, requests: DataFrame, features: Sequence[str], language: str | Column = "en") -> DataFrame:
-    """Score a table of scenarios and attach localised advice; absent inputs take their defaults."""
+    """Score a table of scenarios and attach localised advice; absent inputs take their defaults.
+
+    Adds class code, confidence and labelled probabilities to four digits, and the advisory.
+    """
     # Advice reads its own copies of four inputs, because the model fills absent inputs with zero.
     given = {c: F.col(c) if c in requests.columns else F.lit(None).cast("double") for c in REQUEST_DEFAULTS}
     copies = requests.withColumns({f"_{c}": F.coalesce(v.cast("double"), F.lit(REQUEST_DEFAULTS[c])) for c, v in given.items()})
-    scored = score(model, copies, features, keep_probabilities=True)
+    scored = score(model, copies, features, keep_probabilities=True, digits=4)
+    by_label = F.create_map(*[v for i, name in enumerate(CLASS_LABELS) for v in (F.lit(name), round_even(_probability(F.lit(i)), 4))])
     told = advice.advisory_in(language, "stress_code", "confidence", *[f"_{c}" for c in ("ndwi_mean", "temp_max_c", "et0_8day_sum", "rainfall_8day")])
-    return scored.withColumn("advisory", told).drop(*[f"_{c}" for c in REQUEST_DEFAULTS])
+    return scored.withColumns({"advisory": told, "class_probabilities": by_label}).drop(*[f"_{c}" for c in REQUEST_DEFAULTS])
 
 
 def importances(model: RandomForestClassificationModel, features: Sequence[str], spark) -> DataFrame:

@@ -6,15 +6,8 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all shuffle partitions. The number is explicit, because adaptive coalescing would judge
-    the rows by their size before the costly step."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
+    """Hash rows over all shuffle partitions, or deal them out evenly without keys.
 
-def fill_cores(df: DataFrame) -> DataFrame:
-    """Spread an input that has fewer partitions than the session has cores, for work that passes over it many times.
-
-    An input with enough partitions, as any large one, is left as it is.
+    The number is explicit, because adaptive coalescing would judge the rows by their size before the costly step.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

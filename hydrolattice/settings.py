@@ -54,6 +54,16 @@ SCENARIO_SHIFT = {
 # Values a what-if request gets for inputs it leaves out.
 REQUEST_DEFAULTS = {"ndwi_mean": 0.05, "temp_max_c": 32.0, "et0_8day_sum": 35.0, "rainfall_8day": 0.0}
 
+# Values of a request form for fields left out, and the accepted ranges.
+FORM_DEFAULTS = {
+    "ndvi_mean": 0.28, "ndwi_mean": 0.04, "evi_mean": 0.22, "temp_max_c": 34.0, "temp_mean_c": 28.0,
+    "rainfall_8day": 0.0, "rainfall_16day": 0.0, "humidity_pct": 42.0, "solar_radiation_mj": 22.0, "et0_8day_sum": 38.0,
+}
+FORM_RANGES = {
+    "ndvi_mean": (-1.0, 1.0), "ndwi_mean": (-1.0, 1.0), "temp_max_c": (0.0, 55.0), "humidity_pct": (0.0, 100.0),
+    "rainfall_8day": (0.0, float("inf")),
+}
+
 
 @dataclass(frozen=True)
 class WaterBalance:

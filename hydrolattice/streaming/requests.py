@@ -15,13 +15,16 @@ from ..functions.numeric import round_even, share
 
 WATERMARK = "10 minutes"
 
-# Upper bounds of the latency buckets, in milliseconds.
+# Upper bounds of the request and inference latency buckets, in milliseconds.
+INFERENCE_BOUNDS_MS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0)
 LATENCY_BOUNDS_MS = (5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 250.0, 500.0, 750.0, 1000.0, 2500.0, 5000.0, 7500.0, 10000.0)
 
 
-def request_log(df: DataFrame, ts: str = "ts", watermark: str = WATERMARK) -> DataFrame:
-    """Event time as TIMESTAMP, with a watermark when the log is a stream."""
+def request_log(df: DataFrame, ts: str = "ts", watermark: str = WATERMARK, *, route: str = "route", hidden: Sequence[str] = ()) -> DataFrame:
+    """Event time as TIMESTAMP, with a watermark when the log is a stream. ``hidden`` routes, such as the metrics scrape, are left out."""
     log = df.withColumn(ts, F.col(ts).cast("timestamp"))
+    if hidden:
+        log = log.filter(~F.coalesce(F.col(route).isin(*hidden), F.lit(False)))
     return log.withWatermark(ts, watermark) if df.isStreaming else log
 
 

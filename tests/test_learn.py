@@ -46,6 +46,18 @@ def test_advice_defaults_fill_missing_inputs(spark, forest):
     assert "32.0" in told[1]["recommendation"] and told[1]["priority"] == 1  # et0 default reaches the limit
 
 
+def test_form_defaults_and_ranges(spark, forest):
+    asked = spark.createDataFrame([(1, -0.25, None), (2, -2.0, 30.0), (3, 0.25, 60.0)], "k int, ndwi_mean double, temp_max_c double")
+    accepted, rejected = learn.request_form(asked)
+    row = accepted.first()
+    assert accepted.count() == 1 and (row["temp_max_c"], row["et0_8day_sum"], row["ndvi_mean"]) == (34.0, 38.0, 0.28)
+    assert {r["k"] for r in rejected.collect()} == {2, 3}
+    told = learn.what_if(forest, accepted, FEATURES).first()
+    assert set(told["class_probabilities"]) == {"LOW", "MODERATE", "HIGH"}
+    assert sum(told["class_probabilities"].values()) == pytest.approx(1.0, abs=2e-4)
+    assert told["confidence"] == max(told["class_probabilities"].values())
+
+
 def test_boosted_probabilities(rows):
     model = learn.train(rows, "boosted_light", FEATURES, "target_stress_class", SMALL)
     out = learn.score(model, rows, FEATURES, keep_probabilities=True)

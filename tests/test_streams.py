@@ -57,6 +57,12 @@ def test_latency_interpolates_in_its_bucket(spark):
     assert requests.latency_quantile(requests.request_log(spark.createDataFrame(high, LOG)), ["route"], "ms").first()["latency_ms"] == 10000.0
 
 
+def test_hidden_routes_are_left_out(spark):
+    rows = [(datetime(2024, 1, 1), r, 200, 1.0, "LOW") for r in ("/a", "/metrics/prometheus", None)]
+    log = requests.request_log(spark.createDataFrame(rows, LOG), hidden=["/metrics/prometheus"])
+    assert {r["route"] for r in log.collect()} == {"/a", None}
+
+
 SCENE = "scene_id string, acquired timestamp, cloud_cover double, tile string, baseline string"
 
 
