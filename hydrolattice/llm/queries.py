@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import html_extract, piece_coding, quality_rules, token_counts, url_filters
+from . import html_extract, near_dups, piece_coding, quality_rules, token_counts, url_filters
 
 QUERIES: dict[str, Query] = {}
 
@@ -40,6 +40,12 @@ def op3_url_filters(t: Tables) -> DataFrame:
     return url_filters.judge_urls(t.pages, ["page_id"], URL_RULES, url_filters.page_links(t.pages))
 
 
+@query()
+def op4_near_dups(t: Tables) -> DataFrame:
+    found = near_dups.near_duplicates(t.documents, linking=near_dups.Linking(percent=85))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query()
 def op6_quality_rules(t: Tables) -> DataFrame:
     judged = quality_rules.judge(t.documents, ["doc_id"])
