@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import html_extract, near_dups, piece_coding, quality_rules, token_counts, url_filters
+from . import html_extract, near_dups, piece_coding, quality_rules, token_counts, toxicity, url_filters
 
 QUERIES: dict[str, Query] = {}
 
@@ -52,6 +52,13 @@ def op6_quality_rules(t: Tables) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "strict_host")
 
 
+@query()
+def op8_toxicity(t: Tables) -> DataFrame:
+    model = toxicity.learn(t.documents, t.labels, usable=~toxicity.held_out())
+    docs = t.documents.withColumn("held_out", toxicity.held_out())
+    return toxicity.score(docs, ["doc_id", "held_out"], model)
+
+
 @query()
 def op9_html_extract(t: Tables) -> DataFrame:
     return html_extract.main_text(t.pages, ["page_id", "url"], html_extract.learn(t.pages))

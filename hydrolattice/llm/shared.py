@@ -88,5 +88,5 @@ def slices(batch: pa.RecordBatch, column: int, target: int = 4 << 20) -> Iterato
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
-    plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
+    plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64())}
     return plain[kind.simpleString()]
