@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import html_extract, near_dups, piece_coding, quality_rules, token_counts, toxicity, url_filters
+from . import decontamination, html_extract, near_dups, piece_coding, quality_rules, token_counts, toxicity, url_filters
 
 QUERIES: dict[str, Query] = {}
 
@@ -52,6 +52,11 @@ def op6_quality_rules(t: Tables) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "strict_host")
 
 
+@query()
+def op7_decontamination(t: Tables) -> DataFrame:
+    return decontamination.leaks(t.documents, t.benchmark, ["doc_id"])
+
+
 @query()
 def op8_toxicity(t: Tables) -> DataFrame:
     model = toxicity.learn(t.documents, t.labels, usable=~toxicity.held_out())
