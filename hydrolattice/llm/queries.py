@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import decontamination, html_extract, near_dups, piece_coding, quality_rules, token_counts, toxicity, url_filters
+from . import decontamination, html_extract, lm_scoring, near_dups, piece_coding, quality_rules, token_counts, toxicity, url_filters
 
 QUERIES: dict[str, Query] = {}
 
@@ -20,6 +20,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_lm_scoring(t: Tables) -> DataFrame:
+    return lm_scoring.score_texts(t.documents)
+
+
 @query()
 def op2_piece_coding(t: Tables) -> DataFrame:
     coded = piece_coding.encode_decode(t.documents, ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
