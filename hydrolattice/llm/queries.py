@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import decontamination, html_extract, lm_scoring, near_dups, piece_coding, quality_rules, token_counts, toxicity, url_filters
+from . import decontamination, html_extract, lm_scoring, near_dups, piece_coding, quality_rules, site_quality, token_counts, toxicity, url_filters
+from .shared import remainder
 
 QUERIES: dict[str, Query] = {}
 
@@ -51,6 +52,13 @@ def op4_near_dups(t: Tables) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query()
+def op5_site_quality(t: Tables) -> DataFrame:
+    """Documents have no address: their source stands for the host and their language for the path."""
+    found = site_quality.classify(t.documents, t.labels, usable=remainder("doc_id", 5) != 0)
+    return found.withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
 @query()
 def op6_quality_rules(t: Tables) -> DataFrame:
     judged = quality_rules.judge(t.documents, ["doc_id"])
