@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_texts, process_wide, stored
+from .shared import map_texts, marked, process_wide, stored
 from .shingles import MULTIPLIER, WordHashes, common, mixed, shingle_set
 
 STAR_PARTS = 32
@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     stars = stored(banded.join(stored(shared, "buckets"), "bucket").select("bucket", "node", "a"), "stars")
     members = stored(stars.select("node").distinct(), "members")
     wanted = stored(classes.join(members, "node", "left_semi").join(one.select("node", "n_shingles"), "node").select("_key", "_hash", "node", "n_shingles"), "wanted")
-    texts = stored(source.join(wanted, ["_key", "_hash"]).dropDuplicates(["node"]).select("node", "n_shingles", F.col("_text").alias("body")), "texts")
+    likely = marked(source, F.col("_hash"), wanted, F.col("_hash")).where("_maybe")
+    texts = stored(likely.join(wanted, ["_key", "_hash"]).dropDuplicates(["node"]).select("node", "n_shingles", F.col("_text").alias("body")), "texts")
     pairs = stored(stars.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     confirmed = stored(confirm_stars(pairs, texts, linking), "links")
     rest = stored(complete(stars.select("bucket", "node"), stored(components(confirmed), "groups"), texts, linking), "more_links")
@@ -254,7 +255,9 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lin
         found.join(alive.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left").where(F.col(key).isNotNull() & (F.col("_keep").isNull() | (F.col("text_hash") != F.col("_keep"))))
         .select(F.col(key).alias("_k"), F.col("text_hash").alias("_h")).distinct(), "gone",
     )
-    left = hashed.join(gone, (F.col(key) == F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_anti")
+    doubtful = marked(hashed, F.col("_hash"), gone, F.col("_h"))
+    checked = doubtful.where("_maybe").join(gone, (F.col(key) == F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_anti")
+    left = doubtful.where("not _maybe").unionByName(checked).drop("_maybe")
     if alive.where("_n > 1").isEmpty():
         return left.drop("_hash")
     again = alive.where("_n > 1").select(F.col(key).alias("_k"))

@@ -66,6 +66,28 @@ def map_texts(df: DataFrame, text: str, keep: list[str], added: str, build: Call
     return out.select(*[F.col(p).alias(c) for c, p in zip(keep, passed, strict=True)], *names)
 
 
+MAX_WORDS_OF_BITS = 1 << 20
+
+
+def marked(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str = "_maybe") -> DataFrame:
+    """``df`` with a flag that is false only where the 64-bit ``key`` is not among ``wanted``.
+
+    The wanted keys become one bit each in a table of at most MAX_WORDS_OF_BITS words (16 MB), whatever their number, which
+    is broadcast: rows that cannot match need not be shuffled with their texts for a join that they would not survive.
+    """
+    words = min(MAX_WORDS_OF_BITS, max(64, wanted.count()))
+
+    def place(k: Column) -> Column:
+        return F.pmod(k, F.lit(words * 64))
+
+    one = F.lit(1).cast("long")
+    bits = wanted.select(place(wanted_key).alias("_at")).groupBy(F.floor(F.col("_at") / 64).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_at % 64 as int))")).alias("_bits"))
+    placed = df.withColumn("_at", place(key)).withColumn("_word_of", F.floor(F.col("_at") / 64))
+    joined = placed.join(F.broadcast(bits), F.col("_word_of") == F.col("_word"), "left")
+    flag = F.coalesce(F.expr("shiftrightunsigned(_bits, cast(_at % 64 as int))").bitwiseAND(one) == 1, F.lit(False))
+    return joined.withColumn(name, flag).drop("_at", "_word_of", "_word", "_bits")
+
+
 def process_wide(key: str, build: Callable[[], object]):
     """An object that the tasks of one Python worker share, such as a bounded table of words already coded."""
     held = sys.modules.setdefault("_task_state", types.ModuleType("_task_state")).__dict__
