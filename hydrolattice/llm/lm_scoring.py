@@ -75,53 +75,57 @@ def first_guess(shape: Shape) -> States:
 class Batch:
     """Sequences in time order: the symbols at one time step of all texts that are long enough lie side by side."""
 
-    def __init__(self, sequences: list[np.ndarray]):
+    def __init__(self, sequences: list[np.ndarray], kind=np.float64):
+        self.kind = kind
         lengths = np.array([len(s) for s in sequences], np.int64)
         self.order = np.argsort(-lengths, kind="stable")
         ordered = lengths[self.order]
         self.alive = len(ordered) - np.searchsorted(ordered[::-1], np.arange(1, (ordered[0] if len(ordered) else 0) + 1))  # texts at each step
         self.at = np.concatenate([[0], np.cumsum(self.alive)]).astype(np.int64)
-        self.symbols = np.empty(int(lengths.sum()), np.int64)
+        self.symbols = np.empty(int(lengths.sum()), np.int32)
         for rank, i in enumerate(self.order.tolist()):
             self.symbols[self.at[: lengths[i]] + rank] = sequences[i]
 
     def forward(self, states: States, keep: bool = False):
-        """Log likelihood (base e) of each text in the given order; with ``keep`` also scaled states and scales of every step."""
-        weight = states.emit[self.symbols]
-        scale = np.empty(len(self.symbols))
+        """Log likelihood (base e) of each text in the given order; with ``keep`` weights, scaled states and scales of every step instead."""
+        weight, step, start = states.emit.astype(self.kind)[self.symbols], states.step.astype(self.kind), states.start.astype(self.kind)
+        scale = np.empty(len(self.symbols), self.kind)
         held = np.empty_like(weight) if keep else None
         now = None
         for t, n in enumerate(self.alive.tolist()):
             a, b = self.at[t], self.at[t + 1]
-            now = weight[a:b] * (states.start if now is None else now[:n] @ states.step)
+            now = weight[a:b] * (start if now is None else now[:n] @ step)
             total = now.sum(1)
             now /= total[:, None]
             scale[a:b] = total
             if keep:
                 held[a:b] = now
-        logs = np.log(scale)
+        logs = np.log(scale) if not keep else scale
+        if keep:
+            return weight, held, scale
         result = np.zeros(len(self.order))
         for t, n in enumerate(self.alive.tolist()):
             result[:n] += logs[self.at[t] : self.at[t + 1]]
         out = np.empty_like(result)
         out[self.order] = result
-        return (out, weight, held, scale) if keep else out
+        return out
 
     def expected(self, states: States) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts: starts, transitions, and classes by state."""
-        _, weight, held, scale = self.forward(states, keep=True)
-        steps = np.zeros_like(states.step)
-        after = np.ones((0, len(states.start)))
+        weight, held, scale = self.forward(states, keep=True)
+        steps, turned, width = np.zeros_like(states.step), np.ascontiguousarray(states.step.T.astype(self.kind)), len(states.start)
+        weight /= scale[:, None]
+        after = np.ones((0, width), self.kind)
         for t in range(len(self.alive) - 1, -1, -1):
             a, b = self.at[t], self.at[t + 1]
             if t + 1 < len(self.alive):
                 n, c, d = self.alive[t + 1], self.at[t + 1], self.at[t + 2]
-                pulled = weight[c:d] * after / scale[c:d, None]
+                pulled = weight[c:d] * after
                 steps += held[a : a + n].T @ pulled
-                back = np.ones((b - a, len(states.start)))
-                back[:n] = pulled @ states.step.T
+                back = np.ones((b - a, width), self.kind)
+                back[:n] = pulled @ turned
             else:
-                back = np.ones((b - a, len(states.start)))
+                back = np.ones((b - a, width), self.kind)
             after = back
             held[a:b] *= back  # from here on the share of each state
         classes = np.stack([np.bincount(self.symbols, held[:, k], len(states.emit)) for k in range(held.shape[1])], 1)
@@ -129,9 +133,26 @@ class Batch:
         return starts, steps * states.step, classes
 
 
+def batches_of(sequences: list[np.ndarray], kind=np.float64, tokens: int = 400_000) -> Iterator[tuple[list[int], Batch]]:
+    """Sequences of like length together, about ``tokens`` at a time, each batch with the places of its sequences. A batch
+    takes as many steps as its longest sequence has tokens, so long texts do not make short ones wait."""
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    some, held = [], 0
+    for i in order:
+        some.append(i)
+        held += len(sequences[i])
+        if held >= tokens:
+            yield some, Batch([sequences[k] for k in some], kind)
+            some, held = [], 0
+    if some:
+        yield some, Batch([sequences[k] for k in some], kind)
+
+
 def symbols_of(words: list[bytes], classes: Classes, end: int) -> np.ndarray:
-    out = np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
-    return np.append(out, end)
+    out = np.empty(len(words) + 1, np.int16)
+    out[:-1] = np.fromiter(map(classes.__getitem__, words), np.int16, len(words))
+    out[-1] = end
+    return out
 
 
 def train_states(texts: DataFrame, shape: Shape, part) -> States:
@@ -146,10 +167,11 @@ def train_states(texts: DataFrame, shape: Shape, part) -> States:
             classes = process_wide(f"classes {shape.classes}", lambda: Classes(shape.classes))
             total = None
             for batch in batches:
-                for piece in slices(batch, 0):
-                    counts = Batch([symbols_of(words_of(t), classes, size - 1) for t in piece.column(0).to_pylist()]).expected(states)
-                    flat = np.concatenate([c.ravel() for c in counts])
-                    total = flat if total is None else total + flat
+                for piece in slices(batch, 0, 12 << 20):
+                    sequences = [symbols_of(words_of(t), classes, size - 1) for t in piece.column(0).to_pylist()]
+                    for _, some in batches_of(sequences, np.float32):
+                        flat = np.concatenate([c.ravel() for c in some.expected(states)])
+                        total = flat if total is None else total + flat
             if total is not None:
                 some = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["place", "n"])
@@ -258,18 +280,20 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fol
     unit = math.log10(corpus.tokens + corpus.distinct + 1)
 
     def score(group: pa.Table, dictionary: pa.Table) -> pa.Table:
-        words = dictionary.column("word").to_pylist()
+        words, c = dictionary.column("word").to_pylist(), dictionary.column("c").to_numpy()
         number = dict(zip(words, range(len(words)), strict=True))
+        del dictionary
         classes = Classes(shape.classes)
         kind = np.fromiter((classes.__missing__(w) for w in words), np.int64, len(words))
-        c = dictionary.column("c").to_numpy()
         within, base = corpus.word_logs(c, kind), np.log10(c + 1.0) - unit
         end_base = math.log10(corpus.texts + 1) - unit
         out = []
         for batch in group.combine_chunks().to_batches():
-            for piece in slices(batch, batch.schema.get_field_index("_text")):
+            for piece in slices(batch, batch.schema.get_field_index("_text"), 12 << 20):
                 at = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in map(words_of, piece.column("_text").to_pylist())]
-                likelihood = Batch([np.append(kind[a], shape.classes) for a in at]).forward(states) / math.log(10)
+                likelihood = np.zeros(len(at))
+                for places, some in batches_of([np.append(kind[a], shape.classes) for a in at]):
+                    likelihood[places] = some.forward(states) / math.log(10)
                 out.append(pa.table({
                     "_key": piece.column("_key"), "_held": piece.column("_held"),
                     "n_tokens": pa.array([len(a) + 1 for a in at], pa.int64()),
