@@ -116,7 +116,8 @@ def observe(page: str, counts: Counter, longest: Counter) -> None:
         inside = t.in_content and not t.aside
         if t.name:
             border = t.name in ("article", "main")
-            counts[("t", t.key, inside and not border)] += 1
+            if not t.aside:  # tags inside a side part say nothing about its surroundings
+                counts[("t", t.key, inside and not border)] += 1
         else:
             n = len(t.text.split())
             counts[("w", t.holder, inside)] += n

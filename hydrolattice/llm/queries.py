@@ -12,6 +12,20 @@ from .shared import remainder
 
 QUERIES: dict[str, Query] = {}
 
+_SPACE = r"\x20\x09-\x0D"
+_WORD = f"[^{_SPACE}]+"
+
+
+def _lower(expression: str) -> str:
+    return f"translate({expression}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _reach_sql(edges: str) -> str:
+    """CTEs that end in ``reach`` (node, component): the smallest node that each end of ``edges`` (a, b) reaches."""
+    return f"""both_ways AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}),
+walk AS (SELECT DISTINCT a AS node, a AS seen FROM both_ways UNION SELECT walk.node, both_ways.b FROM walk JOIN both_ways ON both_ways.a = walk.seen),
+reach AS (SELECT node, min(seen) AS component FROM walk GROUP BY 1)"""
+
 
 def query(sql: str | None = None):
     def register(build):
@@ -41,12 +55,56 @@ URL_RULES = [
 ]
 
 
-@query()
+def _fits_sql(host: str, path: str) -> str:
+    return " ".join(
+        f"WHEN ({host} = '{u.host}' OR ends_with({host}, '.{u.host}')) AND starts_with({path}, '{u.path}') THEN '{u.text}'"
+        for u in sorted(URL_RULES, key=lambda u: (-len(u.text), u.verdict != "allow", u.text))
+    )
+
+
+def _address_sql(url: str) -> str:
+    host, rest = _lower(f"regexp_extract({url}, '://([^/?#]*)', 1)"), f"regexp_extract({url}, '://[^/?#]*([^#]*)', 1)"
+    return f"CASE WHEN contains({url}, '://') THEN {host} || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END END"
+
+
+_VERDICTS = " ".join(f"WHEN '{u.text}' THEN '{u.verdict}'" for u in URL_RULES)
+_LINK = r"""(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)"""
+_REFRESH = r"""(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)"""
+_HREF, _TO = r"""(?i)\bhref\s*=\s*["'']?([^"''\s>]+)""", r"""(?i)\burl\s*=\s*[''"]?([^"''\s>;]+)"""
+URL_SQL = f"""WITH RECURSIVE found AS (SELECT url AS source, unnest([
+    trim(regexp_extract(regexp_extract(coalesce(html, ''), '{_LINK}', 1), '{_HREF}', 1)),
+    trim(regexp_extract(regexp_extract(coalesce(html, ''), '{_REFRESH}', 1), '{_TO}', 1))]) AS target FROM pages WHERE url IS NOT NULL),
+link AS (SELECT source, replace(target, '&amp;', '&') AS t FROM found WHERE target <> ''),
+target AS (SELECT source, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(source, '^([^:]*:)', 1) || t
+  WHEN starts_with(t, '/') THEN regexp_extract(source, '^([^:]*://[^/?#]*)', 1) || t ELSE regexp_extract(source, '^([^:]*://[^?#]*/)', 1) || t END AS t FROM link),
+edge AS (SELECT * FROM (SELECT {_address_sql("source")} AS a, {_address_sql("t")} AS b FROM target) WHERE a <> b),
+{_reach_sql("edge")},
+ruled AS (SELECT node, component, CASE {_fits_sql("split_part(node, '/', 1)", "regexp_extract(node, '^[^/?#]*([^?#]*)', 1)")} END AS rule FROM reach),
+blocked AS (SELECT component FROM ruled GROUP BY 1 HAVING bool_or(rule IN ('net/', 'example.com/de/')) AND NOT coalesce(bool_or(rule IN ('example.net/en/', 'org/fr/')), false)),
+page AS (SELECT page_id, {_address_sql("url")} AS spot, coalesce({_lower("regexp_extract(url, '://([^/?#]*)', 1)")}, '') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+judged AS (SELECT *, CASE {_fits_sql("host", "path")} END AS rule FROM page)
+SELECT page_id, host, path, rule, coalesce(CASE rule {_VERDICTS} END,
+  CASE WHEN spot IN (SELECT node FROM reach WHERE component IN (SELECT component FROM blocked)) THEN 'block' END, 'allow') AS verdict FROM judged"""
+
+
+@query(URL_SQL)
 def op3_url_filters(t: Tables) -> DataFrame:
     return url_filters.judge_urls(t.pages, ["page_id"], URL_RULES, url_filters.page_links(t.pages))
 
 
-@query()
+NEAR_SQL = f"""WITH RECURSIVE doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
+shingle AS (SELECT DISTINCT rid, doc_id, array_to_string(w[i : least(i + 4, len(w))], ' ') AS s FROM (
+  SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 4, CASE WHEN len(w) > 0 THEN 1 ELSE 0 END) + 1)) AS i FROM doc)),
+size AS (SELECT rid, any_value(doc_id) AS doc_id, count(*) AS n FROM shingle GROUP BY 1),
+pair AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM shingle x JOIN shingle y ON x.s = y.s AND x.rid < y.rid GROUP BY 1, 2),
+edge AS (SELECT p.doc_id AS a, q.doc_id AS b FROM pair JOIN size p ON p.rid = a JOIN size q ON q.rid = b WHERE 100 * c >= 85 * (p.n + q.n - c)),
+{_reach_sql("edge")}
+SELECT doc.doc_id, coalesce(size.n, 0) AS n_shingles, coalesce(component, doc.doc_id) AS component_id, coalesce(component, doc.doc_id) = doc.doc_id AS kept
+FROM doc LEFT JOIN size USING (rid) LEFT JOIN reach ON reach.node = doc.doc_id"""
+
+
+@query(NEAR_SQL)
 def op4_near_dups(t: Tables) -> DataFrame:
     found = near_dups.near_duplicates(t.documents, linking=near_dups.Linking(percent=85))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -59,7 +117,27 @@ def op5_site_quality(t: Tables) -> DataFrame:
     return found.withColumn("held_out", remainder("doc_id", 5) == 0)
 
 
-@query()
+QUALITY_SQL = f"""WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+  regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^{_SPACE}]')) AS lines FROM documents),
+word AS (SELECT rid, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM doc),
+three AS (SELECT rid, i, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM word WINDOW o AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM three WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1),
+repeated AS (SELECT rid, count(DISTINCT spot) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS spot FROM twice) GROUP BY 1),
+fact AS (SELECT rid, doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM doc LEFT JOIN repeated USING (rid)),
+rule AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM fact),
+always AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines AS failed FROM rule),
+checked AS (SELECT *, failed OR 100 * n_repeat_words > 20 * n_words OR 100 * n_dup_lines > 10 * n_lines AS strictly FROM always),
+h AS (SELECT host, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE strictly))::DOUBLE AS k FROM checked GROUP BY 1),
+m AS (SELECT sum(n) AS n, count(*) AS g, sum(n * n) AS nn, sum(k * k / n) AS kk, least(greatest(sum(k) / sum(n), 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS mean FROM h),
+s AS (SELECT mean, (kk - n * mean * mean) / (mean * (1 - mean)) - (g - 1) AS spread, n - nn / n - (g - 1) AS room FROM m),
+prior AS (SELECT mean, 1 / least(greatest(CASE WHEN room > 0 THEN spread / room ELSE 0 END, 1e-4::DOUBLE), 0.99::DOUBLE) - 1 AS strength FROM s),
+strict AS (SELECT host FROM h, prior WHERE (k + mean * strength) / (n + strength) > 0.3::DOUBLE)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host IN (FROM strict) AS strict_host,
+  NOT CASE WHEN host IN (FROM strict) THEN strictly ELSE failed END AS kept FROM checked"""
+
+
+@query(QUALITY_SQL)
 def op6_quality_rules(t: Tables) -> DataFrame:
     judged = quality_rules.judge(t.documents, ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "strict_host")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_texts, remainder, slices, stored
@@ -186,7 +186,7 @@ def lexicon(sample: DataFrame, learning: Learning) -> dict[str, float]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, learning: Learning, *, key: str, text: str, label: str, usable) -> DataFrame:
     """At most about ``sample`` labelled rows (body, toxic), chosen by hash of the key. Of repeated labels the largest counts."""
-    usable_labels = labels.where(usable & F.col(label).isNotNull() & F.col(key).isNotNull())
+    usable_labels = labels.where((F.lit(True) if usable is None else usable) & F.col(label).isNotNull() & F.col(key).isNotNull())
     total = usable_labels.count()
     modulus = max(1, -(-total // learning.sample))
     some = usable_labels.where(F.pmod(F.xxhash64(F.col(key)), F.lit(modulus)) == 0).groupBy(F.col(key).alias("_label_key")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
@@ -195,7 +195,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learning: Learning, *, k
     return docs.select(F.col(key).alias("_key"), body).join(F.broadcast(some), F.col("_key") == F.col("_label_key")).select("body", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", usable=F.lit(True), learning: Learning = Learning()) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, learning: Learning = Learning()) -> Model:
     """Lexicon and clause weights from labelled rows where ``usable`` holds. The clause weights are fitted to readings of each
     half of the sample with a lexicon of the other half, so words that fit by chance get no credit. Without both kinds of labels every score is the
     share of toxic labels (0.5 where there is none)."""
