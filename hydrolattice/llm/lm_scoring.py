@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import process_wide, remainder, slices, stored
 from .shingles import words_of
 
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 
 
 @dataclass(frozen=True)

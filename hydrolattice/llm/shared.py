@@ -89,11 +89,16 @@ def marked(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, na
 
 
 def process_wide(key: str, build: Callable[[], object]):
-    """An object that the tasks of one Python worker share, such as a bounded table of words already coded."""
-    held = sys.modules.setdefault("_task_state", types.ModuleType("_task_state")).__dict__
-    if key not in held:
-        held[key] = build()
-    return held[key]
+    """An object that the tasks of one Python worker share, such as a bounded table of words already coded.
+
+    A worker holds one such object at a time: another stage's object replaces it, so stages do not add up in memory.
+    """
+    state = sys.modules.setdefault("_task_state", types.ModuleType("_task_state"))
+    if getattr(state, "key", None) != key:
+        state.key = state.held = None
+        state.held = build()
+        state.key = key
+    return state.held
 
 
 def slices(batch: pa.RecordBatch, column: int, target: int = 4 << 20) -> Iterator[pa.RecordBatch]:

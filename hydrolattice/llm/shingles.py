@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -17,7 +17,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _SHIFT = 20
 _PLACE = 32  # bits of a place in a word
 _AT = (1 << _PLACE) - 1
-MAX_CACHED = 600_000
+MAX_CACHED = 400_000
 
 
 def byte_letters() -> dict[str, int]:

@@ -100,7 +100,7 @@ class Grammar:
         """
         sums = dict.fromkeys(SITUATIONS, 0.0)
         top, known = 0.0, self.known
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for line in text.lower().split("\n"):
             negated = reported = target = 0
