@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_even
 from ..settings import SCENARIO_SHIFT, Drift
-from .ordering import running_totals
-from .sampling import fixed_sample
+from .ordering import hash_share, running_totals
 
 WASSERSTEIN = "Wasserstein distance (normed)"
 KS = "K-S p_value"
@@ -65,17 +64,21 @@ def ks_p_value(ks: Column, reference_rows: Column, current_rows: Column, terms:
 
 
 def drift_scores(reference: DataFrame, current: DataFrame, features: Sequence[str], settings: Drift = Drift(), **options) -> DataFrame:
-    """(feature, test, score, threshold, drift): a normed distance for large references, a p-value for small ones."""
-    stats = two_sample_statistics(reference, current, features, **options)
-    large = F.col("reference_rows") > settings.large_sample
-    distance = F.col("wasserstein") / F.greatest(F.col("reference_std"), F.lit(_FLAT_STD))
-    value = F.when(large, distance).otherwise(ks_p_value(F.col("ks"), F.col("reference_rows"), F.col("current_rows")))
-    test = F.when(large, F.lit(WASSERSTEIN)).otherwise(F.lit(KS))
-    threshold = F.when(large, F.lit(settings.distance_threshold)).otherwise(F.lit(settings.p_threshold))
-    return (
-        stats.select("feature", test.alias("test"), value.alias("_value"), threshold.alias("threshold"))
-        .withColumn("drift", is_drifted(F.col("test"), F.col("_value"), F.col("threshold")))
-        .select("feature", "test", round_even("_value", 4).alias("score"), "threshold", "drift")
+    """(feature, test, score, threshold, drift, distance, p_value): ``settings.method`` names the statistic that decides, at
+    any number of rows; both statistics are given."""
+    if settings.method not in ("distance", "p_value"):
+        raise ValueError(f"unknown drift method: {settings.method}")
+    by_distance = settings.method == "distance"
+    stats = two_sample_statistics(reference, current, features, **options).withColumns({
+        "_distance": F.col("wasserstein") / F.greatest(F.col("reference_std"), F.lit(_FLAT_STD)),
+        "_p": ks_p_value(F.col("ks"), F.col("reference_rows"), F.col("current_rows")),
+    })
+    value, test = ("_distance", WASSERSTEIN) if by_distance else ("_p", KS)
+    threshold = F.lit(settings.distance_threshold if by_distance else settings.p_threshold)
+    return stats.select(
+        "feature", F.lit(test).alias("test"), round_even(value, 4).alias("score"), threshold.alias("threshold"),
+        is_drifted(F.lit(test), F.col(value), threshold).alias("drift"),
+        round_even("_distance", 4).alias("distance"), round_even("_p", 4).alias("p_value"),
     )
 
 
@@ -113,11 +116,12 @@ def flagged_sets(scores: DataFrame, shifted_features: DataFrame) -> DataFrame:
     )
 
 
-def sensitivity(df: DataFrame, key: Sequence[str], features: Sequence[str], settings: Drift = Drift(), *, shift: Mapping[str, float] = SCENARIO_SHIFT, seed: int = 42, **options) -> dict[str, DataFrame]:
-    """Two disjoint halves of one sample: scores unchanged (control) and with the second half shifted (simulated)."""
-    sample = fixed_sample(df, key, settings.sample_rows * 2, seed=seed, halves=True)
-    reference = sample.filter(F.col("half") == 0).select(*features)
-    unchanged = sample.filter(F.col("half") == 1).select(*features)
+def sensitivity(df: DataFrame, key: Sequence[str], features: Sequence[str], settings: Drift = Drift(), *, shift: Mapping[str, float] = SCENARIO_SHIFT, seed: int = 42, half: Column | None = None, **options) -> dict[str, DataFrame]:
+    """All rows in two disjoint halves by the draw of their key: scores unchanged (control) and with the second half shifted
+    (simulated). A row without a key has a draw too."""
+    draw = hash_share(key, seed) < 0.5 if half is None else half
+    reference = df.filter(draw).select(*features)
+    unchanged = df.filter(~draw).select(*features)
     return {
         "control": drift_scores(reference, unchanged, features, settings, **options),
         "simulated": drift_scores(reference, shifted(unchanged, shift), features, settings, **options),

@@ -42,7 +42,7 @@ def spatial_grid(
     id_prefix: str = "CELL",
     central_meridian: float | None = 75.0,
 ) -> DataFrame:
-    """Cells of every area that meet its shape, numbered column by column over the kept cells.
+    """Cells of every area that meet its shape, numbered column by column over the kept cells, area after area.
 
     Columns of a grid are spread over tasks before their cells are made, each with only the edges that
     reach into it, so one large area does not stay in one task. Numbers are in-column ranks plus a prefix sum over column counts.
@@ -67,8 +67,12 @@ def spatial_grid(
     in_column = Window.partitionBy(area_id, "ix")
     numbered = kept.withColumn("_at", F.row_number().over(in_column.orderBy("iy")))
     along = Window.partitionBy(area_id).orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
-    before = kept.groupBy(area_id, "ix").agg(F.count(F.lit(1)).alias("_n")).select(
-        area_id, "ix", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before")
+    per_column = kept.groupBy(area_id, "ix").agg(F.count(F.lit(1)).alias("_n"))
+    # Numbers go on from area to area, so an id names one cell of the whole table. This window holds one row per area.
+    earlier = Window.partitionBy(F.lit(0)).orderBy(area_id).rowsBetween(Window.unboundedPreceding, -1)
+    per_area = per_column.groupBy(area_id).agg(F.sum("_n").alias("_n")).select(area_id, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    before = per_column.join(per_area, area_id).select(
+        area_id, "ix", (F.coalesce(F.sum("_n").over(along), F.lit(0)) + F.col("_first")).alias("_before")
     )
     middle_x, middle_y = (F.col("cell_minx") + F.col("cell_maxx")) / 2, (F.col("cell_miny") + F.col("cell_maxy")) / 2
     if central_meridian is not None:

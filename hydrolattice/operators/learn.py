@@ -36,7 +36,6 @@ FEATURE_NAMES = {
     "temp_8day_max": "Maximum temperature, 8 days",
     "et0_8day_sum": "Evaporative demand, 8 days", "et0_16day_sum": "Evaporative demand, 16 days",
 }
-MAX_CLASSES = 1000
 MODELS = ("forest", "boosted_deep", "boosted_light")  # priority order: the baseline first
 
 
@@ -54,13 +53,9 @@ def with_vector(df: DataFrame, features: Sequence[str], output: str = "features"
 
 
 def with_weights(df: DataFrame, label: str, output: str = "class_weight") -> DataFrame:
-    """Balanced class weight per row. Up to ``MAX_CLASSES`` weights become a constant map, so no row is shuffled by class."""
-    weights = class_weights(df, label).select(label, "weight")
-    listed = weights.limit(MAX_CLASSES + 1).collect()
-    if not listed or len(listed) > MAX_CLASSES:
-        return df.join(weights.withColumnRenamed("weight", output), label)
-    by_class = F.create_map(*[F.lit(v) for row in listed for v in (row[label], row["weight"])])
-    return df.withColumn(output, F.try_element_at(by_class, F.col(label)))
+    """Balanced class weight per labelled row; rows without a label have no class and are left out."""
+    labelled = df.filter(F.col(label).isNotNull())
+    return labelled.join(class_weights(labelled, label).select(label, F.col("weight").alias(output)), label)
 
 
 def estimator(name: str, settings: Training = Training(), *, label: str = "label", weight: str = "class_weight"):
@@ -226,9 +221,9 @@ def importance_drivers(ranked_importances: DataFrame, rows: DataFrame, key: Sequ
     })
 
 
-def global_attribution(model, df: DataFrame, key: Sequence[str], features: Sequence[str], means: Sequence[float], *, rows: int = 500, target_class: int = 2, top: int = 12, seed: int = 42) -> DataFrame:
-    """Mean absolute impact per feature on one class over a fixed sample, the ``top`` features."""
-    sample = fixed_sample(df, key, rows, seed=seed)
+def global_attribution(model, df: DataFrame, key: Sequence[str], features: Sequence[str], means: Sequence[float], *, rows: int | None = None, target_class: int = 2, top: int = 12, seed: int = 42) -> DataFrame:
+    """Mean absolute impact per feature on one class, the ``top`` features: over all rows, or a fixed sample of ``rows``."""
+    sample = df if rows is None else fixed_sample(df, key, rows, seed=seed)
     found = impacts(model, sample, key, features, means, target_class)
     return found.groupBy("feature").agg(round_even(F.avg(F.abs("impact")), 6).alias("mean_abs_impact")).orderBy(
         F.col("mean_abs_impact").desc(), "feature"

@@ -12,9 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_col
+from ..functions.numeric import as_col, nan_to_null
 
-INLINE_POINTS = 64
 BROADCAST_CELLS = 65_536
 _BRANCH = 4
 _LEAF_POINTS = 64
@@ -53,12 +52,13 @@ def nearest_points(
     point_x: str = "longitude",
     point_y: str = "latitude",
     geographic: bool = True,
-    inline_points: int = INLINE_POINTS,
 ) -> DataFrame:
     """(cell_id, point_id): the nearest point of each cell; equal distances go to the lowest id.
 
-    ``geographic`` scales x by the cosine of the points' mean y. ``cell_id`` must be unique.
+    ``geographic`` scales x by the cosine of the points' mean y. ``cell_id`` must be unique. A point without both
+    coordinates is no point; a cell without both has a missing point.
     """
+    points = points.select(F.col(point_id), *[nan_to_null(F.col(c).cast("double")).alias(c) for c in (point_x, point_y)]).dropna()
     stats = points.agg(
         F.count(F.lit(1)).alias("n"), F.avg(point_y).alias("lat"),
         F.min(point_x).alias("x0"), F.max(point_x).alias("x1"), F.min(point_y).alias("y0"), F.max(point_y).alias("y1"),
@@ -66,34 +66,32 @@ def nearest_points(
     if not stats["n"]:
         raise ValueError("there are no points to assign")
     scale = math.cos(math.radians(stats["lat"])) if geographic else 1.0
-    queries = cells.select(
-        F.col(cell_id), (as_col(cell_x).cast("double") * scale).alias("_x"), as_col(cell_y).cast("double").alias("_y")
+    every = cells.select(
+        F.col(cell_id), nan_to_null(as_col(cell_x).cast("double") * scale).alias("_x"), nan_to_null(as_col(cell_y).cast("double")).alias("_y")
     )
+    placeless = F.col("_x").isNull() | F.col("_y").isNull()
+    queries = every.filter(~placeless)
     sites = points.groupBy(
         (as_col(point_x).cast("double") * scale).alias("_px"), as_col(point_y).cast("double").alias("_py")
     ).agg(F.min(point_id).alias(point_id))
 
-    if stats["n"] <= inline_points:
-        # The count above proves that at most ``inline_points`` rows reach the driver.
-        listed = F.array(*[
-            F.struct(F.lit(r["_px"]).alias("x"), F.lit(r["_py"]).alias("y"), F.lit(r[point_id]).alias("id"))
-            for r in sites.collect()
-        ])
-        best = F.array_min(F.transform(listed, lambda p: F.struct(_squared(F.col("_x") - p["x"], F.col("_y") - p["y"]).alias("d"), p["id"].alias("id"))))
-        return queries.select(cell_id, best["id"].alias(point_id))
-
     x0, y0 = stats["x0"] * scale, float(stats["y0"])
     side = max(stats["x1"] * scale - x0, stats["y1"] - y0) or 1.0
     levels = max(1, math.ceil(math.log(stats["n"]) / (2 * math.log(_BRANCH))))
 
-    def placed(depth: int) -> DataFrame:
+    def placed(rows: DataFrame, depth: int) -> DataFrame:
         across = _BRANCH**depth
-        return sites.withColumn("_cx", _leaf(F.col("_px"), x0, side, across)).withColumn("_cy", _leaf(F.col("_py"), y0, side, across))
+        return rows.withColumn("_cx", _leaf(F.col("_px"), x0, side, across)).withColumn("_cy", _leaf(F.col("_py"), y0, side, across))
 
-    while levels < _MAX_LEVELS and placed(levels).groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] > _LEAF_POINTS:
-        levels += 1
+    # The fullest cell of every depth from one histogram at the deepest one.
+    fine = placed(sites, _MAX_LEVELS).groupBy("_cx", "_cy").agg(F.count("*").alias("_n"))
+    at = F.explode(F.sequence(F.lit(levels), F.lit(_MAX_LEVELS))).alias("_depth")
+    shrunk = F.pow(F.lit(_BRANCH), F.lit(_MAX_LEVELS) - F.col("_depth"))
+    per_cell = fine.select("*", at).groupBy("_depth", F.floor(F.col("_cx") / shrunk), F.floor(F.col("_cy") / shrunk)).agg(F.sum("_n").alias("_n"))
+    fullest = {r["_depth"]: r["_n"] for r in per_cell.groupBy("_depth").agg(F.max("_n").alias("_n")).collect()}
+    levels = next((d for d in range(levels, _MAX_LEVELS) if fullest[d] <= _LEAF_POINTS), _MAX_LEVELS)
 
-    leaves = placed(levels)
+    leaves = placed(sites, levels)
     boxes = leaves.groupBy("_cx", "_cy").agg(
         F.min("_px").alias("_x0"), F.max("_px").alias("_x1"), F.min("_py").alias("_y0"), F.max("_py").alias("_y1")
     )
@@ -123,10 +121,11 @@ def nearest_points(
             )
         )
     distance = _squared(F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py"))
-    return (
+    found = (
         state.select(cell_id, "_x", "_y", F.inline("_keep").alias("_cx", "_cy"))
         .join(leaves, ["_cx", "_cy"])
         .groupBy(cell_id)
         .agg(F.min(F.struct(distance.alias("d"), F.col(point_id).alias("id"))).alias("_best"))
         .select(cell_id, F.col("_best.id").alias(point_id))
     )
+    return found.unionByName(every.filter(placeless).select(cell_id, F.lit(None).cast(found.schema[point_id].dataType).alias(point_id)))

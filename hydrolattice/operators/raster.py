@@ -151,10 +151,28 @@ def zonal_statistics(paired: DataFrame, *, keys: Sequence[str], bands: Sequence[
     )
 
 
-def scene_features(pixels: DataFrame, cells: DataFrame, **placement) -> DataFrame:
-    """Per (cell, scene) features: pixels are reduced by lattice position first and meet the cell table after."""
-    stats = zonal_statistics(pixel_cells(with_indices(pixels), **placement), keys=("scene_id", "date", "ix", "iy"))
-    return stats.join(cells.select("cell_id", "ix", "iy", "centroid_lon", "centroid_lat"), ["ix", "iy"]).drop("ix", "iy")
+def raw_pixels(fine: DataFrame, coarse: DataFrame, scenes: DataFrame, *, scene: Sequence[str] = ("scene_id", "date"), key: str = "scene_id", baseline: str = "baseline") -> DataFrame:
+    """Raw band values of a scene as 10 m pixels with all bands, the scene class and the scene's offset.
+
+    ``fine`` holds the 10 m bands; of ``coarse``, the 20 m bands are resampled bilinearly and the scene class is repeated.
+    Resampling comes before the offset, which follows from the processing baseline of each scene; a scene without one fails.
+    """
+    sharp = resample_bilinear(coarse, ["b11", "b12"], scene=scene)
+    wide = align_nearest(fine.join(sharp, [*scene, "row", "col"], "left"), coarse, ["scl"], scene=scene)
+    offsets = scenes.select(key, F.col(baseline).alias("_baseline"))
+    return wide.join(offsets, key, "left").withColumn("offset", spectral.baseline_offset("_baseline")).drop("_baseline")
+
+
+def scene_features(pixels: DataFrame, cells: DataFrame, *, offset: str | None = None, area: str = "area_id", **placement) -> DataFrame:
+    """Per (cell, scene) features: pixels are reduced by lattice position first and meet the cell table after.
+
+    ``offset`` names the column with each pixel's offset; without it the bands count as corrected. Pixels that carry an
+    ``area`` meet the cells of that area only.
+    """
+    own = [area] if area in pixels.columns and area in cells.columns else []
+    corrected = with_indices(pixels, offset=None if offset is None else F.col(offset))
+    stats = zonal_statistics(pixel_cells(corrected, **placement), keys=("scene_id", "date", *own, "ix", "iy"))
+    return stats.join(cells.select(*own, "cell_id", "ix", "iy", "centroid_lon", "centroid_lat"), [*own, "ix", "iy"]).drop(*own, "ix", "iy")
 
 
 def merge_overlaps(features: DataFrame, *, keys: Sequence[str] = ("cell_id", "date"), scene: str = "scene_id") -> DataFrame:

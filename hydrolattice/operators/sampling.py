@@ -26,18 +26,10 @@ def temporal_split(df: DataFrame, when: str, split: date) -> tuple[DataFrame, Da
     return df.filter(day < F.lit(split)), df.filter(day >= F.lit(split))
 
 
-def fixed_sample(df: DataFrame, key: Sequence[str], rows: int, *, seed: int = 42, draw: Column | None = None, halves: bool = False) -> DataFrame:
-    """Exactly ``rows`` rows (all when there are fewer), lowest draws first; ``key`` must be unique.
-
-    ``halves`` adds ``half``: 0 and 1 alternate along the draw order.
-    """
+def fixed_sample(df: DataFrame, key: Sequence[str], rows: int, *, seed: int = 42, draw: Column | None = None) -> DataFrame:
+    """Exactly ``rows`` rows (all when there are fewer), lowest draws first; ``key`` must be unique."""
     draw = hash_share(key, seed) if draw is None else draw
-    out = smallest_draws(df, key, rows, draw).filter("chosen").drop("chosen")
-    if halves:
-        # At most ``rows`` rows are left here.
-        place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(draw, *key))
-        out = out.withColumn("half", (place - 1) % 2)
-    return out
+    return smallest_draws(df, key, rows, draw).filter("chosen").drop("chosen")
 
 
 def first_per_class(df: DataFrame, label: str, order: str) -> DataFrame:

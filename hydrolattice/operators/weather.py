@@ -52,10 +52,8 @@ def rolling(
     keys, order, halo = [point], [date], max(f.rows for f in features) - 1
     if rows_per_task:
         chunk = F.floor((F.col("_row") - 1) / F.lit(rows_per_task))
-        late = F.pmod(F.col("_row") - 1, F.lit(rows_per_task)) >= rows_per_task - halo
-        df = ranked(df, [point], [date], "_row", "_rows").withColumn(
-            "_chunk", F.explode(F.when(late, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
-        )
+        last = F.floor((F.col("_row") - 1 + halo) / F.lit(rows_per_task))  # the last chunk whose windows reach this row
+        df = ranked(df, [point], [date], "_row", "_rows").withColumn("_chunk", F.explode(F.sequence(chunk, last)))
         keys, order = [point, "_chunk"], ["_row"]
     run = {"sum": F.sum, "avg": F.avg, "max": F.max}
     base = Window.partitionBy(*keys).orderBy(*order)

@@ -67,60 +67,91 @@ def split_coverage(t: Tables) -> DataFrame:
 def weather_table(t: Tables) -> DataFrame:
     """Daily readings with the columns the weather suite needs."""
     return daily_readings(t).withColumns({
-        "humidity_pct": F.col("temp_mean_c"), "wind_speed_mps": F.col("temp_mean_c") / 4, "solar_radiation_mj": F.lit(20.0),
+        "humidity_pct": F.when(F.col("temp_mean_c") > 10, F.col("temp_mean_c") * 3), "wind_speed_mps": F.col("temp_mean_c") / 4, "solar_radiation_mj": F.lit(20.0),
     })
 
 
 EVENT_SETTINGS = Settings(quality=Quality(weather_start=date(2024, 1, 1), weather_end=date(2024, 1, 30)))
 
 
-@query(f"""WITH {DAILY_SQL}, p AS (SELECT weather_point_id, count(DISTINCT date) AS d FROM daily GROUP BY 1),
-bad AS (SELECT count(*) FILTER (WHERE temp_max_c NOT BETWEEN -5 AND 55 OR temp_mean_c NOT BETWEEN -5 AND 50 OR rainfall_mm NOT BETWEEN 0 AND 500
-        OR temp_mean_c NOT BETWEEN 0 AND 100 OR temp_mean_c / 4 NOT BETWEEN 0 AND 40 OR et0_mm NOT BETWEEN 0 AND 20) AS n FROM daily)
-SELECT 'required_columns' AS "check", true AS passed, 'All present' AS detail
-UNION ALL SELECT 'value_ranges', (SELECT n FROM bad) = 0, NULL
-UNION ALL SELECT 'missing_values', true, 'All within 1.0%'
-UNION ALL SELECT 'date_coverage', min(date) <= DATE '2024-01-01' AND max(date) >= DATE '2024-01-30',
-  'Data covers ' || min(date) || ' to ' || max(date) || ', and 2024-01-01 to 2024-01-30 is required' FROM daily
-UNION ALL SELECT 'no_gaps_between_points', min(d) = max(d), 'Days per point range from ' || min(d) || ' to ' || max(d) FROM p""")
+def _flat(checks: DataFrame) -> DataFrame:
+    """Checks with their offending entries as one text."""
+    return checks.withColumn("offending", F.array_join("offending", ", "))
+
+
+def _ranges_sql(table: str, ranges: dict[str, tuple[float, float]]) -> str:
+    """One row of the range check: columns within range, and each broken one with its rows outside."""
+    counts = " UNION ALL ".join(
+        f"SELECT {i} AS place, '{c}' AS name, count(*) FILTER (WHERE {c} < {low}::DOUBLE OR {c} > {high}::DOUBLE) AS n FROM {table}" for i, (c, (low, high)) in enumerate(ranges.items())
+    )
+    return f"""SELECT 'value_ranges', bool_and(n = 0), (count(*) FILTER (WHERE n = 0))::VARCHAR, '{len(ranges)}', coalesce(string_agg(name || '=' || n, ', ' ORDER BY place) FILTER (WHERE n > 0), '') FROM ({counts})"""
+
+
+def _missing_sql(table: str, columns: list[str], limit: float) -> str:
+    """One row of the missing-value check, with every share worked out from the table."""
+    shares = " UNION ALL ".join(f"SELECT {i} AS place, '{c}' AS name, avg(CASE WHEN {c} IS NULL THEN 1::DOUBLE ELSE 0 END) AS s FROM {table}" for i, c in enumerate(columns))
+    return f"""SELECT 'missing_values', bool_and(s <= {limit}::DOUBLE), max(round(s, 4))::VARCHAR, '{limit}', coalesce(string_agg(name || '=' || round(s, 4), ', ' ORDER BY place) FILTER (WHERE s > {limit}::DOUBLE), '') FROM ({shares})"""
+
+
+# Limits of the suite, written out for the SQL side.
+WEATHER_LIMITS = {
+    "temp_max_c": (-5, 55), "temp_mean_c": (-5, 50), "rainfall_mm": (0, 500), "humidity_pct": (0, 100), "wind_speed_mps": (0, 40), "solar_radiation_mj": (0, 45), "et0_mm": (0, 20),
+}
+
+
+@query(f"""WITH {DAILY_SQL}, w AS (SELECT *, CASE WHEN temp_mean_c > 10 THEN temp_mean_c * 3 END AS humidity_pct, temp_mean_c / 4 AS wind_speed_mps, 20::DOUBLE AS solar_radiation_mj FROM daily),
+p AS (SELECT weather_point_id, count(DISTINCT date) AS d FROM w GROUP BY 1)
+SELECT 'required_columns' AS "check", true AS passed, '9' AS observed, '9' AS required, '' AS offending
+UNION ALL {_ranges_sql("w", WEATHER_LIMITS)}
+UNION ALL {_missing_sql("w", ["date", "weather_point_id", *WEATHER_LIMITS], 0.01)}
+UNION ALL SELECT 'date_coverage', min(date) <= DATE '2024-01-01' AND max(date) >= DATE '2024-01-30', CAST(min(date) AS DATE) || '/' || CAST(max(date) AS DATE), '2024-01-01/2024-01-30', '' FROM w
+UNION ALL SELECT 'no_gaps_between_points', min(d) = max(d), min(d) || '/' || max(d), 'equal', '' FROM p""")
 def weather_suite(t: Tables) -> DataFrame:
-    checks = quality.weather_suite(weather_table(t), EVENT_SETTINGS)
-    return checks.withColumn("detail", F.when(F.col("check") != "value_ranges", F.col("detail")))
+    return _flat(quality.weather_suite(weather_table(t), EVENT_SETTINGS))
 
 
-@query("""WITH m AS (SELECT o_orderkey::VARCHAR AS scene_id, CAST(o_orderdate AS DATE) AS d FROM orders),
+@query(f"""WITH m AS (SELECT o_orderkey::VARCHAR AS scene_id, CAST(o_orderdate AS DATE) AS acquisition_date, o_totalprice AS cloud_cover_pct,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS mgrs_tile FROM orders),
 w AS (SELECT min(CAST(l_shipdate AS DATE)) AS a, max(CAST(l_shipdate AS DATE)) AS b FROM lineitem)
-SELECT 'required_columns' AS "check", true AS passed, 'All present' AS detail
-UNION ALL SELECT 'scene_count', count(DISTINCT d) >= 20, count(DISTINCT d) || ' scene dates, and at least 20 are required' FROM m
-UNION ALL SELECT 'missing_values', true, 'All within 0.0%'
-UNION ALL SELECT 'weather_covers_scenes', (SELECT a FROM w) <= min(d) AND (SELECT b FROM w) >= max(d), 'Scenes run from ' || min(d) || ' to ' || max(d) FROM m""")
+SELECT 'required_columns' AS "check", true AS passed, '4' AS observed, '4' AS required, '' AS offending
+UNION ALL SELECT 'scene_count', count(DISTINCT acquisition_date) >= 20, count(DISTINCT acquisition_date)::VARCHAR, '20', '' FROM m
+UNION ALL {_missing_sql("m", ["scene_id", "acquisition_date", "cloud_cover_pct", "mgrs_tile"], 0.0)}
+UNION ALL SELECT 'weather_covers_scenes', (SELECT a FROM w) <= min(acquisition_date) AND (SELECT b FROM w) >= max(acquisition_date),
+  (SELECT a || '/' || b FROM w), min(acquisition_date) || '/' || max(acquisition_date), '' FROM m""")
 def scene_suite(t: Tables) -> DataFrame:
     scenes = t.orders.select(
         F.col("o_orderkey").cast("string").alias("scene_id"), F.to_date("o_orderdate").alias("acquisition_date"),
-        F.col("o_totalprice").alias("cloud_cover_pct"), F.col("o_orderpriority").alias("mgrs_tile"),
+        F.col("o_totalprice").alias("cloud_cover_pct"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("mgrs_tile"),
     )
-    return quality.scene_suite(scenes, t.lineitem, weather_date="l_shipdate")
-
-
-LINE_TRAINING = Settings(training=Training(split=date(1999, 1, 1), target="l_linenumber", features=NUMBERS))
-
-
-@query("""WITH f AS (SELECT l_orderkey, CAST(l_shipdate AS DATE) AS d, l_linenumber, l_quantity > 5 AS v FROM lineitem),
-dup AS (SELECT sum(n - 1)::BIGINT AS n FROM (SELECT count(*) AS n FROM f GROUP BY l_orderkey, d)),
-c AS (SELECT count(DISTINCT d) AS a, count(DISTINCT d) FILTER (WHERE d < DATE '1999-01-01') AS b, count(DISTINCT d) FILTER (WHERE d >= DATE '1999-01-01') AS e,
-      count(DISTINCT l_linenumber) FILTER (WHERE d >= DATE '1999-01-01' AND v) AS k FROM f)
-SELECT 'required_columns' AS "check", true AS passed, 'All present' AS detail
-UNION ALL SELECT 'value_ranges', true, '14 columns within range'
-UNION ALL SELECT 'missing_values', true, 'All within 1.0%'
-UNION ALL SELECT 'label_values', false, 'Unexpected labels: [' || (SELECT string_agg(l::VARCHAR, ', ' ORDER BY l) FROM (SELECT DISTINCT l_linenumber AS l FROM f WHERE l_linenumber > 2)) || ']'
-UNION ALL SELECT 'one_row_per_cell_and_date', n = 0, n || ' duplicates' FROM dup
-UNION ALL SELECT 'date_coverage', a >= 20 AND b > 0 AND e > 0, a || ' dates: ' || b || ' before 1999-01-01, ' || e || ' from it onwards' FROM c
-UNION ALL SELECT 'all_classes_in_later_dates', k = 3, k || ' of 3 classes' FROM c""")
+    return _flat(quality.scene_suite(scenes, t.lineitem, weather_date="l_shipdate"))
+
+
+FEATURE_INPUTS = ("ndvi_mean", "ndwi_mean", "evi_mean", "temp_max_c", "rainfall_8day")
+FEATURE_LIMITS = {"ndvi_mean": (-1, 1), "ndwi_mean": (-1, 1), "evi_mean": (-5, 5), "temp_max_c": (-5, 55), "rainfall_8day": (0, 1500)}
+LINE_TRAINING = Settings(training=Training(split=date(1999, 1, 1), target="l_linenumber", features=FEATURE_INPUTS))
+
+
+@query(f"""WITH f AS (SELECT l_orderkey AS cell_id, CAST(l_shipdate AS DATE) AS date, l_linenumber, l_quantity > 5 AS is_vegetated, l_quantity / 40 AS ndvi_mean,
+  l_discount - 1.02::DOUBLE AS ndwi_mean, CASE WHEN l_tax > 0.005::DOUBLE THEN l_tax END AS evi_mean, l_quantity + 6 AS temp_max_c, l_extendedprice / 100 AS rainfall_8day FROM lineitem),
+dup AS (SELECT sum(n - 1)::BIGINT AS n FROM (SELECT count(*) AS n FROM f GROUP BY cell_id, date)),
+c AS (SELECT count(DISTINCT date) AS a, count(DISTINCT date) FILTER (WHERE date < DATE '1999-01-01') AS b, count(DISTINCT date) FILTER (WHERE date >= DATE '1999-01-01') AS e,
+      count(DISTINCT l_linenumber) FILTER (WHERE date >= DATE '1999-01-01' AND is_vegetated) AS k FROM f),
+bad AS (SELECT DISTINCT l_linenumber AS l FROM f WHERE l_linenumber NOT IN (0, 1, 2))
+SELECT 'required_columns' AS "check", true AS passed, '9' AS observed, '9' AS required, '' AS offending
+UNION ALL {_ranges_sql("f", FEATURE_LIMITS)}
+UNION ALL {_missing_sql("f", ["cell_id", "date", "is_vegetated", "l_linenumber", *FEATURE_INPUTS], 0.01)}
+UNION ALL SELECT 'label_values', count(*) = 0, count(*)::VARCHAR, '0', coalesce(string_agg(l::VARCHAR, ', ' ORDER BY l), '') FROM bad
+UNION ALL SELECT 'one_row_per_cell_and_date', n = 0, n::VARCHAR, '0', '' FROM dup
+UNION ALL SELECT 'date_coverage', a >= 20 AND b > 0 AND e > 0, a || '/' || b || '/' || e, '20/1/1', '' FROM c
+UNION ALL SELECT 'all_classes_in_later_dates', k = 3, k::VARCHAR, '3', '' FROM c""")
 def feature_suite(t: Tables) -> DataFrame:
+    """Line items as a feature table that breaks the range, missing-value, label and duplicate rules."""
     table = t.lineitem.select(
-        F.col("l_orderkey").alias("cell_id"), F.to_date("l_shipdate").alias("date"), (F.col("l_quantity") > 5).alias("is_vegetated"), "l_linenumber", *NUMBERS
+        F.col("l_orderkey").alias("cell_id"), F.to_date("l_shipdate").alias("date"), (F.col("l_quantity") > 5).alias("is_vegetated"), "l_linenumber",
+        (F.col("l_quantity") / 40).alias("ndvi_mean"), (F.col("l_discount") - 1.02).alias("ndwi_mean"), F.when(F.col("l_tax") > 0.005, F.col("l_tax")).alias("evi_mean"),
+        (F.col("l_quantity") + 6).alias("temp_max_c"), (F.col("l_extendedprice") / 100).alias("rainfall_8day"),
     )
-    return quality.feature_suite(table, LINE_TRAINING)
+    return _flat(quality.feature_suite(table, LINE_TRAINING))
 
 
 _NUMERIC_SQL = " UNION ALL ".join(

@@ -10,6 +10,7 @@ from ..functions.geometry import ring_edges
 from ..functions.numeric import round_even
 from ..operators import grid, raster
 from ..operators.nearest import nearest_points
+from ..sources import pixels
 from .registry import Tables, query, r
 
 # Line items as 10 m pixels of a scene per ship month; cells of 75 m do not line up with the pixels.
@@ -119,6 +120,52 @@ def resample_bilinear(t: Tables) -> DataFrame:
     return out.withColumns({b: F.round(b, 4) for b in ("b11", "b12")})
 
 
+_FINE = {"b02": (5, 900), "b03": (7, 950), "b04": (11, 800), "b08": (17, 1500)}
+_FINE_SQL = ", ".join(f'(("row" * {k} + col * {k + 2} + scene_id * 13) % 4000 + {low})::DOUBLE AS {b}' for b, (k, low) in _FINE.items())
+
+
+@query(f"""WITH {_PART_SQL.replace("p_retailprice AS b11, p_size::DOUBLE AS b12, p_size AS scl", "p_retailprice * 1.0135719::DOUBLE AS b11, p_retailprice * 1.3791357::DOUBLE AS b12, p_size % 12 AS scl")},
+spots AS (SELECT scene_id, "row" * 2 + dr AS "row", col * 2 + dc AS col FROM part_pixel, (VALUES (0), (1)) a(dr), (VALUES (0), (1)) b(dc)),
+around AS (
+  SELECT f.scene_id, f."row", f.col, s.b11, s.b12,
+    CASE WHEN s."row" = f."row" // 2 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END * CASE WHEN s.col = f.col // 2 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS w
+  FROM spots f JOIN part_pixel s ON s.scene_id = f.scene_id
+    AND s."row" IN (f."row" // 2, CASE WHEN f."row" % 2 = 0 THEN f."row" // 2 - 1 ELSE f."row" // 2 + 1 END)
+    AND s.col IN (f.col // 2, CASE WHEN f.col % 2 = 0 THEN f.col // 2 - 1 ELSE f.col // 2 + 1 END)),
+sharp AS (SELECT scene_id, "row", col, sum(w * b11) / sum(w) AS b11, sum(w * b12) / sum(w) AS b12 FROM around GROUP BY 1, 2, 3),
+raw AS (SELECT *, {_FINE_SQL}, CASE WHEN scene_id % 2 = 1 THEN -1000 ELSE 0 END AS o,
+  (SELECT scl FROM part_pixel c WHERE c.scene_id = s.scene_id AND c."row" = s."row" // 2 AND c.col = s.col // 2) AS scl FROM sharp s),
+band AS (SELECT scene_id, "row", col, scl IN (4, 5, 6, 7) AS clear, {", ".join(f"greatest({b} + o, 0) AS {b}" for b in ("b02", "b03", "b04", "b08", "b11", "b12"))} FROM raw),
+{PIXELS_SQL[PIXELS_SQL.index("pixel AS ("):]},
+paired AS (SELECT *, col // 10 AS ix, (49 - "row") // 10 AS iy FROM pixel),
+zonal AS (SELECT scene_id, ix, iy, {_STATS_SQL}, {r("count(*) FILTER (WHERE clear)::DOUBLE / count(*) * 100", 2)} AS valid_pixel_pct
+  FROM paired GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE clear) >= 5)
+SELECT scene_id, 'C' || ix || '_' || iy AS cell_id, * EXCLUDE (scene_id, ix, iy) FROM zonal""")
+def satellite_features(t: Tables) -> DataFrame:
+    """Parts as raw 20 m blocks under 10 m blocks, one block per raster line: resampled, corrected by baseline, reduced to cells."""
+    coarse = part_raster(t).withColumns({"b11": F.col("b11") * 1.0135719, "b12": F.col("b11") * 1.3791357, "scl": F.col("scl") % 12})
+    keys = ["scene_id"]
+
+    def lines(df: DataFrame, bands: list[str]) -> DataFrame:
+        entry = F.struct("col", *[F.col(b).cast("float" if b == "scl" else "double").alias(b) for b in bands])
+        line = df.groupBy("scene_id", "row").agg(F.array_sort(F.collect_list(entry)).alias("_l"))
+        blocks = F.array(*[F.struct(F.lit(b.upper()).alias("band"), F.array(F.col(f"_l.{b}").cast("array<double>")).alias("px")) for b in bands])
+        return line.select("scene_id", F.inline(blocks), F.col("row").alias("row0"), F.lit(0).alias("col0"))
+
+    position = coarse.select("scene_id", "row", "col")
+    fine = raster.resample_nearest(position).withColumns({b: F.pmod(F.col("row") * k + F.col("col") * (k + 2) + F.col("scene_id") * 13, F.lit(4000)) + F.lit(low) for b, (k, low) in _FINE.items()})
+    long = pixels.explode_blocks(lines(fine, list(_FINE)).unionByName(lines(coarse, ["b11", "b12", "scl"])), keys)
+    ten, twenty = ("B02", "B03", "B04", "B08"), ("B11", "B12", "SCL")
+    wide = [pixels.bands_to_columns(long.filter(F.col("band").isin(*bands)), keys, bands) for bands in (ten, twenty)]
+    scenes = position.select("scene_id").distinct().withColumn("baseline", F.when(F.col("scene_id") % 2 == 1, "05.10").otherwise("02.14"))
+    raw = raster.raw_pixels(*wide, scenes, scene=keys).withColumn("date", F.lit("2024-01-01").cast("date"))
+    columns = t.spark.range(8).withColumnRenamed("id", "ix")
+    cells = columns.withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4)))).select(
+        F.format_string("C%d_%d", "ix", "iy").alias("cell_id"), "ix", "iy", F.lit(0.0).alias("centroid_lon"), F.lit(0.0).alias("centroid_lat"),
+    )
+    return raster.scene_features(raw, cells, offset="offset", origin_y=500.0, pixel=10.0, cell=100.0).drop("date", "centroid_lon", "centroid_lat")
+
+
 @query(f"""WITH {_PART_SQL}, fine AS (SELECT scene_id, "row" * 2 AS "row", col * 2 + 1 AS col, b11 FROM part_pixel)
 SELECT f.scene_id, f."row", f.col, f.b11, c.scl FROM fine f LEFT JOIN part_pixel c ON c.scene_id = f.scene_id AND c."row" = f."row" // 2 AND c.col = f.col // 2""")
 def align_scene_class(t: Tables) -> DataFrame:
@@ -181,7 +228,7 @@ cells AS (
     LATERAL (SELECT unnest(range(0, ceil(2 * a / 100)::BIGINT)) AS ix) i, LATERAL (SELECT unnest(range(0, ceil(2 * b / 100)::BIGINT)) AS iy) j),
 kept AS (
   SELECT * FROM cells WHERE greatest(minx - x, x - minx - 100, 0) / a + greatest(miny - y, y - miny - 100, 0) / b <= 1)
-SELECT area_id, 'CELL_' || lpad((row_number() OVER (PARTITION BY area_id ORDER BY ix, iy))::VARCHAR, 4, '0') AS cell_id, ix, iy,
+SELECT area_id, format('CELL_{{:04d}}', row_number() OVER (ORDER BY area_id, ix, iy)) AS cell_id, ix, iy,
   round(minx, 6) AS minx, round(miny, 6) AS miny FROM kept""")
 def grid_cells(t: Tables) -> DataFrame:
     cells = grid.spatial_grid(supplier_areas(t), cell_size=100.0, central_meridian=None)

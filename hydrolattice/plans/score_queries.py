@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_even
 from ..operators import drift, grid, learn, sampling, scores
 from ..operators.kpi import drift_by_scenario
-from ..settings import Drift, Gate, Training
+from ..settings import Gate, Training
 from .registry import Tables, query, r
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -155,6 +155,12 @@ SPLIT = date(1999, 1, 1)
 _WIDE = ", ".join(f"('{c}', {c})" for c in DRIFT_COLUMNS)
 
 
+# The series of the Kolmogorov distribution, from the same counts.
+_LAM = "sqrt(reference_rows::DOUBLE * current_rows / (reference_rows::DOUBLE + current_rows)) * ks"
+P_VALUE = f"""CASE WHEN {_LAM} < 0.2::DOUBLE THEN 1::DOUBLE ELSE least(greatest(2 * list_sum(list_transform(range(1, 101),
+  lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2::DOUBLE * k * k * ({_LAM}) * ({_LAM})))), 0::DOUBLE), 1::DOUBLE) END"""
+
+
 def drift_sql(current: str) -> str:
     """Distances between the rows before the split and ``current``, from ordered distinct values."""
     return f"""
@@ -168,7 +174,8 @@ cdf AS (SELECT feature, value, abs(sum(rn) OVER w / (sum(rn) OVER p)::DOUBLE - s
 spread AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, stddev_pop({c}) AS sd FROM reference" for c in DRIFT_COLUMNS)}),
 distance AS (SELECT feature, max(rt)::BIGINT AS reference_rows, max(ct)::BIGINT AS current_rows, max(gap) AS ks, sum(gap * step) AS wasserstein FROM cdf GROUP BY 1),
 scored AS (SELECT feature, 'Wasserstein distance (normed)' AS test, {r("wasserstein / greatest(sd, 0.001::DOUBLE)", 4)} AS score, 0.1::DOUBLE AS threshold,
-   wasserstein / greatest(sd, 0.001::DOUBLE) > 0.1::DOUBLE AS drift FROM distance JOIN spread USING (feature))"""
+   wasserstein / greatest(sd, 0.001::DOUBLE) > 0.1::DOUBLE AS drift, {r("wasserstein / greatest(sd, 0.001::DOUBLE)", 4)} AS distance, {r(P_VALUE, 4)} AS p_value
+   FROM distance JOIN spread USING (feature))"""
 
 
 _LATER = f"SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in DRIFT_COLUMNS)} FROM lineitem WHERE l_shipdate >= DATE '{SPLIT}'"
@@ -228,11 +235,30 @@ def drift_scenarios(t: Tables) -> DataFrame:
     return drift_by_scenario({"published": drift.drift_summary(_drift(t, False)), "simulated": drift.drift_summary(_drift(t, True))})
 
 
-@query()
+_HALF = "(o_orderkey * 2654435761 + 42) % 4294967296 < 2147483648"
+_ORDERS = "SELECT o_totalprice::DOUBLE AS o_totalprice, (o_orderkey % 97)::DOUBLE AS k97 FROM orders"
+
+
+def _halves_sql(scenario: str, shift: float) -> str:
+    """Scores of the second half of all orders, shifted, against the first."""
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS value, ref FROM sides" for c in ("o_totalprice", "k97"))
+    return f"""SELECT '{scenario}' AS scenario, scored.* FROM (WITH reference AS ({_ORDERS} WHERE {_HALF}),
+sides AS (SELECT 1 AS ref, * FROM reference UNION ALL SELECT 0, o_totalprice + {shift}::DOUBLE, k97 FROM ({_ORDERS} WHERE NOT {_HALF})), long AS ({long}),
+n AS (SELECT feature, value, sum(ref) AS rn, sum(1 - ref) AS cn FROM long GROUP BY 1, 2),
+cdf AS (SELECT feature, value, abs(sum(rn) OVER w / (sum(rn) OVER p)::DOUBLE - sum(cn) OVER w / (sum(cn) OVER p)::DOUBLE) AS gap, lead(value) OVER w - value AS step,
+   sum(rn) OVER p AS rt, sum(cn) OVER p AS ct FROM n WINDOW w AS (PARTITION BY feature ORDER BY value), p AS (PARTITION BY feature)),
+spread AS (SELECT 'o_totalprice' AS feature, stddev_pop(o_totalprice) AS sd FROM reference UNION ALL SELECT 'k97', stddev_pop(k97) FROM reference),
+d AS (SELECT feature, max(rt)::BIGINT AS reference_rows, max(ct)::BIGINT AS current_rows, max(gap) AS ks, sum(gap * step) AS wasserstein FROM cdf GROUP BY 1)
+SELECT feature, 'Wasserstein distance (normed)' AS test, {r("wasserstein / greatest(sd, 0.001::DOUBLE)", 4)} AS score, 0.1::DOUBLE AS threshold,
+  wasserstein / greatest(sd, 0.001::DOUBLE) > 0.1::DOUBLE AS drift, {r("wasserstein / greatest(sd, 0.001::DOUBLE)", 4)} AS distance, {r(P_VALUE, 4)} AS p_value FROM d JOIN spread USING (feature)) AS scored"""
+
+
+@query(f"{_halves_sql('control', 0.0)} UNION ALL {_halves_sql('simulated', 90000.0)}")
 def drift_sensitivity(t: Tables) -> DataFrame:
-    """Control and simulated scores on two halves of one fixed sample of order rows."""
+    """Control and simulated scores on two halves of all orders."""
     rows = t.orders.select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 97).cast("double").alias("k97"))
-    both = drift.sensitivity(rows, ["o_orderkey"], ["o_totalprice", "k97"], Drift(sample_rows=2000), shift={"o_totalprice": 90000.0})
+    half = _draw("o_orderkey") < (1 << 31)
+    both = drift.sensitivity(rows, ["o_orderkey"], ["o_totalprice", "k97"], shift={"o_totalprice": 90000.0}, half=half)
     return both["control"].withColumn("scenario", F.lit("control")).unionByName(both["simulated"].withColumn("scenario", F.lit("simulated")))
 
 

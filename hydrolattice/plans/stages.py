@@ -14,6 +14,7 @@ from ..operators import drift, kpi, labels, learn, maps, quality, raster, sampli
 from ..operators.weather import weather_features
 from ..settings import DEFAULTS, Settings
 from ..sources import tables
+from ..sources.pixels import bands_to_columns, explode_blocks
 from ..sources.weather_payloads import parse_payloads
 
 
@@ -40,8 +41,17 @@ class Stages:
         checks = quality.weather_suite(weather, self.settings).unionAll(quality.scene_suite(manifest, weather, self.settings))
         return self._report(checks, "raw", {"weather": weather, "scenes": manifest})
 
+    def satellite_from_blocks(self, blocks: DataFrame, scenes: DataFrame, cells: DataFrame, **placement) -> DataFrame:
+        """Raw band blocks (10 m and 20 m) to zonal features: resampled, then corrected by each scene's baseline."""
+        ten, twenty = ("B02", "B03", "B04", "B08"), ("B11", "B12", "SCL")
+        keys = [c for c in ("scene_id", "date", "area_id") if c in blocks.columns]
+        long = explode_blocks(blocks, keys)
+        fine, coarse = (bands_to_columns(long.filter(F.col("band").isin(*bands)), keys, bands) for bands in (ten, twenty))
+        pixels = raster.raw_pixels(fine, coarse, scenes, scene=keys)
+        return self.satellite(pixels, cells, offset="offset", **placement)
+
     def satellite(self, pixels: DataFrame, cells: DataFrame, **placement) -> DataFrame:
-        """Zonal features per (cell, date); scenes of one day are averaged."""
+        """Zonal features per (cell, date) of corrected pixels, or of raw ones with an ``offset`` column; scenes of one day are averaged."""
         return self._save(raster.merge_overlaps(raster.scene_features(pixels, cells, **placement)), "satellite", ["date"])
 
     def features(self) -> DataFrame:
@@ -109,12 +119,10 @@ class Stages:
         return row.withColumn("advisory", advisory_in(language, *inputs))
 
     def drift(self, cycle: date) -> tuple[DataFrame, DataFrame]:
-        """Scores per input and the summary: published date against the training period, on fixed samples."""
+        """Scores per input and the summary: published date against the training period, on all rows."""
         rows = self.table("features").filter(F.col("is_vegetated"))
         reference, _ = sampling.temporal_split(rows, "date", self.settings.training.split)
         current = rows.filter(F.col("date") == F.lit(cycle))
         drift.require_both(reference, current)
-        key, size, seed = ["cell_id", "date"], self.settings.drift.sample_rows, self.settings.training.seed
-        one, two = (sampling.fixed_sample(side, key, size, seed=seed) for side in (reference, current))
-        result = self._save(drift.drift_scores(one, two, self.settings.training.features, self.settings.drift), "drift_scores")
+        result = self._save(drift.drift_scores(reference, current, self.settings.training.features, self.settings.drift), "drift_scores")
         return result, self._save(drift.drift_summary(result, self.settings.drift), "drift_summary")

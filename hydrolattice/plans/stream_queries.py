@@ -32,7 +32,7 @@ SELECT strftime(make_timestamp(s), '%Y-%m-%d %H:%M:%S') AS window_start, event_t
 ERROR_SQL = f"""SELECT {_START} AS window_start, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) AS requests,
   {r("(count(*) FILTER (WHERE event_type = 'error'))::DOUBLE / count(*)", 4)} AS error_ratio FROM events GROUP BY 1"""
 P95_SQL = f"""WITH n AS (SELECT {_START} AS window_start, event_type, count(value) AS requests, {_COUNTS} FROM events GROUP BY 1, 2)
-SELECT window_start, event_type, requests, {r(_QUANTILE, 3)} AS latency_ms FROM n"""
+SELECT window_start, event_type, requests, {r(_QUANTILE, 3)} AS latency_ms, le_{len(requests.LATENCY_BOUNDS_MS) - 1} < requests * 0.95::DOUBLE AS over_bound FROM n"""
 CLASS_SQL = f"SELECT {_START} AS window_start, event_type, count(*) AS predictions FROM events GROUP BY 1, 2"
 
 
@@ -60,10 +60,10 @@ def _batch(t: Tables, job) -> DataFrame:
     return _text_start(job(requests.request_log(t.events)))
 
 
-def _stream(t: Tables, name: str, job) -> DataFrame:
-    """Read the log as a file stream, run to its end in complete mode, and return the result table."""
+def _stream(t: Tables, name: str, job, keys=("window_start", "event_type")) -> DataFrame:
+    """Read the log as a file stream, run to its end, and return the newest row of each window."""
     log = requests.request_log(t.stream("events", maxFilesPerTrigger=1000))
-    return _text_start(run_available(job(log), new_run(t.spark, name)))
+    return _text_start(run_available(job(log), new_run(t.spark, name), keys))
 
 
 @query(RATE_SQL)
@@ -93,7 +93,7 @@ def request_rate_stream(t: Tables) -> DataFrame:
 
 @query(ERROR_SQL)
 def error_ratio_stream(t: Tables) -> DataFrame:
-    return _stream(t, "error_ratio", _errors)
+    return _stream(t, "error_ratio", _errors, ["window_start"])
 
 
 @query(P95_SQL)

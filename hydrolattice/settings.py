@@ -37,14 +37,6 @@ FEATURE_RANGES = {
 }
 MANIFEST_COLUMNS = ("scene_id", "acquisition_date", "cloud_cover_pct", "mgrs_tile")
 
-# Season-average, initial, mid and late crop coefficients. Carried as data; no stage reads them.
-CROP_COEFFICIENTS = {
-    "Wheat": {"initial": 0.40, "mid_season": 1.15, "late_season": 0.35, "season_average": 0.90},
-    "Sugarcane": {"initial": 0.80, "mid_season": 1.25, "late_season": 0.75, "season_average": 1.10},
-    "Gram_Chana": {"initial": 0.40, "mid_season": 1.00, "late_season": 0.35, "season_average": 0.75},
-    "Jowar": {"initial": 0.35, "mid_season": 1.05, "late_season": 0.55, "season_average": 0.80},
-}
-
 # What-if shift: a hotter period with less canopy water.
 SCENARIO_SHIFT = {
     "temp_mean_c": 4.0, "temp_max_c": 4.0, "temp_8day_mean": 4.0, "temp_30day_mean": 4.0, "temp_8day_max": 4.0,
@@ -96,7 +88,6 @@ class Scenes:
     offset_from_baseline: float = 4.0
     min_band_bytes: int = 1000
     min_clear_pixels: int = 5
-    feature_version: int = 2
 
 
 @dataclass(frozen=True)
@@ -107,11 +98,10 @@ class Gate:
 
 @dataclass(frozen=True)
 class Drift:
-    sample_rows: int = 20_000
     share_alert: float = 0.3
     distance_threshold: float = 0.1
     p_threshold: float = 0.05
-    large_sample: int = 1000
+    method: str = "distance"  # or p_value
 
 
 @dataclass(frozen=True)

@@ -15,8 +15,7 @@ from ..functions.numeric import round_even, share
 
 WATERMARK = "10 minutes"
 
-# Upper bounds of the request and inference latency buckets, in milliseconds.
-INFERENCE_BOUNDS_MS = (5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0)
+# Upper bounds of the request latency buckets, in milliseconds.
 LATENCY_BOUNDS_MS = (5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 250.0, 500.0, 750.0, 1000.0, 2500.0, 5000.0, 7500.0, 10000.0)
 
 
@@ -49,7 +48,8 @@ def error_ratio(log: DataFrame, failed: Column, *, ts: str = "ts", width: str =
 def latency_quantile(log: DataFrame, by: Sequence[str], millis: str, *, ts: str = "ts", width: str = "5 minutes", quantile: float = 0.95, bounds: Sequence[float] = LATENCY_BOUNDS_MS) -> DataFrame:
     """Latency quantile per window from bucket counts, interpolated inside its bucket.
 
-    State is one count per bucket, whatever the traffic. Values above the last bound report that bound.
+    State is one count per bucket, whatever the traffic. Where the quantile lies above the last bound, that bound is reported
+    and ``over_bound`` is true.
     """
     value = F.col(millis)
     counts = [F.count_if(value <= b).alias(f"_le_{i}") for i, b in enumerate(bounds)]
@@ -62,7 +62,8 @@ def latency_quantile(log: DataFrame, by: Sequence[str], millis: str, *, ts: str
         inside = F.col(f"_le_{i}") - below
         at = low + (F.lit(float(bounds[i])) - low) * F.coalesce(share(rank - below, inside), F.lit(0.0))
         found = F.when(F.col(f"_le_{i}") >= rank, at).otherwise(F.lit(float(bounds[-1])) if i == len(bounds) - 1 else found)
-    return out.withColumn("latency_ms", round_even(found, 3)).drop(*[f"_le_{i}" for i in range(len(bounds))])
+    over = F.coalesce(F.col(f"_le_{len(bounds) - 1}") < rank, F.lit(False))
+    return out.withColumns({"latency_ms": round_even(found, 3), "over_bound": over}).drop(*[f"_le_{i}" for i in range(len(bounds))])
 
 
 def class_counts(log: DataFrame, label: str, *, ts: str = "ts", width: str = "5 minutes") -> DataFrame:

@@ -38,12 +38,18 @@ def test_statistics_match_numpy(samples, bucket):
         assert out[name]["reference_std"] == pytest.approx(a[name].std(), abs=1e-9)
 
 
-def test_large_and_small_samples_use_their_test(samples):
+@pytest.mark.parametrize("rows", [1000, 1001])
+def test_method_does_not_depend_on_rows(samples, rows):
     _, _, ref, cur = samples
-    large = {r["feature"]: r for r in drift.drift_scores(ref, cur, ["x", "y"]).collect()}
-    assert large["x"]["test"].startswith("Wasserstein") and large["x"]["drift"] and not large["y"]["drift"]
-    small = {r["feature"]: r for r in drift.drift_scores(ref, cur, ["x", "y"], Drift(large_sample=5000)).collect()}
-    assert small["x"]["test"] == "K-S p_value" and small["x"]["drift"] and small["y"]["score"] > 0.05
+    ref = ref.limit(rows)
+    far = {r["feature"]: r for r in drift.drift_scores(ref, cur, ["x", "y"]).collect()}
+    assert far["x"]["test"].startswith("Wasserstein") and far["x"]["drift"] and not far["y"]["drift"]
+    likely = {r["feature"]: r for r in drift.drift_scores(ref, cur, ["x", "y"], Drift(method="p_value")).collect()}
+    assert likely["x"]["test"] == "K-S p_value" and likely["x"]["drift"] and likely["y"]["score"] > 0.05
+    for name in ("x", "y"):
+        assert (far[name]["distance"], far[name]["p_value"]) == (likely[name]["distance"], likely[name]["p_value"])
+    with pytest.raises(ValueError, match="unknown drift method"):
+        drift.drift_scores(ref, cur, ["x"], Drift(method="size"))
 
 
 def test_direction(spark):
@@ -71,7 +77,7 @@ def test_summary_and_errors(spark, samples):
 def test_sensitivity_flags_only_what_moved(spark):
     rng = np.random.default_rng(11)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.normal(25, 3, 6000), rng.normal(10, 2, 6000)))], "id long, temp_max_c double, wind double")
-    out = drift.sensitivity(df, ["id"], ["temp_max_c", "wind"], Drift(sample_rows=2500))
+    out = drift.sensitivity(df, ["id"], ["temp_max_c", "wind"])
     assert not any(r["drift"] for r in out["control"].collect())
     assert {r["feature"]: r["drift"] for r in out["simulated"].collect()} == {"temp_max_c": True, "wind": False}
     moved = spark.createDataFrame([("temp_max_c",), ("ndwi_mean",)], "feature string")

@@ -94,6 +94,21 @@ def test_global_attribution(rows, forest):
     assert len(out) == 3 and out[0]["feature"] == "ndwi_mean"
 
 
+@pytest.mark.parametrize("classes", [1000, 1001])
+def test_class_weights_do_not_depend_on_the_number_of_classes(spark, classes):
+    df = spark.range(classes * 2).select((F.col("id") % classes).cast("double").alias("label")).unionByName(spark.createDataFrame([(None,)], "label double"))
+    out = learn.with_weights(df, "label")
+    assert out.count() == classes * 2 and out.filter("class_weight <> 1.0").count() == 0
+
+
+def test_global_attribution_takes_all_rows(spark, forest, rows):
+    unique = rows.withColumn("id", F.monotonically_increasing_id())
+    means = learn.feature_means(rows, FEATURES)
+    every = learn.impacts(forest, unique, ["id"], FEATURES, means, 2).groupBy("feature").agg(F.round(F.avg(F.abs("impact")), 6).alias("v"))
+    got = {r["feature"]: r["mean_abs_impact"] for r in learn.global_attribution(forest, unique, ["id"], FEATURES, means).collect()}
+    assert got == pytest.approx({r["feature"]: r["v"] for r in every.collect()}, abs=2e-6) and rows.count() > 500
+
+
 def test_three_way(rows):
     out = learn.three_way_test(rows, SMALL, ("forest",)).collect()
     assert {r["test"] for r in out} == {"unseen_cells", "later_dates", "later_dates_without_label_inputs"}

@@ -38,10 +38,10 @@ def test_weather_problems(weather):
     first = F.col("date") == date(2023, 1, 1)
     hot = quality.weather_suite(weather.withColumn("temp_max_c", F.when(first, 90.0).otherwise(F.col("temp_max_c"))))
     assert failed(hot) == {"value_ranges"}
-    assert hot.filter("check = 'value_ranges'").first()["detail"] == "Rows outside range: {'temp_max_c': 1}"
+    assert hot.filter("check = 'value_ranges'").first()["offending"] == ["temp_max_c=1"]
     empty = quality.weather_suite(weather.withColumn("et0_mm", F.lit(None).cast("double")))
     assert failed(empty) == {"missing_values"}
-    assert empty.filter("check = 'missing_values'").first()["detail"] == "Above 1.0%: {'et0_mm': 1.0}"
+    assert empty.filter("check = 'missing_values'").first()["offending"] == ["et0_mm=1.0"]
     assert failed(quality.weather_suite(weather.filter(F.col("date") < date(2024, 5, 1)))) == {"date_coverage"}
     gap = weather.unionByName(weather.filter(~first).withColumn("weather_point_id", F.lit("WX_001")))
     assert failed(quality.weather_suite(gap)) == {"no_gaps_between_points"}
@@ -53,13 +53,22 @@ def test_feature_problems(features):
     assert failed(quality.feature_suite(features.withColumn("ndvi_mean", F.when(first, 5.0).otherwise(F.col("ndvi_mean"))))) == {"value_ranges"}
     bad = quality.feature_suite(features.withColumn("target_stress_class", F.when(first, 7).otherwise(F.col("target_stress_class"))))
     assert failed(bad) == {"label_values"}
-    assert bad.filter("check = 'label_values'").first()["detail"] == "Unexpected labels: [7]"
+    assert bad.filter("check = 'label_values'").first()["offending"] == ["7"]
     twice = quality.feature_suite(features.unionByName(features.filter(first)))
     assert failed(twice) == {"one_row_per_cell_and_date"}
     early = features.filter(F.col("date") < date(2024, 2, 1))
     assert failed(quality.feature_suite(early)) == {"date_coverage", "all_classes_in_later_dates"}
 
 
+@pytest.mark.parametrize("labels", [20, 21, 57])
+def test_every_unexpected_label_is_listed(features, labels):
+    odd = features.withColumn("target_stress_class", F.when(F.col("cell_id") == "C0", F.col("target_stress_class") + 10 + F.pmod(F.hash("date"), F.lit(100_000))).otherwise(F.col("target_stress_class")))
+    more = odd.unionByName(features.filter("cell_id = 'C1'").limit(1).withColumn("target_stress_class", F.explode(F.sequence(F.lit(200_000), F.lit(200_000 + labels - 1)))))
+    row = quality.feature_suite(more).filter("check = 'label_values'").first()
+    want = more.filter("target_stress_class not in (0, 1, 2)").select("target_stress_class").distinct().count()
+    assert want >= labels and len(row["offending"]) == want and row["observed"] == str(want)
+
+
 def test_scene_problems(spark):
     days = spark.range(20).select(F.date_add(F.lit(date(2024, 1, 1)), F.col("id").cast("int")).alias("acquisition_date"))
     manifest = days.withColumns({c: F.lit("x") for c in MANIFEST_COLUMNS if c != "acquisition_date"})

@@ -85,6 +85,31 @@ def test_scene_features_and_overlaps(spark):
     assert (row["b08_mean"], row["scene_id"], row["cell_id"], row["valid_pixel_pct"]) == (600.0, "ALPHA", "C1", 100.0)
 
 
+def test_raw_bands_are_corrected_by_their_baseline(spark):
+    fine = spark.createDataFrame([(s, date(2024, 1, 1), r, c, 1500.0, 1500.0, 1500.0, 4000.0) for s in ("OLD", "NEW") for r in range(4) for c in range(4)], "scene_id string, date date, row int, col int, b02 double, b03 double, b04 double, b08 double")
+    coarse = spark.createDataFrame([(s, date(2024, 1, 1), r, c, 2000.0, 2500.0, 4) for s in ("OLD", "NEW") for r in range(2) for c in range(2)], "scene_id string, date date, row int, col int, b11 double, b12 double, scl int")
+    scenes = spark.createDataFrame([("OLD", "02.14"), ("NEW", "05.10")], "scene_id string, baseline string")
+    cells = spark.createDataFrame([("C1", 0, 0, 74.0, 18.0)], "cell_id string, ix long, iy long, centroid_lon double, centroid_lat double")
+    raw = raster.raw_pixels(fine, coarse, scenes)
+    found = {r["scene_id"]: r for r in raster.scene_features(raw, cells, offset="offset", origin_y=40.0, pixel=10.0, cell=40.0).collect()}
+    assert found["NEW"]["ndvi_mean"] == pytest.approx((3000 - 500) / (3000 + 500), abs=1e-4) and found["NEW"]["b11_mean"] == 1000.0
+    assert found["OLD"]["ndvi_mean"] == pytest.approx((4000 - 1500) / (4000 + 1500), abs=1e-4)
+    with pytest.raises(Exception, match="baseline is missing"):
+        raster.raw_pixels(fine, coarse, scenes.filter("scene_id = 'OLD'")).collect()
+
+
+def test_pixels_of_an_area_meet_its_own_cells(spark):
+    pixels = square_raster(spark, lambda r, c: True).drop("clear", "ndvi", "ndwi", "evi").withColumns({"scl": F.lit(4), "date": F.lit(date(2024, 1, 1)), "area_id": F.lit("A")})
+    cells = spark.createDataFrame([("A", "C1", 0, 0, 74.0, 18.0), ("B", "C2", 0, 0, 75.0, 18.0)], "area_id string, cell_id string, ix long, iy long, centroid_lon double, centroid_lat double")
+    assert [r["cell_id"] for r in raster.scene_features(pixels, cells, origin_y=200.0, pixel=10.0, cell=100.0).collect()] == ["C1"]
+
+
+def test_ids_of_several_areas_differ(spark):
+    areas = box_area(spark, 0.0, 0.0, 700.0, 500.0).unionByName(box_area(spark, 0.0, 0.0, 500.0, 500.0).withColumn("area_id", F.lit("ZZ")))
+    ids = [r["cell_id"] for r in grid.spatial_grid(areas, cell_size=250.0, central_meridian=None).collect()]
+    assert len(ids) == 10 and len(set(ids)) == 10
+
+
 def test_bilinear_matches_direct_formula(spark):
     rng = np.random.default_rng(2)
     h, w = 5, 6

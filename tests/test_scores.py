@@ -98,10 +98,10 @@ def test_group_holdout_keeps_groups_whole(spark):
     assert {r["cell"] for r in per if r["t"]} == {r["cell"] for r in group_holdout(df.repartition(3), "cell").filter("is_test").collect()}
 
 
-def test_fixed_sample_halves(spark):
+def test_fixed_sample_repeats(spark):
     df = spark.range(1000)
-    s = fixed_sample(df, ["id"], 200, halves=True).collect()
-    assert len(s) == 200 and sum(r["half"] for r in s) == 100
+    s = fixed_sample(df, ["id"], 200).collect()
+    assert len(s) == 200
     assert {r["id"] for r in s} == {r["id"] for r in fixed_sample(df.repartition(5), ["id"], 200).collect()}
     assert fixed_sample(df, ["id"], 5000).count() == 1000
 

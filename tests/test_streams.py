@@ -37,9 +37,10 @@ def read_stream(spark, folder):
 
 
 @pytest.mark.parametrize("job", JOBS)
-def test_complete_stream_equals_batch(spark, log_folder, tmp_path, job):
+def test_updated_stream_equals_batch(spark, log_folder, tmp_path, job):
     batch = JOBS[job](requests.request_log(spark.read.schema(LOG).parquet(f"{log_folder}/*")))
-    stream = runs.run_available(JOBS[job](read_stream(spark, log_folder)), str(tmp_path / "run"))
+    keys = [c for c in batch.columns if c in ("window_start", "route", "stress_class")]
+    stream = runs.run_available(JOBS[job](read_stream(spark, log_folder)), str(tmp_path / "run"), keys)
     assert sorted(map(tuple, stream.select(batch.columns).collect())) == sorted(map(tuple, batch.collect()))
 
 
@@ -55,6 +56,23 @@ def test_latency_interpolates_in_its_bucket(spark):
     assert out["latency_ms"] == 62.5  # rank 95 is half way through the 50-75 bucket
     high = [(datetime(2024, 1, 1), "/a", 200, 99999.0, "LOW")]
     assert requests.latency_quantile(requests.request_log(spark.createDataFrame(high, LOG)), ["route"], "ms").first()["latency_ms"] == 10000.0
+    assert requests.latency_quantile(requests.request_log(spark.createDataFrame(high, LOG)), ["route"], "ms").first()["over_bound"]
+    assert not out["over_bound"]
+
+
+def test_closed_windows_leave_the_state(spark, tmp_path):
+    source, start = tmp_path / "log", datetime(2024, 1, 1)
+    for k in range(6):  # files an hour apart
+        rows = [(start + timedelta(hours=k, seconds=i), "/a", 200, 1.0, "LOW") for i in range(50)]
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(str(source))
+    log = requests.request_log(spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(source)))
+    query = (
+        requests.class_counts(log, "stress_class").writeStream.outputMode("update").format("memory").queryName("closed_windows")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(held) >= 6 and max(held) <= 3
 
 
 def test_hidden_routes_are_left_out(spark):
@@ -95,14 +113,26 @@ def test_scene_batches(spark, tmp_path):
     assert spark.read.parquet(feats).groupBy("scene_id").count().filter("count = 2").count() == 3
 
 
-def test_scene_stream_drops_repeats(spark, tmp_path):
-    source = tmp_path / "items"
-    for k in range(2):
-        spark.createDataFrame([scene(1, 1), scene(2 + k, 2 + k)], SCENE).coalesce(1).write.mode("append").json(str(source))
-    stream = scenes.item_stream(spark, str(source), SCENE)
-    log = str(tmp_path / "log")
-    scenes.start(stream, log, str(tmp_path / "f"), str(tmp_path / "cp"), lambda d: d.select("scene_id", F.lit("C").alias("cell_id")), date(2023, 1, 1)).awaitTermination()
-    assert {r["scene_id"] for r in spark.read.parquet(log).collect()} == {"S1", "S2", "S3"}
+def test_scene_stream_retries_and_backfills(spark, tmp_path):
+    source, log, attempts = tmp_path / "items", str(tmp_path / "log"), []
+
+    def extract(found):
+        attempts.append(sorted(r["scene_id"] for r in found.select("scene_id").collect()))
+        return found.select("scene_id", F.lit("C").alias("cell_id")).withColumn("failed", (F.col("scene_id") == "S4") & F.lit(len(attempts) < 3))
+
+    def land(*rows):
+        spark.createDataFrame(list(rows), SCENE).coalesce(1).write.mode("append").json(str(source))
+        stream = scenes.item_stream(spark, str(source), SCENE)
+        scenes.start(stream, log, str(tmp_path / "f"), str(tmp_path / "cp"), extract, date(2023, 1, 1)).awaitTermination()
+
+    land(scene(4, 1), scene(5, 20, "05.10"))
+    land(scene(4, 1), scene(5, 20, "05.10"), scene(1, 20, "05.09"))  # S1 is an older copy of what is complete
+    old = ("S9", datetime(2023, 12, 1), 5.0, "43QDA", "05.09")
+    land(scene(4, 1), old, scene(6, 2, tile=None), scene(7, 2, tile=None))
+    land(scene(4, 1), old)
+    assert attempts == [["S4", "S5"], ["S4"], ["S4", "S6", "S7", "S9"], []]
+    status = {r["scene_id"]: r["status"] for r in scenes.manifest_of(spark.read.parquet(log)).collect()}
+    assert status == dict.fromkeys(["S4", "S5", "S6", "S7", "S9"], "complete")
 
 
 def test_scoring_refreshes_touched_dates(spark, tmp_path):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hydrolattice.operators.labels import climatic_labels, training_table
 from hydrolattice.operators.nearest import nearest_points
-from hydrolattice.operators.weather import ROLLING_FEATURES, weather_features, with_label_inputs
+from hydrolattice.operators.weather import ROLLING_FEATURES, Rolling, rolling, weather_features, with_label_inputs
 from hydrolattice.settings import WaterBalance
 from hydrolattice.sources.weather_payloads import issue_forecast, parse_payloads
 
@@ -88,6 +88,21 @@ def test_nearest_point_matches_brute_force_on_clusters(spark):
     assert dict(nearest_points(cells, points).collect()) == want
 
 
+@pytest.mark.parametrize("n", [60, 61, 64, 65, 101])
+def test_missing_coordinates_do_not_depend_on_the_number_of_points(spark, n):
+    points = spark.createDataFrame([(f"P{i:03d}", 70.0 + i / 100, 18.0) for i in range(n)] + [("P_none", None, 18.0)], "weather_point_id string, longitude double, latitude double")
+    cells = spark.createDataFrame([("A", 70.004, 18.1), ("B", None, 18.0), ("C", 70.0 + (n - 1) / 100, 17.0)], "cell_id string, centroid_lon double, centroid_lat double")
+    assert dict(nearest_points(cells, points).collect()) == {"A": "P000", "B": None, "C": f"P{n - 1:03d}"}
+
+
+@pytest.mark.parametrize("rows_per_task", [1, 10, 28, 29, 30, 40])
+def test_short_chunks_give_the_same_windows(spark, rows_per_task):
+    daily = spark.range(100).select(F.lit("P").alias("p"), F.date_add(F.lit(date(2024, 1, 1)), F.col("id").cast("int")).alias("d"), (F.col("id") * 7 % 13).cast("double").alias("v"))
+    features = [Rolling("s30", "sum", "v", 30), Rolling("m8", "max", "v", 8)]
+    whole = sorted(map(tuple, rolling(daily, "p", "d", features).collect()))
+    assert sorted(map(tuple, rolling(daily, "p", "d", features, rows_per_task=rows_per_task).select("p", "d", "v", "s30", "m8").collect())) == whole
+
+
 def test_training_table_joins_and_buffers(spark):
     satellite = spark.createDataFrame(
         [("C1", date(2024, 1, 2), 74.01, 18.0, 0.5, 0.02), ("C2", date(2024, 1, 2), 74.29, 18.0, 0.1, 0.5), ("C3", date(2024, 3, 1), 74.0, 18.0, 0.5, 0.1)],
