@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import map_texts, process_wide
-from .shingles import WordHashes, hashed, mixed, positions, words_of
+from .shingles import BulkHashes, mixed, positions
 
 ITEMS_PER_BLOCK = 50_000
 
@@ -84,10 +84,11 @@ class Benchmark:
     """Items with their shingles, weights and fingerprints."""
 
     def __init__(self, items: list[tuple[int, str]], matching: Matching):
-        self.matching, self.table = matching, WordHashes()
+        self.matching, self.hashes = matching, BulkHashes()
         self.ids, self.sizes, self.bags, prints = [], [], [], []
-        for item, text in items:
-            hashes = hashed(words_of(text), self.table)
+        every, places = self.hashes([t for _, t in items])
+        for (item, _), start, end in zip(items, places, places[1:], strict=False):
+            hashes = every[start:end]
             if len(hashes):
                 self.ids.append(item)
                 self.sizes.append(len(hashes))
@@ -120,24 +121,35 @@ class Benchmark:
             every += w * max(bag[s], other[s])
         return both / every
 
-    def matches(self, text: str) -> list[tuple[int, float, int]]:
-        """(item, similarity, first word) of the best window of each item found in a text."""
-        hashes = hashed(words_of(text), self.table)
-        if not len(hashes) or not len(self.known):
-            return []
-        starts: dict[int, list[np.ndarray]] = defaultdict(list)
+    def matches(self, texts: list[str]) -> list[list[tuple[int, float, int]]]:
+        """(item, similarity, first word) of the best window of each item found in each text."""
+        out: list[list[tuple[int, float, int]]] = [[] for _ in texts]
+        every, places = self.hashes(texts)
+        if not len(every) or not len(self.known):
+            return out
+        spans: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
         for n in [*self.short, self.matching.words]:
-            if n > len(hashes):
+            if n > len(every):
                 continue
-            at = positions(hashes, n)
+            at = positions(every, n)  # those that cross into the next text are left out below
             some = np.flatnonzero(self.flags[(at & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            for p in some[np.isin(at[some], self.known)].tolist():
-                for size in self.owners[int(at[p])]:
-                    low, high = max(0, p + n - size), min(p, len(hashes) - size)
-                    if low <= high:
-                        starts[size].append((low, high))
+            some = some[np.isin(at[some], self.known)]
+            owner = np.searchsorted(places, some, side="right") - 1
+            for p, k in zip(some.tolist(), owner.tolist(), strict=True):
+                start, end = int(places[k]), int(places[k + 1])
+                if p + n <= end:
+                    for size in self.owners[int(at[p])]:
+                        low, high = max(start, p + n - size), min(p, end - size)
+                        if low <= high:
+                            spans[k][size].add((low - start, high - start))
+        for k, sizes in spans.items():
+            out[k] = self.confirmed(every[places[k] : places[k + 1]], sizes)
+        return out
+
+    def confirmed(self, hashes: np.ndarray, sizes: dict[int, set[tuple[int, int]]]) -> list[tuple[int, float, int]]:
+        """Matches among the windows of each size that start inside the given spans."""
         best: dict[int, tuple[float, int]] = {}
-        for size, spans in starts.items():
+        for size, spans in sizes.items():
             own, index = self.index[size]
             for low, high in merged(spans):
                 zone = hashes[low : high + size]
@@ -149,10 +161,10 @@ class Benchmark:
         return [(self.ids[i], s, p) for i, (s, p) in sorted(best.items())]
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def merged(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping or touching spans as one."""
     out: list[list[int]] = []
-    for low, high in sorted(set(spans)):
+    for low, high in sorted(spans):
         if out and low <= out[-1][1] + 1:
             out[-1][1] = max(out[-1][1], high)
         else:
@@ -187,7 +199,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, text: str =
             finder = build()
 
             def compute(texts: list[str]):
-                found = [finder.matches(t) for t in texts]
+                found = finder.matches(texts)
                 return [[m[0] for m in f] for f in found], [[m[1] for m in f] for f in found], [[m[2] for m in f] for f in found]
 
             return compute
@@ -208,7 +220,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
 
         def compute_all(build=build):
             finder = build()
-            return lambda texts: [[bool(finder.matches(t)) for t in texts]]
+            return lambda texts: [[bool(m) for m in finder.matches(texts)]]
 
         docs = map_texts(docs, text, names, "_leaked boolean", compute_all).where(~F.col("_leaked")).select(*names)
     return docs

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_texts, marked, process_wide, stored
-from .shingles import MULTIPLIER, WordHashes, common, mixed, shingle_set
+from .shared import map_texts, marked, slices, stored
+from .shingles import MULTIPLIER, BulkHashes, common, mixed, shingle_sets
 
 STAR_PARTS = 32
 BLOCK_ROWS = 1024
@@ -75,17 +75,13 @@ class Sketcher:
         return total.view(np.int64)
 
 
-def _tools(linking: Linking) -> tuple[WordHashes, Sketcher]:
-    return process_wide("word hashes", WordHashes), Sketcher(linking)
-
-
 def sketches(docs: DataFrame, keep: list[str], text: str, linking: Linking) -> DataFrame:
     """``keep`` columns with n_shingles, class (digest of the set; missing for an empty one) and bands."""
     def build():
-        table, sketcher = _tools(linking)
+        hashes, sketcher = BulkHashes(), Sketcher(linking)
 
         def compute(texts: list[str]):
-            sets = [shingle_set(t, linking.words, table) for t in texts]
+            sets = shingle_sets(texts, linking.words, hashes)
             classes = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
             return [len(s) for s in sets], classes, [sketcher.bands(s) if len(s) else [] for s in sets]
 
@@ -103,16 +99,17 @@ def confirm_stars(pairs: DataFrame, texts: DataFrame, linking: Linking) -> DataF
     centres = dealt.select("a", "part").distinct().join(side, F.col("a") == F.col("_c")).select("a", "part", F.lit(0).alias("kind"), F.col("a").alias("b"), "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, _ = _tools(linking)
+        hashes = BulkHashes()
         centre, held = None, np.empty(0, np.uint64)
         for batch in batches:
             found = []
-            for a, kind, b, body in zip(*(batch.column(c).to_pylist() for c in ("a", "kind", "b", "body")), strict=True):
-                shingles = shingle_set(body, linking.words, table)
-                if kind == 0:
-                    centre, held = a, shingles
-                elif centre == a and linking.linked(len(held), len(shingles), common(held, shingles)):
-                    found.append((a, b))
+            for piece in slices(batch, batch.schema.get_field_index("body")):
+                sets = shingle_sets(piece.column("body").to_pylist(), linking.words, hashes)
+                for a, kind, b, shingles in zip(*(piece.column(c).to_pylist() for c in ("a", "kind", "b")), sets, strict=True):
+                    if kind == 0:
+                        centre, held = a, shingles
+                    elif centre == a and linking.linked(len(held), len(shingles), common(held, shingles)):
+                        found.append((a, b))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
@@ -188,11 +185,10 @@ def complete(buckets: DataFrame, groups: DataFrame, texts: DataFrame, linking: L
     )
 
     def run(table: pa.Table) -> pa.Table:
-        words, _ = _tools(linking)
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         block = np.array(table.column("block").to_pylist())
         names, groups_of = table.column("node").to_pylist(), table.column("component").to_pylist()
-        sets = [shingle_set(t, linking.words, words) for t in table.column("body").to_pylist()]
+        sets = shingle_sets(table.column("body").to_pylist(), linking.words, BulkHashes())
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         both = intersections([sets[k] for k in left], [sets[k] for k in right])
         sizes_of = np.array([len(s) for s in sets], np.float64)

@@ -10,6 +10,7 @@ import pytest
 from hydrolattice.llm import decontamination, near_dups, url_filters
 from hydrolattice.llm.components import components
 from hydrolattice.llm.queries import QUERIES, URL_RULES
+from hydrolattice.llm.shingles import BulkHashes
 
 from .common import documents, groups, shingles, words
 
@@ -132,3 +133,11 @@ def test_leak_query_finds_every_whole_passage(spark):
         assert len(bags[k] & shingles(docs[i])) >= 0.75 * len(bags[k])
 
 
+
+
+def test_bulk_hashes_tell_words_apart():
+    texts = ["One two  ONE\nthree", "", " \t", "two é É", "ab", "a b", "one"]
+    hashes, places = BulkHashes()(texts)
+    every = [w for t in texts for w in words(t)]
+    assert len(hashes) == len(every) and places.tolist() == [0, 4, 4, 4, 7, 8, 10, 11]
+    assert all((hashes[i] == hashes[j]) == (every[i] == every[j]) for i in range(len(every)) for j in range(len(every)))

@@ -160,7 +160,7 @@ def test_pipeline_equals_a_direct_version(spark):
     root = groups(rows, 80)
     rows = [(i, t) for i, t in rows if root[i] == i]
     finder = decontamination.Benchmark([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()], decontamination.Matching())
-    rows = [(i, t) for i, t in rows if not finder.matches(t)]
+    rows = [r for r, found in zip(rows, finder.matches([t for _, t in rows]), strict=True) if not found]
     coder = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, FOLDER).collect()}
     assert got == {i: len(coder.encode(t)) for i, t in rows}
