@@ -258,10 +258,15 @@ def weather_lattice(t: Tables) -> DataFrame:
     return grid.weather_lattice(supplier_areas(t), spacing=100.0)
 
 
+# Series of the transverse Mercator projection on the WGS 84 ellipsoid, written out for the SQL side.
+_SERIES = (0.0008377318206303529, 7.608527714248998e-07, 1.1976380015605232e-09, 2.4433761945220637e-12)
+_ECCENTRICITY, _SCALED_RADIUS = 0.08181919084262149, 6364902.166165086
+
+
 def _utm_sql() -> tuple[str, str]:
-    east = " + ".join(["eta", *[f"{a!r}::DOUBLE * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, a in enumerate(geodesy.FORWARD, 1)]])
-    north = " + ".join(["xi", *[f"{a!r}::DOUBLE * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, a in enumerate(geodesy.FORWARD, 1)]])
-    k = f"{geodesy.SCALE * geodesy._RADIUS!r}::DOUBLE"
+    east = " + ".join(["eta", *[f"{a!r}::DOUBLE * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, a in enumerate(_SERIES, 1)]])
+    north = " + ".join(["xi", *[f"{a!r}::DOUBLE * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, a in enumerate(_SERIES, 1)]])
+    k = f"{_SCALED_RADIUS!r}::DOUBLE"
     return f"500000 + {k} * ({east})", f"{k} * ({north})"
 
 
@@ -270,7 +275,7 @@ _EAST, _NORTH = _utm_sql()
 
 @query(f"""WITH p AS (SELECT c_custkey, 72.1::DOUBLE + c_nationkey / 5::DOUBLE AS lon, 18 + c_acctbal / 5000 AS lat FROM customer),
 s AS (SELECT *, radians(lat) AS phi, radians(lon - 75) AS lam FROM p),
-u AS (SELECT *, sinh(atanh(sin(phi)) - {geodesy._ECC!r}::DOUBLE * atanh({geodesy._ECC!r}::DOUBLE * sin(phi))) AS t FROM s),
+u AS (SELECT *, sinh(atanh(sin(phi)) - {_ECCENTRICITY!r}::DOUBLE * atanh({_ECCENTRICITY!r}::DOUBLE * sin(phi))) AS t FROM s),
 v AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM u)
 SELECT c_custkey, round({_EAST}, 3) AS easting, round({_NORTH}, 3) AS northing, round(lon, 7) AS lon_back, round(lat, 7) AS lat_back FROM v""")
 def utm_points(t: Tables) -> DataFrame:

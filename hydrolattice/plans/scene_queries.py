@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.spectral import baseline_offset
 from ..operators import manifest
+from ..operators.ordering import ranked
 from ..settings import BANDS, Scenes
 from ..sources.areas import area_info, polygon_features
 from ..sources.catalogue import ITEM_SCHEMA, scene_items
+from ..streaming import scenes as streamed_scenes
 from .registry import Tables, query
 
 
@@ -159,9 +161,38 @@ def latest_reprocessing(t: Tables) -> DataFrame:
     return kept.select("acquired", "tile", "scene_id", "baseline")
 
 
-@query()
+_LINE_COLUMNS = ("l_discount", "l_extendedprice", "l_linenumber", "l_orderkey", "l_partkey", "l_quantity", "l_returnflag", "l_suppkey")
+_ROW_TEXT = " || chr(31) || ".join(f"coalesce('=' || {c}::VARCHAR, '-')" for c in _LINE_COLUMNS)
+
+
+@query(f"""SELECT count(*) AS rows, sum(('0x' || substr(md5({_ROW_TEXT}), 1, 15))::BIGINT)::VARCHAR AS content FROM lineitem""")
 def content_fingerprint(t: Tables) -> DataFrame:
-    return manifest.fingerprint(t.lineitem)
+    return manifest.fingerprint(t.lineitem.select(*_LINE_COLUMNS)).withColumn("content", F.col("content").cast("string"))
+
+
+@query(f"""WITH {CATALOGUE_SQL},
+placed AS (SELECT *, coalesce(tile, 'scene ' || scene_id) AS spot FROM scenes WHERE acquired >= DATE '1997-01-01'),
+newest AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY acquired, spot ORDER BY baseline::DOUBLE DESC, scene_id) = 1),
+log AS (SELECT * FROM scenes WHERE length(scene_id) % 3 > 0 AND cloud_cover < 30),
+done AS (SELECT acquired, coalesce(tile, 'scene ' || scene_id) AS spot, max(baseline) AS baseline FROM log WHERE cloud_cover < 15 GROUP BY 1, 2)
+SELECT n.scene_id, n.acquired, n.tile, n.baseline FROM newest n LEFT JOIN done d USING (acquired, spot)
+WHERE n.scene_id NOT IN (SELECT scene_id FROM log WHERE cloud_cover < 15) AND (d.baseline IS NULL OR n.baseline > d.baseline)""")
+def scenes_to_process(t: Tables) -> DataFrame:
+    """Catalogue scenes against an outcome log of clear ones (complete) and cloudy ones (failed)."""
+    listed = catalogue(t)
+    log = listed.filter((F.length("scene_id") % 3 > 0) & (F.col("cloud_cover") < 30)).select(
+        "scene_id", F.to_date("acquired").alias("acquisition_date"), F.col("tile").alias("mgrs_tile"), "baseline",
+        F.when(F.col("cloud_cover") < 15, "complete").otherwise("failed").alias("status"),
+    )
+    found = streamed_scenes.scenes_to_process(listed, log, date(1997, 1, 1))
+    return found.select("scene_id", F.to_date("acquired").alias("acquired"), "tile", "baseline")
+
+
+@query("SELECT row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS place, o_orderkey AS scene_id, CAST(o_orderdate AS DATE) AS acquisition_date FROM orders")
+def chronological_scenes(t: Tables) -> DataFrame:
+    """Scenes in order of date and id, each with its place."""
+    ordered = manifest.chronological(order_scenes(t)).select("scene_id", "acquisition_date")
+    return ranked(ordered.withColumn("_all", F.lit(0)), ["_all"], ["acquisition_date", "scene_id"], "place", "_rows").select("place", "scene_id", "acquisition_date")
 
 
 @query("""SELECT s_suppkey AS area_id, s_nationkey::DOUBLE AS min_lon, round(s_acctbal / 1000, 3) AS min_lat, s_nationkey + 2::DOUBLE AS max_lon,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_even
 from ..operators import drift, grid, learn, sampling, scores
 from ..operators.kpi import drift_by_scenario
+from ..operators.manifest import keep_last
 from ..settings import Gate, Training
 from .registry import Tables, query, r
 
@@ -316,6 +317,11 @@ def model_rows(t: Tables) -> DataFrame:
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
+def one_per_key(rows: DataFrame) -> DataFrame:
+    """One row per key, by a total order of all its columns."""
+    return keep_last(rows, ROW_KEY, [F.struct(*sorted(set(rows.columns) - set(ROW_KEY))).asc()])
+
+
 def _forest(t: Tables):
     return learn.train(model_rows(t), "forest", MODEL_COLUMNS, "target", QUERY_TRAINING)
 
@@ -338,13 +344,13 @@ def forest_importances(t: Tables) -> DataFrame:
 
 @query()
 def attribution_topk(t: Tables) -> DataFrame:
-    rows = model_rows(t).dropDuplicates(ROW_KEY)
+    rows = one_per_key(model_rows(t))
     return learn.top_drivers(learn.impacts(_forest(t), rows, ROW_KEY, MODEL_COLUMNS, learn.feature_means(rows, MODEL_COLUMNS)), ROW_KEY)
 
 
 @query()
 def global_attribution(t: Tables) -> DataFrame:
-    rows = model_rows(t).dropDuplicates(ROW_KEY)
+    rows = one_per_key(model_rows(t))
     return learn.global_attribution(_forest(t), rows, ROW_KEY, MODEL_COLUMNS, learn.feature_means(rows, MODEL_COLUMNS))
 
 

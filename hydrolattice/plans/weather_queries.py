@@ -9,7 +9,8 @@ from ..functions import water
 from ..operators.kpi import cells_per_date, latest_covered_date
 from ..operators.labels import buffered_labels, climatic_labels
 from ..operators.profile import class_shares
-from ..operators.weather import weather_features
+from ..operators.learn import fill_inputs
+from ..operators.weather import weather_features, with_label_inputs
 from ..settings import CLASS_LABELS, WaterBalance
 from ..sources.weather_payloads import flatten_payloads
 from .registry import Tables, query, r
@@ -29,6 +30,24 @@ def daily_readings(t: Tables) -> DataFrame:
     )
 
 
+@query("""WITH daily AS (SELECT user_id AS weather_point_id, CAST(ts AS DATE) AS date, coalesce(sum(value) FILTER (WHERE event_type = 'purchase'), 0::DOUBLE) AS rain_mm,
+  coalesce(sum(value) FILTER (WHERE event_type = 'click'), 0::DOUBLE) AS et0_mm FROM events GROUP BY 1, 2)
+SELECT weather_point_id, date, round(sum(et0_mm) OVER w, 6) AS et0_8day_sum, round(sum(rain_mm) OVER w, 6) AS rainfall_8day FROM daily
+WINDOW w AS (PARTITION BY weather_point_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)""")
+def fallback_sums(t: Tables) -> DataFrame:
+    """Eight-day sums for readings that lack them, with liquid rain where there is no other."""
+    daily = daily_readings(t).select("weather_point_id", "date", F.col("rainfall_mm").alias("rain_mm"), "et0_mm")
+    return with_label_inputs(daily).select("weather_point_id", "date", *[F.round(c, 6).alias(c) for c in ("et0_8day_sum", "rainfall_8day")])
+
+
+@query("""SELECT doc_id, coalesce(quality::DOUBLE, 0.5::DOUBLE) AS quality, coalesce(toxic::DOUBLE, 0::DOUBLE) AS toxic, 7::DOUBLE AS humidity_pct, 0::DOUBLE AS rainfall_8day
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def filled_inputs(t: Tables) -> DataFrame:
+    """Labels as model inputs: missing values and absent columns get their default, else zero."""
+    rows = t.documents.select("doc_id").join(t.labels, "doc_id", "left")
+    return fill_inputs(rows, ["quality", "toxic", "humidity_pct", "rainfall_8day"], {"quality": 0.5, "humidity_pct": 7.0})
+
+
 def labelled_days(t: Tables) -> DataFrame:
     return climatic_labels(weather_features(daily_readings(t)), EVENT_BALANCE)
 
