@@ -13,7 +13,7 @@ from ..functions.advice import advisory_in
 from ..operators import drift, kpi, labels, learn, maps, quality, raster, sampling, scores
 from ..operators.weather import weather_features
 from ..settings import DEFAULTS, Settings
-from ..sources import tables
+from ..sources import schemas, tables
 from ..sources.pixels import bands_to_columns, explode_blocks
 from ..sources.weather_payloads import parse_payloads
 
@@ -25,7 +25,9 @@ class Stages:
     settings: Settings = DEFAULTS
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        """A stored table; one with a declared schema is held to its types, and NaN is missing."""
+        df = tables.read_parquet(self.spark, f"{self.root}/{name}")
+        return tables.require_types(df, schemas.BY_TABLE[name]) if name in schemas.BY_TABLE else df
 
     def _save(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
         tables.write_parquet(df, f"{self.root}/{name}", partition_by)
@@ -44,6 +46,7 @@ class Stages:
     def satellite_from_blocks(self, blocks: DataFrame, scenes: DataFrame, cells: DataFrame, **placement) -> DataFrame:
         """Raw band blocks (10 m and 20 m) to zonal features: resampled, then corrected by each scene's baseline."""
         ten, twenty = ("B02", "B03", "B04", "B08"), ("B11", "B12", "SCL")
+        tables.require_types(blocks.drop("px"), schemas.PIXEL_BLOCKS)
         keys = [c for c in ("scene_id", "date", "area_id") if c in blocks.columns]
         long = explode_blocks(blocks, keys)
         fine, coarse = (bands_to_columns(long.filter(F.col("band").isin(*bands)), keys, bands) for bands in (ten, twenty))

@@ -1,4 +1,4 @@
-"""Declared schemas of every stored table."""
+"""Declared schemas of stored tables, checked when a stage reads one."""
 
 WEATHER_DAILY = (
     "weather_point_id string, latitude double, longitude double, date date, temp_max_c double, temp_min_c double, "
@@ -21,10 +21,6 @@ TRAINING = SATELLITE + (
     "effective_rainfall_8day_mm double, is_vegetated boolean, water_deficit_8day_mm double, target_stress_class int, "
     "target_stress_label string"
 )
-SCENE_MANIFEST = "scene_id string, acquisition_date date, cloud_cover_pct double, mgrs_tile string, status string, paths map<string,string>"
-FEATURE_MANIFEST = (
-    "scene_id string, acquisition_date date, mgrs_tile string, cloud_cover_pct double, cells int, status string, feature_file string"
-)
 RESULTS = (
     "date date, cell_id string, stress_code int, confidence double, priority int, ndvi_mean double, ndwi_mean double, "
     "temp_max_c double, et0_8day_sum double, rainfall_8day double"
@@ -32,8 +28,6 @@ RESULTS = (
 GRID = (
     "cell_id string, minx double, miny double, maxx double, maxy double, centroid_lon double, centroid_lat double, ix bigint, iy bigint"
 )
-PIXELS = (
-    "scene_id string, date date, row int, col int, b02 double, b03 double, b04 double, b08 double, b11 double, b12 double, scl int"
-)
 PIXEL_BLOCKS = "scene_id string, date date, band string, row0 int, col0 int, px array<array<float>>"
-REQUEST_LOG = "ts timestamp, method string, route string, status int, ms double, stress_class string"
+
+BY_TABLE = {"weather": WEATHER_FEATURES, "satellite": SATELLITE, "features": TRAINING, "results": RESULTS, "grid": GRID}

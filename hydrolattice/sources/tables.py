@@ -32,6 +32,15 @@ def read_parquet(spark: SparkSession, path, columns: Sequence[str] | None = None
     return without_nan(df.select(*columns) if columns else df)
 
 
+def require_types(df: DataFrame, schema: str) -> DataFrame:
+    """The table itself; raises where one of its columns has another type than declared. Other columns may come or miss."""
+    declared = {f.name: f.dataType for f in T._parse_datatype_string(schema)}
+    wrong = [f"{f.name} is {f.dataType.simpleString()}, not {declared[f.name].simpleString()}" for f in df.schema if f.name in declared and f.dataType != declared[f.name]]
+    if wrong:
+        raise ValueError(f"column types differ from the declared ones: {'; '.join(wrong)}")
+    return df
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), *, replace_partitions: bool = False) -> None:
     """Overwrite a table, or only the partitions present in ``df``.
 

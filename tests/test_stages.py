@@ -165,3 +165,18 @@ def test_all_stages(spark, tmp_path, area_file):
     assert scores.count() == 25 and summary.first()["drifted_share"] >= 0
     with pytest.raises(ValueError, match="not in the table"):
         job.predict(model, cells, date(1999, 1, 1))
+
+
+def test_blocks_to_features(spark, tmp_path):
+    """Raw 1500 and 4000 are 500 and 3000 after the offset of baseline 05.10."""
+    ten = [("S1", date(2024, 1, 1), b, 0, 0, [[v] * 4] * 4) for b, v in (("B02", 1500.0), ("B03", 1500.0), ("B04", 1500.0), ("B08", 4000.0))]
+    twenty = [("S1", date(2024, 1, 1), b, 0, 0, [[v] * 2] * 2) for b, v in (("B11", 2000.0), ("B12", 2500.0), ("SCL", 4.0))]
+    blocks = spark.createDataFrame(ten + twenty, schemas.PIXEL_BLOCKS)
+    scenes = spark.createDataFrame([("S1", "05.10")], "scene_id string, baseline string")
+    cells = spark.createDataFrame([("C1", 0, 0, 74.0, 18.0)], "cell_id string, ix long, iy long, centroid_lon double, centroid_lat double")
+    job = Stages(spark, str(tmp_path / "run"))
+    row = job.satellite_from_blocks(blocks, scenes, cells, origin_y=40.0, pixel=10.0, cell=40.0).first()
+    assert row["ndvi_mean"] == pytest.approx(2500 / 3500, abs=1e-4) and (row["b04_mean"], row["b11_mean"], row["valid_pixel_pct"]) == (500.0, 1000.0, 100.0)
+    job.spark.createDataFrame([("C1", "x")], "cell_id string, ndvi_mean string").write.parquet(f"{job.root}/features")
+    with pytest.raises(ValueError, match="ndvi_mean is string, not double"):
+        job.table("features")
