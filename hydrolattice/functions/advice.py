@@ -20,24 +20,26 @@ FIELDS = ("urgency", "title", "recommendation", "actionable_steps")
 # Texts per rule and language: urgency, title, recommendation, steps. {temp}, {ndwi} and {rain} are filled in.
 TEXTS = {
     1: {
-        "en": ("Within 1-2 days", "Irrigate now",
-               "Strong water stress in hot weather ({temp}°C); leaf water index is {ndwi}. Give water at once to protect the yield.",
-               ["Ask for the next canal turn or use a well", "Water in the early morning or the evening"]),
-        "mr": ("१-२ दिवसांत", "आता पाणी द्या",
-               "उष्ण हवामानात ({temp}°C) पिकावर मोठा ताण आहे; पानातील पाणी निर्देशांक {ndwi}. लगेच पाणी द्या.",
-               ["पुढची कालवा पाळी मागा किंवा विहीर वापरा", "सकाळी लवकर किंवा सायंकाळी पाणी द्या"]),
-        "hi": ("१-२ दिन में", "अभी पानी दें",
-               "गर्म मौसम ({temp}°C) में फसल पर भारी तनाव है; पत्ती जल सूचकांक {ndwi}। तुरंत पानी दें।",
-               ["अगली नहर बारी माँगें या कुआँ चलाएँ", "सुबह जल्दी या शाम को पानी दें"]),
+        "en": ("1-2 days", "High stress, urgent",
+               "Class HIGH at {temp}°C with a leaf water index of {ndwi}: heat, demand or dry leaves are past their limit.",
+               ["Put this cell first on the watering list", "Compare tomorrow's temperature with 33°C"]),
+        "mr": ("१-२ दिवस", "जास्त ताण, तातडीचे",
+               "वर्ग HIGH; तापमान {temp}°C, पान जल निर्देशांक {ndwi}: उष्णता, मागणी किंवा कोरडी पाने मर्यादेबाहेर आहेत.",
+               ["ही जागा पाणी यादीत पहिली ठेवा", "उद्याचे तापमान ३३°C शी ताडून पाहा"]),
+        "hi": ("१-२ दिन", "अधिक तनाव, तत्काल",
+               "वर्ग HIGH; तापमान {temp}°C, पत्ती जल सूचकांक {ndwi}: गर्मी, माँग या सूखी पत्तियाँ सीमा से बाहर हैं।",
+               ["इस खंड को सिंचाई सूची में पहले रखें", "कल के तापमान की ३३°C से तुलना करें"]),
     },
     2: {
-        "en": ("Within 3-5 days", "Plan irrigation",
-               "Water stress at a mild temperature ({temp}°C). Use the coming canal turn.",
-               ["Check the date of your canal turn", "Clear the field channels"]),
-        "mr": ("३-५ दिवसांत", "सिंचनाचे नियोजन करा", "मध्यम तापमानात ({temp}°C) पाण्याचा ताण आहे. येणारी कालवा पाळी वापरा.",
-               ["कालवा पाळीची तारीख पाहा", "शेतातील पाट साफ करा"]),
-        "hi": ("३-५ दिन में", "सिंचाई की योजना बनाएँ", "मध्यम तापमान ({temp}°C) में जल तनाव है। आने वाली नहर बारी का उपयोग करें।",
-               ["नहर बारी की तारीख देखें", "खेत की नालियाँ साफ करें"]),
+        "en": ("3-5 days", "High stress, limits kept",
+               "Class HIGH, but {temp}°C, the demand and the leaf water index are inside their limits: there is time to schedule.",
+               ["Book water for this cell this week", "Score it again after the next scene"]),
+        "mr": ("३-५ दिवस", "जास्त ताण, मर्यादेत",
+               "वर्ग HIGH, पण {temp}°C, मागणी आणि पान जल निर्देशांक मर्यादेत आहेत: वेळ ठरवता येईल.",
+               ["या आठवड्यात या जागेसाठी पाणी ठरवा", "पुढील प्रतिमेनंतर पुन्हा मोजा"]),
+        "hi": ("३-५ दिन", "अधिक तनाव, सीमा में",
+               "वर्ग HIGH, पर {temp}°C, माँग और पत्ती जल सूचकांक सीमा में हैं: समय तय किया जा सकता है।",
+               ["इस सप्ताह इस खंड के लिए पानी तय करें", "अगली छवि के बाद फिर आँकें"]),
     },
     3: {
         "en": ("Watch", "Rain is holding", "{rain} mm of recent rain still feeds the soil. Look again in about five days.",

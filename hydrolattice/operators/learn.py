@@ -196,6 +196,7 @@ def top_drivers(impact: DataFrame, key: Sequence[str], top_k: int = 4) -> DataFr
         F.coalesce(F.try_element_at(labels, F.col("e.feature")), F.col("e.feature")).alias("label"),
         round_even("e.value", 3).alias("value"),
         F.coalesce(round_even(share(F.abs("e.impact"), "_all") * 100, 1), F.lit(0.0)).alias("impact_pct"),
+        # Direction codes and arrows of a driver.
         F.when(rises, "increases_stress").otherwise("mitigates_stress").alias("direction"),
         F.when(rises, "↑").otherwise("↓").alias("arrow"),
     ).withColumn(
