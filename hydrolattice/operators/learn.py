@@ -61,14 +61,15 @@ def with_weights(df: DataFrame, label: str, output: str = "class_weight") -> Dat
 def estimator(name: str, settings: Training = Training(), *, label: str = "label", weight: str = "class_weight"):
     """An untrained model; all three correct for class imbalance through weights."""
     common = {"featuresCol": "features", "labelCol": label, "weightCol": weight, "seed": settings.seed}
+    bins = {"maxBins": settings.max_bins}
     if name == "forest":
-        return RandomForestClassifier(numTrees=settings.forest_trees, maxDepth=settings.forest_depth, **common)
+        return RandomForestClassifier(numTrees=settings.forest_trees, maxDepth=settings.forest_depth, **bins, **common)
     if name in MODELS:
         # The light model stops at depth 5: 31 leaves or fewer.
         depth = settings.boost_depth if name == "boosted_deep" else min(settings.boost_depth, 5)
         boost = GBTClassifier(
             maxIter=settings.boost_rounds, maxDepth=depth,
-            stepSize=settings.boost_step, subsamplingRate=settings.boost_subsample, **common,
+            stepSize=settings.boost_step, subsamplingRate=settings.boost_subsample, **bins, **common,
         )
         return OneVsRest(classifier=boost, featuresCol="features", labelCol=label, weightCol=weight)
     raise ValueError(f"unknown model: {name}")

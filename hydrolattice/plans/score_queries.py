@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -303,9 +304,14 @@ def scenario_shift(t: Tables) -> DataFrame:
     return moved.select("l_orderkey", "l_partkey", "l_suppkey", *[round_even(c, 4).alias(c) for c in SHIFT])
 
 
+ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
 # Models on whole line items: what a return flag looks like from the numbers of a line.
 MODEL_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
 QUERY_TRAINING = Training(split=SPLIT, features=MODEL_COLUMNS, target="target", forest_trees=10, forest_depth=5, boost_rounds=4, boost_depth=3)
+# One tree with a candidate at every value fits the two-input target exactly, cutting half-way between values.
+EXACT_TREE = replace(QUERY_TRAINING, forest_trees=1, max_bins=64)
+_TARGET = "CASE WHEN l_quantity < 20 THEN 0 WHEN l_discount < 0.05::DOUBLE THEN 1 ELSE 2 END"
 
 
 def model_rows(t: Tables) -> DataFrame:
@@ -314,7 +320,6 @@ def model_rows(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").alias("date"), *MODEL_COLUMNS[:-1], target.alias("target"))
 
 
-ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def one_per_key(rows: DataFrame) -> DataFrame:
@@ -326,15 +331,22 @@ def _forest(t: Tables):
     return learn.train(model_rows(t), "forest", MODEL_COLUMNS, "target", QUERY_TRAINING)
 
 
-@query()
+_KEY_SQL = ", ".join(ROW_KEY).replace("l_linenumber", "l_linenumber::DOUBLE AS l_linenumber")  # model inputs are doubles
+
+
+def _exact_tree(t: Tables):
+    return learn.train(model_rows(t), "forest", MODEL_COLUMNS, "target", EXACT_TREE)
+
+
+@query(f"SELECT {_KEY_SQL}, {_TARGET} AS target, {_TARGET} AS stress_code, 1::DOUBLE AS confidence FROM lineitem")
 def forest_scores(t: Tables) -> DataFrame:
-    return learn.score(_forest(t), model_rows(t), MODEL_COLUMNS).select(*ROW_KEY, "target", "stress_code", "confidence")
+    return learn.score(_exact_tree(t), model_rows(t), MODEL_COLUMNS).select(*ROW_KEY, "target", "stress_code", "confidence")
 
 
-@query()
+@query(f"SELECT {_KEY_SQL}, {_TARGET} AS target, {_TARGET} AS stress_code FROM lineitem")
 def boosted_scores(t: Tables) -> DataFrame:
-    model = learn.train(model_rows(t), "boosted_light", MODEL_COLUMNS, "target", QUERY_TRAINING)
-    return learn.score(model, model_rows(t), MODEL_COLUMNS).select(*ROW_KEY, "target", "stress_code", "confidence")
+    model = learn.train(model_rows(t), "boosted_light", MODEL_COLUMNS, "target", EXACT_TREE)
+    return learn.score(model, model_rows(t), MODEL_COLUMNS).select(*ROW_KEY, "target", "stress_code")
 
 
 @query()
@@ -348,10 +360,20 @@ def attribution_topk(t: Tables) -> DataFrame:
     return learn.top_drivers(learn.impacts(_forest(t), rows, ROW_KEY, MODEL_COLUMNS, learn.feature_means(rows, MODEL_COLUMNS)), ROW_KEY)
 
 
-@query()
+_UNIQUE_SQL = f"""u AS (SELECT *, {_TARGET} AS target FROM lineitem QUALIFY row_number() OVER (PARTITION BY {", ".join(ROW_KEY)}
+  ORDER BY l_shipdate, l_discount, l_extendedprice, l_quantity, l_tax) = 1),
+m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d FROM u),
+v AS (SELECT u.*, CASE WHEN m.q < 19.5::DOUBLE THEN 0 WHEN l_discount < 0.045::DOUBLE THEN 1 ELSE 2 END AS by_quantity,
+  CASE WHEN l_quantity < 19.5::DOUBLE THEN 0 WHEN m.d < 0.045::DOUBLE THEN 1 ELSE 2 END AS by_discount FROM u, m)"""
+
+
+@query(f"""WITH {_UNIQUE_SQL}, a AS (SELECT 'l_quantity' AS feature, avg(abs((target = 2)::INTEGER - (by_quantity = 2)::INTEGER)) AS i FROM v
+  UNION ALL SELECT 'l_discount', avg(abs((target = 2)::INTEGER - (by_discount = 2)::INTEGER)) FROM v
+  UNION ALL SELECT unnest(['l_extendedprice', 'l_tax', 'l_linenumber']), 0)
+SELECT feature, {r("i", 6)} AS mean_abs_impact FROM a""")
 def global_attribution(t: Tables) -> DataFrame:
     rows = one_per_key(model_rows(t))
-    return learn.global_attribution(_forest(t), rows, ROW_KEY, MODEL_COLUMNS, learn.feature_means(rows, MODEL_COLUMNS))
+    return learn.global_attribution(_exact_tree(t), rows, ROW_KEY, MODEL_COLUMNS, learn.feature_means(rows, MODEL_COLUMNS))
 
 
 @query()

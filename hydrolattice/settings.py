@@ -114,6 +114,7 @@ class Training:
     target: str = "target_stress_class"
     forest_trees: int = 100
     forest_depth: int = 12
+    max_bins: int = 32  # split candidates per input
     boost_rounds: int = 150
     boost_depth: int = 6
     boost_step: float = 0.08

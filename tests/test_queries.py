@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test table
 
 SQL = entry.oracle_sql()
 RUNS = entry.queries()
-SLOW = {"three_way_test", "boosted_scores"}  # covered by test_learn on a small table
+SLOW = {"three_way_test"}  # covered by test_learn on a small table
 
 
 @pytest.fixture(scope="module")
