@@ -354,12 +354,6 @@ def forest_importances(t: Tables) -> DataFrame:
     return learn.importances(_forest(t), MODEL_COLUMNS, t.spark).limit(10)
 
 
-@query()
-def attribution_topk(t: Tables) -> DataFrame:
-    rows = one_per_key(model_rows(t))
-    return learn.top_drivers(learn.impacts(_forest(t), rows, ROW_KEY, MODEL_COLUMNS, learn.feature_means(rows, MODEL_COLUMNS)), ROW_KEY)
-
-
 _UNIQUE_SQL = f"""u AS (SELECT *, {_TARGET} AS target FROM lineitem QUALIFY row_number() OVER (PARTITION BY {", ".join(ROW_KEY)}
   ORDER BY l_shipdate, l_discount, l_extendedprice, l_quantity, l_tax) = 1),
 m AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d FROM u),
@@ -367,6 +361,22 @@ v AS (SELECT u.*, CASE WHEN m.q < 19.5::DOUBLE THEN 0 WHEN l_discount < 0.045::D
   CASE WHEN l_quantity < 19.5::DOUBLE THEN 0 WHEN m.d < 0.045::DOUBLE THEN 1 ELSE 2 END AS by_discount FROM u, m)"""
 
 
+_PARTS = ", ".join(f"{{'feature': '{c}', 'value': {c}::DOUBLE, 'i': {i}}}" for c, i in (
+    ("l_discount", "(by_discount <> target)::INTEGER"), ("l_quantity", "(by_quantity <> target)::INTEGER"), ("l_extendedprice", "0"), ("l_linenumber", "0"), ("l_tax", "0"),
+))
+
+
+@query(f"""WITH {_UNIQUE_SQL}, p AS (SELECT {_KEY_SQL}, target AS class, unnest([{_PARTS}]) AS e FROM v),
+d AS (SELECT {", ".join(ROW_KEY)}, class, e.feature AS feature, e.value AS value, e.i AS i, sum(e.i) OVER k AS total, row_number() OVER (k ORDER BY -e.i, e.feature) AS rank
+  FROM p WINDOW k AS (PARTITION BY {", ".join(ROW_KEY)})),
+f AS (SELECT {", ".join(ROW_KEY)}, class, rank, feature, feature AS label, {r("value", 3)} AS value, CASE WHEN total = 0 THEN 0::DOUBLE ELSE {r("i * 100::DOUBLE / total", 1)} END AS impact_pct,
+  CASE WHEN i > 0 THEN 'increases_stress' ELSE 'mitigates_stress' END AS direction, CASE WHEN i > 0 THEN '↑' ELSE '↓' END AS arrow FROM d WHERE rank <= 4)
+SELECT *, arrow || ' ' || label || ' (' || printf('%.2f', value) || '): ' || impact_pct || '% of the impact on ' || ['LOW', 'MODERATE', 'HIGH'][class + 1] AS summary FROM f""")
+def attribution_topk(t: Tables) -> DataFrame:
+    rows = one_per_key(model_rows(t))
+    return learn.top_drivers(learn.impacts(_exact_tree(t), rows, ROW_KEY, MODEL_COLUMNS, learn.feature_means(rows, MODEL_COLUMNS)), ROW_KEY)
+
+
 @query(f"""WITH {_UNIQUE_SQL}, a AS (SELECT 'l_quantity' AS feature, avg(abs((target = 2)::INTEGER - (by_quantity = 2)::INTEGER)) AS i FROM v
   UNION ALL SELECT 'l_discount', avg(abs((target = 2)::INTEGER - (by_discount = 2)::INTEGER)) FROM v
   UNION ALL SELECT unnest(['l_extendedprice', 'l_tax', 'l_linenumber']), 0)
