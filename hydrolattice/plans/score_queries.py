@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import advice
 from ..functions.numeric import round_even
 from ..operators import drift, grid, learn, sampling, scores
 from ..operators.kpi import drift_by_scenario
@@ -394,12 +395,21 @@ def three_way_test(t: Tables) -> DataFrame:
     return learn.three_way_test(model_rows(t), settings, ("forest", "boosted_light"), group="l_orderkey", when="date")
 
 
-@query()
+def _titles_sql() -> str:
+    cases = " ".join(f"WHEN rule = {n} AND language = '{lang}' THEN '{told[lang][1]}'" for n, told in advice.TEXTS.items() for lang in ("en", "mr", "hi"))
+    return f"CASE {cases} END"
+
+
+@query(f"""WITH q AS (SELECT p_partkey, p_size::DOUBLE AS size, (p_partkey % 10) / 100::DOUBLE AS discount, p_partkey % 9 AS rain, ['en', 'mr', 'hi'][p_partkey % 3 + 1] AS language FROM part),
+c AS (SELECT *, CASE WHEN size < 19.5::DOUBLE THEN 0 WHEN discount < 0.045::DOUBLE THEN 1 ELSE 2 END AS stress_code FROM q),
+n AS (SELECT *, CASE WHEN stress_code = 2 AND size >= 33 THEN 1 WHEN stress_code = 2 THEN 2 WHEN stress_code = 1 AND rain > 5 THEN 3 WHEN stress_code = 1 THEN 4 ELSE 5 END AS rule FROM c)
+SELECT p_partkey, stress_code, 1::DOUBLE AS confidence, CASE rule WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 2 ELSE 3 END AS priority, {_titles_sql()} AS title, language FROM n""")
 def what_if_scores(t: Tables) -> DataFrame:
     """Every part as a scenario: scored, advised and told in its own language."""
     requests = t.part.select(
-        "p_partkey", F.col("p_size").cast("double").alias("l_quantity"), (F.col("p_retailprice") / 30).alias("l_discount"), F.col("p_size").cast("double").alias("temp_max_c")
+        "p_partkey", F.col("p_size").cast("double").alias("l_quantity"), ((F.col("p_partkey") % 10) / F.lit(100.0)).alias("l_discount"),
+        F.col("p_size").cast("double").alias("temp_max_c"), F.lit(30.0).alias("et0_8day_sum"), (F.col("p_partkey") % 9).cast("double").alias("rainfall_8day"),
     )
     language = F.element_at(F.array(F.lit("en"), F.lit("mr"), F.lit("hi")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    told = learn.what_if(_forest(t), requests, MODEL_COLUMNS, language)
+    told = learn.what_if(_exact_tree(t), requests, MODEL_COLUMNS, language)
     return told.select("p_partkey", "stress_code", "confidence", F.col("advisory.priority").alias("priority"), F.col("advisory.title").alias("title"), F.col("advisory.language").alias("language"))
