@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .shared import map_texts, process_wide
 
 MARK = "▁"
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 200_000
 
 
 class ChunkTable(dict):

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -44,8 +46,11 @@ def map_texts(df: DataFrame, text: str, keep: list[str], added: str, build: Call
     """The ``keep`` columns of every row beside columns computed from its text, a few megabytes of text at a time.
 
     ``build`` runs once in each task and gives a function from a list of texts to one list or array per column of the
-    DDL string ``added``. A missing text is empty.
+    DDL string ``added``. A missing text is empty. Where the session leaves the rows of an Arrow batch unset, batches hold
+    BATCH_ROWS rows, because a batch of long texts is held several times over between Spark and Python.
     """
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
     fields = T._parse_datatype_string(added).fields
     passed = [f"_k{i}" for i in range(len(keep))]
     inner = df.select(*[F.col(c).alias(p) for c, p in zip(keep, passed, strict=True)], F.coalesce(F.col(text), F.lit("")).alias("_text"))

@@ -33,6 +33,7 @@ SITUATIONS = ("plain", "targeted", "negated", "reported", "threat")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _CLOSES = ".!?;:"
+MAX_COUNTED = 200_000
 
 
 @dataclass(frozen=True)
@@ -145,13 +146,21 @@ def _counts(rows: DataFrame, learning: Learning, wanted: set[str] | None) -> Dat
     """Documents per feature (``n``), summed inside each task first; only ``wanted`` features where given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+            counts.clear()
+            return rows
+
         for batch in batches:
             for part in slices(batch, 0):
                 for text in part.column(0).to_pylist():
                     found = beginnings({w for w in map(bare, _WORD.findall(text.lower())) if w}, learning)
                     counts.update(found if wanted is None else found & wanted)
+                    if len(counts) > MAX_COUNTED:
+                        yield flush()
         if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+            yield flush()
 
     return rows.select("body").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
 
