@@ -1,8 +1,9 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
+"""Benchmark decontamination by weighted shingle similarity of item-sized windows.
 
-Each document window as long as a benchmark item gets a 64-bit SimHash of its words. A multi-index over blocks of the
-items' fingerprints returns every item within the Hamming radius, and an exact weighted similarity of word shingles
-confirms it. Windows that share no shingle with any item have similarity 0 and are not formed.
+A window as long as a benchmark item matches where its weighted Jaccard similarity reaches the threshold. Two bounds, both
+without loss, choose the windows to compare: each item's rarest shingles, of which a match must hold one, and an upper
+bound of the similarity from running sums of shingle weights. SimHash fingerprints choose nothing, as near copies at the
+threshold can lie far apart in them; their index stands for itself.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from .shared import map_texts, process_wide
 from .shingles import BulkHashes, mixed, positions
 
 ITEMS_PER_BLOCK = 50_000
+SLACK = 1e-9  # for sums of weights in another order
 
 
 @dataclass(frozen=True)
@@ -81,11 +83,11 @@ class HammingIndex:
 
 
 class Benchmark:
-    """Items with their shingles, weights and fingerprints."""
+    """Items with their shingles, weights and rarest shingles."""
 
     def __init__(self, items: list[tuple[int, str]], matching: Matching):
         self.matching, self.hashes = matching, BulkHashes()
-        self.ids, self.sizes, self.bags, prints = [], [], [], []
+        self.ids, self.sizes, self.bags = [], [], []
         every, places = self.hashes([t for _, t in items])
         for (item, _), start, end in zip(items, places, places[1:], strict=False):
             hashes = every[start:end]
@@ -93,23 +95,30 @@ class Benchmark:
                 self.ids.append(item)
                 self.sizes.append(len(hashes))
                 self.bags.append(Counter(positions(hashes, matching.words).tolist()))
-                prints.append(window_prints(hashes, len(hashes))[0])
         spread = Counter(s for bag in self.bags for s in bag)
         self.top = math.log1p(max(1, len(self.ids)))
         self.weight = {s: math.log1p(len(self.ids) / n) for s, n in spread.items()}
-        self.owners = defaultdict(set)
-        for bag, size in zip(self.bags, self.sizes, strict=True):
-            for s in bag:
-                self.owners[s].add(size)
-        self.prints = np.array(prints, np.uint64)
+        self.totals = [sum(self.weight[s] * c for s, c in bag.items()) for bag in self.bags]
+        self.owners = defaultdict(list)
+        for i, bag in enumerate(self.bags):
+            for s in self.rarest(bag, self.totals[i]):
+                self.owners[s].append(i)
         self.short = sorted({s for s in self.sizes if s < matching.words})
         self.known = np.array(sorted(self.weight), np.uint64)
+        self.weights = np.array([self.weight[s] for s in self.known.tolist()])
+        self.rare = np.array(sorted(self.owners), np.uint64)
         self.flags = np.zeros(1 << 22, bool)
-        self.flags[(self.known & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.index: dict[int, tuple[np.ndarray, HammingIndex]] = {}
-        for size in set(self.sizes):
-            own = np.flatnonzero(np.array(self.sizes) == size)
-            self.index[size] = (own, HammingIndex(self.prints[own], matching))
+        self.flags[(self.rare & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def rarest(self, bag: Counter, total: float) -> Iterator[int]:
+        """The item's heaviest shingles, until the others weigh less than ``similarity`` of it. A window with none of them
+        shares less than that, so it cannot match."""
+        rest = total
+        for s in sorted(bag, key=lambda s: (-self.weight[s], s)):
+            if rest < (self.matching.similarity - SLACK) * total:
+                return
+            yield s
+            rest -= self.weight[s] * bag[s]
 
     def similarity(self, bag: Counter, item: int) -> float:
         """Weighted Jaccard similarity; shingles that fewer items hold weigh more."""
@@ -133,32 +142,45 @@ class Benchmark:
                 continue
             at = positions(every, n)  # those that cross into the next text are left out below
             some = np.flatnonzero(self.flags[(at & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            some = some[np.isin(at[some], self.known)]
+            some = some[np.isin(at[some], self.rare)]
             owner = np.searchsorted(places, some, side="right") - 1
             for p, k in zip(some.tolist(), owner.tolist(), strict=True):
                 start, end = int(places[k]), int(places[k + 1])
                 if p + n <= end:
-                    for size in self.owners[int(at[p])]:
+                    for item in self.owners[int(at[p])]:
+                        size = self.sizes[item]
                         low, high = max(start, p + n - size), min(p, end - size)
                         if low <= high:
-                            spans[k][size].add((low - start, high - start))
-        for k, sizes in spans.items():
-            out[k] = self.confirmed(every[places[k] : places[k + 1]], sizes)
+                            spans[k][item].add((low - start, high - start))
+        for k, items in spans.items():
+            out[k] = self.confirmed(every[places[k] : places[k + 1]], items)
         return out
 
-    def confirmed(self, hashes: np.ndarray, sizes: dict[int, set[tuple[int, int]]]) -> list[tuple[int, float, int]]:
-        """Matches among the windows of each size that start inside the given spans."""
-        best: dict[int, tuple[float, int]] = {}
-        for size, spans in sizes.items():
-            own, index = self.index[size]
+    def weights_of(self, at: np.ndarray) -> np.ndarray:
+        """Weight of each shingle; those of no item weigh most."""
+        place = np.minimum(np.searchsorted(self.known, at), len(self.known) - 1)
+        return np.where(self.known[place] == at, self.weights[place], self.top)
+
+    def confirmed(self, hashes: np.ndarray, items: dict[int, set[tuple[int, int]]]) -> list[tuple[int, float, int]]:
+        """The best window of each item among those that start inside its spans, where it is similar enough."""
+        least, found = self.matching.similarity - SLACK, []
+        for item, spans in sorted(items.items()):
+            size, bag, best, first = self.sizes[item], self.bags[item], 0.0, 0
+            own = np.fromiter(bag, np.uint64, len(bag))
             for low, high in merged(spans):
-                zone = hashes[low : high + size]
-                for at, near in index.within(window_prints(zone, size)):
-                    item = int(own[near])
-                    likeness = self.similarity(Counter(positions(zone[at : at + size], self.matching.words).tolist()), item)
-                    if likeness >= self.matching.similarity and likeness > best.get(item, (0.0, 0))[0]:
-                        best[item] = (likeness, low + at)
-        return [(self.ids[i], s, p) for i, (s, p) in sorted(best.items())]
+                at = positions(hashes[low : high + size], min(size, self.matching.words))
+                weight = self.weights_of(at)
+                shared = np.where(np.isin(at, own), weight, 0.0)
+                wide = max(1, size - self.matching.words + 1)
+                window, most = (np.concatenate([[0.0], np.cumsum(w)]) for w in (weight, shared))
+                window, most = window[wide:] - window[:-wide], most[wide:] - most[:-wide]
+                for a in np.flatnonzero(most * (1 + least) >= least * (window + self.totals[item]) - SLACK * (window + self.totals[item])).tolist():
+                    likeness = self.similarity(Counter(at[a : a + wide].tolist()), item)
+                    if likeness >= least and likeness > best:
+                        best, first = likeness, low + a
+            if best:
+                found.append((self.ids[item], best, first))
+        return found
 
 
 def merged(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -135,6 +137,50 @@ def test_leak_query_finds_every_whole_passage(spark):
 
 
 
+def direct_matches(texts, items):
+    """(text, item) pairs by comparing every window of every text with every item."""
+    def bag(w):
+        n = min(5, len(w))
+        return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+
+    bags = [bag(words(t)) for t in items]
+    spread = Counter(s for b in bags for s in b)
+    weigh = lambda s: math.log1p(len(items) / spread[s]) if s in spread else math.log1p(len(items))
+    found = set()
+    for k, text in enumerate(texts):
+        w = words(text)
+        for i, own in enumerate(bags):
+            size = len(words(items[i]))
+            for a in range(max(1, len(w) - size + 1)) if own.keys() & bag(w).keys() else ():
+                other = bag(w[a : a + size])
+                both, every = (sum(weigh(s) * f(own[s], other[s]) for s in own | other) for f in (min, max))
+                if both >= (0.8 - 1e-9) * every:
+                    found.add((k, i))
+    return found
+
+
+def matched(texts, items):
+    finder = decontamination.Benchmark(list(enumerate(items)), decontamination.Matching())
+    return {(k, m[0]) for k, found in enumerate(finder.matches(texts)) for m in found}
+
+
+def test_near_copies_at_the_threshold_equal_all_windows():
+    rng = random.Random(7)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    common = fill(12)
+    items, texts = [], []
+    for size, changed in [(13, 1), (22, 2), (31, 3), (49, 5), (94, 10)] * 24:
+        item = fill(size) if len(items) % 3 else [*common, *fill(size - 12)] if size > 12 else fill(size)
+        items.append(" ".join(item))
+        texts.append(" ".join([*fill(3), *fill(changed), *item[changed:], *fill(4)]))
+        more = list(item)
+        for _ in range(rng.randrange(1, 4)):
+            more[rng.randrange(size)] = "changed"
+        texts.append(" ".join([*fill(2), *more, *fill(2)]))
+    want = direct_matches(texts, items)
+    assert len(want) > 120 and matched(texts, items) == want
+
+
 def test_bulk_hashes_tell_words_apart():
     texts = ["One two  ONE\nthree", "", " \t", "two é É", "ab", "a b", "one"]
     hashes, places = BulkHashes()(texts)
