@@ -1,6 +1,6 @@
 """Benchmark decontamination by weighted shingle similarity of item-sized windows.
 
-A window as long as a benchmark item matches where its weighted Jaccard similarity reaches the threshold. Two bounds, both
+A window as long as a benchmark item, or the whole of a shorter text, matches where its weighted Jaccard similarity reaches the threshold. Two bounds, both
 without loss, choose the windows to compare: each item's rarest shingles, of which a match must hold one, and an upper
 bound of the similarity from running sums of shingle weights. SimHash fingerprints choose nothing, as near copies at the
 threshold can lie far apart in them; their index stands for itself.
@@ -149,9 +149,8 @@ class Benchmark:
                 if p + n <= end:
                     for item in self.owners[int(at[p])]:
                         size = self.sizes[item]
-                        low, high = max(start, p + n - size), min(p, end - size)
-                        if low <= high:
-                            spans[k][item].add((low - start, high - start))
+                        low, high = max(start, p + n - size), max(start, min(p, end - size))  # a shorter text is one window
+                        spans[k][item].add((low - start, high - start))
         for k, items in spans.items():
             out[k] = self.confirmed(every[places[k] : places[k + 1]], items)
         return out
@@ -171,7 +170,7 @@ class Benchmark:
                 at = positions(hashes[low : high + size], min(size, self.matching.words))
                 weight = self.weights_of(at)
                 shared = np.where(np.isin(at, own), weight, 0.0)
-                wide = max(1, size - self.matching.words + 1)
+                wide = max(1, min(size, len(hashes)) - self.matching.words + 1)
                 window, most = (np.concatenate([[0.0], np.cumsum(w)]) for w in (weight, shared))
                 window, most = window[wide:] - window[:-wide], most[wide:] - most[:-wide]
                 for a in np.flatnonzero(most * (1 + least) >= least * (window + self.totals[item]) - SLACK * (window + self.totals[item])).tolist():

@@ -181,6 +181,17 @@ def test_near_copies_at_the_threshold_equal_all_windows():
     assert len(want) > 120 and matched(texts, items) == want
 
 
+def test_texts_shorter_than_their_item():
+    rng = random.Random(8)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    items = [fill(n) for n in (3, 5, 6, 15, 30, 48, 59)]
+    texts = [" ".join(item[a : len(item) - b]) for item in items for a in range(4) for b in range(4)]
+    items = [" ".join(item) for item in items]
+    found = matched(texts, items)
+    assert found == direct_matches(texts, items)
+    assert {(i * 16 + b, i) for i in (4, 5, 6) for b in range(3)} <= found  # without the last one or two words
+
+
 def test_bulk_hashes_tell_words_apart():
     texts = ["One two  ONE\nthree", "", " \t", "two é É", "ab", "a b", "one"]
     hashes, places = BulkHashes()(texts)
