@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import requests
-from ..streaming.runs import new_run, run_available
+from ..streaming.runs import new_run, sum_available
 from .registry import Tables, query, r
 
 
@@ -40,45 +40,49 @@ def _text_start(df: DataFrame) -> DataFrame:
     return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def _same(counts: DataFrame) -> DataFrame:
+    return counts
+
+
 def _rate(log: DataFrame) -> DataFrame:
-    return requests.request_rate(log, ["event_type"])
+    return requests.request_counts(log, ["event_type"])
 
 
 def _errors(log: DataFrame) -> DataFrame:
-    return requests.error_ratio(log, _failed())
+    return requests.error_counts(log, _failed())
 
 
 def _p95(log: DataFrame) -> DataFrame:
-    return requests.latency_quantile(log, ["event_type"], "value")
+    return requests.latency_counts(log, ["event_type"], "value")
 
 
 def _classes(log: DataFrame) -> DataFrame:
     return requests.class_counts(log, "event_type")
 
 
-def _batch(t: Tables, job) -> DataFrame:
-    return _text_start(job(requests.request_log(t.events)))
+def _batch(t: Tables, count, finish=_same) -> DataFrame:
+    return _text_start(finish(count(requests.request_log(t.events))))
 
 
-def _stream(t: Tables, name: str, job, keys=("window_start", "event_type")) -> DataFrame:
-    """Read the log as a file stream, run to its end, and return the newest row of each window."""
-    log = requests.request_log(t.stream("events", maxFilesPerTrigger=1000))
-    return _text_start(run_available(job(log), new_run(t.spark, name), keys))
+def _stream(t: Tables, name: str, count, finish=_same, keys=("window_start", "event_type")) -> DataFrame:
+    """Read the log as a file stream, run to its end, and return each window over the whole log, whatever the order of its files."""
+    counts = sum_available(t.stream("events", maxFilesPerTrigger=1000), new_run(t.spark, name), lambda rows: count(requests.request_log(rows)), keys)
+    return _text_start(finish(counts))
 
 
 @query(RATE_SQL)
 def request_rate(t: Tables) -> DataFrame:
-    return _batch(t, _rate)
+    return _batch(t, _rate, requests.with_rate)
 
 
 @query(ERROR_SQL)
 def error_ratio(t: Tables) -> DataFrame:
-    return _batch(t, _errors)
+    return _batch(t, _errors, requests.with_error_ratio)
 
 
 @query(P95_SQL)
 def p95_by_route(t: Tables) -> DataFrame:
-    return _batch(t, _p95)
+    return _batch(t, _p95, requests.with_latency)
 
 
 @query(CLASS_SQL)
@@ -88,17 +92,17 @@ def class_counts(t: Tables) -> DataFrame:
 
 @query(RATE_SQL)
 def request_rate_stream(t: Tables) -> DataFrame:
-    return _stream(t, "request_rate", _rate)
+    return _stream(t, "request_rate", _rate, requests.with_rate)
 
 
 @query(ERROR_SQL)
 def error_ratio_stream(t: Tables) -> DataFrame:
-    return _stream(t, "error_ratio", _errors, ["window_start"])
+    return _stream(t, "error_ratio", _errors, requests.with_error_ratio, ["window_start"])
 
 
 @query(P95_SQL)
 def p95_by_route_stream(t: Tables) -> DataFrame:
-    return _stream(t, "p95_by_route", _p95)
+    return _stream(t, "p95_by_route", _p95, requests.with_latency)
 
 
 @query(CLASS_SQL)

@@ -33,27 +33,42 @@ def _windowed(log: DataFrame, ts: str, width: str, slide: str | None, by: Sequen
     return out.select(F.col("_w.start").alias("window_start"), "*").drop("_w")
 
 
+def request_counts(log: DataFrame, by: Sequence[str] = (), *, ts: str = "ts", width: str = "1 minute", slide: str = "10 seconds") -> DataFrame:
+    """Requests of a sliding window, overall or by route or status."""
+    return _windowed(log, ts, width, slide, by, F.count(F.lit(1)).alias("requests"))
+
+
+def with_rate(counts: DataFrame, seconds: int = 60) -> DataFrame:
+    return counts.withColumn("rate", round_even(F.col("requests") / F.lit(float(seconds)), 4))
+
+
 def request_rate(log: DataFrame, by: Sequence[str] = (), *, ts: str = "ts", width: str = "1 minute", slide: str = "10 seconds", seconds: int = 60) -> DataFrame:
     """Requests per second over a sliding window, overall or by route or status."""
-    out = _windowed(log, ts, width, slide, by, F.count(F.lit(1)).alias("requests"))
-    return out.withColumn("rate", round_even(F.col("requests") / F.lit(float(seconds)), 4))
+    return with_rate(request_counts(log, by, ts=ts, width=width, slide=slide), seconds)
+
+
+def error_counts(log: DataFrame, failed: Column, *, ts: str = "ts", width: str = "5 minutes") -> DataFrame:
+    """Failed and all requests per window."""
+    return _windowed(log, ts, width, None, (), F.count_if(failed).alias("errors"), F.count(F.lit(1)).alias("requests"))
+
+
+def with_error_ratio(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("error_ratio", F.coalesce(round_even(share("errors", "requests"), 4), F.lit(0.0)))
 
 
 def error_ratio(log: DataFrame, failed: Column, *, ts: str = "ts", width: str = "5 minutes") -> DataFrame:
     """Share of failed requests per window; 0 when none failed."""
-    out = _windowed(log, ts, width, None, (), F.count_if(failed).alias("errors"), F.count(F.lit(1)).alias("requests"))
-    return out.withColumn("error_ratio", F.coalesce(round_even(share("errors", "requests"), 4), F.lit(0.0)))
-
+    return with_error_ratio(error_counts(log, failed, ts=ts, width=width))
 
-def latency_quantile(log: DataFrame, by: Sequence[str], millis: str, *, ts: str = "ts", width: str = "5 minutes", quantile: float = 0.95, bounds: Sequence[float] = LATENCY_BOUNDS_MS) -> DataFrame:
-    """Latency quantile per window from bucket counts, interpolated inside its bucket.
 
-    State is one count per bucket, whatever the traffic. Where the quantile lies above the last bound, that bound is reported
-    and ``over_bound`` is true.
-    """
+def latency_counts(log: DataFrame, by: Sequence[str], millis: str, *, ts: str = "ts", width: str = "5 minutes", bounds: Sequence[float] = LATENCY_BOUNDS_MS) -> DataFrame:
+    """Requests per window, and how many of them lie within each bound."""
     value = F.col(millis)
     counts = [F.count_if(value <= b).alias(f"_le_{i}") for i, b in enumerate(bounds)]
-    out = _windowed(log, ts, width, None, by, F.count(value).alias("requests"), *counts)
+    return _windowed(log, ts, width, None, by, F.count(value).alias("requests"), *counts)
+
+
+def with_latency(out: DataFrame, quantile: float = 0.95, bounds: Sequence[float] = LATENCY_BOUNDS_MS) -> DataFrame:
     rank = F.col("requests") * quantile
     found = F.lit(None).cast("double")
     for i in reversed(range(len(bounds))):
@@ -66,6 +81,15 @@ def latency_quantile(log: DataFrame, by: Sequence[str], millis: str, *, ts: str
     return out.withColumns({"latency_ms": round_even(found, 3), "over_bound": over}).drop(*[f"_le_{i}" for i in range(len(bounds))])
 
 
+def latency_quantile(log: DataFrame, by: Sequence[str], millis: str, *, ts: str = "ts", width: str = "5 minutes", quantile: float = 0.95, bounds: Sequence[float] = LATENCY_BOUNDS_MS) -> DataFrame:
+    """Latency quantile per window from bucket counts, interpolated inside its bucket.
+
+    State is one count per bucket, whatever the traffic. Where the quantile lies above the last bound, that bound is reported
+    and ``over_bound`` is true.
+    """
+    return with_latency(latency_counts(log, by, millis, ts=ts, width=width, bounds=bounds), quantile, bounds)
+
+
 def class_counts(log: DataFrame, label: str, *, ts: str = "ts", width: str = "5 minutes") -> DataFrame:
     """Predictions per class and window."""
     return _windowed(log, ts, width, None, (label,), F.count(F.lit(1)).alias("predictions"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ def run_available(stream: DataFrame, run: str, keys: Sequence[str]) -> DataFrame
     """Process everything that has landed, then return the newest row of each key of a windowed aggregate.
 
     Each batch writes only the windows it changed, in a folder of its own that a repeated batch replaces. The watermark
-    frees the state of closed windows, and nothing rewrites their rows.
+    frees the state of closed windows, and nothing rewrites their rows. Rows later than the watermark are lost.
     """
     spark = stream.sparkSession
 
@@ -46,6 +46,22 @@ def run_available(stream: DataFrame, run: str, keys: Sequence[str]) -> DataFrame
     return keep_last(updates, list(keys), [F.col("batch").desc()]).drop("batch")
 
 
+def sum_available(stream: DataFrame, run: str, count: Callable[[DataFrame], DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Process everything that has landed, then return the sums over all batches of the counts that ``count`` makes per key.
+
+    Each batch counts its own rows and writes them, in a folder of its own that a repeated batch replaces. No state is
+    held and no row is late, so files may land in any order.
+    """
+    def add(batch: DataFrame, batch_id: int) -> None:
+        count(batch).write.mode("overwrite").parquet(f"{run}/result/batch={batch_id}")
+
+    query = stream.writeStream.option("checkpointLocation", f"{run}/state").trigger(availableNow=True).foreachBatch(add).start()
+    query.awaitTermination()
+    schema = count(stream).schema
+    parts = stream.sparkSession.read.schema(schema).parquet(f"{run}/result")
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in schema.names if c not in keys])
+
+
 def append_available(stream: DataFrame, run: str) -> DataFrame:
     """Process everything that has landed and return the windows closed by the watermark so far."""
     query = (

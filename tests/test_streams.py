@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import time
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from hydrolattice.operators import learn
+from hydrolattice.plans import stream_queries
+from hydrolattice.plans.registry import Tables
 from hydrolattice.streaming import requests, runs, scenes, scoring
 from tests.test_learn import FEATURES, SMALL
 
@@ -75,6 +78,24 @@ def test_closed_windows_leave_the_state(spark, tmp_path):
     assert len(held) >= 6 and max(held) <= 3
 
 
+class OneFileEach(Tables):
+    def stream(self, name, **options):
+        return super().stream(name, **options | {"maxFilesPerTrigger": 1})
+
+
+@pytest.mark.parametrize("name", ["request_rate", "error_ratio", "p95_by_route", "class_counts"])
+def test_files_out_of_order_lose_nothing(spark, tmp_path, name):
+    start = datetime(2024, 1, 1)
+    for k in (5, 0, 3, 1):  # hours; each file is a batch
+        rows = [(start + timedelta(hours=k, seconds=9 * i), ("error", "view", None)[i % 3], float(i * 37 % 900)) for i in range(80)]
+        rows += [(start + timedelta(hours=2), "view", 5.0 * k)]
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        time.sleep(0.02)
+    batch = getattr(stream_queries, name)(Tables(spark, str(tmp_path)))
+    stream = getattr(stream_queries, f"{name}_stream")(OneFileEach(spark, str(tmp_path)))
+    assert sorted(map(str, stream.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+
+
 def test_hidden_routes_are_left_out(spark):
     rows = [(datetime(2024, 1, 1), r, 200, 1.0, "LOW") for r in ("/a", "/metrics/prometheus", None)]
     log = requests.request_log(spark.createDataFrame(rows, LOG), hidden=["/metrics/prometheus"])
