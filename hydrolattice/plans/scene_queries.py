@@ -170,6 +170,12 @@ def content_fingerprint(t: Tables) -> DataFrame:
     return manifest.fingerprint(t.lineitem.select(*_LINE_COLUMNS)).withColumn("content", F.col("content").cast("string"))
 
 
+@query()
+def whole_content_fingerprint(t: Tables) -> DataFrame:
+    """Every column of the table, with dates and doubles in Spark's text form; ``content_fingerprint`` is held to the columns of its SQL."""
+    return manifest.fingerprint(t.lineitem).withColumn("content", F.col("content").cast("string"))
+
+
 @query(f"""WITH {CATALOGUE_SQL},
 placed AS (SELECT *, coalesce(tile, 'scene ' || scene_id) AS spot FROM scenes WHERE acquired >= DATE '1997-01-01'),
 newest AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY acquired, spot ORDER BY baseline::DOUBLE DESC, scene_id) = 1),

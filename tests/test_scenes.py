@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import hashlib
 from datetime import date
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,8 @@ from pyspark.sql import functions as F
 from hydrolattice.functions.scene_names import path_date, path_scene, scene_tile
 from hydrolattice.functions.spectral import baseline_offset
 from hydrolattice.operators import manifest
+from hydrolattice.plans import scene_queries  # noqa: F401
+from hydrolattice.plans.registry import QUERIES
 from hydrolattice.settings import BANDS
 from hydrolattice.sources.catalogue import list_band_files, read_items
 
@@ -104,3 +108,21 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     first = manifest.fingerprint(df).first()
     assert first == manifest.fingerprint(same).first()
     assert first["content"] != manifest.fingerprint(changed).first()["content"]
+
+
+def test_whole_fingerprint_equals_a_direct_one_and_sees_every_column(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(300).cache()
+
+    def fingerprint(df):
+        return QUERIES["whole_content_fingerprint"].run(SimpleNamespace(read=SimpleNamespace(parquet=lambda path: df)), "").first()
+
+    total = 0
+    for row in lines.collect():
+        texts = ["-" if row[c] is None else f"={row[c]}" for c in sorted(lines.columns)]
+        total += int(hashlib.md5("\x1f".join(texts).encode()).hexdigest()[:15], 16)
+    first = fingerprint(lines)
+    assert tuple(first) == (300, str(total))
+    one = (F.col("l_orderkey") == lines.first()["l_orderkey"]) & (F.col("l_linenumber") == lines.first()["l_linenumber"])
+    for name, kind in lines.dtypes:
+        other = {"string": F.lit("?"), "timestamp": F.lit("1970-01-01").cast("timestamp"), "timestamp_ntz": F.lit("1970-01-01").cast("timestamp_ntz")}.get(kind, F.lit(-1).cast(kind))
+        assert fingerprint(lines.withColumn(name, F.when(one, other).otherwise(F.col(name))))["content"] != first["content"], name
