@@ -50,22 +50,64 @@ class Token:
         self.name, self.key, self.text, self.holder, self.aside, self.in_content, self.opens = name, key, text, holder, aside, in_content, opens
 
 
-def tokens(page: str) -> Iterator[Token]:
+class Part:
+    """An element that its class, id or role (or being a form) makes a side part, with the words it holds in the whole page and in content."""
+
+    __slots__ = ("words", "nested", "plain", "content")
+
+    def __init__(self, words: frozenset[str], nested: frozenset[str]):
+        self.words, self.nested, self.plain, self.content = words, nested, 0, 0
+
+
+def tokens(page: str) -> list[Token]:
     """Texts and tags in page order. Comments, scripts, styles and other raw content are left out."""
-    stack: list[tuple[str, str, bool]] = []  # name, key, side part
-    at = aside = content = 0
+    parts: list[Part] = []
+    found, plain, content = _scan(page, frozenset(), parts)
+    wrappers = _wrappers(parts, plain, content) if parts else frozenset()
+    return _scan(page, wrappers, [])[0] if wrappers else found
+
+
+def _wrappers(parts: list[Part], plain: int, content: int) -> frozenset[int]:
+    """Numbers of the parts that are no side parts, because alone, or together with others of the same word, they hold more
+    than half of the words in ``article`` and ``main``, or of the page where these hold none."""
+    whole, held = (content, [p.content for p in parts]) if content else (plain, [p.plain for p in parts])
+    alone = {i for i, n in enumerate(held) if 2 * n > whole}
+    sums = Counter()
+    for i, p in enumerate(parts):
+        if i not in alone:
+            for w in p.words - p.nested:
+                sums[w] += held[i]
+    usual = {w for w, n in sums.items() if 2 * n > whole}
+    return frozenset(alone | {i for i, p in enumerate(parts) if p.words <= usual})
+
+
+def _scan(page: str, wrappers: frozenset[int], parts: list[Part]) -> tuple[list[Token], int, int]:
+    """Tokens of a page, its words outside of side elements, and its words in ``article`` and ``main``. Inside these two
+    nothing counts as side part for what lies around them."""
+    out: list[Token] = []
+    stack: list[tuple[str, str, tuple]] = []  # name, key, state before it
+    open_parts: tuple[Part, ...] = ()
+    at = aside = named = content = words_plain = words_content = number = 0
     end = len(page)
 
-    def text(piece: str):
-        return Token("", "", piece, stack[-1][1] if stack else "", aside > 0, content > 0, False)
+    def text(piece: str) -> None:
+        nonlocal words_plain, words_content
+        out.append(Token("", "", piece, stack[-1][1] if stack else "", aside > 0, content > 0, False))
+        if not named:
+            n = len(piece.split())
+            words_plain += n
+            words_content += n if content else 0
+            for part in open_parts:
+                part.plain += n
+                part.content += n if content else 0
 
     while at < end:
         tag = _TOKEN.search(page, at)
         if tag is None:
-            yield text(page[at:])
-            return
+            text(page[at:])
+            break
         if tag.start() > at:
-            yield text(page[at : tag.start()])
+            text(page[at : tag.start()])
         at, name = tag.end(), (tag[2] or "").lower()
         if not name:
             continue
@@ -74,41 +116,51 @@ def tokens(page: str) -> Iterator[Token]:
             key = f"/{name}"
             if depth is not None:
                 key = f"/{stack[depth][1]}"
-                for closed, _, side in stack[depth:]:
-                    aside -= side
-                    content -= closed in ("article", "main")
+                aside, named, content, open_parts = stack[depth][2]
                 del stack[depth:]
-            yield Token(name, key, "", "", aside > 0, content > 0, False)
+            out.append(Token(name, key, "", "", aside > 0, content > 0, False))
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.end() if close else (end if name in ("script", "style", "textarea", "title") else at)
-            yield Token(name, name, "", "", aside > 0, content > 0, True)
+            out.append(Token(name, name, "", "", aside > 0, content > 0, True))
             continue
-        named = [w for m in _NAMES.finditer(tag[3]) for w in _PARTS.split((m[1] or m[2] or m[3] or "").lower()) if w] if tag[3] else []
-        key = ".".join([name, *sorted(set(named))[:3]])
-        side = (name in ASIDE and not (name == "header" and content)) or (not ASIDE_WORDS.isdisjoint(named) and name not in ("html", "body", "article", "main"))
+        found = [w for m in _NAMES.finditer(tag[3]) for w in _PARTS.split((m[1] or m[2] or m[3] or "").lower()) if w] if tag[3] else []
+        key = ".".join([name, *sorted(set(found))[:3]])
         if name in VOID:
-            yield Token(name, key, "", "", aside > 0, content > 0, True)
+            out.append(Token(name, key, "", "", aside > 0, content > 0, True))
             continue
         if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack:  # elements that end an open one of their kind
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, _, gone in stack[i:]:
-                        aside -= gone
+                    aside, named, content, open_parts = stack[i][2]
                     del stack[i:]
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        yield Token(name, key, "", "", aside > 0, content > 0, True)
-        stack.append((name, key, side))
-        aside += side
-        content += name in ("article", "main")
+        out.append(Token(name, key, "", "", aside > 0, content > 0, True))
+        stack.append((name, key, (aside, named, content, open_parts)))
+        if name in ("article", "main"):
+            aside = named = 0
+            content += 1
+        elif name in ASIDE and name != "form":
+            side = not (name == "header" and content)
+            aside += side
+            named += side
+        if name not in ("html", "body", "article", "main") and (name not in ASIDE or name == "form"):
+            words = ASIDE_WORDS.intersection(found) | ({"form"} if name == "form" else set())
+            if words:
+                part = Part(frozenset(words), frozenset().union(*(p.words for p in open_parts)))
+                parts.append(part)
+                open_parts = (*open_parts, part)
+                aside += number not in wrappers
+                number += 1
+    return out, words_plain, words_content
 
 
 def observe(page: str, counts: Counter, longest: Counter) -> None:
     """Add a labelled page: tags and words by key, inside and outside of its content. Other pages add nothing."""
-    found = list(tokens(page))
+    found = tokens(page)
     if sum(t.opens and t.name in ("article", "main") for t in found) != 1:
         return
     run = 0
@@ -164,7 +216,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str, weights: Weights) -> str:
     """Blocks of the best region without side parts, white space as one space, joined by empty lines."""
-    found = list(tokens(page))
+    found = tokens(page)
     scores = [weights.of_tag(t.key) if t.name else weights.of_word(t.holder, t.aside) * len(t.text.split()) for t in found]
     start, end = best_region(scores)
     blocks: list[list[str]] = [[]]

@@ -130,6 +130,23 @@ def test_page_text(spark):
     assert got[2] == got[3] == ("", 0) and got[4][0] == "only words here"
 
 
+@pytest.mark.parametrize("names", ["layout-sidebar-right", "no-sidebar", "has-banner", "elementor-widget-text-editor"])
+def test_wrappers_are_no_side_parts(names):
+    words, weights = [f"w{i}" for i in range(120)], html_extract.Weights([], 0)
+    body = f"<p>{' '.join(words)}</p>"
+    side = '<div class="sidebar"><p>buy now</p></div>'
+    apart = "".join(f'<div class="{names}"><p>{" ".join(words[i : i + 30])}</p></div>' for i in range(0, 120, 30))
+    forms = [
+        f'<body><div class="{names}">{side}{body}</div></body>', f'<body><div class="{names}">{side}<article>{body}</article></div></body>',
+        f'<body><nav>{"menu " * 300}</nav><div id="{names}"><form>{body}</form></div></body>', f"<body><aside><main>{body}</main></aside></body>",
+        f"<body>{apart}</body>", f"<body><article>{apart}</article></body>",
+    ]
+    for page in forms:
+        assert html_extract.extract(page, weights).split() == words, page
+    heavy = f'<body><article><p>one two three</p></article><div class="comments">{body}</div></body>'
+    assert html_extract.extract(heavy, weights) == "one two three"
+
+
 def test_best_region_is_the_maximum():
     rng = random.Random(3)
     for _ in range(200):
