@@ -28,7 +28,7 @@ MAX_WORDS = 250_000
 
 @dataclass(frozen=True)
 class Shape:
-    """``rounds`` Baum-Welch rounds over one ``parts``-th of the training texts each, then one over all of them."""
+    """``rounds`` Baum-Welch rounds and one more, each over all training texts. ``parts`` is what callers deal texts into; no round reads less than all."""
 
     states: int = 8
     classes: int = 2048
@@ -155,20 +155,39 @@ def symbols_of(words: list[bytes], classes: Classes, end: int) -> np.ndarray:
     return out
 
 
-def train_states(texts: DataFrame, shape: Shape, part) -> States:
-    """Baum-Welch over a table of one text column. Sums of fixed size reach the driver after each round."""
+def encoded(texts: DataFrame, shape: Shape) -> DataFrame:
+    """Class numbers of each text as bytes, so that rounds need not split texts again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = process_wide(f"classes {shape.classes}", lambda: Classes(shape.classes))
+        for batch in batches:
+            for piece in slices(batch, 0):
+                rows = [symbols_of(words_of(t), classes, shape.classes).tobytes() for t in piece.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["symbols"])
+
+    return texts.select("_text").mapInArrow(run, "symbols binary")
+
+
+def next_states(sums: np.ndarray, shape: Shape) -> States:
+    """The M step over flat counts of starts, transitions and classes by state."""
+    k, size = shape.states, shape.classes + 1
+    starts, steps, emit = sums[:k] + 0.1, sums[k : k + k * k].reshape(k, k) + 0.1, sums[k + k * k :].reshape(size, k)
+    emit = emit + 0.02 * (emit.sum(1, keepdims=True) + 1) / (emit.sum() + size) * emit.sum(0) + 1e-3
+    return States(starts / starts.sum(), steps / steps.sum(1, keepdims=True), emit / emit.sum(0))
+
+
+def train_states(texts: DataFrame, shape: Shape, part=None) -> States:
+    """Baum-Welch over a table of one text column, every round over every row. Sums of fixed size reach the driver after
+    each round. ``part`` chooses no rows."""
     states = first_guess(shape)
     k, size = shape.states, shape.classes + 1
-    for turn in range(shape.rounds + 1):
-        rows = texts.where(part == turn % shape.parts) if turn < shape.rounds else texts
-        rows = rows.select("_text")
+    rows = stored(encoded(texts, shape), "symbols")
+    for _ in range(shape.rounds + 1):
 
         def run(batches: Iterator[pa.RecordBatch], states=states) -> Iterator[pa.RecordBatch]:
-            classes = process_wide(f"classes {shape.classes}", lambda: Classes(shape.classes))
             total = None
             for batch in batches:
-                for piece in slices(batch, 0, 12 << 20):
-                    sequences = [symbols_of(words_of(t), classes, size - 1) for t in piece.column(0).to_pylist()]
+                for piece in slices(batch, 0, 4 << 20):
+                    sequences = [np.frombuffer(b, np.int16) for b in piece.column(0).to_pylist()]
                     for _, some in batches_of(sequences, np.float32):
                         flat = np.concatenate([c.ravel() for c in some.expected(states)])
                         total = flat if total is None else total + flat
@@ -180,10 +199,8 @@ def train_states(texts: DataFrame, shape: Shape, part) -> States:
         for r in rows.mapInArrow(run, "place bigint, n double").groupBy("place").agg(F.sum("n").alias("n")).collect():
             sums[r["place"]] = r["n"]
         if not sums.any():
-            continue
-        starts, steps, emit = sums[:k] + 0.1, sums[k : k + k * k].reshape(k, k) + 0.1, sums[k + k * k :].reshape(size, k)
-        emit = emit + 0.02 * (emit.sum(1, keepdims=True) + 1) / (emit.sum() + size) * emit.sum(0) + 1e-3
-        states = States(starts / starts.sum(), steps / steps.sum(1, keepdims=True), emit / emit.sum(0))
+            break
+        states = next_states(sums, shape)
     return states
 
 
@@ -263,7 +280,7 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fol
     rows = docs.select(F.col(key).alias("_key"), (remainder(key, folds) == fold).alias("_held"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     train = rows.where("not _held")
     size = rows.agg(F.sum(F.octet_length("_text")).alias("b"), F.sum((~F.col("_held")).cast("long")).alias("t")).first()
-    states = train_states(train, shape, F.pmod(F.xxhash64("_key", "_text"), F.lit(shape.parts)))
+    states = train_states(train, shape)
     counts = stored(word_counts(train), "word_counts")
     corpus = corpus_figures(counts, size["t"] or 0, shape)
     blocks = max(shape.least_blocks, -(-(size["b"] or 0) // shape.block_bytes))

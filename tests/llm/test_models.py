@@ -63,6 +63,22 @@ def test_training_raises_the_likelihood(spark):
     assert likelihood(lm_scoring.first_guess(SMALL)) < likelihood(none) < likelihood(some)
 
 
+def test_every_round_reads_every_text(spark):
+    rng = random.Random(1)
+    shape = lm_scoring.Shape(states=3, classes=32, rounds=3, parts=4)
+    texts = [" ".join(rng.choice(f"a{i % 5} b{i % 7} c{i} d".split()) for _ in range(1 + i % 9)) for i in range(80)]
+    classes = lm_scoring.Classes(32)
+    sequences = [lm_scoring.symbols_of(lm_scoring.words_of(t), classes, 32) for t in texts]
+    want = lm_scoring.first_guess(shape)
+    for _ in range(4):
+        want = lm_scoring.next_states(np.concatenate([c.ravel() for c in lm_scoring.Batch(sequences).expected(want)]), shape)
+    import pyspark.sql.functions as F
+
+    got = lm_scoring.train_states(spark.createDataFrame([(t,) for t in texts], "_text string"), shape, F.pmod(F.xxhash64("_text"), F.lit(4)))
+    for a, b in ((got.start, want.start), (got.step, want.step), (got.emit, want.emit)):
+        assert a == pytest.approx(b, rel=2e-3, abs=1e-5)
+
+
 def test_word_model_sums_to_one():
     corpus = lm_scoring.Corpus(10, 6, 1, 0.5, np.array([8.0, 1.0, 0.0]), np.array([3.0, 1.0, 0.0]))
     counts, classes = np.array([5, 2, 1, 0, 1, 0, 0]), np.array([0, 0, 0, 0, 1, 1, 2])
