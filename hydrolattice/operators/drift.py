@@ -63,13 +63,19 @@ def ks_p_value(ks: Column, reference_rows: Column, current_rows: Column, terms:
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(series * 2, F.lit(0.0)), F.lit(1.0)))
 
 
+def _has_both_sides() -> Column:
+    """True, or an error where one sample holds no value of a feature."""
+    empty = (F.col("reference_rows") == 0) | (F.col("current_rows") == 0)
+    return F.when(empty, F.raise_error(F.concat(F.lit("no value on one side of the drift check: "), F.col("feature"))).cast("boolean")).otherwise(True)
+
+
 def drift_scores(reference: DataFrame, current: DataFrame, features: Sequence[str], settings: Drift = Drift(), **options) -> DataFrame:
     """(feature, test, score, threshold, drift, distance, p_value): ``settings.method`` names the statistic that decides, at
-    any number of rows; both statistics are given."""
+    any number of rows; both statistics are given. A feature without a value on one side stops the job: it has no distance."""
     if settings.method not in ("distance", "p_value"):
         raise ValueError(f"unknown drift method: {settings.method}")
     by_distance = settings.method == "distance"
-    stats = two_sample_statistics(reference, current, features, **options).withColumns({
+    stats = two_sample_statistics(reference, current, features, **options).filter(_has_both_sides()).withColumns({
         "_distance": F.col("wasserstein") / F.greatest(F.col("reference_std"), F.lit(_FLAT_STD)),
         "_p": ks_p_value(F.col("ks"), F.col("reference_rows"), F.col("current_rows")),
     })
@@ -119,7 +125,7 @@ def flagged_sets(scores: DataFrame, shifted_features: DataFrame) -> DataFrame:
 def sensitivity(df: DataFrame, key: Sequence[str], features: Sequence[str], settings: Drift = Drift(), *, shift: Mapping[str, float] = SCENARIO_SHIFT, seed: int = 42, half: Column | None = None, **options) -> dict[str, DataFrame]:
     """All rows in two disjoint halves by the draw of their key: scores unchanged (control) and with the second half shifted
     (simulated). A row without a key has a draw too."""
-    draw = hash_share(key, seed) < 0.5 if half is None else half
+    draw = hash_share(key, seed) < (1 << 31) if half is None else half
     reference = df.filter(draw).select(*features)
     unchanged = df.filter(~draw).select(*features)
     return {

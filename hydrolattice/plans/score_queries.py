@@ -265,6 +265,14 @@ def drift_sensitivity(t: Tables) -> DataFrame:
     return both["control"].withColumn("scenario", F.lit("control")).unionByName(both["simulated"].withColumn("scenario", F.lit("simulated")))
 
 
+@query()
+def drift_halves(t: Tables) -> DataFrame:
+    """Control and simulated scores on the two halves that the operator's own draw makes of all orders."""
+    rows = t.orders.select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 97).cast("double").alias("k97"))
+    both = drift.sensitivity(rows, ["o_orderkey"], ["o_totalprice", "k97"], shift={"o_totalprice": 90000.0})
+    return both["control"].withColumn("scenario", F.lit("control")).unionByName(both["simulated"].withColumn("scenario", F.lit("simulated")))
+
+
 @query("SELECT l_shipdate < DATE '1999-01-01' AS past, count(*) AS rows, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
 def temporal_split(t: Tables) -> DataFrame:
     past, later = sampling.temporal_split(t.lineitem, "l_shipdate", SPLIT)

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydrolattice.operators import drift
+from hydrolattice.plans.registry import QUERIES
+from hydrolattice.plans import score_queries  # noqa: F401
 from hydrolattice.settings import Drift
 
 
@@ -82,3 +84,33 @@ def test_sensitivity_flags_only_what_moved(spark):
     assert {r["feature"]: r["drift"] for r in out["simulated"].collect()} == {"temp_max_c": True, "wind": False}
     moved = spark.createDataFrame([("temp_max_c",), ("ndwi_mean",)], "feature string")
     assert {tuple(r) for r in drift.flagged_sets(out["simulated"], moved).collect()} == {("temp_max_c", "flagged"), ("ndwi_mean", "missed")}
+
+
+def test_halves_share_the_rows_and_an_empty_side_is_an_error(spark):
+    df = spark.range(4000).select("id", F.col("id").cast("double").alias("x"))
+    first = df.filter(drift.hash_share(["id"], 42) < (1 << 31)).count()
+    assert 1800 < first < 2200
+    with pytest.raises(Exception, match="no value on one side"):
+        drift.drift_scores(df.limit(0), df, ["x"]).collect()
+    with pytest.raises(Exception, match="no value on one side"):
+        drift.drift_summary(drift.drift_scores(df, df.limit(0), ["x"])).collect()
+    with pytest.raises(Exception, match="no value on one side"):
+        drift.sensitivity(df, ["id"], ["x"], half=F.lit(False))["control"].collect()
+
+
+def _distance(a, b):
+    values = np.unique(np.concatenate([a, b]))
+    share = [np.searchsorted(np.sort(side), values, side="right") / len(side) for side in (a, b)]
+    return float((np.abs(share[0] - share[1])[:-1] * np.diff(values)).sum())
+
+
+def test_halves_query_equals_direct_distances(spark):
+    folder = "/root/testdata/sf0.001"
+    got = {(r["scenario"], r["feature"]): r for r in QUERIES["drift_halves"].run(spark, folder).collect()}
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_totalprice", (F.col("o_orderkey") % 97).cast("double").alias("k97"), (drift.hash_share(["o_orderkey"], 42) < (1 << 31)).alias("first")).toPandas()
+    first, second = orders[orders["first"]], orders[~orders["first"]]
+    for scenario, moved in (("control", 0.0), ("simulated", 90000.0)):
+        for feature in ("o_totalprice", "k97"):
+            a, b = first[feature].to_numpy(), second[feature].to_numpy() + (moved if feature == "o_totalprice" else 0.0)
+            assert got[scenario, feature]["distance"] == pytest.approx(_distance(a, b) / a.std(), abs=1e-4)
+    assert got["simulated", "o_totalprice"]["drift"] and not got["control", "o_totalprice"]["drift"]
