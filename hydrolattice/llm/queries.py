@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import decontamination, html_extract, lm_scoring, near_dups, piece_coding, quality_rules, site_quality, token_counts, toxicity, url_filters
-from .shared import remainder
+from . import decontamination, html_extract, lm_scoring, merkle_manifest, near_dups, piece_coding, quality_rules, site_quality, token_counts, toxicity, url_filters
+from .shared import ascii_lower, remainder
 
 QUERIES: dict[str, Query] = {}
 
@@ -163,3 +163,70 @@ def op9_html_extract(t: Tables) -> DataFrame:
 @query()
 def op10_token_counts(t: Tables) -> DataFrame:
     return token_counts.token_counts(t.documents, ["doc_id"], public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _crc_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text."""
+    step = "xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    byte = f"list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, bit: {step})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+MERKLE_HEIGHT = 7  # levels that the SQL writes out: 2,097,152 leaves a language, 512 languages
+
+
+def _tampered() -> Column:
+    """The digest of a row whose text was put in lower case, where 3 divides the crc32 of its key."""
+    return F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle_manifest.row_digest(text=ascii_lower(F.col("text"))))
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(concat(" + ", ".join(
+        f"CASE WHEN {v} IS NULL THEN '-' ELSE concat(strlen({v}), ':', {v}) END" for v in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    ) + "))"
+
+
+def _tree_sql(name: str, height: int) -> str:
+    """CTEs of the levels above ``<name>0`` (g, p, n, h), of the children of each run, and ``<name>end`` (g, h)."""
+    parts = []
+    for k in range(height):
+        parts.append(f"{name}run{k} AS (SELECT g, p // 8 AS q, any_value(n) AS n, list(h ORDER BY p) AS c FROM {name}{k} WHERE n > 1 GROUP BY 1, 2)")
+        parts.append(f"{name}{k + 1} AS (SELECT g, q AS p, (n + 7) // 8 AS n, sha256(array_to_string(c, '')) AS h FROM {name}run{k})")
+    ends = " UNION ALL ".join(f"SELECT g, h FROM {name}{k} WHERE n = 1" for k in range(height + 1))
+    return ",\n".join([*parts, f"{name}end AS ({ends})"])
+
+
+def _fold_sql(source: str, name: str, place: str, height: int, out: str) -> str:
+    """CTEs that fold ``f`` and gather the siblings ``s`` of ``source`` along the runs of a tree, up to ``<out><height>``."""
+    parts, last = [], source
+    for k in range(height):
+        d = f"(({place} // {8**k}) % 8)"
+        left, right = f"array_to_string(c[1:{d}], '')", f"array_to_string(c[{d} + 2:], '')"
+        parts.append(f"""{out}{k + 1} AS (SELECT x.* EXCLUDE (f, s), CASE WHEN c IS NULL THEN f ELSE sha256(concat({left}, f, {right})) END AS f,
+  CASE WHEN c IS NULL THEN s ELSE concat(s, {left}, {right}) END AS s FROM {last} x LEFT JOIN {name}run{k} r ON r.q = {place} // {8 ** (k + 1)} AND r.g = {'x.g' if name == 'leaf' else '0'})""")
+        last = f"{out}{k + 1}"
+    return ",\n".join(parts)
+
+
+MERKLE_SQL = f"""WITH doc AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, {_leaf_sql("text")} AS leaf,
+  CASE WHEN {_crc_sql("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf_sql(_lower("text"))} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM doc),
+leaf0 AS (SELECT g, p, n, leaf AS h FROM placed),
+{_tree_sql("leaf", MERKLE_HEIGHT)},
+top0 AS (SELECT 0 AS g, g AS p, count(*) OVER () AS n, h FROM leafend),
+{_tree_sql("top", 3)},
+a0 AS (SELECT *, coalesce(changed, leaf) AS f, '' AS s FROM placed),
+{_fold_sql("a0", "leaf", "p", MERKLE_HEIGHT, "a")},
+{_fold_sql(f"a{MERKLE_HEIGHT}", "top", "x.g", 3, "b")}
+SELECT doc_id, leaf, e.h AS subroot, (SELECT h FROM topend) AS root, sha256(s) AS proof_sha256, f AS folded_root, f = (SELECT h FROM topend) AS verified
+FROM b3 JOIN leafend e ON e.g = b3.g"""
+
+
+@query(MERKLE_SQL)
+def op11_merkle_manifest(t: Tables) -> DataFrame:
+    manifest = merkle_manifest.build(t.documents, carried={"changed": _tampered()})
+    return merkle_manifest.prove(manifest).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest().alias("proof_sha256"),
+        merkle_manifest.folded(F.coalesce("changed", "leaf")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
