@@ -40,12 +40,14 @@ class Level:
 @dataclass(frozen=True)
 class Manifest:
     """``leaves``: (group, place, key, leaf, carried columns); ``levels``: of the group trees, the lowest first; ``subroots``:
-    (group, subroot, height, turn); ``top``: levels of the tree over the subroots; ``root``: None for an empty table."""
+    (group, subroot, height, turn); ``top``: levels of the tree over the subroots; ``start``: the root's (digest) as a table of
+    one row, none for an empty table; ``root``: its value or None."""
 
     leaves: DataFrame
     levels: list[Level]
     subroots: DataFrame
     top: list[Level]
+    start: DataFrame
     root: str | None
 
 
@@ -125,8 +127,9 @@ def build(rows: DataFrame, *, group: str = "lang", key: str = "doc_id", leaf: Co
     ends = stored(ended.select(F.lit(0).alias("all"), F.struct("group").alias("of"), "digest", "height", F.lit(1).cast("long").alias("copies")), "ends")
     turns = stored(numbered(ends, "all", ["of"]).select(F.col("of.group").alias("group"), F.col("digest").alias("subroot"), "height", F.col("place").alias("turn"), "n"), "subroots")
     top, last = make_levels(turns.select(F.lit(0).alias("group"), F.col("turn").alias("place"), "n", F.col("subroot").alias("digest")), "top")
-    found = last.first()
-    return Manifest(leaves.drop("n"), levels, turns.drop("n"), top, found["digest"] if found else None)
+    start = stored(last.select("digest"), "root")
+    found = start.first()
+    return Manifest(leaves.drop("n"), levels, turns.drop("n"), top, start, found["digest"] if found else None)
 
 
 def with_children(nodes: DataFrame, level: Level) -> DataFrame:
@@ -170,8 +173,7 @@ def prove(manifest: Manifest, requests: DataFrame | None = None) -> DataFrame:
     """
     asked = manifest.leaves.drop("leaf") if requests is None else requests
     places = None if requests is None else stored(requests.select("group", "place").distinct(), "requests")
-    spark = manifest.leaves.sparkSession
-    nodes = spark.range(1 if manifest.root else 0).select(F.lit(0).alias("group"), F.lit(0).cast("long").alias("place"), F.lit(manifest.root).alias("digest"), F.array().cast(PATH).alias("path"))
+    nodes = manifest.start.select(F.lit(0).alias("group"), F.lit(0).cast("long").alias("place"), "digest", F.array().cast(PATH).alias("path"))
     for level in reversed(manifest.top):
         nodes = _step(nodes, level)
     starts = stored(nodes.select(F.col("place").alias("turn"), "path").join(manifest.subroots, "turn"), "starts")

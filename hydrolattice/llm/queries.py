@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import Query, Tables
-from . import decontamination, html_extract, lm_scoring, merkle_manifest, near_dups, piece_coding, quality_rules, site_quality, token_counts, toxicity, url_filters
+from . import decontamination, html_extract, license_scan, lm_scoring, merkle_manifest, near_dups, piece_coding, quality_rules, site_quality, source_audit, token_counts, toxicity, url_filters
 from .shared import ascii_lower, remainder
 
 QUERIES: dict[str, Query] = {}
@@ -230,3 +230,55 @@ def op11_merkle_manifest(t: Tables) -> DataFrame:
         F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest().alias("proof_sha256"),
         merkle_manifest.folded(F.coalesce("changed", "leaf")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+AUDIT_SQL = f"""WITH doc AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+word AS (SELECT rid, lang, source, unnest(regexp_extract_all({_lower("text")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM doc),
+kept AS (SELECT lang, t FROM word GROUP BY 1, 2 HAVING count(DISTINCT rid) >= 30),
+c AS (SELECT lang, source, t, count(*) AS c FROM word JOIN kept USING (lang, t) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+g AS (SELECT lang, source, coalesce(n, 0) AS n, coalesce(v, 0) AS v FROM (SELECT DISTINCT lang, source FROM doc) LEFT JOIN n USING (lang, source) LEFT JOIN v USING (lang)),
+l AS (SELECT lang, sum(n) AS n, any_value(v) AS v FROM g GROUP BY 1),
+p AS (SELECT g.lang, g.source, k.t, coalesce(c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c, 0) + 5) // (n + 5 * v)::HUGEINT AS p
+  FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+q AS (SELECT lang, t, 1 + 1000000000::HUGEINT * (sum(c) + 5)::HUGEINT // (any_value(l.n) + 5 * any_value(l.v))::HUGEINT AS q FROM c JOIN l USING (lang) GROUP BY 1, 2),
+d AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, t) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+@query(AUDIT_SQL)
+def op12_source_audit(t: Tables) -> DataFrame:
+    return source_audit.audit(t.documents)
+
+
+_PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _license_sql() -> str:
+    text = lambda value: "'" + value.replace("'", "''") + "'"
+    joining = license_scan.Joining()
+    templates = ", ".join(f"({i}, {text(t.label)}, {text(t.text)})" for i, t in enumerate(license_scan.TEMPLATES))
+    phrases = ", ".join(f"({text(p.text)}, {text(p.label)})" for p in license_scan.PHRASES)
+    share = joining.threshold
+    return f"""WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_PLAIN}') AS w FROM documents),
+phrase AS (SELECT string_split(col0, ' ') AS p, col1 AS label FROM (VALUES {phrases})),
+place AS (SELECT rid, label, unnest(list_filter(range(0, len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS spot FROM doc, phrase WHERE list_contains(w, p[1])),
+base AS (SELECT rid, count(*) AS n, min(spot) AS low, max(spot) AS high, list(DISTINCT label) AS labels FROM place GROUP BY 1),
+template AS (SELECT col0 AS tid, col1 AS label, list_distinct(regexp_extract_all({_lower("col2")}, '{_PLAIN}')) AS t FROM (VALUES {templates})),
+block AS (SELECT rid, list_distinct(w[s + 1 : s + {joining.block_words}]) AS b FROM (SELECT rid, w, unnest(range(0, greatest(len(w) - {joining.block_words - joining.step}, 1), {joining.step})) AS s FROM doc)),
+pair AS (SELECT rid, label, len(list_intersect(t, b)) AS c, len(t) AS n FROM block, template),
+hit AS (SELECT rid, list(DISTINCT label) AS labels, max(c / n::DOUBLE) AS most FROM pair WHERE {share.denominator} * c >= {share.numerator} * n GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, low AS first_word, high AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, hit.labels))), ','), '') AS labels,
+  CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(most, 0.0::DOUBLE) END AS score FROM doc LEFT JOIN base USING (rid) LEFT JOIN hit USING (rid)"""
+
+
+@query(_license_sql())
+def op13_license_scan(t: Tables) -> DataFrame:
+    return license_scan.scan(t.documents, ["doc_id"])
