@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geodesy
 from ..functions.geometry import ring_edges
 from ..functions.numeric import round_even
-from ..operators import grid, raster
+from ..operators import grid, raster, strips
 from ..operators.nearest import nearest_points
-from ..sources import pixels
 from .registry import Tables, query, r
 
 # Line items as 10 m pixels of a scene per ship month; cells of 75 m do not line up with the pixels.
@@ -154,11 +153,9 @@ def satellite_features(t: Tables) -> DataFrame:
 
     position = coarse.select("scene_id", "row", "col")
     fine = raster.resample_nearest(position).withColumns({b: F.pmod(F.col("row") * k + F.col("col") * (k + 2) + F.col("scene_id") * 13, F.lit(4000)) + F.lit(low) for b, (k, low) in _FINE.items()})
-    long = pixels.explode_blocks(lines(fine, list(_FINE)).unionByName(lines(coarse, ["b11", "b12", "scl"])), keys)
-    ten, twenty = ("B02", "B03", "B04", "B08"), ("B11", "B12", "SCL")
-    wide = [pixels.bands_to_columns(long.filter(F.col("band").isin(*bands)), keys, bands) for bands in (ten, twenty)]
+    blocks = lines(fine, list(_FINE)).unionByName(lines(coarse, ["b11", "b12", "scl"]))
     scenes = position.select("scene_id").distinct().withColumn("baseline", F.when(F.col("scene_id") % 2 == 1, "05.10").otherwise("02.14"))
-    raw = raster.raw_pixels(*wide, scenes, scene=keys).withColumn("date", F.lit("2024-01-01").cast("date"))
+    raw = strips.block_pixels(blocks, scenes, keys=keys).withColumn("date", F.lit("2024-01-01").cast("date"))
     columns = t.spark.range(8).withColumnRenamed("id", "ix")
     cells = columns.withColumn("iy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4)))).select(
         F.format_string("C%d_%d", "ix", "iy").alias("cell_id"), "ix", "iy", F.lit(0.0).alias("centroid_lon"), F.lit(0.0).alias("centroid_lat"),

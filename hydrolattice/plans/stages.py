@@ -10,11 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.advice import advisory_in
-from ..operators import drift, kpi, labels, learn, maps, quality, raster, sampling, scores
+from ..operators import drift, kpi, labels, learn, maps, quality, raster, sampling, scores, strips
 from ..operators.weather import weather_features
 from ..settings import DEFAULTS, Settings
 from ..sources import schemas, tables
-from ..sources.pixels import bands_to_columns, explode_blocks
 from ..sources.weather_payloads import parse_payloads
 
 
@@ -45,13 +44,9 @@ class Stages:
 
     def satellite_from_blocks(self, blocks: DataFrame, scenes: DataFrame, cells: DataFrame, **placement) -> DataFrame:
         """Raw band blocks (10 m and 20 m) to zonal features: resampled, then corrected by each scene's baseline."""
-        ten, twenty = ("B02", "B03", "B04", "B08"), ("B11", "B12", "SCL")
         tables.require_types(blocks.drop("px"), schemas.PIXEL_BLOCKS)
         keys = [c for c in ("scene_id", "date", "area_id") if c in blocks.columns]
-        long = explode_blocks(blocks, keys)
-        fine, coarse = (bands_to_columns(long.filter(F.col("band").isin(*bands)), keys, bands) for bands in (ten, twenty))
-        pixels = raster.raw_pixels(fine, coarse, scenes, scene=keys)
-        return self.satellite(pixels, cells, offset="offset", **placement)
+        return self.satellite(strips.block_pixels(blocks, scenes, keys=keys), cells, offset="offset", **placement)
 
     def satellite(self, pixels: DataFrame, cells: DataFrame, **placement) -> DataFrame:
         """Zonal features per (cell, date) of corrected pixels, or of raw ones with an ``offset`` column; scenes of one day are averaged."""
