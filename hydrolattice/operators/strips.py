@@ -47,36 +47,24 @@ def line_pieces(blocks: DataFrame, keys: Sequence[str], columns: int = COLUMNS)
     )
 
 
-def joined(pieces: Column, width: Column) -> Column:
-    """One array of ``width`` values from pieces (at, values); gaps are missing, and of pieces that overlap the first counts."""
-    def gap(size: Column) -> Column:
-        return F.array_repeat(F.lit(None).cast("double"), F.greatest(size, F.lit(0)).cast("int"))
+def joined(pieces: str, width: str) -> Column:
+    """One array of ``width`` values from pieces (at, values), both SQL text; gaps are missing, and of pieces that overlap the
+    first counts."""
+    def gap(size: str) -> str:
+        return f"array_repeat(cast(null as double), greatest({size}, 0))"
 
-    def add(sofar: Column, p: Column) -> Column:
-        seen = F.greatest(F.size(sofar) - p["at"], F.lit(0))
-        return F.concat(sofar, gap(p["at"] - F.size(sofar)), F.slice(p["values"], seen + 1, F.greatest(F.size(p["values"]) - seen, F.lit(0))))
+    seen = "greatest(size(a) - p.at, 0)"
+    add = f"concat(a, {gap('p.at - size(a)')}, slice(p.values, {seen} + 1, greatest(size(p.values) - {seen}, 0)))"
+    return F.expr(f"aggregate(array_sort({pieces}), cast(array() as array<double>), (a, p) -> {add}, a -> slice(concat(a, {gap(f'{width} - size(a)')}), 1, {width}))")
 
-    return F.aggregate(F.array_sort(pieces), F.array().cast("array<double>"), add, lambda a: F.slice(F.concat(a, gap(width - F.size(a))), F.lit(1), width))
 
+def between(values: str, beside: str) -> str:
+    """SQL text: values a quarter of the way to their neighbours; a missing neighbour has no weight."""
+    return f"zip_with({values}, {beside}, (v, b) -> if(b is null, v, v * 0.75D + b * 0.25D))"
 
-def between(values: Column, beside: Column) -> Column:
-    """Values a quarter of the way to their neighbours; a missing neighbour has no weight."""
-    return F.zip_with(values, beside, lambda v, b: F.when(b.isNull(), v).otherwise(v * 0.75 + b * 0.25))
 
-
-def interleaved(left: Column, right: Column) -> Column:
-    return F.flatten(F.zip_with(left, right, lambda a, b: F.array(a, b)))
-
-
-def doubled(above: Column, here: Column, below: Column, width: Column) -> tuple[Column, Column]:
-    """The two 10 m lines over a 20 m line by bilinear resampling; each line has one value more at both ends."""
-    def sides(line: Column) -> tuple[Column, Column]:
-        inner = F.slice(line, F.lit(2), width)
-        return between(inner, F.slice(line, F.lit(1), width)), between(inner, F.slice(line, F.lit(3), width))
-
-    rows = [sides(line) for line in (above, here, below)]
-    left, right = ([r[i] for r in rows] for i in (0, 1))
-    return tuple(interleaved(between(left[1], left[k]), between(right[1], right[k])) for k in (0, 2))
+def interleaved(left: str, right: str) -> Column:
+    return F.expr(f"flatten(zip_with({left}, {right}, (a, b) -> array(a, b)))")
 
 
 def block_pixels(blocks: DataFrame, scenes: DataFrame, *, keys: Sequence[str] = ("scene_id", "date"), key: str = "scene_id", baseline: str = "baseline", columns: int = COLUMNS) -> DataFrame:
@@ -88,27 +76,27 @@ def block_pixels(blocks: DataFrame, scenes: DataFrame, *, keys: Sequence[str] =
     pieces = line_pieces(blocks, keys, columns)
     strips = pieces.groupBy(*keys, "line", "part").agg(F.collect_list(F.struct("band", "d", "at", "values")).alias("_p"))  # 15 lines
 
-    size = F.col("_size")  # 20 m pixels up to the last 10 m pixel of the strip
+    size, fine = F.col("_size"), f"p.band in {FINE}"  # the size counts 20 m pixels up to the last 10 m pixel of the strip
 
-    def slot(band: str, d: int, width: Column) -> Column:
-        mine = F.filter("_p", lambda p: (p["band"] == band) & (p["d"] == d))
-        return joined(F.transform(mine, lambda p: F.struct(p["at"].alias("at"), p["values"].alias("values"))), width)
+    def slot(band: str, d: int, width: str) -> Column:
+        return joined(f"transform(filter(_p, p -> p.band = '{band}' and p.d = {d}), p -> named_struct('at', p.at, 'values', p.values))", width)
 
     def covered(d: int) -> Column:
-        fine = F.filter("_p", lambda p: p["band"].isin(*FINE) & (p["d"] == d))
-        return joined(F.transform(fine, lambda p: F.struct(p["at"].alias("at"), F.array_repeat(F.lit(1.0), F.size(p["values"])).alias("values"))), size * 2)
+        return joined(f"transform(filter(_p, p -> {fine} and p.d = {d}), p -> named_struct('at', p.at, 'values', array_repeat(1.0D, size(p.values))))", "_size * 2")
 
     offsets = scenes.select(key, F.col(baseline).alias("_baseline"))
-    fine_ends = F.transform(F.filter("_p", lambda p: p["band"].isin(*FINE)), lambda p: p["at"] + F.size(p["values"]))
-    sized = strips.withColumn("_size", F.ceil(F.array_max(fine_ends) / 2).cast("int")).filter(F.col("_size") > 0)
+    sized = strips.withColumn("_size", F.expr(f"cast(ceil(array_max(transform(filter(_p, p -> {fine}), p -> p.at + size(p.values))) / 2) as int)")).filter(size > 0)
     whole = sized.join(offsets, key, "left").withColumn("offset", spectral.baseline_offset("_baseline"))
-    slots = {f"_{b}{d}": slot(b, d, size * 2) for b in FINE for d in (0, 1)} | {f"_{b}{d + 1}": slot(b, d, size + 2) for b in SMOOTH for d in (-1, 0, 1)}
-    whole = whole.select(*keys, "line", "part", "offset", "_size", slot(CLASS, 0, size).alias("_class"), *[v.alias(n) for n, v in slots.items()], *[covered(d).alias(f"_covered{d}") for d in (0, 1)])
-    sharp = {b: doubled(*[F.col(f"_{b}{k}") for k in range(3)], size) for b in SMOOTH}
+    slots = {f"_{b}{d}": slot(b, d, "_size * 2") for b in FINE for d in (0, 1)} | {f"_{b}{d + 1}": slot(b, d, "_size + 2") for b in SMOOTH for d in (-1, 0, 1)}
+    whole = whole.select(*keys, "line", "part", "offset", "_size", slot(CLASS, 0, "_size").alias("_class"), *[v.alias(n) for n, v in slots.items()], *[covered(d).alias(f"_covered{d}") for d in (0, 1)])
+    # Along each 20 m line first, which has one value more at both ends, then towards the line above and the line below.
+    sides = {f"_{b}{k}{s}": F.expr(between(f"slice(_{b}{k}, 2, _size)", f"slice(_{b}{k}, {at}, _size)")) for b in SMOOTH for k in range(3) for s, at in (("l", 1), ("r", 3))}
+    whole = whole.select(*[c for c in whole.columns if c[1:4] not in SMOOTH], *[v.alias(n) for n, v in sides.items()])
+    sharp = {b: [interleaved(*[between(f"_{b}1{s}", f"_{b}{k}{s}") for s in "lr"]) for k in (0, 2)] for b in SMOOTH}
     lines = F.array(*[
         F.struct(
             (F.col("line") * 2 + d).alias("row"), F.col(f"_covered{d}").alias("_covered"), *[F.col(f"_{b}{d}").alias(b.lower()) for b in FINE],
-            *[sharp[b][d].alias(b.lower()) for b in SMOOTH], interleaved(F.col("_class"), F.col("_class")).alias("scl"),
+            *[sharp[b][d].alias(b.lower()) for b in SMOOTH], interleaved("_class", "_class").alias("scl"),
         )
         for d in (0, 1)
     ])
