@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming import requests
-from ..streaming.runs import new_run, sum_available
+from ..streaming.runs import new_run
+from ..streaming.windows import WindowRun, run_windows
 from .registry import Tables, query, r
 
 
@@ -64,10 +67,15 @@ def _batch(t: Tables, count, finish=_same) -> DataFrame:
     return _text_start(finish(count(requests.request_log(t.events))))
 
 
-def _stream(t: Tables, name: str, count, finish=_same, keys=("window_start", "event_type")) -> DataFrame:
-    """Read the log as a file stream, run to its end, and return each window over the whole log, whatever the order of its files."""
-    counts = sum_available(t.stream("events", maxFilesPerTrigger=1000), new_run(t.spark, name), lambda rows: count(requests.request_log(rows)), keys)
-    return _text_start(finish(counts))
+def window_run(t: Tables, name: str, count, keys=("window_start", "event_type"), minutes: int = 5) -> WindowRun:
+    """The log read as a file stream to its end, with the state of open windows and a ledger of late rows."""
+    log = t.stream("events", maxFilesPerTrigger=1000)
+    return run_windows(log, new_run(t.spark, name), lambda rows: count(requests.request_log(rows)), keys, width=timedelta(minutes=minutes))
+
+
+def _stream(t: Tables, name: str, count, finish=_same, **options) -> DataFrame:
+    """Each window over the whole log, whatever the order of its files."""
+    return _text_start(finish(window_run(t, name, count, **options).windows()))
 
 
 @query(RATE_SQL)
@@ -92,12 +100,12 @@ def class_counts(t: Tables) -> DataFrame:
 
 @query(RATE_SQL)
 def request_rate_stream(t: Tables) -> DataFrame:
-    return _stream(t, "request_rate", _rate, requests.with_rate)
+    return _stream(t, "request_rate", _rate, requests.with_rate, minutes=1)
 
 
 @query(ERROR_SQL)
 def error_ratio_stream(t: Tables) -> DataFrame:
-    return _stream(t, "error_ratio", _errors, requests.with_error_ratio, ["window_start"])
+    return _stream(t, "error_ratio", _errors, requests.with_error_ratio, keys=("window_start",))
 
 
 @query(P95_SQL)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hydrolattice.operators import learn
 from hydrolattice.plans import stream_queries
 from hydrolattice.plans.registry import Tables
-from hydrolattice.streaming import requests, runs, scenes, scoring
+from hydrolattice.streaming import requests, runs, scenes, scoring, windows
 from tests.test_learn import FEATURES, SMALL
 
 LOG = "ts timestamp, route string, status int, ms double, stress_class string"
@@ -96,6 +96,51 @@ def test_files_out_of_order_lose_nothing(spark, tmp_path, name):
     assert sorted(map(str, stream.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
 
 
+@pytest.fixture(scope="module")
+def late_log(spark, tmp_path_factory):
+    """Six files, each a batch: an hour, an hour later, the first hour again, and so on."""
+    folder, start = tmp_path_factory.mktemp("late"), datetime(2024, 1, 1)
+    for k, hour in enumerate((0, 1, 0, 3, 2, 4)):
+        rows = [(start + timedelta(hours=hour, seconds=9 * i + k), ("error", "view", None)[i % 3], float(i * 37 % 900)) for i in range(80)]
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(str(folder / "events.parquet"))
+        time.sleep(0.02)
+    return str(folder)
+
+
+@pytest.mark.parametrize(("count", "options"), [(stream_queries._classes, {}), (stream_queries._rate, {"minutes": 1})])
+def test_late_rows_go_to_the_ledger_and_state_is_freed(spark, late_log, count, options):
+    run = stream_queries.window_run(OneFileEach(spark, late_log), "late", count, **options)
+    whole = count(requests.request_log(spark.read.parquet(f"{late_log}/events.parquet")))
+    assert sorted(map(str, run.windows().select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    report = {r["batch"]: r for r in run.report().collect()}
+    assert len(report) == 6 and sum(r["rows"] for r in report.values()) == 480
+    assert {k for k, r in report.items() if r["late_counts"]} == {2, 4}  # files of hours that had closed
+    assert all(r["dropped_rows"] == 0 for r in report.values())
+    windows = whole.count()
+    assert max(r["state_rows"] for r in report.values()) <= windows // 2 + 6  # open windows only, never all of the log
+    assert run.late().count() > 0 and report[0]["closed_before"] is None
+
+
+def test_a_batch_that_runs_again_adds_nothing(spark, late_log, tmp_path):
+    log = requests.request_log(spark.read.parquet(f"{late_log}/events.parquet"))
+    count = stream_queries._classes
+    run = windows.WindowRun(spark, str(tmp_path / "run"), count(log).schema, ("window_start", "event_type"), timedelta(minutes=5), timedelta(minutes=10))
+    hours = [log.filter(F.hour("ts") == h) for h in (1, 0)]
+    for number, batch in enumerate([hours[0], hours[1]]):
+        run.add(batch, number, count, "ts")
+        run.add(batch, number, count, "ts")
+    want = count(log.filter(F.hour("ts") < 2))
+    assert sorted(map(str, run.windows().select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert [r["late_counts"] for r in run.report().orderBy("batch").collect()] == [0, 160]
+
+
+def test_a_stream_without_files_has_no_windows(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "none"))
+    run = windows.run_windows(stream, str(tmp_path / "run"), lambda rows: stream_queries._classes(requests.request_log(rows)), ("window_start", "event_type"), width=timedelta(minutes=5))
+    assert run.windows().count() == 0 and run.report().count() == 0
+
+
 def test_hidden_routes_are_left_out(spark):
     rows = [(datetime(2024, 1, 1), r, 200, 1.0, "LOW") for r in ("/a", "/metrics/prometheus", None)]
     log = requests.request_log(spark.createDataFrame(rows, LOG), hidden=["/metrics/prometheus"])
