@@ -31,22 +31,10 @@ def require_date(df: DataFrame, wanted, when: str = "date") -> DataFrame:
     return out
 
 
-def cycle_kpis(
-    df: DataFrame,
-    *,
-    cell: str = "cell_id",
-    when: str = "date",
-    vegetated: Column,
-    stress: str = "stress_code",
-    priority: str = "priority",
-    ndvi: str = "ndvi_mean",
-    ndwi: str = "ndwi_mean",
-    grid: Grid = Grid(),
-) -> DataFrame:
-    """One flat row per date that has vegetated rows.
+def cell_parts(df: DataFrame, *, cell: str = "cell_id", when: str = "date", vegetated: Column, stress: str = "stress_code", priority: str = "priority", ndvi: str = "ndvi_mean", ndwi: str = "ndwi_mean", exact: bool = False) -> DataFrame:
+    """One row per (date, cell) with the counts and sums that a date's KPIs are made of.
 
-    A first aggregate leaves one row per (date, cell) with its counts and sums, so distinct cells come
-    without a second pass, and one busy date is spread over its cells.
+    All parts add up over cells, and can be taken off again. ``exact`` keeps the sums as decimals, which leave nothing behind.
     """
     keep = F.coalesce(vegetated, F.lit(False))
 
@@ -56,11 +44,14 @@ def cycle_kpis(
     parts = {f"_s{i}": counted(F.col(stress) == i) for i in range(len(CLASS_LABELS))}
     parts |= {f"_p{i}": counted(F.col(priority) == i) for i in (1, 2, 3)}
     parts |= {"_crop": F.count_if(keep)}
-    for name in (ndvi, ndwi):
-        parts |= {f"_sum_{name}": F.sum(F.when(keep, F.col(name))), f"_n_{name}": F.count(F.when(keep, F.col(name)))}
-    per_cell = df.groupBy(when, cell).agg(*[c.alias(n) for n, c in parts.items()])
-    per_date = per_cell.groupBy(when).agg(F.count(cell).alias("_cells"), *[F.sum(n).alias(n) for n in parts])
+    for tag, name in (("ndvi", ndvi), ("ndwi", ndwi)):
+        value = F.col(name).cast("decimal(28,12)") if exact else F.col(name)
+        parts |= {f"_sum_{tag}": F.sum(F.when(keep, value)), f"_n_{tag}": F.count(F.when(keep, F.col(name)))}
+    return df.groupBy(when, cell).agg(*[c.alias(n) for n, c in parts.items()])
 
+
+def kpis_of_parts(per_date: DataFrame, *, when: str = "date", grid: Grid = Grid()) -> DataFrame:
+    """One flat row per date that has vegetated rows, from the sums of its cells' parts and ``_cells``, their number."""
     def hectares(n: str) -> Column:
         return F.bround(F.col(n) * grid.cell_area_ha, 1)
 
@@ -68,7 +59,7 @@ def cycle_kpis(
         return F.coalesce(round_even(share(n, "_crop") * 100, 1), F.lit(0.0))
 
     def mean(name: str) -> Column:
-        return round_even(share(f"_sum_{name}", f"_n_{name}"), 3)
+        return round_even(share(F.col(f"_sum_{name}").cast("double"), f"_n_{name}"), 3)
 
     levels = {"high": "_s2", "moderate": "_s1", "low": "_s0"}
     ranks = {"priority_1": ("_p1", "urgent"), "priority_2": ("_p2", "scheduled"), "priority_3": ("_p3", "normal")}
@@ -80,11 +71,23 @@ def cycle_kpis(
         hectares("_crop").alias("total_cultivated_hectares"),
         *[c for k, n in levels.items() for c in (hectares(n).alias(f"{k}_stress_hectares"), percent(n).alias(f"{k}_stress_pct"))],
         *[c for k, (n, word) in ranks.items() for c in (hectares(n).alias(f"{k}_{word}_ha"), percent(n).alias(f"{k}_pct"))],
-        mean(ndvi).alias("mean_ndvi"),
-        mean(ndwi).alias("mean_ndwi"),
+        mean("ndvi").alias("mean_ndvi"),
+        mean("ndwi").alias("mean_ndwi"),
     )
 
 
+def cycle_kpis(df: DataFrame, *, cell: str = "cell_id", when: str = "date", vegetated: Column, grid: Grid = Grid(), **columns) -> DataFrame:
+    """One flat row per date that has vegetated rows.
+
+    A first aggregate leaves one row per (date, cell) with its counts and sums, so distinct cells come
+    without a second pass, and one busy date is spread over its cells.
+    """
+    per_cell = cell_parts(df, cell=cell, when=when, vegetated=vegetated, **columns)
+    parts = [c for c in per_cell.columns if c.startswith("_")]
+    per_date = per_cell.groupBy(when).agg(F.count(cell).alias("_cells"), *[F.sum(n).alias(n) for n in parts])
+    return kpis_of_parts(per_date, when=when, grid=grid)
+
+
 def nested_kpis(flat: DataFrame) -> DataFrame:
     """The KPI document shape: three nested groups."""
     stress = [f"{k}_stress_{u}" for k in ("high", "moderate", "low") for u in ("hectares", "pct")]

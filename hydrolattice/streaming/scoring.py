@@ -1,4 +1,4 @@
-"""Scoring of arriving feature rows and refresh of the KPIs of the dates they touch."""
+"""Scoring of arriving feature rows, and the KPIs of the dates they touch."""
 
 from __future__ import annotations
 
@@ -8,47 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.kpi import cycle_kpis
 from ..operators.learn import score
-from ..operators.manifest import keep_last
-from ..settings import Grid
-from ..sources.tables import stored, write_parquet
+from .kpi_view import KpiView
 
 RESULT_COLUMNS = (
     "date", "cell_id", "stress_code", "confidence", "priority", "ndvi_mean", "ndwi_mean", "temp_max_c", "et0_8day_sum", "rainfall_8day",
 )
 
 
-def score_batch(batch: DataFrame, model, features: Sequence[str], results_path: str, kpi_path: str, grid: Grid = Grid()) -> None:
-    """Score one batch into the results table, then rebuild the KPIs of its dates.
-
-    A date is one partition. Rows of a date that came earlier are kept unless the batch repeats their cell.
-    """
+def scored_rows(batch: DataFrame, model, features: Sequence[str]) -> DataFrame:
+    """Results of the vegetated rows; the other rows stay without a class, as cells of their date."""
     scored = score(model, batch.filter(F.col("is_vegetated")), features).select(*RESULT_COLUMNS, F.lit(True).alias("is_vegetated"))
     bare = batch.filter(~F.coalesce(F.col("is_vegetated"), F.lit(False)))
-    have = dict(batch.dtypes)
-    blank = bare.select(*[
-        F.col(c) if c in have else F.lit(None).alias(c) for c in RESULT_COLUMNS
-    ], F.lit(False).alias("is_vegetated"))
-    blank = blank.select(*[F.col(c).cast(dict(scored.dtypes)[c]).alias(c) for c in scored.columns])
-    fresh = scored.unionByName(blank).withColumn("_new", F.lit(1))
-    earlier = stored(batch.sparkSession, results_path)
-    if earlier is not None:
-        touched = batch.select("date").distinct()
-        fresh = fresh.unionByName(earlier.join(touched, "date", "left_semi").withColumn("_new", F.lit(0)))
-    merged = keep_last(fresh, ["date", "cell_id"], [F.col("_new").desc(), F.col("confidence").desc_nulls_last()]).drop("_new")
-    # Dynamic overwrite replaces the partitions it reads, so the merge is stored aside first.
-    write_parquet(merged, f"{results_path}_next", ["date"])
-    ready = batch.sparkSession.read.parquet(f"{results_path}_next")
-    write_parquet(ready, results_path, ["date"], replace_partitions=True)
-    kpis = cycle_kpis(ready, vegetated=F.col("is_vegetated"), grid=grid)
-    write_parquet(kpis.withColumn("date", F.col("cycle_date")), kpi_path, ["date"], replace_partitions=True)
-
-
-def start(rows: DataFrame, model, features: Sequence[str], results_path: str, kpi_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    types = dict(scored.dtypes)
+    blank = bare.select(*[(F.col(c) if c in bare.columns else F.lit(None)).cast(types[c]).alias(c) for c in RESULT_COLUMNS], F.lit(False).alias("is_vegetated"))
+    return scored.unionByName(blank)
+
+
+def score_batch(batch: DataFrame, number: int, model, features: Sequence[str], view: KpiView) -> None:
+    """Score one batch and add it to the view. Of rows that share date and cell the most confident counts; a later batch
+    replaces what earlier ones said of a (date, cell)."""
+    view.add(scored_rows(batch, model, features), number, [F.col("confidence").desc_nulls_last()])
+
+
+def start(rows: DataFrame, model, features: Sequence[str], view: KpiView, checkpoint: str, **trigger) -> StreamingQuery:
     return (
         rows.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, _: score_batch(batch, model, features, results_path, kpi_path))
+        .foreachBatch(lambda batch, number: score_batch(batch, number, model, features, view))
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

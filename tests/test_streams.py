@@ -3,13 +3,14 @@ from __future__ import annotations
 import time
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hydrolattice.operators import learn
+from hydrolattice.operators import kpi, learn
 from hydrolattice.plans import stream_queries
 from hydrolattice.plans.registry import Tables
-from hydrolattice.streaming import requests, runs, scenes, scoring, windows
+from hydrolattice.streaming import kpi_view, requests, runs, scenes, scoring, windows
 from tests.test_learn import FEATURES, SMALL
 
 LOG = "ts timestamp, route string, status int, ms double, stress_class string"
@@ -208,17 +209,40 @@ def test_scoring_refreshes_touched_dates(spark, tmp_path):
     schema = "cell_id string, date date, ndwi_mean double, temp_max_c double, et0_8day_sum double, rainfall_8day double, ndvi_mean double, is_vegetated boolean, target_stress_class int"
     both = spark.createDataFrame(rows(1, range(20), -0.2) + rows(2, range(20), 0.2), schema)
     model = learn.train(both, "forest", FEATURES, "target_stress_class", SMALL)
-    source, results, kpis = tmp_path / "in", str(tmp_path / "results"), str(tmp_path / "kpis")
+    source = tmp_path / "in"
+    view = kpi_view.KpiView(spark, str(tmp_path / "results"), str(tmp_path / "changes"))
 
     def land(data):
         spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema(schema).parquet(str(source))
-        scoring.start(stream, model, FEATURES, results, kpis, str(tmp_path / "cp")).awaitTermination()
+        scoring.start(stream, model, FEATURES, view, str(tmp_path / "cp")).awaitTermination()
 
     land(rows(1, range(3), -0.2) + rows(2, range(4), 0.2) + rows(2, [9], 0.2, veg=False))
     land(rows(2, [0, 7], -0.2))
-    out = {r["cycle_date"]: r for r in spark.read.parquet(kpis).collect()}
+    out = {r["cycle_date"]: r for r in view.kpis().collect()}
     assert (out[date(2024, 1, 1)]["active_cultivated_cells"], out[date(2024, 1, 1)]["high_stress_pct"]) == (3, 100.0)
     second = out[date(2024, 1, 2)]
     assert (second["total_culturable_cells"], second["active_cultivated_cells"], second["high_stress_pct"], second["low_stress_pct"]) == (6, 5, 40.0, 60.0)
-    assert spark.read.parquet(results).count() == 3 + 6
+    assert view.current().count() == 3 + 6
+    changes = spark.read.parquet(view.changes).groupBy("batch").agg(F.collect_set("date").alias("d")).collect()
+    assert {r["batch"]: len(r["d"]) for r in changes} == {0: 2, 1: 1}  # the second batch touched one date alone
+
+
+def test_kpi_view_adds_and_takes_back(spark, tmp_path):
+    schema = "date date, cell_id string, stress_code int, priority int, ndvi_mean double, ndwi_mean double, is_vegetated boolean"
+    rng = np.random.default_rng(4)
+    view = kpi_view.KpiView(spark, str(tmp_path / "results"), str(tmp_path / "changes"))
+    now = {}
+    for number in range(4):
+        rows = [
+            (date(2024, 1, int(d)), f"C{c}", int(rng.integers(0, 3)), int(rng.integers(1, 4)), float(rng.random()), None if rng.random() < 0.2 else float(rng.random()), bool(rng.random() < 0.7))
+            for d in rng.choice(5, 3, replace=False) + 1 for c in rng.choice(12, 8, replace=False)
+        ]
+        now |= {r[:2]: r for r in rows}
+        batch = spark.createDataFrame(rows, schema)
+        view.add(batch, number)
+        if number == 2:
+            view.add(batch, number)  # again, after a failure
+        want = kpi.cycle_kpis(spark.createDataFrame(list(now.values()), schema), vegetated=F.col("is_vegetated"))
+        assert sorted(map(tuple, view.kpis().collect())) == sorted(map(tuple, want.collect()))
+    assert view.current().count() == len(now)
