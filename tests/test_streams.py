@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hydrolattice.operators import kpi, learn
 from hydrolattice.plans import stream_queries
 from hydrolattice.plans.registry import Tables
-from hydrolattice.streaming import kpi_view, requests, runs, scenes, scoring, windows
+from hydrolattice.streaming import kpi_view, requests, retries, runs, scenes, scoring, windows
 from tests.test_learn import FEATURES, SMALL
 
 LOG = "ts timestamp, route string, status int, ms double, stress_class string"
@@ -202,6 +202,34 @@ def test_scene_stream_retries_and_backfills(spark, tmp_path):
     assert status == dict.fromkeys(["S4", "S5", "S6", "S7", "S9"], "complete")
 
 
+def test_a_failed_scene_is_tried_again_after_its_delay(spark, tmp_path):
+    """Fails twice, is listed once, and succeeds by timers alone; a scene without failures is tried once."""
+    source, tries = tmp_path / "items", []
+
+    def extract(found):
+        names = sorted(r["scene_id"] for r in found.select("scene_id").collect())
+        if names:
+            tries.append((time.monotonic(), names))
+        failing = sum("S4" in n for _, n in tries) < 3
+        return found.select("scene_id", F.lit("C").alias("cell_id")).withColumn("failed", (F.col("scene_id") == "S4") & F.lit(failing))
+
+    spark.createDataFrame([scene(4, 1), scene(5, 2)], SCENE).coalesce(1).write.json(str(source))
+    stream = scenes.item_stream(spark, str(source), SCENE)
+    query = retries.start(spark, stream, str(tmp_path / "run"), extract, date(2023, 1, 1), first=1.0, longest=60.0, processingTime="500 milliseconds")
+    try:
+        limit = time.monotonic() + 150
+        while time.monotonic() < limit and query.isActive and sum("S4" in n for _, n in tries) < 3:
+            time.sleep(0.5)
+        time.sleep(3)
+    finally:
+        query.stop()
+    assert query.exception() is None
+    assert [n for _, n in tries] == [["S4", "S5"], ["S4"], ["S4"]]
+    assert tries[1][0] - tries[0][0] >= 1.0 and tries[2][0] - tries[1][0] >= 2.0  # the delay doubles
+    status = {r["scene_id"]: r["status"] for r in scenes.manifest_of(spark.read.parquet(str(tmp_path / "run" / "log"))).collect()}
+    assert status == {"S4": "complete", "S5": "complete"}
+
+
 def test_scoring_refreshes_touched_dates(spark, tmp_path):
     def rows(day, cells, ndwi, veg=True):
         return [(f"C{i}", date(2024, 1, day), ndwi, 35.0, 40.0, 0.0, 0.4 if veg else 0.1, veg, 2 if ndwi < 0 else 0) for i in cells]
