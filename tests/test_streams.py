@@ -11,6 +11,7 @@ from hydrolattice.operators import kpi, learn
 from hydrolattice.plans import stream_queries
 from hydrolattice.plans.registry import Tables
 from hydrolattice.streaming import kpi_view, requests, retries, runs, scenes, scoring, windows
+from hydrolattice.sources.tables import stored
 from tests.test_learn import FEATURES, SMALL
 
 LOG = "ts timestamp, route string, status int, ms double, stress_class string"
@@ -217,16 +218,16 @@ def test_a_failed_scene_is_tried_again_after_its_delay(spark, tmp_path):
     stream = scenes.item_stream(spark, str(source), SCENE)
     query = retries.start(spark, stream, str(tmp_path / "run"), extract, date(2023, 1, 1), first=1.0, longest=60.0, processingTime="500 milliseconds")
     try:
-        limit = time.monotonic() + 150
-        while time.monotonic() < limit and query.isActive and sum("S4" in n for _, n in tries) < 3:
-            time.sleep(0.5)
-        time.sleep(3)
+        limit, status = time.monotonic() + 200, {}
+        while time.monotonic() < limit and query.isActive and status != {"S4": "complete", "S5": "complete"}:
+            time.sleep(1)
+            log = stored(spark, str(tmp_path / "run" / "log"))
+            status = {} if log is None else {r["scene_id"]: r["status"] for r in scenes.manifest_of(log).collect()}
+        assert query.exception() is None
     finally:
         query.stop()
-    assert query.exception() is None
     assert [n for _, n in tries] == [["S4", "S5"], ["S4"], ["S4"]]
     assert tries[1][0] - tries[0][0] >= 1.0 and tries[2][0] - tries[1][0] >= 2.0  # the delay doubles
-    status = {r["scene_id"]: r["status"] for r in scenes.manifest_of(spark.read.parquet(str(tmp_path / "run" / "log"))).collect()}
     assert status == {"S4": "complete", "S5": "complete"}
 
 
