@@ -12,6 +12,7 @@ from ..operators.profile import class_shares
 from ..operators.learn import fill_inputs
 from ..operators.weather import weather_features, with_label_inputs
 from ..settings import CLASS_LABELS, WaterBalance
+from ..sources import weather_payloads
 from ..sources.weather_payloads import flatten_payloads
 from .registry import Tables, query, r
 
@@ -178,3 +179,41 @@ def flatten_payload(t: Tables) -> DataFrame:
         ).alias("daily"),
     )
     return flatten_payloads(packed, keys=["weather_point_id"])
+
+
+def drifting_texts(t: Tables) -> DataFrame:
+    """The packed payloads of ``flatten_payload`` as JSON in three versions: numbers; numbers as text and a new field; another
+    name for one field and a word in place of every fifth day's temperature."""
+    days = daily_readings(t).select(
+        "weather_point_id",
+        F.struct(F.col("date").cast("string").alias("time"), F.round("rainfall_mm", 2).alias("r"), F.round("et0_mm", 2).alias("e"), F.col("temp_max_c").alias("x")).alias("day"),
+    )
+    packed = days.groupBy("weather_point_id").agg(F.sort_array(F.collect_list("day")).alias("d"))
+    text = lambda c: F.transform(c, lambda v: v.cast("string"))
+    worded = F.transform("d", lambda x: F.when(F.dayofmonth(x["time"].cast("date")) % 5 == 0, F.lit("n/a")).otherwise(x["x"].cast("string")))
+    daily = lambda **f: F.to_json(F.struct(F.struct(F.col("d.time").alias("time"), *[v.alias(n) for n, v in f.items()]).alias("daily")), {"ignoreNullFields": "false"})
+    r, e, x = F.col("d.r"), F.col("d.e"), F.col("d.x")
+    version = F.pmod(F.col("weather_point_id"), F.lit(3))
+    return packed.select(
+        "weather_point_id",
+        F.when(version == 0, daily(precipitation_sum=r, et0_fao_evapotranspiration=e, temperature_2m_max=x))
+        .when(version == 1, daily(precipitation_sum=text(r), et0_fao_evapotranspiration=text(e), temperature_2m_max=text(x), snowfall_sum=r))
+        .otherwise(daily(precipitation_sum=r, et0_evapotranspiration=e, temperature_2m_max=worded)).alias("value"),
+    )
+
+
+@query(f"""WITH {DAILY_SQL}
+SELECT weather_point_id, date, round(rainfall_mm, 2) AS rainfall_mm, round(et0_mm, 2) AS et0_mm,
+  CASE WHEN weather_point_id % 3 = 2 AND day(date) % 5 = 0 THEN NULL ELSE temp_max_c END AS temp_max_c FROM daily""")
+def flatten_drifting(t: Tables) -> DataFrame:
+    return weather_payloads.flatten_drifting(drifting_texts(t), keys=["weather_point_id"]).select("weather_point_id", "date", "rainfall_mm", "et0_mm", "temp_max_c")
+
+
+@query(f"""WITH {DAILY_SQL}, p AS (SELECT weather_point_id, weather_point_id % 3 AS v, count(*) FILTER (WHERE day(date) % 5 = 0) AS words FROM daily GROUP BY 1),
+gone AS (SELECT unnest(['temperature_2m_min', 'temperature_2m_mean', 'rain_sum', 'relative_humidity_2m_mean', 'wind_speed_10m_max', 'shortwave_radiation_sum']) AS field)
+SELECT field, 'missing' AS problem, count(*) AS payloads, count(*)::BIGINT AS "values" FROM p, gone GROUP BY 1
+UNION ALL SELECT 'snowfall_sum', 'unknown', count(*), count(*)::BIGINT FROM p WHERE v = 1 HAVING count(*) > 0
+UNION ALL SELECT 'temperature_2m_max', 'mistyped', count(*), sum(words)::BIGINT FROM p WHERE v = 2 AND words > 0 HAVING count(*) > 0""")
+def payload_problems(t: Tables) -> DataFrame:
+    found = weather_payloads.payload_problems(drifting_texts(t), keys=["weather_point_id"])
+    return found.groupBy("field", "problem").agg(F.count("*").alias("payloads"), F.sum("values").alias("values"))
