@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import profile, quality
 from ..settings import Quality, Settings, Training
+from ..sources.tables import write_json_documents
+from ..streaming.runs import new_run
 from .registry import Tables, query, r
 from .weather_queries import DAILY_SQL, daily_readings
 
@@ -131,7 +133,7 @@ FEATURE_LIMITS = {"ndvi_mean": (-1, 1), "ndwi_mean": (-1, 1), "evi_mean": (-5, 5
 LINE_TRAINING = Settings(training=Training(split=date(1999, 1, 1), target="l_linenumber", features=FEATURE_INPUTS))
 
 
-@query(f"""WITH f AS (SELECT l_orderkey AS cell_id, CAST(l_shipdate AS DATE) AS date, l_linenumber, l_quantity > 5 AS is_vegetated, l_quantity / 40 AS ndvi_mean,
+FEATURE_SQL = f"""WITH f AS (SELECT l_orderkey AS cell_id, CAST(l_shipdate AS DATE) AS date, l_linenumber, l_quantity > 5 AS is_vegetated, l_quantity / 40 AS ndvi_mean,
   l_discount - 1.02::DOUBLE AS ndwi_mean, CASE WHEN l_tax > 0.005::DOUBLE THEN l_tax END AS evi_mean, l_quantity + 6 AS temp_max_c, l_extendedprice / 100 AS rainfall_8day FROM lineitem),
 dup AS (SELECT sum(n - 1)::BIGINT AS n FROM (SELECT count(*) AS n FROM f GROUP BY cell_id, date)),
 c AS (SELECT count(DISTINCT date) AS a, count(DISTINCT date) FILTER (WHERE date < DATE '1999-01-01') AS b, count(DISTINCT date) FILTER (WHERE date >= DATE '1999-01-01') AS e,
@@ -143,15 +145,44 @@ UNION ALL {_missing_sql("f", ["cell_id", "date", "is_vegetated", "l_linenumber",
 UNION ALL SELECT 'label_values', count(*) = 0, count(*)::VARCHAR, '0', coalesce(string_agg(l::VARCHAR, ', ' ORDER BY l), '') FROM bad
 UNION ALL SELECT 'one_row_per_cell_and_date', n = 0, n::VARCHAR, '0', '' FROM dup
 UNION ALL SELECT 'date_coverage', a >= 20 AND b > 0 AND e > 0, a || '/' || b || '/' || e, '20/1/1', '' FROM c
-UNION ALL SELECT 'all_classes_in_later_dates', k = 3, k::VARCHAR, '3', '' FROM c""")
-def feature_suite(t: Tables) -> DataFrame:
+UNION ALL SELECT 'all_classes_in_later_dates', k = 3, k::VARCHAR, '3', '' FROM c"""
+
+
+def line_features(t: Tables) -> DataFrame:
     """Line items as a feature table that breaks the range, missing-value, label and duplicate rules."""
-    table = t.lineitem.select(
+    return t.lineitem.select(
         F.col("l_orderkey").alias("cell_id"), F.to_date("l_shipdate").alias("date"), (F.col("l_quantity") > 5).alias("is_vegetated"), "l_linenumber",
         (F.col("l_quantity") / 40).alias("ndvi_mean"), (F.col("l_discount") - 1.02).alias("ndwi_mean"), F.when(F.col("l_tax") > 0.005, F.col("l_tax")).alias("evi_mean"),
         (F.col("l_quantity") + 6).alias("temp_max_c"), (F.col("l_extendedprice") / 100).alias("rainfall_8day"),
     )
-    return _flat(quality.feature_suite(table, LINE_TRAINING))
+
+
+@query(FEATURE_SQL)
+def feature_suite(t: Tables) -> DataFrame:
+    return _flat(quality.feature_suite(line_features(t), LINE_TRAINING))
+
+
+@query(f"""WITH c AS ({FEATURE_SQL})
+SELECT 'features' AS stage, bool_and(passed) AS passed, (SELECT count(*) FROM lineitem) AS rows, string_agg("check", ',' ORDER BY "check") FILTER (WHERE NOT passed) AS failed FROM c""")
+def validation_report(t: Tables) -> DataFrame:
+    """The report of the feature stage: one document, stored and read back."""
+    table = line_features(t)
+    place = f"{new_run(t.spark, 'report')}/features"
+    write_json_documents(quality.report(quality.feature_suite(table, LINE_TRAINING), "features", {"features": table}), place)
+    stored = t.spark.read.json(place)
+    failed = F.array_sort(F.transform(F.filter("checks", lambda c: ~c["passed"]), lambda c: c["check"]))
+    return stored.select("stage", "passed", F.col("rows.features").alias("rows"), F.array_join(failed, ",").alias("failed"))
+
+
+@query(f"""WITH f AS (SELECT l_quantity / 40 AS ndvi_mean, l_discount - 1.02::DOUBLE AS ndwi_mean, CASE WHEN l_tax > 0.005::DOUBLE THEN l_tax END AS evi_mean,
+  l_quantity + 6 AS temp_max_c, l_extendedprice / 100 AS rainfall_8day FROM lineitem)
+SELECT * FROM (SELECT NULL::VARCHAR AS "check", NULL::BOOLEAN AS passed, NULL::VARCHAR AS observed, NULL::VARCHAR AS required, NULL::VARCHAR AS offending WHERE false)
+UNION ALL {_ranges_sql("f", FEATURE_LIMITS)} UNION ALL {_missing_sql("f", list(FEATURE_INPUTS), 0.01)}""")
+def checked_write(t: Tables) -> DataFrame:
+    """Range and missing-value checks of a table, collected while it is written."""
+    return _flat(quality.checked_write(line_features(t), f"{new_run(t.spark, 'checked')}/features", FEATURE_LIMITS, FEATURE_INPUTS, 0.01))
+
+
 
 
 _NUMERIC_SQL = " UNION ALL ".join(

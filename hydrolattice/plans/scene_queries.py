@@ -13,7 +13,10 @@ from ..operators.ordering import ranked
 from ..settings import BANDS, Scenes
 from ..sources.areas import area_info, polygon_features
 from ..sources.catalogue import ITEM_SCHEMA, scene_items
+from ..sources.scene_cache import SceneCache, ingest
+from ..sources.tables import write_bucketed
 from ..streaming import scenes as streamed_scenes
+from ..streaming.runs import new_run
 from .registry import Tables, query
 
 
@@ -230,3 +233,45 @@ def area_bounds(t: Tables) -> DataFrame:
     docs = t.supplier.select(F.col("s_suppkey").alias("area_id"), document.alias("value"))
     info = area_info(polygon_features(docs, keys=["area_id"]))
     return info.withColumn("tiles", F.array_join("tiles", "|"))
+
+
+@query(f"""WITH {CATALOGUE_SQL},
+usable AS (SELECT *, row_number() OVER (PARTITION BY acquired, coalesce(tile, 'scene ' || scene_id) ORDER BY baseline::DOUBLE DESC, scene_id) AS place FROM scenes
+  WHERE cloud_cover <= 15 AND acquired BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'),
+raw_key AS (SELECT scene_id, acquired, regexp_extract(scene_id, '([0-9]+)(_copy)?$', 1)::BIGINT AS k FROM usable WHERE place = 1),
+file AS (SELECT l_orderkey AS k, count(DISTINCT CASE WHEN l_extendedprice > 1000 THEN l_linenumber % 4 END) = 4 AS whole,
+  count(*) FILTER (WHERE l_quantity > 10) AS cells, round(sum(l_quantity) FILTER (WHERE l_quantity > 10), 2) AS quantity FROM lineitem GROUP BY 1)
+SELECT scene_id, acquired AS acquisition_date, CASE WHEN NOT coalesce(whole, false) THEN 'incomplete' WHEN cells > 0 THEN 'complete' ELSE 'no_clear_cells' END AS status,
+  CASE WHEN whole THEN cells ELSE 0 END AS cells, CASE WHEN whole AND cells > 0 THEN quantity END AS quantity,
+  'v2' AS version FROM raw_key LEFT JOIN file USING (k)""")
+def ingested_scenes(t: Tables) -> DataFrame:
+    """Catalogue, completeness, manifest and cache in three runs: the older scenes, all of them, and all in a newer feature version."""
+    cache = SceneCache(t.spark, f"{new_run(t.spark, 'scene_cache')}")
+    key = F.regexp_extract("scene_id", "([0-9]+)(_copy)?$", 1).cast("long")
+    items = catalogue(t)
+    keys = items.select("scene_id", key.alias("l_orderkey"))
+    bands = BANDS[:4]
+    files = t.lineitem.join(keys, "l_orderkey").select("scene_id", F.element_at(F.array(*map(F.lit, bands)), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("band"), F.col("l_extendedprice").alias("length"))
+    rules = Scenes(start=date(1996, 1, 1), end=date(2000, 12, 31))
+
+    def extract(scenes: DataFrame) -> DataFrame:
+        return scenes.withColumn("l_orderkey", key).join(t.lineitem.filter("l_quantity > 10"), "l_orderkey").select("scene_id", "l_quantity")
+
+    for some, version in ((items.filter(F.col("acquired") < F.lit("1998-06-01").cast("timestamp")), "v1"), (items, "v1"), (items, "v2")):
+        ingest(cache, some, files, extract, version, rules, bands=bands)
+    sums = cache.features().groupBy("scene_id").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return cache.snapshot().join(sums, "scene_id", "left").select("scene_id", "acquisition_date", "status", "cells", "quantity", "version")
+
+
+@query("""SELECT o_orderpriority, count(*) AS lines, round(sum(l_extendedprice), 2) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")
+def bucketed_join(t: Tables) -> DataFrame:
+    """Line items and orders stored in buckets by order, joined where they lie."""
+    return bucketed_pair(t).groupBy("o_orderpriority").agg(F.count("*").alias("lines"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
+
+
+def bucketed_pair(t: Tables, buckets: int = 16) -> DataFrame:
+    run = new_run(t.spark, "buckets")
+    tag = run.rsplit("-", 1)[-1]
+    lines = write_bucketed(t.lineitem.withColumnRenamed("l_orderkey", "order_key"), f"lines_{tag}", f"{run}/lines", ["order_key"], buckets)
+    orders = write_bucketed(t.orders.withColumnRenamed("o_orderkey", "order_key"), f"orders_{tag}", f"{run}/orders", ["order_key"], buckets)
+    return lines.hint("merge").join(orders, "order_key")

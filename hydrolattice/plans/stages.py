@@ -14,6 +14,8 @@ from ..operators import drift, kpi, labels, learn, maps, quality, raster, sampli
 from ..operators.weather import weather_features
 from ..settings import DEFAULTS, Settings
 from ..sources import schemas, tables
+from ..sources.catalogue import read_items
+from ..sources.scene_cache import SceneCache, ingest
 from ..sources.weather_payloads import parse_payloads
 
 
@@ -42,6 +44,12 @@ class Stages:
         checks = quality.weather_suite(weather, self.settings).unionAll(quality.scene_suite(manifest, weather, self.settings))
         return self._report(checks, "raw", {"weather": weather, "scenes": manifest})
 
+    def ingest(self, landed: str, files: DataFrame, extract, version: str, tiles: Sequence[str] = ()) -> SceneCache:
+        """Landed catalogue pages and band files to the scene cache: usable, newest, whole scenes that it lacks in this feature version."""
+        cache = SceneCache(self.spark, f"{self.root}/scene_cache")
+        ingest(cache, read_items(self.spark, landed), files, extract, version, self.settings.scenes, tiles=tiles)
+        return cache
+
     def satellite_from_blocks(self, blocks: DataFrame, scenes: DataFrame, cells: DataFrame, **placement) -> DataFrame:
         """Raw band blocks (10 m and 20 m) to zonal features: resampled, then corrected by each scene's baseline."""
         tables.require_types(blocks.drop("px"), schemas.PIXEL_BLOCKS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,21 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), *,
     writer.partitionBy(*partition_by).parquet(path) if partition_by else writer.parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, aggregates: Sequence[Column], partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a table and return one row of named aggregates, collected while it is written, without a second scan."""
+    seen = Observation()
+    write_parquet(df.observe(seen, *aggregates), path, partition_by)
+    return df.sparkSession.createDataFrame([Row(**seen.get)], df.agg(*aggregates).schema)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Store a table hashed into sorted buckets by ``keys``, and read it back. Tables with the same keys and number of buckets
+    join, and group, on these keys without moving rows; ``partition_by`` columns are pruned."""
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").option("path", path).bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_csv(df: DataFrame, path: str, *, gzip: bool = False) -> None:
     df.write.mode("overwrite").csv(path, header=True, compression="gzip" if gzip else "none")
 
