@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 1_000
+# Session settings that hold for texts of any length, set where the session leaves them unset: rows and bytes of an Arrow batch, and
+# rows that the Parquet reader decodes at once.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
+BLOCK_BYTES = 16 << 20  # of a stored table's row groups, which a task holds while it writes them
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -29,7 +34,7 @@ def work_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once and survives lost executors."""
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,11 +51,12 @@ def map_texts(df: DataFrame, text: str, keep: list[str], added: str, build: Call
     """The ``keep`` columns of every row beside columns computed from its text, a few megabytes of text at a time.
 
     ``build`` runs once in each task and gives a function from a list of texts to one list or array per column of the
-    DDL string ``added``. A missing text is empty. Where the session leaves the rows of an Arrow batch unset, batches hold
-    BATCH_ROWS rows, because a batch of long texts is held several times over between Spark and Python.
+    DDL string ``added``. A missing text is empty. SETTINGS bound what is held of the texts, which is several times over between
+    Spark and Python.
     """
-    if df.sparkSession.conf.get(_BATCH, None) is None:
-        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+    for name, value in SETTINGS.items():
+        if df.sparkSession.conf.get(name, None) is None:
+            df.sparkSession.conf.set(name, value)
     fields = T._parse_datatype_string(added).fields
     passed = [f"_k{i}" for i in range(len(keep))]
     inner = df.select(*[F.col(c).alias(p) for c, p in zip(keep, passed, strict=True)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
