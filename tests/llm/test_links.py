@@ -99,15 +99,43 @@ def test_intersections_and_signatures():
         assert set(signature.tolist()) <= set(s.tolist()) and len(sketcher.bands(s)) == 48
 
 
-def test_hamming_index_finds_everything_within_the_radius():
+@pytest.mark.parametrize("matching", [decontamination.Matching(), decontamination.Matching(radius=13, blocks=7)])
+def test_hamming_index_finds_everything_within_the_radius(matching):
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2**63, 40).astype(np.uint64)
-    asked = np.array([int(items[k % 40]) ^ sum(1 << int(b) for b in rng.choice(64, k % 20, replace=False)) for k in range(400)], np.uint64)
-    index = decontamination.HammingIndex(items, decontamination.Matching())
-    want = {(i, j) for i, a in enumerate(asked.tolist()) for j, b in enumerate(items.tolist()) if bin(a ^ b).count("1") <= 13}
+    asked = np.array([int(items[k % 40]) ^ sum(1 << int(b) for b in rng.choice(64, k % 30, replace=False)) for k in range(400)], np.uint64)
+    index = decontamination.HammingIndex(items, matching)
+    want = {(i, j) for i, a in enumerate(asked.tolist()) for j, b in enumerate(items.tolist()) if bin(a ^ b).count("1") <= matching.radius}
     assert set(index.within(asked)) == want
 
 
+def test_recall_of_the_index_alone(spark):
+    """Copies at the threshold, without the bound that catches the rest."""
+    rng = random.Random(5)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    items = [fill(rng.randrange(13, 95)) for _ in range(300)]
+    texts = [" ".join([*fill(3), *fill(max(1, len(i) // 10)), *i[max(1, len(i) // 10) :], *fill(4)]) for i in items]
+    finder = decontamination.Benchmark([(k, " ".join(i)) for k, i in enumerate(items)], decontamination.Matching())
+    whole = {(k, m[0]) for k, found in enumerate(finder.matches(texts)) for m in found}
+    finder.confirmed = lambda hashes, rest: []
+    alone = {(k, m[0]) for k, found in enumerate(finder.matches(texts)) for m in found}
+    assert alone <= whole and len(whole) > 150 and len(alone) >= 0.995 * len(whole)
+
+
+def test_matches_do_not_depend_on_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(6)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    common = fill(14)
+    rows = [(k, " ".join([*common, *fill(12)] if k % 2 else fill(26))) for k in range(40)]
+    texts = [(k, " ".join([*t.split()[:-n], *fill(n)])) for k, t in rows for n in (1, 2, 3)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    found = []
+    for block in (100_000, 8, 2):
+        monkeypatch.setattr(decontamination, "ITEMS_PER_BLOCK", block)
+        found.append(sorted((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in decontamination.leaks(documents(spark, texts), items, ["doc_id"]).collect()))
+    assert found[0] and found[0] == found[1] == found[2]
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     fill = lambda n: " ".join(f"f{rng.randrange(10**6)}" for _ in range(n))
