@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts, remainder, slices
+from .shared import map_texts, remainder, slices, stored
 
-MAX_KEYS = 10_000
 SAMPLE_PAGES = 20_000
+LEAST_SEEN = 3  # words or tags under a key in the sample; rarer keys take the score of their element
 
 # Element names of the HTML standard and names that sites give to parts beside the content.
 BLOCKS = frozenset(
@@ -28,7 +28,7 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title object canvas select".split())
+RAW = frozenset("script style noscript template textarea iframe svg title object canvas select".split())
 ASIDE = frozenset("nav aside footer header form menu dialog button".split())
 ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent "
@@ -36,7 +36,12 @@ ASIDE_WORDS = frozenset(
     "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Words beside a side word that leave its meaning as it is.
+FILL_WORDS = frozenset("area bar block body bottom box container content group holder inner item left link links list outer panel right row section slot top unit wrap wrapper".split())
+
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>")  # looks no further than the next bracket
+_STOPS = re.compile(r"[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[^a-z]+")
 
@@ -50,6 +55,79 @@ class Token:
         self.name, self.key, self.text, self.holder, self.aside, self.in_content, self.opens = name, key, text, holder, aside, in_content, opens
 
 
+class Tags:
+    """The tags and comments of a page from left to right, in time that grows with its length whatever it holds.
+
+    A tag ends at the first ``>`` outside of quotes. Where no such end exists, ``<`` is text; places from which a search has
+    failed are kept, so that none is walked twice.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.failed, self.unclosed = page, len(page) + 1, set(), {}
+
+    def end_of(self, at: int) -> int:
+        """The place behind the tag whose attributes start at ``at``, or -1."""
+        walked: list[int] = []
+        while at < self.dead:
+            stop = _STOPS.search(self.page, at)
+            if stop is None:
+                self.dead = at
+                break
+            i = stop.start()
+            if self.page[i] == ">":
+                return i + 1
+            if i in self.failed:
+                break
+            walked.append(i)
+            close = self.page.find(self.page[i], i + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.failed.update(walked)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next tag; a comment or declaration has no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if plain := _PLAIN.match(page, start):
+                return start, plain.end(), plain[1], plain[2].lower(), plain[3]
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                return start, len(page) if close < 0 else close + 3, "", "", ""
+            if page[start + 1 : start + 2] in ("!", "?"):
+                if start + 1 < self.dead and (close := page.find(">", start)) >= 0:
+                    return start, close + 1, "", "", ""
+                self.dead = min(self.dead, start + 1)
+            elif (name := _NAME.match(page, start + 1)) and (end := self.end_of(name.end())) >= 0:
+                return start, end, name[1], name[2].lower(), page[name.end() : end - 1]
+            at = start + 1
+        return None
+
+    def behind(self, name: str, at: int) -> int:
+        """The place behind the next end tag of an element with raw content, or -1."""
+        if at >= self.unclosed.get(name, len(self.page) + 1):
+            return -1
+        close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.page, at)
+        if close is None:
+            self.unclosed[name] = at
+            return -1
+        return close.end()
+
+
+def side_words(attributes: str) -> tuple[list[str], set[str]]:
+    """All words of class, id and role, and the side words among them: a name counts where its other words only fill in."""
+    every: list[str] = []
+    side: set[str] = set()
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in _PARTS.split(name) if w]
+            every += words
+            if all(w in ASIDE_WORDS or w in FILL_WORDS for w in words):
+                side |= ASIDE_WORDS.intersection(words)
+    return every, side
+
+
 class Part:
     """An element that its class, id or role (or being a form) makes a side part, with the words it holds in the whole page and in content."""
 
@@ -86,9 +164,11 @@ def _scan(page: str, wrappers: frozenset[int], parts: list[Part]) -> tuple[list[
     nothing counts as side part for what lies around them."""
     out: list[Token] = []
     stack: list[tuple[str, str, tuple]] = []  # name, key, state before it
-    open_parts: tuple[Part, ...] = ()
+    names: Counter = Counter()  # of the stack
+    open_parts: list[Part] = []  # parts that hold the present place; their counts are differences of the page's
     at = aside = named = content = words_plain = words_content = number = 0
-    end = len(page)
+    inside_words: frozenset[str] = frozenset()
+    tags = Tags(page)
 
     def text(piece: str) -> None:
         nonlocal words_plain, words_content
@@ -97,64 +177,75 @@ def _scan(page: str, wrappers: frozenset[int], parts: list[Part]) -> tuple[list[
             n = len(piece.split())
             words_plain += n
             words_content += n if content else 0
-            for part in open_parts:
-                part.plain += n
-                part.content += n if content else 0
 
-    while at < end:
-        tag = _TOKEN.search(page, at)
+    def close(depth: int) -> None:
+        nonlocal aside, named, content, inside_words
+        aside, named, content, inside_words, held = stack[depth][2]
+        for name, _, _ in stack[depth:]:
+            names[name] -= 1
+        del stack[depth:]
+        while len(open_parts) > held:
+            part = open_parts.pop()
+            part.plain, part.content = words_plain - part.plain, words_content - part.content
+
+    while at < len(page):
+        tag = tags.next(at)
         if tag is None:
             text(page[at:])
             break
-        if tag.start() > at:
-            text(page[at : tag.start()])
-        at, name = tag.end(), (tag[2] or "").lower()
+        start, end, slash, name, attributes = tag
+        if start > at:
+            text(page[at:start])
+        at = end
         if not name:
             continue
-        if tag[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+        if slash:
             key = f"/{name}"
-            if depth is not None:
+            if names[name] > 0:
+                depth = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name)
                 key = f"/{stack[depth][1]}"
-                aside, named, content, open_parts = stack[depth][2]
-                del stack[depth:]
+                close(depth)
             out.append(Token(name, key, "", "", aside > 0, content > 0, False))
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else (end if name in ("script", "style", "textarea", "title") else at)
+            behind = tags.behind(name, at)
+            at = behind if behind >= 0 else (len(page) if name in ("script", "style", "textarea", "title") else at)
             out.append(Token(name, name, "", "", aside > 0, content > 0, True))
             continue
-        found = [w for m in _NAMES.finditer(tag[3]) for w in _PARTS.split((m[1] or m[2] or m[3] or "").lower()) if w] if tag[3] else []
+        found, side = side_words(attributes) if attributes else ([], set())
         key = ".".join([name, *sorted(set(found))[:3]])
         if name in VOID:
             out.append(Token(name, key, "", "", aside > 0, content > 0, True))
             continue
-        if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and stack:  # elements that end an open one of their kind
+        if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and names[name] > 0:  # elements that end an open one of their kind
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    aside, named, content, open_parts = stack[i][2]
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
         out.append(Token(name, key, "", "", aside > 0, content > 0, True))
-        stack.append((name, key, (aside, named, content, open_parts)))
+        stack.append((name, key, (aside, named, content, inside_words, len(open_parts))))
+        names[name] += 1
         if name in ("article", "main"):
             aside = named = 0
             content += 1
         elif name in ASIDE and name != "form":
-            side = not (name == "header" and content)
-            aside += side
-            named += side
+            is_side = not (name == "header" and content)
+            aside += is_side
+            named += is_side
         if name not in ("html", "body", "article", "main") and (name not in ASIDE or name == "form"):
-            words = ASIDE_WORDS.intersection(found) | ({"form"} if name == "form" else set())
+            words = side | ({"form"} if name == "form" else set())
             if words:
-                part = Part(frozenset(words), frozenset().union(*(p.words for p in open_parts)))
+                part = Part(frozenset(words), inside_words)
+                part.plain, part.content = words_plain, words_content
+                inside_words |= part.words
                 parts.append(part)
-                open_parts = (*open_parts, part)
+                open_parts.append(part)
                 aside += number not in wrappers
                 number += 1
+    for part in open_parts:
+        part.plain, part.content = words_plain - part.plain, words_content - part.content
     return out, words_plain, words_content
 
 
@@ -233,12 +324,12 @@ def extract(page: str, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, *, page: str = "html", key: str = "page_id", sample: int = SAMPLE_PAGES) -> Weights:
-    """Weights from at most about ``sample`` pages, chosen by hash of their key; at most MAX_KEYS keys, the most frequent ones.
+    """Weights from at most about ``sample`` pages that may be labelled, chosen by hash of their key.
 
     Counts are summed inside each task first. Without labelled pages every word scores 1 and every tag -1.
     """
-    total = pages.count()
-    modulus = max(1, -(-total // sample))
+    marked = pages.where(F.col(page).rlike(r"(?i)<(?:article|main)[\s/>]")).select(F.col(page).alias("page"), F.col(key).alias("key"))
+    modulus = max(1, -(-marked.count() // sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, longest = Counter(), Counter()
@@ -250,14 +341,14 @@ def learn(pages: DataFrame, *, page: str = "html", key: str = "page_id", sample:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "key", "inside", "n"])
 
-    partial = pages.where((remainder(key, modulus) == 0) & F.col(page).isNotNull()).select(page).mapInArrow(run, "kind string, key string, inside boolean, n bigint")
-    table = partial.groupBy("kind", "key").agg(
-        F.coalesce(F.sum(F.when(F.col("inside"), F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(~F.col("inside"), F.col("n"))), F.lit(0)).alias("b"),
-        F.max("n").alias("top"),
+    partial = stored(marked.where(remainder("key", modulus) == 0).select("page").mapInArrow(run, "kind string, key string, inside boolean, n bigint"), "page_counts")
+    outside = partial.where("kind = 'longest'").agg(F.max("n")).first()[0] or 0
+    inside = F.col("inside")
+    table = partial.where("kind <> 'longest'").groupBy("kind", "key").agg(
+        F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("b"),
     )
-    rows = table.orderBy(F.desc(F.col("a") + F.col("b")), "kind", "key").limit(MAX_KEYS).collect()
-    outside = max([r["top"] for r in rows if r["kind"] == "longest"], default=0)
-    return Weights([(r["kind"], r["key"], r["a"], r["b"]) for r in rows if r["kind"] != "longest"], 2 * outside)
+    rows = table.where(F.col("a") + F.col("b") >= LEAST_SEEN).collect()  # of a bounded sample of pages
+    return Weights([(r["kind"], r["key"], r["a"], r["b"]) for r in rows], 2 * outside)
 
 
 def main_text(pages: DataFrame, keep: list[str], weights: Weights, *, page: str = "html") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import collections
 import hashlib
 import random
@@ -180,3 +181,38 @@ def test_text_queries_equal_the_libraries(spark):
         assert r["decoded_sha256"] == hashlib.sha256(coder.decode(ids).encode()).hexdigest()
     for r in counts:
         assert r["n_tokens"] == len(library.encode(docs[r["doc_id"]], add_special_tokens=False).ids)
+
+
+def test_article_text_with_side_words_and_formulas_stays():
+    weights = html_extract.Weights([], 0)
+    words = " ".join(f"w{i}" for i in range(60))
+    page = f'<body><article><p>{words}</p><div class="social-history"><p>kept one</p></div><p>sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> kept</p><div class="ad-slot"><p>buy now</p></div><p class="share-price">kept two</p></article></body>'
+    page = page.replace("kept two", "kept two " + words)
+    text = html_extract.extract(page, weights)
+    assert all(part in text for part in ("kept one", "kept two", "x+y kept")) and "buy now" not in text
+
+
+@pytest.mark.parametrize("page", [
+    "<a '" * 100_000, '<div class="ad">x' * 30_000, "<!" * 200_000, "<svg>" * 80_000, "</x>" * 100_000, "<b>" * 50_000 + "</i>" * 50_000,
+    "<a '" * 50_000 + '"' + "x" * 5000 + ">", '<a "' * 50_000 + "<a '" * 50_000 + ">", "<!--" * 100_000, "<p" * 100_000,
+])
+def test_hostile_pages_take_linear_time(page):
+    started = time.process_time()
+    html_extract.extract(page, html_extract.Weights([], 0))
+    whole = time.process_time() - started
+    started = time.process_time()
+    html_extract.extract(page[: len(page) // 4], html_extract.Weights([], 0))
+    assert whole < max(2.0, 12 * (time.process_time() - started))  # a quadratic scan takes 16 times as long
+
+
+def test_tags_with_brackets_in_quotes_and_open_quotes():
+    weights = html_extract.Weights([], 0)
+    assert html_extract.extract('<body><article><p title="a > b < c">one two</p><p>three</p></article></body>', weights) == "one two\n\nthree"
+    assert html_extract.extract("<article><p>a < b and c</p></article>", weights) == "a < b and c"
+    assert "left" in html_extract.extract('<article><p>some text</p><a href="x>left open', weights)
+
+
+def test_weights_come_from_labelled_pages_however_rare(spark):
+    rows = [(i, "u", "<div><p>no label here</p></div>") for i in range(400)] + [(1000, "u", PAGE)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_extract.learn(pages, sample=3).tag == html_extract.learn(pages.where("page_id = 1000"), sample=3).tag != {}
