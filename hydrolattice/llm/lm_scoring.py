@@ -3,8 +3,8 @@
 Latent states emit word classes, and a class emits its words: P(word) = P(class | state) * P(word | class). A class is a
 hash of how a word begins and ends, so the state tables have one size whatever the corpus, while P(word | class) comes
 from exact counts of every word. Baum-Welch counts are summed inside each task, then across tasks; texts are scored by
-the scaled forward recursion, which gives their exact likelihood. Words that training has not seen share the mass that
-absolute discounting leaves in their class.
+the scaled forward recursion, which gives their exact likelihood. Words that training has not seen divide the mass that
+absolute discounting leaves in their class by the number of unseen words that the training counts let expect.
 """
 
 from __future__ import annotations
@@ -28,12 +28,11 @@ MAX_WORDS = 250_000
 
 @dataclass(frozen=True)
 class Shape:
-    """``rounds`` Baum-Welch rounds and one more, each over all training texts. ``parts`` is what callers deal texts into; no round reads less than all."""
+    """``rounds`` Baum-Welch rounds and one more, each over all training texts."""
 
     states: int = 8
     classes: int = 2048
     rounds: int = 8
-    parts: int = 12
     seed: int = 7
     block_bytes: int = 24 << 20
     least_blocks: int = 48
@@ -89,23 +88,26 @@ class Batch:
     def forward(self, states: States, keep: bool = False):
         """Log likelihood (base e) of each text in the given order; with ``keep`` weights, scaled states and scales of every step instead."""
         weight, step, start = states.emit.astype(self.kind)[self.symbols], states.step.astype(self.kind), states.start.astype(self.kind)
-        scale = np.empty(len(self.symbols), self.kind)
+        scale, ones = np.empty(len(self.symbols), self.kind), np.ones(len(start), self.kind)
         held = np.empty_like(weight) if keep else None
-        now = None
+        now, at = None, self.at.tolist()
         for t, n in enumerate(self.alive.tolist()):
-            a, b = self.at[t], self.at[t + 1]
-            now = weight[a:b] * (start if now is None else now[:n] @ step)
-            total = now.sum(1)
-            now /= total[:, None]
-            scale[a:b] = total
-            if keep:
-                held[a:b] = now
-        logs = np.log(scale) if not keep else scale
+            a, b = at[t], at[t + 1]
+            row = held[a:b] if keep else np.empty((n, len(start)), self.kind)
+            if now is None:
+                np.multiply(weight[a:b], start, out=row)
+            else:
+                np.matmul(now[:n], step, out=row)
+                row *= weight[a:b]
+            total = scale[a:b]
+            np.matmul(row, ones, out=total)
+            row /= total[:, None]
+            now = row
         if keep:
             return weight, held, scale
-        result = np.zeros(len(self.order))
+        logs, result = np.log(scale), np.zeros(len(self.order))
         for t, n in enumerate(self.alive.tolist()):
-            result[:n] += logs[self.at[t] : self.at[t + 1]]
+            result[:n] += logs[at[t] : at[t + 1]]
         out = np.empty_like(result)
         out[self.order] = result
         return out
@@ -113,23 +115,21 @@ class Batch:
     def expected(self, states: States) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts: starts, transitions, and classes by state."""
         weight, held, scale = self.forward(states, keep=True)
-        steps, turned, width = np.zeros_like(states.step), np.ascontiguousarray(states.step.T.astype(self.kind)), len(states.start)
+        width, size = len(states.start), len(states.emit)
+        if not len(self.alive):
+            return np.zeros(width), np.zeros_like(states.step), np.zeros((size, width))
+        turned, at, alive = np.ascontiguousarray(states.step.T.astype(self.kind)), self.at.tolist(), self.alive.tolist()
         weight /= scale[:, None]
-        after = np.ones((0, width), self.kind)
-        for t in range(len(self.alive) - 1, -1, -1):
-            a, b = self.at[t], self.at[t + 1]
-            if t + 1 < len(self.alive):
-                n, c, d = self.alive[t + 1], self.at[t + 1], self.at[t + 2]
-                pulled = weight[c:d] * after
-                steps += held[a : a + n].T @ pulled
-                back = np.ones((b - a, width), self.kind)
-                back[:n] = pulled @ turned
-            else:
-                back = np.ones((b - a, width), self.kind)
-            after = back
-            held[a:b] *= back  # from here on the share of each state
-        classes = np.stack([np.bincount(self.symbols, held[:, k], len(states.emit)) for k in range(held.shape[1])], 1)
-        starts = held[: self.at[1]].sum(0) if len(self.alive) else np.zeros(len(states.start))
+        back = np.ones_like(held)
+        for t in range(len(alive) - 1, 0, -1):
+            pulled = weight[at[t] : at[t + 1]]
+            pulled *= back[at[t] : at[t + 1]]  # from here on the weights of all steps but the first
+            np.matmul(pulled, turned, out=back[at[t - 1] : at[t - 1] + alive[t]])
+        before = np.arange(at[1], len(held)) - np.repeat(self.alive[:-1], self.alive[1:])  # the same text one step earlier
+        steps = held[before].T.astype(np.float64) @ weight[at[1] :].astype(np.float64)
+        held *= back  # the share of each state
+        starts, shares = held[: at[1]].sum(0), np.ascontiguousarray(held.T)
+        classes = np.stack([np.bincount(self.symbols, share, size) for share in shares], 1)
         return starts, steps * states.step, classes
 
 
@@ -156,15 +156,34 @@ def symbols_of(words: list[bytes], classes: Classes, end: int) -> np.ndarray:
 
 
 def encoded(texts: DataFrame, shape: Shape) -> DataFrame:
-    """Class numbers of each text as bytes, so that rounds need not split texts again."""
+    """Both things that training takes from a text, from one reading: rows with the class numbers of a text as ``symbols``, so that
+    rounds need not split texts again, and rows (word, c) with partial counts of words, summed inside each task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = process_wide(f"classes {shape.classes}", lambda: Classes(shape.classes))
+        counts: Counter = Counter()
+
+        def rows(symbols: list, words: list, c: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(symbols, pa.binary()), pa.array(words, pa.binary()), pa.array(c, pa.int64())], names=["symbols", "word", "c"])
+
+        def flush() -> pa.RecordBatch:
+            out = rows([None] * len(counts), list(counts), list(counts.values()))
+            counts.clear()
+            return out
+
         for batch in batches:
             for piece in slices(batch, 0):
-                rows = [symbols_of(words_of(t), classes, shape.classes).tobytes() for t in piece.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["symbols"])
+                symbols = []
+                for text in piece.column(0).to_pylist():
+                    words = words_of(text)
+                    counts.update(words)
+                    symbols.append(symbols_of(words, classes, shape.classes).tobytes())
+                yield rows(symbols, [None] * len(symbols), [None] * len(symbols))
+                if len(counts) > MAX_WORDS:
+                    yield flush()
+        if counts:
+            yield flush()
 
-    return texts.select("_text").mapInArrow(run, "symbols binary")
+    return texts.select("_text").mapInArrow(run, "symbols binary, word binary, c bigint")
 
 
 def next_states(sums: np.ndarray, shape: Shape) -> States:
@@ -175,12 +194,12 @@ def next_states(sums: np.ndarray, shape: Shape) -> States:
     return States(starts / starts.sum(), steps / steps.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def train_states(texts: DataFrame, shape: Shape, part=None) -> States:
-    """Baum-Welch over a table of one text column, every round over every row. Sums of fixed size reach the driver after
-    each round. ``part`` chooses no rows."""
+def train_states(rows: DataFrame, shape: Shape) -> States:
+    """Baum-Welch over the ``symbols`` of encoded texts, every round over every text. Sums of fixed size reach the driver after
+    each round."""
     states = first_guess(shape)
     k, size = shape.states, shape.classes + 1
-    rows = stored(encoded(texts, shape), "symbols")
+    rows = rows.where("symbols is not null").select("symbols")
     for _ in range(shape.rounds + 1):
 
         def run(batches: Iterator[pa.RecordBatch], states=states) -> Iterator[pa.RecordBatch]:
@@ -204,31 +223,10 @@ def train_states(texts: DataFrame, shape: Shape, part=None) -> States:
     return states
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over a table of one text column, summed inside each task first."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
-            return rows
-
-        for batch in batches:
-            for piece in slices(batch, 0):
-                for text in piece.column(0).to_pylist():
-                    counts.update(words_of(text))
-                if len(counts) > MAX_WORDS:
-                    yield flush()
-        if counts:
-            yield flush()
-
-    return texts.select("_text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
 @dataclass(frozen=True)
 class Corpus:
-    """What the counts of all words come to: tokens and distinct tokens with the end, texts, and by class tokens and words."""
+    """What the counts of all words come to: tokens and distinct tokens with the end, texts, by class tokens and words, and how many
+    words training has not seen (Chao's estimate from words seen once and twice)."""
 
     tokens: int
     distinct: int
@@ -236,12 +234,17 @@ class Corpus:
     discount: float
     class_tokens: np.ndarray
     class_words: np.ndarray
+    unseen: float
 
     def word_logs(self, counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 P(word | class). A class without training words gives all its mass to unseen words."""
+        """log10 P(word | class). The mass that discounting leaves in a class, all of it in a class without training words, is
+        divided evenly among the class's unseen words: by their estimated number, which is shared out in proportion to the words
+        seen in each class, one at least."""
         total, kinds = self.class_tokens[classes], self.class_words[classes]
-        mass = np.where(counts > 0, counts - self.discount, self.discount * kinds)
-        return np.where(total > 0, np.log10(np.maximum(mass, 1e-300) / np.maximum(total, 1)), 0.0)
+        words = self.class_words.sum()
+        others = np.maximum(1.0, self.unseen * (kinds + 1) / (words + len(self.class_words)))
+        mass = np.where(counts > 0, counts - self.discount, self.discount * kinds / others)
+        return np.where(total > 0, np.log10(np.maximum(mass, 1e-300) / np.maximum(total, 1)), np.where(counts > 0, 0.0, -np.log10(others)))
 
 
 def corpus_figures(counts: DataFrame, texts: int, shape: Shape) -> Corpus:
@@ -264,7 +267,7 @@ def corpus_figures(counts: DataFrame, texts: int, shape: Shape) -> Corpus:
         tokens[r["class"]], words[r["class"]] = r["n"], r["v"]
     one, two = sum(r["one"] for r in rows), sum(r["two"] for r in rows)
     discount = min(max(one / (one + 2 * two) if one else 0.5, 0.1), 0.95)
-    return Corpus(int(tokens.sum()) + texts, int(words.sum()) + (texts > 0), texts, discount, tokens, words)
+    return Corpus(int(tokens.sum()) + texts, int(words.sum()) + (texts > 0), texts, discount, tokens, words, one * (one - 1) / (2 * (two + 1)))
 
 
 def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, shape: Shape = Shape()) -> DataFrame:
@@ -280,8 +283,9 @@ def score_texts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", fol
     rows = docs.select(F.col(key).alias("_key"), (remainder(key, folds) == fold).alias("_held"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     train = rows.where("not _held")
     size = rows.agg(F.sum(F.octet_length("_text")).alias("b"), F.sum((~F.col("_held")).cast("long")).alias("t")).first()
-    states = train_states(train, shape)
-    counts = stored(word_counts(train), "word_counts")
+    read = stored(encoded(train, shape), "encoded")
+    states = train_states(read, shape)
+    counts = stored(read.where("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "word_counts")
     corpus = corpus_figures(counts, size["t"] or 0, shape)
     blocks = max(shape.least_blocks, -(-(size["b"] or 0) // shape.block_bytes))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("_key", "_text"), F.lit(blocks)))

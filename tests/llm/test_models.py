@@ -19,7 +19,7 @@ from hydrolattice.llm.queries import QUERIES
 from .common import documents, groups, words
 
 FOLDER = "/root/testdata/sf0.001"
-SMALL = lm_scoring.Shape(states=3, classes=32, rounds=2, parts=2, least_blocks=4)
+SMALL = lm_scoring.Shape(states=3, classes=32, rounds=2, least_blocks=4)
 
 
 def fold(key, n):
@@ -56,34 +56,43 @@ def test_training_raises_the_likelihood(spark):
     def likelihood(states):
         return sum(b.forward(states).sum() for _, b in lm_scoring.batches_of(sequences))
 
-    import pyspark.sql.functions as F
-
-    part = F.pmod(F.xxhash64("_text"), F.lit(2))
-    none, some = (lm_scoring.train_states(frame, lm_scoring.Shape(states=3, classes=32, rounds=n, parts=2), part) for n in (0, 8))
+    none, some = (lm_scoring.train_states(lm_scoring.encoded(frame, shape), shape) for shape in (lm_scoring.Shape(states=3, classes=32, rounds=n) for n in (0, 8)))
     assert likelihood(lm_scoring.first_guess(SMALL)) < likelihood(none) < likelihood(some)
 
 
 def test_every_round_reads_every_text(spark):
     rng = random.Random(1)
-    shape = lm_scoring.Shape(states=3, classes=32, rounds=3, parts=4)
+    shape = lm_scoring.Shape(states=3, classes=32, rounds=3)
     texts = [" ".join(rng.choice(f"a{i % 5} b{i % 7} c{i} d".split()) for _ in range(1 + i % 9)) for i in range(80)]
     classes = lm_scoring.Classes(32)
     sequences = [lm_scoring.symbols_of(lm_scoring.words_of(t), classes, 32) for t in texts]
     want = lm_scoring.first_guess(shape)
     for _ in range(4):
         want = lm_scoring.next_states(np.concatenate([c.ravel() for c in lm_scoring.Batch(sequences).expected(want)]), shape)
-    import pyspark.sql.functions as F
-
-    got = lm_scoring.train_states(spark.createDataFrame([(t,) for t in texts], "_text string"), shape, F.pmod(F.xxhash64("_text"), F.lit(4)))
+    read = lm_scoring.encoded(spark.createDataFrame([(t,) for t in texts], "_text string"), shape)
+    got = lm_scoring.train_states(read, shape)
+    counts = {r["word"].decode() if isinstance(r["word"], bytes) else bytes(r["word"]).decode(): r["n"] for r in read.where("word is not null").groupBy("word").agg({"c": "sum"}).withColumnRenamed("sum(c)", "n").collect()}
+    assert counts == Counter(w for t in texts for w in t.split())
     for a, b in ((got.start, want.start), (got.step, want.step), (got.emit, want.emit)):
         assert a == pytest.approx(b, rel=2e-3, abs=1e-5)
 
 
 def test_word_model_sums_to_one():
-    corpus = lm_scoring.Corpus(10, 6, 1, 0.5, np.array([8.0, 1.0, 0.0]), np.array([3.0, 1.0, 0.0]))
-    counts, classes = np.array([5, 2, 1, 0, 1, 0, 0]), np.array([0, 0, 0, 0, 1, 1, 2])
-    p = 10 ** corpus.word_logs(counts, classes)
-    assert [p[:4].sum(), p[4:6].sum(), p[6]] == pytest.approx([1.0, 1.0, 1.0])
+    """Seen words with as many unseen ones as are expected make one; fewer unseen words stay below the mass left for them."""
+    corpus = lm_scoring.Corpus(10, 6, 1, 0.5, np.array([8.0, 1.0, 0.0]), np.array([3.0, 1.0, 0.0]), 21.0)
+    others = [21 * 4 / 7, 21 * 2 / 7, 21 * 1 / 7]
+    seen = 10 ** corpus.word_logs(np.array([5, 2, 1, 1]), np.array([0, 0, 0, 1]))
+    unseen = 10 ** corpus.word_logs(np.zeros(3), np.arange(3))
+    assert unseen * others == pytest.approx([0.5 * 3 / 8, 0.5 / 1, 1.0])
+    assert [seen[:3].sum() + unseen[0] * others[0], seen[3] + unseen[1] * others[1]] == pytest.approx([1.0, 1.0])
+    assert 2 * unseen[0] < 0.5 * 3 / 8  # two unseen words of a class share its mass
+
+
+def test_unseen_words_are_estimated_from_rare_ones(spark):
+    rows = [(f"w{i}".encode(), 1 if i < 60 else 2 if i < 80 else 9) for i in range(100)]
+    corpus = lm_scoring.corpus_figures(spark.createDataFrame(rows, "word binary, c long"), 5, lm_scoring.Shape(classes=32))
+    assert corpus.unseen == 60 * 59 / (2 * 21) and corpus.discount == 60 / 100 and corpus.distinct == 101
+    assert lm_scoring.corpus_figures(spark.createDataFrame([], "word binary, c long"), 0, lm_scoring.Shape(classes=32)).unseen == 0
 
 
 def check_scores(rows, found):
