@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts, process_wide, stored
+from .shared import map_texts, process_wide, put_back, set_apart, stored
 from .shingles import BulkHashes, mixed, positions, shingle_sets
 
 ITEMS_PER_BLOCK = 50_000
@@ -294,7 +294,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], *, text: str =
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", matching: Matching = Matching()) -> DataFrame:
-    """The rows of ``docs``, all columns kept, in which no item is found."""
+    """The rows of ``docs``, all columns kept whatever their names, in which no item is found."""
+    columns, docs = docs.columns, set_apart(docs, [text])
     names = docs.columns
     for items, spread in item_blocks(benchmark, item, item_text, matching):
         build = _finder(items, matching, spread)
@@ -304,4 +305,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: st
             return lambda texts: [[bool(m) for m in finder.matches(texts)]]
 
         docs = map_texts(docs, text, names, "_leaked boolean", compute_all).where(~F.col("_leaked")).select(*names)
-    return docs
+    return put_back(docs, columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import map_texts, marked, slices, stored
+from .shared import map_texts, marked, put_back, set_apart, slices, stored
 from .shingles import MULTIPLIER, BulkHashes, common, mixed, shingle_sets
 
 STAR_PARTS = 32
@@ -241,8 +241,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", linking: Linking = Linking()) -> DataFrame:
     """The rows of one document of each group, all columns kept; of rows repeated whole, one stays.
 
-    Rows without a key stay. Of different texts under one kept key, the one with the smallest hash stays.
+    Rows without a key stay. Of different texts under one kept key, the one with the smallest hash stays. Other columns may have any name.
     """
+    columns, docs = docs.columns, set_apart(docs, [key, text])
     found = stored(near_duplicates(docs, key=key, text=text, linking=linking), "near_duplicates")
     alive = found.where(F.col("kept") & F.col(key).isNotNull()).groupBy(key).agg(F.min("text_hash").alias("_keep"), F.count("*").alias("_n"))
     alive = stored(alive, "alive")
@@ -255,8 +256,8 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lin
     checked = doubtful.where("_maybe").join(gone, (F.col(key) == F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_anti")
     left = doubtful.where("not _maybe").unionByName(checked).drop("_maybe")
     if alive.where("_n > 1").isEmpty():
-        return left.drop("_hash")
+        return put_back(left, columns)
     again = alive.where("_n > 1").select(F.col(key).alias("_k"))
     single = left.join(again, F.col(key) == F.col("_k"), "left_anti")
     repeated = left.join(again, F.col(key) == F.col("_k"), "left_semi").dropDuplicates([key, "_hash"])
-    return single.unionByName(repeated).drop("_hash")
+    return put_back(single.unionByName(repeated), columns)

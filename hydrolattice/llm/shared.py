@@ -26,9 +26,15 @@ BLOCK_BYTES = 16 << 20  # of a stored table's row groups, which a task holds whi
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one on one machine where that is unset (tests)."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return configured.rstrip("/") if configured else _OWN.setdefault("folder", tempfile.mkdtemp(prefix="spark-work-"))
+    if configured:
+        return configured.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if "folder" not in _OWN:
+        _OWN["folder"] = tempfile.mkdtemp(prefix="spark-work-")
+    return _OWN["folder"]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +44,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def set_apart(docs: DataFrame, names: list[str]) -> DataFrame:
+    """All columns under private names, and ``names`` under their own beside them, so that no result column clashes with one."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_own{i}") for i, c in enumerate(docs.columns)], *[F.col(f"`{n}`") for n in names])
+
+
+def put_back(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that were set apart, under their names and in their order."""
+    return df.select(*[F.col(f"_own{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def ascii_lower(column: Column) -> Column:
     return F.translate(column, string.ascii_uppercase, string.ascii_lowercase)
 

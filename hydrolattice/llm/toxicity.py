@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Four small transducers read the words of a clause in one pass: insults (an automaton over word beginnings, with weights
-learned from labels), threats and targets, negation, and reported speech. Each insult or threat becomes one matched
-clause part in one of a few situations (plain, at a target, negated, reported). A logistic model over the weights that
-were matched in each situation gives the score.
+Small transducers are composed over a clause: insults (an automaton over word beginnings, with weights learned from labels),
+threats, targets (anywhere in the clause), negation (of the words behind it), and reported speech (of the words before and
+behind it). Each insult or threat becomes a matched part in one situation, and a clause gives the weight of its matches in each
+situation. A logistic model over what the clauses of a text gave in each situation is the score.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ THREATS = frozenset("kill hurt destroy burn shoot beat stab punish attack crush
 NEGATIONS = frozenset("not never don't doesn't didn't isn't aren't wasn't won't ne pas jamais nicht kein keine niemals nie nunca jamás tampoco".split())
 REPORTS = frozenset("said says wrote writes quoted quote reported claims claimed called dit disait écrit déclaré sagte schrieb behauptete dijo dice escribió".split())
 
-SITUATIONS = ("plain", "targeted", "negated", "reported", "threat")
+SITUATIONS = ("plain", "targeted", "negated", "reported", "threat", "threatened")
+TARGET, NEGATION, REPORT, THREAT = -3.0, -1.0, -2.0, -4.0
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _CLOSES = ".!?;:"
@@ -94,40 +95,60 @@ class Grammar:
             best = max(best, self.accept[state])
         return max(best, self.end[state])
 
-    def read(self, text: str) -> list[float]:
-        """Summed weight of each situation and the largest single weight. Clauses end at closing punctuation and line ends.
+    def mark(self, raw: str) -> float:
+        """What a word is to the grammar: the weight of an insult, a mark below zero, or 0."""
+        word = bare(raw)
+        weight = self.insult(word)
+        return NEGATION if word in NEGATIONS else REPORT if word in REPORTS else TARGET if word in TARGETS else THREAT if word in THREATS else weight
+
+    def clause(self, marks: list[tuple[int, float]], sums: dict[str, float]) -> None:
+        """Add the weight of one clause's matches in each situation to ``sums``; ``marks`` are places and marks of its words."""
+        if not any(m > 0 or m == THREAT for _, m in marks):
+            return
+        targeted = any(m == TARGET for _, m in marks)
+        behind: list[bool] = []  # whether a report follows within reach, from the clause's end on
+        ahead = math.inf
+        for i, m in reversed(marks):
+            ahead = i if m == REPORT else ahead
+            behind.append(ahead - i <= self.reach)
+        negation = report = -math.inf
+        for (i, m), told in zip(marks, reversed(behind), strict=True):
+            negation = i if m == NEGATION else negation
+            report = i if m == REPORT else report
+            if m <= 0 and m != THREAT:
+                continue
+            if told or i - report <= self.reach:
+                situation = "reported"
+            elif i - negation <= self.reach:
+                situation = "negated"
+            elif m == THREAT:
+                situation = "threatened" if targeted else "threat"
+            else:
+                situation = "targeted" if targeted else "plain"
+            if m != THREAT or situation.startswith("threat"):  # a threat that is denied or told is none
+                sums[situation] += 1.0 if m == THREAT else m
 
-        States of a clause: words that a negation or a report still covers, and whether a target was seen.
-        """
+    def read(self, text: str) -> list[float]:
+        """Summed weight of each situation over all clauses, and the largest single weight. Clauses end at closing punctuation and
+        line ends."""
         sums = dict.fromkeys(SITUATIONS, 0.0)
         top, known = 0.0, self.known
         if len(known) > 150_000:
             known.clear()
         for line in text.lower().split("\n"):
-            negated = reported = target = 0
-            for raw in _WORD.findall(line):
-                weight = known.get(raw)
-                if weight is None:
-                    word = bare(raw)
-                    weight = self.insult(word)
-                    weight = -1.0 if word in NEGATIONS else -2.0 if word in REPORTS else -3.0 if word in TARGETS else -4.0 if word in THREATS else weight
-                    known[raw] = weight
-                if weight > 0:
-                    situation = "reported" if reported else "negated" if negated else "targeted" if target else "plain"
-                    sums[situation] += weight
-                    top = max(top, weight)
-                elif weight == -1.0:
-                    negated = self.reach + 1
-                elif weight == -2.0:
-                    reported = self.reach + 1
-                elif weight == -3.0:
-                    target = 1
-                elif weight == -4.0 and not negated and not reported:
-                    sums["threat"] += 1.0
-                if raw[-1] in _CLOSES:
-                    negated = reported = target = 0
-                else:
-                    negated, reported = max(0, negated - 1), max(0, reported - 1)
+            marks: list[tuple[int, float]] = []
+            for i, raw in enumerate(_WORD.findall(line)):
+                mark = known.get(raw)
+                if mark is None:
+                    known[raw] = mark = self.mark(raw)
+                if mark:
+                    marks.append((i, mark))
+                    top = max(top, mark)
+                if raw[-1] in _CLOSES and marks:
+                    self.clause(marks, sums)
+                    marks = []
+            if marks:
+                self.clause(marks, sums)
         return [*(math.log1p(sums[s]) for s in SITUATIONS), top]
 
 
