@@ -1,4 +1,7 @@
-"""A training-data pipeline: five stages over the documents, each written before the next one reads it."""
+"""A training-data pipeline: five stages over the documents, each written before the next one reads it.
+
+Documents may have further columns of any name; the stages but the last keep them.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydrolattice.llm import decontamination, near_dups, piece_coding, quality_rules, toxicity
-from hydrolattice.llm.shared import stored
+from hydrolattice.llm.shared import put_back, set_apart, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    own = docs.columns
-    return quality_rules.judge(docs, own).where("kept").select(*own)
+    own = [f"_own{i}" for i in range(len(docs.columns))]
+    return put_back(quality_rules.judge(set_apart(docs, ["text", "source"]), own).where("kept"), docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half. The model learns from the labels of the documents that came in."""
     model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=~toxicity.held_out())
-    own = docs.columns
-    return toxicity.score(docs, own, model).where("predicted = 0").select(*own)
+    own = [f"_own{i}" for i in range(len(docs.columns))]
+    return put_back(toxicity.score(set_apart(docs, ["text"]), own, model).where("predicted = 0"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
