@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import (
     GBTClassifier,
     OneVsRest,
@@ -55,7 +57,12 @@ def with_vector(df: DataFrame, features: Sequence[str], output: str = "features"
 def with_weights(df: DataFrame, label: str, output: str = "class_weight") -> DataFrame:
     """Balanced class weight per labelled row; rows without a label have no class and are left out."""
     labelled = df.filter(F.col(label).isNotNull())
-    return labelled.join(class_weights(labelled, label).select(label, F.col("weight").alias(output)), label)
+    return _weighted(labelled, class_weights(labelled, label), label, output)
+
+
+def _weighted(df: DataFrame, weights: DataFrame, label: str, output: str = "class_weight") -> DataFrame:
+    """Rows with the weight of their class. There is one weight per class, and no row may move: by label, rows would meet in a task per class."""
+    return df.join(F.broadcast(weights.select(label, F.col("weight").alias(output))), label)
 
 
 def estimator(name: str, settings: Training = Training(), *, label: str = "label", weight: str = "class_weight"):
@@ -75,10 +82,24 @@ def estimator(name: str, settings: Training = Training(), *, label: str = "label
     raise ValueError(f"unknown model: {name}")
 
 
+@contextmanager
+def training_rows(df: DataFrame, features: Sequence[str], target: str) -> Iterator[DataFrame]:
+    """Vectors, labels and weights of the rows that have a target, to fit any number of models on.
+
+    The rows are dealt out evenly once and kept as plain columns meanwhile, as fitting passes over them many times.
+    """
+    rows = df.filter(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias("label"))
+    kept = _weighted(fill_inputs(spread(rows), features), class_weights(rows, "label"), "label").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield with_vector(kept, features)
+    finally:
+        kept.unpersist()
+
+
 def train(df: DataFrame, name: str, features: Sequence[str], target: str, settings: Training = Training()):
-    """Fit one model on rows that have a target. They are dealt out evenly once, as fitting passes over them many times."""
-    rows = spread(df.filter(F.col(target).isNotNull()).select(*features, F.col(target).cast("double").alias("label")))
-    return estimator(name, settings).fit(with_vector(with_weights(fill_inputs(rows, features), "label"), features))
+    """Fit one model on rows that have a target."""
+    with training_rows(df, features, target) as rows:
+        return estimator(name, settings).fit(rows)
 
 
 def with_probabilities(model, df: DataFrame, vector: str = "features", output: str = "probabilities") -> DataFrame:

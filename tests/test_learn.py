@@ -101,6 +101,25 @@ def test_class_weights_do_not_depend_on_the_number_of_classes(spark, classes):
     assert out.count() == classes * 2 and out.filter("class_weight <> 1.0").count() == 0
 
 
+def test_no_row_moves_to_meet_the_weight_of_its_class(spark):
+    """A table whose size Spark cannot tell is small must not be dealt out by label, one task per class."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = learn.with_weights(spark.range(100).select((F.col("id") % 3).cast("double").alias("label")), "label")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_training_rows_are_dealt_out_once_and_given_back(spark, rows):
+    with learn.training_rows(rows, FEATURES, "target_stress_class") as kept:
+        assert {r["label"]: r["n"] for r in kept.groupBy("label").agg(F.count("*").alias("n")).collect()} == {
+            float(r["target_stress_class"]): r["n"] for r in rows.groupBy("target_stress_class").agg(F.count("*").alias("n")).collect()
+        }
+        assert "InMemoryTableScan" in kept._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in kept.select("*")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_global_attribution_takes_all_rows(spark, forest, rows):
     unique = rows.withColumn("id", F.monotonically_increasing_id())
     means = learn.feature_means(rows, FEATURES)
