@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_even
 from ..operators import profile, quality
 from ..settings import Quality, Settings, Training
 from ..sources.tables import write_json_documents
@@ -67,8 +68,10 @@ def split_coverage(t: Tables) -> DataFrame:
 
 
 def weather_table(t: Tables) -> DataFrame:
-    """Daily readings with the columns the weather suite needs."""
-    return daily_readings(t).withColumns({
+    """Daily readings with the columns the weather suite needs. Sums and means are held to six digits, so that one which lies
+    on a limit is on it in whatever order its events were added."""
+    held = daily_readings(t).withColumns({c: round_even(c, 6) for c in ("rainfall_mm", "et0_mm", "temp_mean_c")})
+    return held.withColumns({
         "humidity_pct": F.when(F.col("temp_mean_c") > 10, F.col("temp_mean_c") * 3), "wind_speed_mps": F.col("temp_mean_c") / 4, "solar_radiation_mj": F.lit(20.0),
     })
 
@@ -101,7 +104,8 @@ WEATHER_LIMITS = {
 }
 
 
-@query(f"""WITH {DAILY_SQL}, w AS (SELECT *, CASE WHEN temp_mean_c > 10 THEN temp_mean_c * 3 END AS humidity_pct, temp_mean_c / 4 AS wind_speed_mps, 20::DOUBLE AS solar_radiation_mj FROM daily),
+@query(f"""WITH {DAILY_SQL}, held AS (SELECT * REPLACE ({r("rainfall_mm", 6)} AS rainfall_mm, {r("et0_mm", 6)} AS et0_mm, {r("temp_mean_c", 6)} AS temp_mean_c) FROM daily),
+w AS (SELECT *, CASE WHEN temp_mean_c > 10 THEN temp_mean_c * 3 END AS humidity_pct, temp_mean_c / 4 AS wind_speed_mps, 20::DOUBLE AS solar_radiation_mj FROM held),
 p AS (SELECT weather_point_id, count(DISTINCT date) AS d FROM w GROUP BY 1)
 SELECT 'required_columns' AS "check", true AS passed, '9' AS observed, '9' AS required, '' AS offending
 UNION ALL {_ranges_sql("w", WEATHER_LIMITS)}

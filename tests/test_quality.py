@@ -1,13 +1,15 @@
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from hydrolattice.operators import profile, quality
 from hydrolattice.settings import MANIFEST_COLUMNS, MODEL_FEATURES, WEATHER_RANGES
+from tests import oracle
 
 
 def failed(checks):
@@ -107,3 +109,22 @@ def test_shares_keep_absent_classes(spark):
     df = spark.createDataFrame([("LOW",), ("LOW",), ("HIGH",), (None,)], "label string")
     rows = {r["label"]: (r["rows"], r["pct"]) for r in profile.class_shares(df, "label", ("LOW", "MODERATE", "HIGH")).collect()}
     assert rows == {"LOW": (2, 66.67), "MODERATE": (0, 0.0), "HIGH": (1, 33.33)}
+
+
+@pytest.mark.parametrize("clicks", [(10.41, 1.22, 6.93, 1.44), (10.41, 6.93, 1.44, 1.22)])
+def test_a_sum_on_a_limit_is_on_it_in_any_order(spark, tmp_path, clicks):
+    """Added one by one, the first order gives 20.000000000000004, the second 20.0; the limit is 20."""
+    rows = [(i, datetime(2024, 1, 1 + day), 1, "click", v) for day in (0, 29) for i, v in enumerate(clicks)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = oracle.duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    out = entry.queries()["weather_suite"](spark, str(tmp_path))
+    assert {r["check"]: r["offending"] for r in out.collect()}["value_ranges"] == ""
+    assert oracle.differences(out, con, entry.oracle_sql()["weather_suite"]) == (5, [])
+
+
+def test_small_shares_are_plain_numbers(spark):
+    df = spark.range(10_000).select(F.when(F.col("id") >= 5, F.col("id")).alias("x"), F.when(F.col("id") >= 1000, F.col("id")).alias("y"), F.col("id").alias("z"))
+    told = quality.missing_value_check(df, ["x", "y", "z"], 0.0002).first()
+    assert (told["observed"], told["offending"]) == ("0.1", ["x=0.0005", "y=0.1"])
+    assert quality.missing_value_check(df, ["z"], 0.01).first()["observed"] == "0.0"
