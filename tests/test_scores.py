@@ -182,3 +182,14 @@ def test_confusion_and_weights(spark):
     assert len(cells) == 9 and cells[0, 1] == (1, 0.5) and cells[1, 1] == (0, 0.0) and cells[2, 2] == (2, 1.0)
     weights = {r["a"]: r["weight"] for r in scores.class_weights(df.union(df.limit(1)), "a").collect()}
     assert weights == {0: pytest.approx(5 / (2 * 3)), 2: pytest.approx(5 / 4)}
+
+
+def test_counted_rows_score_like_rows(spark):
+    rows = spark.range(3000).select(
+        (F.xxhash64("id") % 3).cast("int").alias("seen"), (F.col("id") % 3).cast("int").alias("said"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(7)) / 7).alias("p"),
+    ).withColumn("actual", F.abs("seen")).drop("seen")
+    counted = rows.groupBy("actual", "said", "p").agg(F.count("*").alias("n"))
+    assert counted.count() < 70
+    assert sorted(scores.class_scores(counted, "actual", "said", rows="n").collect()) == sorted(scores.class_scores(rows, "actual", "said").collect())
+    areas = [sorted(scores.roc_auc(df, "actual", {1: "p", 2: "p"}, **more).collect()) for df, more in ((counted, {"rows": "n"}), (rows, {}))]
+    assert areas[0] == areas[1]
