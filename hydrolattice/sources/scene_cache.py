@@ -77,6 +77,12 @@ class SceneCache:
         earlier = self.snapshot().select(*fresh.columns).join(fresh.select("scene_id"), "scene_id", "left_anti")
         earlier.unionByName(fresh).write.mode("overwrite").parquet(f"{self.root}/snapshots/sequence={sequence}")
 
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """A table kept in the cache's folder, for what several steps of a commit read. No snapshot names it."""
+        path = f"{self.root}/staged/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def _point(self, sequence: int) -> None:
         self.spark.range(1).select(F.lit(sequence).cast("long").alias("sequence")).coalesce(1).write.mode("append").parquet(f"{self.root}/heads")
 
@@ -85,11 +91,13 @@ def ingest(cache: SceneCache, scenes: DataFrame, files: DataFrame, extract: Call
     """Catalogue to cache in one step: usable scenes in their latest copies, whole on disk, not yet in the cache in this version.
 
     ``scenes`` has (scene_id, acquired, cloud_cover, tile, baseline), ``files`` (scene_id, band, length). Scenes with missing or short
-    band files are ``incomplete`` and come again with the next run.
+    band files are ``incomplete`` and come again with the next run. The scenes to do are worked out once and kept, and only their
+    files are looked at.
     """
     usable = usable_scenes(scenes, settings, tiles=tiles, start=settings.start, end=settings.end)
     spot = F.coalesce("tile", F.concat(F.lit("scene "), "scene_id"))
     newest = latest_copies(usable.withColumns({"acquisition_date": F.to_date("acquired"), "_spot": spot}), keys=["acquisition_date", "_spot"], baseline="baseline", sequence=["scene_id"]).drop("_spot")
-    whole = scene_completeness(files, scene="scene_id", bands=bands, min_bytes=settings.min_band_bytes)
-    todo = cache.missing(newest, version).join(whole, "scene_id", "left").withColumn("status", F.when(~F.coalesce("complete", F.lit(False)), "incomplete")).drop("complete")
+    missing = cache.staged(cache.missing(newest, version), "missing")
+    whole = scene_completeness(files.join(missing.select("scene_id"), "scene_id", "left_semi"), scene="scene_id", bands=bands, min_bytes=settings.min_band_bytes)
+    todo = cache.staged(missing.join(whole, "scene_id", "left").withColumn("status", F.when(~F.coalesce("complete", F.lit(False)), "incomplete")).drop("complete"), "todo")
     return cache.commit(todo.select("scene_id", "acquisition_date", "status"), extract(todo.filter("status is null").drop("status")), version)

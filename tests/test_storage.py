@@ -58,6 +58,19 @@ def test_ingest_from_catalogue_to_cache(spark, landed, tmp_path):
     assert seen[-1] == ["S1"] and status(cache)["S1"] == ("complete", "v2") and cache.features().count() == 6
 
 
+def test_scenes_to_do_are_worked_out_once(spark, landed, tmp_path):
+    """What is extracted and what is committed come from one kept table, not from the catalogue and the files again."""
+    items, files = landed
+    read = []
+
+    def watched(scenes):
+        read.extend(scenes.inputFiles())
+        return extract(scenes)
+
+    ingest(SceneCache(spark, str(tmp_path)), items, files, watched, "v1")
+    assert read and all("/staged/todo-" in f for f in read)
+
+
 @pytest.mark.parametrize("step", ["_write_snapshot", "_point"])
 def test_a_commit_that_breaks_off_shows_nothing(spark, landed, tmp_path, monkeypatch, step):
     items, files = landed
