@@ -81,61 +81,69 @@ class Batch:
         ordered = lengths[self.order]
         self.alive = len(ordered) - np.searchsorted(ordered[::-1], np.arange(1, (ordered[0] if len(ordered) else 0) + 1))  # texts at each step
         self.at = np.concatenate([[0], np.cumsum(self.alive)]).astype(np.int64)
-        self.symbols = np.empty(int(lengths.sum()), np.int32)
+        self.symbols = np.empty(int(lengths.sum()), np.intp)
         for rank, i in enumerate(self.order.tolist()):
             self.symbols[self.at[: lengths[i]] + rank] = sequences[i]
 
     def forward(self, states: States, keep: bool = False):
-        """Log likelihood (base e) of each text in the given order; with ``keep`` weights, scaled states and scales of every step instead."""
-        weight, step, start = states.emit.astype(self.kind)[self.symbols], states.step.astype(self.kind), states.start.astype(self.kind)
-        scale, ones = np.empty(len(self.symbols), self.kind), np.ones(len(start), self.kind)
-        held = np.empty_like(weight) if keep else None
+        """Log likelihood (base e) of each text in the given order; with ``keep`` the scaled states and one over the scale of every
+        step instead. States are rows, so that an operation runs along all texts of a step, and weights are looked up where a
+        step needs them, so that a step stays in the processor's cache."""
+        turned, start, emit = np.ascontiguousarray(states.step.T, self.kind), states.start.astype(self.kind)[:, None], np.ascontiguousarray(states.emit.T, self.kind)
+        scale = np.empty(len(self.symbols), self.kind)
+        held = np.empty((len(start), len(self.symbols)), self.kind) if keep else None
         now, at = None, self.at.tolist()
         for t, n in enumerate(self.alive.tolist()):
             a, b = at[t], at[t + 1]
-            row = held[a:b] if keep else np.empty((n, len(start)), self.kind)
+            row = held[:, a:b] if keep else np.empty((len(start), n), self.kind)
+            weight = emit.take(self.symbols[a:b], axis=1, mode="clip")
             if now is None:
-                np.multiply(weight[a:b], start, out=row)
+                np.multiply(weight, start, out=row)
             else:
-                np.matmul(now[:n], step, out=row)
-                row *= weight[a:b]
-            total = scale[a:b]
-            np.matmul(row, ones, out=total)
-            row /= total[:, None]
+                np.matmul(turned, now[:, :n], out=row)
+                row *= weight
+            over = scale[a:b]
+            np.add.reduce(row, axis=0, out=over)
+            np.reciprocal(over, out=over)
+            row *= over
             now = row
         if keep:
-            return weight, held, scale
+            return held, scale
         logs, result = np.log(scale), np.zeros(len(self.order))
         for t, n in enumerate(self.alive.tolist()):
-            result[:n] += logs[at[t] : at[t + 1]]
+            result[:n] -= logs[at[t] : at[t + 1]]
         out = np.empty_like(result)
         out[self.order] = result
         return out
 
     def expected(self, states: States) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Baum-Welch counts: starts, transitions, and classes by state."""
-        weight, held, scale = self.forward(states, keep=True)
         width, size = len(states.start), len(states.emit)
         if not len(self.alive):
             return np.zeros(width), np.zeros_like(states.step), np.zeros((size, width))
-        turned, at, alive = np.ascontiguousarray(states.step.T.astype(self.kind)), self.at.tolist(), self.alive.tolist()
-        weight /= scale[:, None]
-        back = np.ones_like(held)
+        held, scale = self.forward(states, keep=True)
+        step, emit = states.step.astype(self.kind), np.ascontiguousarray(states.emit.T, self.kind)
+        at, alive, steps = self.at.tolist(), self.alive.tolist(), np.zeros_like(states.step)
+        back = np.ones((width, alive[-1]), self.kind)
         for t in range(len(alive) - 1, 0, -1):
-            pulled = weight[at[t] : at[t + 1]]
-            pulled *= back[at[t] : at[t + 1]]  # from here on the weights of all steps but the first
-            np.matmul(pulled, turned, out=back[at[t - 1] : at[t - 1] + alive[t]])
-        before = np.arange(at[1], len(held)) - np.repeat(self.alive[:-1], self.alive[1:])  # the same text one step earlier
-        steps = held[before].T.astype(np.float64) @ weight[at[1] :].astype(np.float64)
-        held *= back  # the share of each state
-        starts, shares = held[: at[1]].sum(0), np.ascontiguousarray(held.T)
-        classes = np.stack([np.bincount(self.symbols, share, size) for share in shares], 1)
-        return starts, steps * states.step, classes
-
-
-def batches_of(sequences: list[np.ndarray], kind=np.float64, tokens: int = 400_000) -> Iterator[tuple[list[int], Batch]]:
+            a, b, n = at[t], at[t + 1], alive[t]
+            pulled = emit.take(self.symbols[a:b], axis=1, mode="clip")
+            pulled *= back
+            pulled *= scale[a:b]
+            share = held[:, a:b]
+            share *= back
+            steps += held[:, at[t - 1] : at[t - 1] + n] @ pulled.T  # the same texts one step earlier
+            back = np.ones((width, alive[t - 1]), self.kind)
+            np.matmul(step, pulled, out=back[:, :n])
+        held[:, : at[1]] *= back  # now the share of each state everywhere
+        classes = np.stack([np.bincount(self.symbols, share, size) for share in held], 1)
+        return held[:, : at[1]].sum(1, dtype=np.float64), steps * states.step, classes
+
+
+def batches_of(sequences: list[np.ndarray], kind=np.float64, tokens: int = 1_000_000) -> Iterator[tuple[list[int], Batch]]:
     """Sequences of like length together, about ``tokens`` at a time, each batch with the places of its sequences. A batch
-    takes as many steps as its longest sequence has tokens, so long texts do not make short ones wait."""
+    takes as many steps as its longest sequence has tokens, so long texts do not make short ones wait, and the more sequences
+    are given at once, the more share a step."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     some, held = [], 0
     for i in order:
@@ -205,7 +213,7 @@ def train_states(rows: DataFrame, shape: Shape) -> States:
         def run(batches: Iterator[pa.RecordBatch], states=states) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for piece in slices(batch, 0, 4 << 20):
+                for piece in slices(batch, 0, 16 << 20):
                     sequences = [np.frombuffer(b, np.int16) for b in piece.column(0).to_pylist()]
                     for _, some in batches_of(sequences, np.float32):
                         flat = np.concatenate([c.ravel() for c in some.expected(states)])

@@ -46,6 +46,63 @@ def test_forward_is_exact_and_counts_add_up():
         assert emit.sum(1) == pytest.approx(np.bincount(np.concatenate(sequences), minlength=33))
 
 
+def direct_counts(symbols, states):
+    """Forward and backward over one sequence, one symbol after another."""
+    ahead, behind = [states.start * states.emit[symbols[0]]], [np.ones(len(states.start))]
+    for s in symbols[1:]:
+        ahead.append(ahead[-1] @ states.step * states.emit[s])
+    for s in symbols[:0:-1]:
+        behind.insert(0, states.step @ (states.emit[s] * behind[0]))
+    whole = ahead[-1].sum()
+    steps = sum((np.outer(a, states.emit[s] * b) * states.step for a, s, b in zip(ahead, symbols[1:], behind[1:])), np.zeros_like(states.step))
+    classes = np.zeros_like(states.emit)
+    for s, a, b in zip(symbols, ahead, behind, strict=True):
+        classes[s] += a * b / whole
+    return ahead[0] * behind[0] / whole, steps / whole, classes
+
+
+@pytest.mark.parametrize(("kind", "near"), [(np.float64, 1e-9), (np.float32, 1e-4)])
+def test_counts_are_those_of_each_text_alone(kind, near):
+    rng = np.random.default_rng(2)
+    states = lm_scoring.first_guess(SMALL)
+    sequences = [rng.integers(0, 33, n) for n in (1, 5, 5, 1, 40, 12, 39, 2)]
+    want = [sum(c) for c in zip(*(direct_counts(s, states) for s in sequences))]
+    for got, right in zip(lm_scoring.Batch(sequences, kind).expected(states), want, strict=True):
+        assert got == pytest.approx(right, rel=near, abs=near)
+
+
+def test_rounds_put_the_texts_of_a_task_into_few_steps(spark, monkeypatch):
+    """Each step of a batch costs the same few calls, so texts of a task must share their steps however many bytes they have."""
+    rng = np.random.default_rng(3)
+    sequences = [rng.integers(0, 32, n).astype(np.int16) for n in [20_000] * 60 + [50] * 400]
+    whole = lm_scoring.Batch.expected
+    calls = []
+
+    def watched(self, states):
+        calls.append((len(self.alive), len(self.symbols)))
+        return whole(self, states)
+
+    monkeypatch.setattr(lm_scoring.Batch, "expected", watched)
+
+    class Rows:
+        """Stands for the rows of one task, run here."""
+
+        def where(self, _):
+            return self
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = lm_scoring.pa.RecordBatch.from_arrays([lm_scoring.pa.array([s.tobytes() for s in sequences], lm_scoring.pa.binary())], names=["symbols"])
+            out = lm_scoring.pa.Table.from_batches(list(run(iter([batch]))))
+            return spark.createDataFrame(out.to_pandas())
+
+    lm_scoring.train_states(Rows(), lm_scoring.Shape(states=3, classes=32, rounds=0))
+    assert sum(n for _, n in calls) == sum(map(len, sequences))
+    assert sum(n for n, _ in calls) <= 2 * 20_000
+
+
 def test_training_raises_the_likelihood(spark):
     rng = random.Random(0)
     texts = [" ".join(rng.choice(("aa ab ac ad" if i % 2 else "xx xy xz xw").split()) for _ in range(30)) for i in range(60)]
