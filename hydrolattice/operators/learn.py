@@ -177,17 +177,30 @@ def feature_means(df: DataFrame, features: Sequence[str]) -> list[float]:
     return [float(row[f] or 0.0) for f in features]
 
 
-def impacts(model, df: DataFrame, key: Sequence[str], features: Sequence[str], means: Sequence[float], target_class: int | None = None) -> DataFrame:
+def means_row(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Training means as a table of one row, which a plan over the same rows computes along with the rest."""
+    return fill_inputs(df, features).agg(*[F.coalesce(F.avg(f), F.lit(0.0)).alias(f) for f in features])
+
+
+def impacts(
+    model, df: DataFrame, key: Sequence[str], features: Sequence[str], means: Sequence[float] | DataFrame, target_class: int | None = None, *, by_key: bool = False
+) -> DataFrame:
     """(key, feature, value, impact): how much the class probability falls when one input is set to its mean.
 
     Every row becomes one variant per feature, and all variants are scored in one pass. Rows are hashed by key
-    before they multiply, so gathering a row's variants again needs no shuffle. ``target_class`` defaults to the
-    row's predicted class.
+    before they multiply, so gathering a row's variants again needs no shuffle; ``by_key`` says that they are already,
+    as after ``keep_last``. ``means`` of ``means_row`` over the same rows share their shuffle. ``target_class``
+    defaults to the row's predicted class.
     """
-    base = with_probabilities(model, with_vector(spread(fill_inputs(df, features).select(*dict.fromkeys([*key, *features])), *key), features))
+    inputs = fill_inputs(df, features).select(*dict.fromkeys([*key, *features]))
+    base = with_probabilities(model, with_vector(inputs if by_key else spread(inputs, *key), features))
     aim = best_class() if target_class is None else F.lit(target_class)
     row = base.select(*key, F.array(*features).alias("_x"), aim.alias("class"), _probability(aim).alias("_p"))
-    typical = F.array(*[F.lit(float(m)) for m in means])
+    if isinstance(means, DataFrame):
+        one = means.select(F.array(*features).alias("_means"), F.lit(1).alias("_j"))
+        row, typical = row.withColumn("_j", F.lit(1)).join(F.broadcast(one), "_j"), F.col("_means")
+    else:
+        typical = F.array(*[F.lit(float(m)) for m in means])
     variants = row.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).withColumn(
         "features", array_to_vector(F.transform("_x", lambda v, j: F.when(j == F.col("_i"), typical[F.col("_i")]).otherwise(v)))
     )
@@ -244,10 +257,13 @@ def importance_drivers(ranked_importances: DataFrame, rows: DataFrame, key: Sequ
     })
 
 
-def global_attribution(model, df: DataFrame, key: Sequence[str], features: Sequence[str], means: Sequence[float], *, rows: int | None = None, target_class: int = 2, top: int = 12, seed: int = 42) -> DataFrame:
+def global_attribution(
+    model, df: DataFrame, key: Sequence[str], features: Sequence[str], means: Sequence[float] | DataFrame, *,
+    rows: int | None = None, target_class: int = 2, top: int = 12, seed: int = 42, by_key: bool = False,
+) -> DataFrame:
     """Mean absolute impact per feature on one class, the ``top`` features: over all rows, or a fixed sample of ``rows``."""
     sample = df if rows is None else fixed_sample(df, key, rows, seed=seed)
-    found = impacts(model, sample, key, features, means, target_class)
+    found = impacts(model, sample, key, features, means, target_class, by_key=by_key)
     return found.groupBy("feature").agg(round_even(F.avg(F.abs("impact")), 6).alias("mean_abs_impact")).orderBy(
         F.col("mean_abs_impact").desc(), "feature"
     ).limit(top)

@@ -333,7 +333,7 @@ def model_rows(t: Tables) -> DataFrame:
 
 def one_per_key(rows: DataFrame) -> DataFrame:
     """One row per key, by a total order of all its columns."""
-    return keep_last(rows, ROW_KEY, [F.struct(*sorted(set(rows.columns) - set(ROW_KEY))).asc()])
+    return keep_last(rows, ROW_KEY, [F.col(c).asc() for c in sorted(set(rows.columns) - set(ROW_KEY))])  # a struct would move every column twice
 
 
 def _forest(t: Tables):
@@ -383,7 +383,7 @@ f AS (SELECT {", ".join(ROW_KEY)}, class, rank, feature, feature AS label, {r("v
 SELECT *, arrow || ' ' || label || ' (' || printf('%.2f', value) || '): ' || impact_pct || '% of the impact on ' || ['LOW', 'MODERATE', 'HIGH'][class + 1] AS summary FROM f""")
 def attribution_topk(t: Tables) -> DataFrame:
     rows = one_per_key(model_rows(t))
-    return learn.top_drivers(learn.impacts(_exact_tree(t), rows, ROW_KEY, MODEL_COLUMNS, learn.feature_means(rows, MODEL_COLUMNS)), ROW_KEY)
+    return learn.top_drivers(learn.impacts(_exact_tree(t), rows, ROW_KEY, MODEL_COLUMNS, learn.means_row(rows, MODEL_COLUMNS)), ROW_KEY)
 
 
 @query(f"""WITH {_UNIQUE_SQL}, a AS (SELECT 'l_quantity' AS feature, avg(abs((target = 2)::INTEGER - (by_quantity = 2)::INTEGER)) AS i FROM v
@@ -392,7 +392,7 @@ def attribution_topk(t: Tables) -> DataFrame:
 SELECT feature, {r("i", 6)} AS mean_abs_impact FROM a""")
 def global_attribution(t: Tables) -> DataFrame:
     rows = one_per_key(model_rows(t))
-    return learn.global_attribution(_exact_tree(t), rows, ROW_KEY, MODEL_COLUMNS, learn.feature_means(rows, MODEL_COLUMNS))
+    return learn.global_attribution(_exact_tree(t), rows, ROW_KEY, MODEL_COLUMNS, learn.means_row(rows, MODEL_COLUMNS), by_key=True)
 
 
 @query()

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydrolattice.operators import learn
+from hydrolattice.plans import score_queries  # noqa: F401
+from hydrolattice.plans.registry import QUERIES
 from hydrolattice.settings import Training
 
 FEATURES = ("ndwi_mean", "temp_max_c", "et0_8day_sum", "rainfall_8day", "ndvi_mean")
@@ -134,3 +136,23 @@ def test_three_way(rows):
     by = {r["test"]: r for r in out}
     assert by["unseen_cells"]["macro_f1"] > 0.9 and by["later_dates"]["macro_auc"] > 0.95
     assert by["later_dates_without_label_inputs"]["macro_f1"] < by["later_dates"]["macro_f1"]
+
+
+@pytest.mark.parametrize(("name", "dealt"), [("global_attribution", 0), ("attribution_topk", 1)])  # the drivers' key holds a column that becomes a double
+def test_unique_rows_and_their_means_share_one_shuffle(spark, name, dealt):
+    out = QUERIES[name].run(spark, "/root/testdata/sf0.001")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "l_partkey" in line and "ReusedExchange" not in line]
+    assert "isFinalPlan=true" in plan and "ReusedExchange" in plan
+    assert len([line for line in moved if "REPARTITION" in line]) == dealt and len(moved) == 1 + dealt
+    assert "struct(date" not in plan  # columns of the order move once
+
+
+def test_means_of_a_plan_are_those_of_the_driver(spark, forest, rows):
+    unique = rows.withColumn("id", F.monotonically_increasing_id())
+    means = learn.feature_means(unique, FEATURES)
+    assert list(learn.means_row(unique, FEATURES).first()) == pytest.approx(means)
+    assert list(learn.means_row(unique.limit(0), FEATURES).first()) == [0.0] * len(FEATURES)
+    both = [{r["feature"]: r["mean_abs_impact"] for r in learn.global_attribution(forest, unique, ["id"], FEATURES, m).collect()} for m in (means, learn.means_row(unique, FEATURES))]
+    assert both[0] == pytest.approx(both[1], abs=2e-6)
