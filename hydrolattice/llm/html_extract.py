@@ -39,8 +39,8 @@ ASIDE_WORDS = frozenset(
 # Words beside a side word that leave its meaning as it is.
 FILL_WORDS = frozenset("area bar block body bottom box container content group holder inner item left link links list outer panel right row section slot top unit wrap wrapper".split())
 
-_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
-_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)>")  # looks no further than the next bracket
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/<>]*)")  # a bracket ends a name, so that names of tags left open are not read again and again
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>")  # looks no further than the next bracket
 _STOPS = re.compile(r"[>\"']")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[^a-z]+")
@@ -64,16 +64,22 @@ class Tags:
 
     def __init__(self, page: str):
         self.page, self.dead, self.failed, self.unclosed = page, len(page) + 1, set(), {}
+        self.since = self.stop = -1  # no bracket or quote lies between these places
 
     def end_of(self, at: int) -> int:
         """The place behind the tag whose attributes start at ``at``, or -1."""
         walked: list[int] = []
         while at < self.dead:
-            stop = _STOPS.search(self.page, at)
-            if stop is None:
-                self.dead = at
-                break
-            i = stop.start()
+            if walked or not self.since <= at <= self.stop:
+                stop = _STOPS.search(self.page, at)
+                if stop is None:
+                    self.dead = at
+                    break
+                i = stop.start()
+                if not walked:
+                    self.since, self.stop = at, i
+            else:
+                i = self.stop
             if self.page[i] == ">":
                 return i + 1
             if i in self.failed:

@@ -205,6 +205,16 @@ def test_hostile_pages_take_linear_time(page):
     assert whole < max(2.0, 12 * (time.process_time() - started))  # a quadratic scan takes 16 times as long
 
 
+@pytest.mark.parametrize("build", [lambda n: "<p" * n, lambda n: "<p" * n + '"', lambda n: "<p" * n + '""', lambda n: "<p" * n + "'>", lambda n: "<" + "p" * n])
+def test_tags_left_open_take_linear_time(build):
+    times = []
+    for n in (5_000, 40_000):
+        started = time.process_time()
+        html_extract.extract(build(n), html_extract.Weights([], 0))
+        times.append(time.process_time() - started)
+    assert times[1] < max(1.0, 24 * times[0])  # a quadratic scan takes 64 times as long
+
+
 def test_tags_with_brackets_in_quotes_and_open_quotes():
     weights = html_extract.Weights([], 0)
     assert html_extract.extract('<body><article><p title="a > b < c">one two</p><p>three</p></article></body>', weights) == "one two\n\nthree"
