@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 from ..functions import advice
 from ..functions.numeric import round_even, share
 from ..settings import CLASS_LABELS, FORM_DEFAULTS, FORM_RANGES, REQUEST_DEFAULTS, Training
+from . import counted_trees
 from .partitioning import spread
-from .sampling import fixed_sample, group_holdout, temporal_split
+from .sampling import fixed_sample, held_out
 from .scores import class_scores, class_weights, macro_auc, roc_auc
 
 # Readable names of model inputs.
@@ -65,6 +67,11 @@ def _weighted(df: DataFrame, weights: DataFrame, label: str, output: str = "clas
     return df.join(F.broadcast(weights.select(label, F.col("weight").alias(output))), label)
 
 
+def boosted_depth(name: str, settings: Training) -> int:
+    """The light model stops at depth 5: 31 leaves or fewer."""
+    return settings.boost_depth if name == "boosted_deep" else min(settings.boost_depth, 5)
+
+
 def estimator(name: str, settings: Training = Training(), *, label: str = "label", weight: str = "class_weight"):
     """An untrained model; all three correct for class imbalance through weights."""
     common = {"featuresCol": "features", "labelCol": label, "weightCol": weight, "seed": settings.seed}
@@ -72,10 +79,8 @@ def estimator(name: str, settings: Training = Training(), *, label: str = "label
     if name == "forest":
         return RandomForestClassifier(numTrees=settings.forest_trees, maxDepth=settings.forest_depth, **bins, **common)
     if name in MODELS:
-        # The light model stops at depth 5: 31 leaves or fewer.
-        depth = settings.boost_depth if name == "boosted_deep" else min(settings.boost_depth, 5)
         boost = GBTClassifier(
-            maxIter=settings.boost_rounds, maxDepth=depth,
+            maxIter=settings.boost_rounds, maxDepth=boosted_depth(name, settings),
             stepSize=settings.boost_step, subsamplingRate=settings.boost_subsample, **bins, **common,
         )
         return OneVsRest(classifier=boost, featuresCol="features", labelCol=label, weightCol=weight)
@@ -281,23 +286,73 @@ def evaluate(model, test: DataFrame, features: Sequence[str], target: str) -> Da
 
 
 def three_way_test(df: DataFrame, settings: Training = Training(), models: Sequence[str] = MODELS, *, group: str = "cell_id", when: str = "date") -> DataFrame:
-    """Scores of each model on unseen groups, on later dates, and on later dates without the label inputs."""
-    flagged = group_holdout(df, group, settings.test_share, seed=settings.seed)
-    past, later = temporal_split(df, when, settings.split)
-    reduced = [f for f in settings.features if f not in settings.label_inputs]
+    """Scores of each model on unseen groups, on later dates, and on later dates without the label inputs.
+
+    Rows that no model can tell apart are counted once per test, and all models of all tests are fitted on these counts together.
+    """
+    spark, features = df.sparkSession, settings.features
+    for name in models:
+        estimator(name, settings)  # unknown names stop here
+    flags = {"unseen": held_out(df, group, settings.test_share, seed=settings.seed), "later": F.col(when).cast("date") >= F.lit(settings.split)}
+    rows = fill_inputs(df.filter(F.col(settings.target).isNotNull()).withColumns({f"_{n}": flag for n, flag in flags.items()}), features)
+    rows = rows.select(*features, F.col(settings.target).alias("label"), *[f"_{n}" for n in flags])
     tests = {
-        "unseen_cells": (flagged.filter(~F.col("is_test")), flagged.filter("is_test"), settings.features),
-        "later_dates": (past, later, settings.features),
-        "later_dates_without_label_inputs": (past, later, reduced),
+        "unseen_cells": ("unseen", ()), "later_dates": ("later", ()),
+        "later_dates_without_label_inputs": ("later", tuple(i for i, f in enumerate(features) if f in settings.label_inputs)),
     }
-    scored = {}
-    for test_name, (training, test, features) in tests.items():
-        with training_rows(training, features, settings.target) as rows:  # dealt once for all models
-            for name in models:
-                scored[name, test_name] = evaluate(estimator(name, settings).fit(rows), test, features, settings.target)
-    out = None
-    for place, name in enumerate(models):
-        for test_name in tests:
-            row = scored[name, test_name].select(F.lit(name).alias("model"), F.lit(place).alias("priority"), F.lit(test_name).alias("test"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    limits = counted_trees.bin_limits(rows, features, {n: ~F.col(f"_{n}") for n in flags}, settings.max_bins)
+    splits = {n: counted_trees.counted_rows(rows, "label", f"_{n}", limits[n]).persist(StorageLevel.MEMORY_AND_DISK) for n in flags}
+    counted = None
+    for i, (split, left_out) in enumerate(tests.values()):
+        own = (counted_trees.without_inputs(splits[split], left_out, len(features)) if left_out else splits[split]).withColumn("test", F.lit(i))
+        counted = own if counted is None else counted.unionByName(own)
+    counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
+    held = [*splits.values(), counted]
+    try:
+        found = _counted_scores(spark, counted, list(tests), [t[1] for t in tests.values()], settings, models, held)
+    finally:
+        for kept in held:
+            kept.unpersist()
+    return spark.createDataFrame(found, "model string, priority int, test string, accuracy double, macro_f1 double, weighted_f1 double, macro_auc double")
+
+
+def _counted_scores(
+    spark, counted: DataFrame, tests: Sequence[str], left_out: Sequence[Sequence[int]], settings: Training, models: Sequence[str], held: list
+) -> list[tuple]:
+    """One tuple of scores per model and test. What is kept meanwhile goes to ``held``."""
+    inputs = len(settings.features)
+    sizes = counted.groupBy("test", "label").agg(F.sum("train").alias("train"), F.count(F.lit(1)).alias("different")).collect()  # a row per class and test
+    if any(s["label"] < 0 for s in sizes):
+        raise ValueError("classes are numbered from 0")
+    classes = max([2, *[s["label"] for s in sizes]]) + 1
+    made = []
+    for i, name in enumerate(tests):
+        n = np.zeros(classes)
+        for s in sizes:
+            if s["test"] == i:
+                n[s["label"]] = s["train"]
+        if not n.sum():
+            raise ValueError(f"{name} has no rows to train on")
+        weights = np.divide(n.sum(), np.count_nonzero(n) * n, out=np.zeros(classes), where=n > 0)
+        made.append({"weights": weights, "allowed": tuple(f for f in range(inputs) if f not in left_out[i])})
+    counted_trees.checkpoint_folder(spark)
+    state = counted_trees.blocks(counted, inputs, sum(s["different"] for s in sizes)).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(state)
+    common = {"classes": classes, "width": settings.max_bins, "inputs": inputs, "seed": settings.seed}
+    forest = None
+    if "forest" in models:
+        at = list(models).index("forest")
+        forest = at, counted_trees.forests(state, made, at, settings.forest_trees, settings.forest_depth, **common)
+    depths = {i: boosted_depth(name, settings) for i, name in enumerate(models) if name != "forest"}
+    if depths:
+        state = counted_trees.boosted(state, made, depths, settings.boost_rounds, settings.boost_step, settings.boost_subsample, **common)
+    scored = counted_trees.class_probabilities(state, spark, forest, list(depths), classes).persist(StorageLevel.MEMORY_AND_DISK)
+    held.append(scored)
+    which = ["model", "test"]
+    f1 = class_scores(scored, "actual", "stress_code", group=which, rows="n").select(*which, "accuracy", "macro_f1", "weighted_f1").distinct()
+    auc = macro_auc(roc_auc(scored, "actual", {i: f"p{i}" for i in range(3)}, which, rows="n"), which)
+    by = {(r["model"], r["test"]): r for r in f1.join(auc, which).collect()}  # a row per model and test
+    nothing = {"accuracy": 0.0, "macro_f1": 0.0, "weighted_f1": 0.0, "macro_auc": None}  # a test without rows
+    return [
+        (name, i, test, *[by.get((i, k), nothing)[c] for c in nothing]) for i, name in enumerate(models) for k, test in enumerate(tests)
+    ]

@@ -20,6 +20,20 @@ def group_holdout(df: DataFrame, group: str, test_share: float = 0.25, *, seed:
     return df.join(chosen.withColumnRenamed("chosen", "is_test"), group)
 
 
+def held_out(df: DataFrame, group: str, test_share: float = 0.25, *, seed: int = 42) -> Column:
+    """``is_test`` of ``group_holdout`` as an expression on a row's group: no row moves to meet its flag. Missing for a missing group."""
+    draw = hash_share([group], seed)
+    groups = df.select(group).distinct().persist()
+    try:
+        chosen = smallest_draws(groups, [group], F.ceil(F.col("_total") * test_share), draw).filter("chosen")
+        last = chosen.agg(F.max(F.struct(draw.alias("draw"), F.col(group).alias("group"))).alias("last")).first()["last"]
+    finally:
+        groups.unpersist()
+    if last is None:
+        return F.when(F.col(group).isNotNull(), F.lit(False))
+    return F.when(F.col(group).isNotNull(), (draw < last["draw"]) | ((draw == last["draw"]) & F.coalesce(F.col(group) <= F.lit(last["group"]), F.lit(False))))
+
+
 def temporal_split(df: DataFrame, when: str, split: date) -> tuple[DataFrame, DataFrame]:
     """Rows before the split date, and rows from it onwards."""
     day = F.col(when).cast("date")
