@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from hydrolattice.operators import counted_trees, learn
 from hydrolattice.operators.sampling import group_holdout, held_out
+from hydrolattice.plans import score_queries
+from hydrolattice.plans.registry import QUERIES
 from hydrolattice.settings import Training
 
 INPUTS = ("a", "b", "c")
@@ -94,6 +96,23 @@ def test_all_fits_share_their_jobs(spark, rows):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fits")) < 120
 
 
+def test_the_query_fits_all_models_at_the_published_sizes(spark, monkeypatch):
+    seen = {}
+
+    def look(df, settings, models=learn.MODELS, **names):
+        seen.update(settings=settings, models=tuple(models), rows=df.count())
+        return df.limit(0)
+
+    monkeypatch.setattr(learn, "three_way_test", look)
+    QUERIES["three_way_test"].run(spark, "/root/testdata/sf0.001")
+    published = Training()
+    assert seen["models"] == ("forest", "boosted_deep", "boosted_light")
+    assert seen["rows"] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for part in ("forest_trees", "forest_depth", "boost_rounds", "boost_depth", "boost_step", "boost_subsample", "max_bins", "test_share"):
+        assert getattr(seen["settings"], part) == getattr(published, part)
+    assert seen["settings"].features == score_queries.MODEL_COLUMNS
+
+
 def test_flags_without_a_join_are_those_of_the_holdout(spark):
     df = spark.createDataFrame([(i, None if i % 50 == 0 else f"G{i % 37}") for i in range(500)], "id long, g string")
     flagged = df.withColumn("is_test", held_out(df, "g")).filter("is_test is not null")
