@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..streaming.runs import shared_folder
+from .ordering import running_totals
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
-GRID = 1024  # quantiles looked at for bin limits: an input with few values keeps all that make up a thousandth
 ROWS_PER_BLOCK = 1_000_000
 BYTES_PER_JOB = 64 << 20  # of one task's histograms
 BYTES_ON_DRIVER = 32 << 20  # of all tasks' histograms, up to which the driver adds them up instead of a shuffle
@@ -43,23 +43,37 @@ _LEAF = 255  # no bin lies above it
 
 
 def bin_limits(df: DataFrame, features: Sequence[str], used: Mapping[str, Column], max_bins: int) -> dict[str, dict[str, list[float]]]:
-    """For each named subset of the rows, the limits between the bins of each input, from quantiles of all rows of the subset.
+    """For each named subset of the rows, the limits between the bins of each input, from the exact quantiles of the subset.
 
-    An input with at most ``max_bins`` values gets one bin per value. Limits lie half-way between values.
+    An input with at most ``max_bins`` values gets one bin per value, with limits half-way between them. Rows collapse to distinct
+    values first; what reaches the driver is at most ``max_bins`` values per subset and input.
     """
-    shares = [i / GRID for i in range(GRID + 1)]
-    found = df.agg(*[F.percentile_approx(F.when(rows, F.col(f)), shares).alias(f"{name}|{f}") for name, rows in used.items() for f in features]).first()
     if not 2 <= max_bins <= _LEAF:
         raise ValueError(f"max_bins must be from 2 to {_LEAF}")
-    out: dict[str, dict[str, list[float]]] = {}
-    for name in used:
-        out[name] = {}
+    inside = [f"_in{k}" for k in range(len(used))]
+    counts = None
+    for f in features:  # one input at a time: as a long table every row would carry the name of its column through the hash table
+        one = df.filter(~F.isnan(f)).groupBy(F.lit(f).alias("column"), F.col(f).alias("value")).agg(*[F.count_if(c).alias(n) for n, c in zip(inside, used.values())])
+        counts = one if counts is None else counts.unionByName(one)
+    counts = counts.withColumns({f"{n}_some": (F.col(n) > 0).cast("long") for n in inside}).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sums = {f"{n}_upto": n for n in inside} | {f"{n}_values": f"{n}_some" for n in inside}
+        run = running_totals(counts, ["column"], ["value"], sums)
+        few, taken = [], []
+        for n in inside:
+            upto, total = F.col(f"{n}_upto"), F.col(f"{n}_upto_total")
+            few.append(F.col(f"{n}_values_total") <= max_bins)
+            ends = (upto < total) & (F.floor(F.try_divide(upto * max_bins, total)) > F.floor(F.try_divide((upto - F.col(n)) * max_bins, total)))
+            taken.append((F.col(n) > 0) & (few[-1] | ends))
+        found = run.select("column", "value", F.array(*few).alias("few"), F.array(*taken).alias("taken")).filter(F.array_contains("taken", True)).collect()
+    finally:
+        counts.unpersist()
+    out: dict[str, dict[str, list[float]]] = {name: {f: [] for f in features} for name in used}
+    for k, name in enumerate(used):
         for f in features:
-            grid = found[f"{name}|{f}"] or []
-            values = sorted(set(grid))
-            lows = values[:-1] if len(values) <= max_bins else sorted({grid[i * GRID // max_bins] for i in range(1, max_bins)} - {values[-1]})
-            after = dict(zip(values, values[1:]))
-            out[name][f] = [_between(v, after[v]) for v in lows]
+            own = sorted((r["value"], r["few"][k]) for r in found if r["column"] == f and r["taken"][k])
+            values = [v for v, _ in own]
+            out[name][f] = [_between(*pair) for pair in zip(values, values[1:])] if own and own[0][1] else [math.nextafter(v, math.inf) for v in values]
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import date
 
@@ -22,16 +23,24 @@ def group_holdout(df: DataFrame, group: str, test_share: float = 0.25, *, seed:
 
 def held_out(df: DataFrame, group: str, test_share: float = 0.25, *, seed: int = 42) -> Column:
     """``is_test`` of ``group_holdout`` as an expression on a row's group: no row moves to meet its flag. Missing for a missing group."""
-    draw = hash_share([group], seed)
+    draw = hash_share([group], seed).cast("long")
     groups = df.select(group).distinct().persist()
+    place = F.shiftright(draw, 16)
+    last = None
     try:
-        chosen = smallest_draws(groups, [group], F.ceil(F.col("_total") * test_share), draw).filter("chosen")
-        last = chosen.agg(F.max(F.struct(draw.alias("draw"), F.col(group).alias("group"))).alias("last")).first()["last"]
+        sizes = sorted(groups.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect())  # 65,536 at most
+        wanted = math.ceil(sum(n for _, n in sizes) * test_share)
+        for at, n in sizes:
+            if 0 < wanted <= n:  # the last draw taken is one of these
+                drawn = groups.filter(place == at).select(draw.alias("draw"), F.col(group).alias("group"))
+                last = drawn.orderBy("draw", "group").offset(wanted - 1).first()
+            wanted -= n
     finally:
         groups.unpersist()
     if last is None:
         return F.when(F.col(group).isNotNull(), F.lit(False))
-    return F.when(F.col(group).isNotNull(), (draw < last["draw"]) | ((draw == last["draw"]) & F.coalesce(F.col(group) <= F.lit(last["group"]), F.lit(False))))
+    same = (draw == last["draw"]) & F.coalesce(F.col(group) <= F.lit(last["group"]), F.lit(False))
+    return F.when(F.col(group).isNotNull(), (draw < last["draw"]) | same)
 
 
 def temporal_split(df: DataFrame, when: str, split: date) -> tuple[DataFrame, DataFrame]:

@@ -118,6 +118,14 @@ def test_flags_without_a_join_are_those_of_the_holdout(spark):
     flagged = df.withColumn("is_test", held_out(df, "g")).filter("is_test is not null")
     assert sorted(flagged.select("id", "is_test").collect()) == sorted(group_holdout(df, "g").select("id", "is_test").collect())
     assert df.withColumn("t", held_out(df, "g", 0.0)).filter("t").count() == 0
+    assert df.withColumn("t", held_out(df, "g", 1.0)).filter("t").count() == 490
+
+
+def test_bin_limits_are_exact_quantiles_of_the_subset(spark):
+    df = spark.range(10_000).select((F.col("id") * 7 % 10_000).cast("double").alias("a"), F.pmod("id", F.lit(5)).cast("double").alias("b"), (F.col("id") < 9_990).cast("double").alias("rare"))
+    found = counted_trees.bin_limits(df, ("a", "b", "rare"), {"all": F.lit(True), "low": F.col("a") < 5000}, 4)
+    assert [round(v, 3) for v in found["all"]["a"]] == [2499, 4999, 7499] and [round(v, 3) for v in found["low"]["a"]] == [1249, 2499, 3749]
+    assert len(found["all"]["b"]) == 3 and found["all"]["rare"] == [0.5]
 
 
 def test_odd_rows(spark, rows):
